@@ -95,7 +95,7 @@ class Model:
             self.cache = {}
             self.emissions = np.zeros((4096, len(self.labels)), dtype=np.float32)
         cache = self.cache
-        new = list(set(words) - cache.keys())
+        new = [w for w in set(words) if w not in cache]
         if new:
             room = len(cache) + len(new)
             if room > len(self.emissions):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.llm import (
-    bpe_tree, crf_langid, hyper_shard, license_scan, packing, rule_ledger, secret_scan, simhash, winnow,
+    bpe_tree, cm_coder, crf_langid, hyper_shard, license_scan, packing, rule_ledger, secret_scan, simhash, winnow,
 )
 from siftlight.llm.common import table
 
@@ -64,6 +64,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cm_coder.write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")), rule_ledger.POLICIES["v2"])
     base = F.col("failed").bitwiseAND(F.lit(rule_ledger.POLICIES["base"].mask)) != 0
@@ -78,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [
-        op1_packing, op2_license_scans, op3_secret_scans, op4_simhash, op5_bpe_tree, op6_language_id, op7_sharding, op9_quality_rules,
+        op1_packing, op2_license_scans, op3_secret_scans, op4_simhash, op5_bpe_tree, op6_language_id, op7_sharding, op8_token_files, op9_quality_rules,
         op10_fingerprints,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
