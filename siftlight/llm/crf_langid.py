@@ -18,6 +18,7 @@ repeated rows are predicted alike; other columns are ignored; empty in, empty ou
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -33,8 +34,9 @@ from siftlight.llm.common import slices
 UND = "und"
 CHAIN = 256
 LONGEST = 20_000
-_BUCKETS = 1 << 17
-_CACHE = 150_000
+_BITS = 17
+_BUCKETS = 1 << _BITS
+_CACHE = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters beyond those among which the pattern above finds letters only.
 _ODD = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
@@ -54,22 +56,51 @@ def words_of(text: str) -> list[list[str]]:
     return chains
 
 
-def features(word: str) -> list[int]:
-    """Numbers of a word's affix, n-gram and identity features, over its UTF-8 bytes."""
-    raw = word.encode() if len(word) <= 40 else (word[:20] + word[-20:]).encode()
-    marked, crc = b"^" + raw + b"$", zlib.crc32
-    names = {crc(raw, 1)}
-    for n in (1, 2, 3, 4, 5):
-        names.add(crc(raw[:n], 2))
-        names.add(crc(raw[-n:], 3))
-    for n in (1, 2, 3):
-        names.update([crc(marked[i : i + n], 4) for i in range(len(marked) - n + 1)])
-    return [x % _BUCKETS for x in names]
+@dataclass
+class Spelled:
+    """Numbers of the affix, n-gram and identity features of many words, over their UTF-8
+    bytes. ``grams`` has, for every byte of every word with its end marks, the features
+    that start there, and ``starts`` where each word's bytes start; ``whole`` has the
+    features that each word has once. A feature that a word lacks has number _BUCKETS."""
+
+    grams: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    whole: np.ndarray
+
+
+def spell(words: list[str]) -> Spelled:
+    raw = [f"^{w if len(w) <= 40 else w[:20] + w[-20:]}$".encode() for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    octets = np.frombuffer(b"".join(raw) + bytes(8), np.uint8).astype(np.uint64)
+    n = int(ends[-1])
+    left = np.repeat(ends, sizes) - np.arange(n)  # bytes from here to the word's end
+    grams, code = np.empty((3, n), dtype=np.int64), np.zeros(n, dtype=np.uint64)
+    for i in range(3):
+        code = code << np.uint64(8) | octets[i : i + n]
+        grams[i] = np.where(left > i, _bucket(code, i), _BUCKETS)
+    whole = np.empty((11, len(raw)), dtype=np.int64)
+    head, tail = np.zeros((2, len(raw)), dtype=np.uint64)
+    for i in range(5):
+        head = head << np.uint64(8) | octets[np.minimum(starts + 1 + i, n)]
+        tail = tail << np.uint64(8) | octets[np.maximum(ends - 2 - i, 0)]
+        for row, value in ((i, head), (5 + i, tail)):
+            whole[row] = np.where(sizes - 2 > i, _bucket(value, 3 + row), _BUCKETS)
+    whole[10] = _bucket(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw)), 13)
+    return Spelled(grams, starts, sizes, whole)
+
+
+def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
+    mixed = (code + np.uint64(kind << 44)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 @dataclass
 class Model:
     labels: list[str]
+    #: A row per feature, then one of zeros, then one for each label's lexicon.
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, int]
@@ -79,34 +110,39 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "cache": {}, "emissions": None}
 
-    def _numbers(self, word: str) -> list[int]:
-        own = self.lexicon.get(word)
-        return features(word) + ([] if own is None else [_BUCKETS + own])
-
     def _emissions(self, words: list[str]) -> np.ndarray:
-        numbers = [self._numbers(w) for w in words]
-        firsts = np.cumsum([0] + [len(x) for x in numbers[:-1]])
-        scores = np.add.reduceat(self.weights[[i for x in numbers for i in x]], firsts)
+        spelled = spell(words)
+        scores = self.weights[spelled.whole].sum(axis=0)
+        for row in spelled.grams:
+            scores += np.add.reduceat(self.weights[row], spelled.starts)
+        for i, word in enumerate(words):
+            own = self.lexicon.get(word)
+            if own is not None:
+                scores[i] += self.weights[_BUCKETS + 1 + own]
         return np.exp(scores - scores.max(axis=1, keepdims=True))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Emission potentials of words, by way of a bounded cache of words."""
         if len(self.cache) > _CACHE or self.emissions is None:
             self.cache = {}
-            self.emissions = np.zeros((4096, len(self.labels)), dtype=np.float32)
+            self.emissions = np.zeros((0, len(self.labels)), dtype=np.float32)
         cache = self.cache
         new = [w for w in set(words) if w not in cache]
         if new:
             room = len(cache) + len(new)
             if room > len(self.emissions):
-                self.emissions = np.concatenate([self.emissions[: len(cache)], np.zeros((room, len(self.labels)), dtype=np.float32)])
-            self.emissions[len(cache) : room] = self._emissions(new)
-            cache.update(zip(new, range(len(cache), room)))
+                more = np.zeros((max(room, 2 * len(self.emissions)), len(self.labels)), dtype=np.float32)
+                more[: len(cache)] = self.emissions[: len(cache)]
+                self.emissions = more
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                self.emissions[len(cache) : len(cache) + len(part)] = self._emissions(part)
+                cache.update(zip(part, range(len(cache), len(cache) + len(part))))
         return self.emissions[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, chains: list[list[str]]) -> np.ndarray:
         """A row per word of all chains in order: the probabilities of the labels."""
-        words = [w for chain in chains for w in chain]
+        words = list(itertools.chain.from_iterable(chains))
         if not words:
             return np.zeros((0, len(self.labels)))
         return forward_backward(self.rows(words), np.array([len(c) for c in chains if c]), np.exp(self.transitions))
@@ -117,15 +153,14 @@ class Model:
         chains = [words_of(t or "") for t in texts]
         sizes = np.array([sum(map(len, c)) for c in chains])
         found = self.marginals([c for own in chains for c in own if c])
-        ends = np.cumsum(sizes)
-        out = []
-        for n, end in zip(sizes.tolist(), ends.tolist()):
-            if not n:
-                out.append((UND, 0.0))
-                continue
-            mean = found[end - n : end].mean(axis=0)
-            best = int(mean.argmax())
-            out.append((self.labels[best], float(min(1.0, mean[best]))))
+        some = np.flatnonzero(sizes)
+        out = [(UND, 0.0)] * len(texts)
+        if not len(some):
+            return out
+        mean = np.add.reduceat(found, (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
+        best = mean.argmax(axis=1)
+        for i, label, score in zip(some.tolist(), best.tolist(), mean[np.arange(len(some)), best].tolist()):
+            out[i] = (self.labels[label], min(1.0, score))
         return out
 
 
@@ -174,9 +209,9 @@ def train(labelled: list[tuple[str, str]], seed: int = 42, chains: int = 4000, l
                     counts.setdefault(w, np.zeros(k))[i] += 1
     lexicon = {w: int(c.argmax()) for w, c in counts.items() if c.sum() >= 3 and c.max() >= 0.9 * c.sum()}
     rng = np.random.default_rng(seed)
-    model = Model(labels, np.zeros((_BUCKETS + k, k)), np.zeros((k, k)), lexicon)
+    model = Model(labels, np.zeros((_BUCKETS + 1 + k, k)), np.zeros((k, k)), lexicon)
     data = [_strung(by_label, rng, length) for _ in range(chains)]
-    numbers: dict[str, np.ndarray] = {w: np.array(model._numbers(w)) for words, _ in data for w in set(words)}
+    numbers = _numbers(list(dict.fromkeys(w for words, _ in data for w in words)), lexicon)
     grown, grown_moves = np.full(model.weights.shape, 1e-6), np.full((k, k), 1e-6)
     size = 50
     for _ in range(passes):
@@ -215,6 +250,16 @@ def train(labelled: list[tuple[str, str]], seed: int = 42, chains: int = 4000, l
     return model
 
 
+def _numbers(words: list[str], lexicon: dict[str, int]) -> dict[str, np.ndarray]:
+    """The numbers of the features that each word has."""
+    spelled, out = spell(words), {}
+    for i, word in enumerate(words):
+        at, n = spelled.starts[i], spelled.sizes[i]
+        own = np.concatenate([spelled.grams[:, at : at + n].ravel(), spelled.whole[:, i], [_BUCKETS + 1 + lexicon.get(word, -1)]])
+        out[word] = own[own != _BUCKETS]
+    return out
+
+
 def _strung(by_label, rng, length: int) -> tuple[list[str], list[int]]:
     """A chain of runs of words, each of one label."""
     words: list[str] = []
