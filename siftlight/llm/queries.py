@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.llm import (
-    bpe_tree, cm_coder, crf_langid, hyper_shard, license_scan, packing, rule_ledger, secret_scan, simhash, winnow,
+    bpe_tree, cm_coder, crf_langid, hyper_shard, license_scan, oracles, packing, rule_ledger, secret_scan, simhash, winnow,
 )
 from siftlight.llm.common import table
 
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scans": oracles.secret_scans(), "op9_quality_rules": oracles.quality_rules()}
