@@ -353,7 +353,8 @@ def write_documents(
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     placed = picked.repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = ordered.mapInArrow(run, "part long, file string, docs long, tokens long").orderBy("part").toLocalIterator()
+    # One row per partition comes back; sorting them in Spark would run the tasks twice.
+    files = sorted(ordered.mapInArrow(run, "part long, file string, docs long, tokens long").collect())
     return [(r["file"], r["docs"], r["tokens"]) for r in files]
 
 
