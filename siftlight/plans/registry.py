@@ -99,12 +99,39 @@ def collapse_whitespace(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.collapse(F.col("text")).alias("flat"))
 
 
-@_query()
+def _chunk_sql(limit: int, overlap: int) -> str:
+    """Chunks by folds over lists: words of long sentences into pieces, then units into chunks."""
+    word = f"""lambda x, y: CASE
+      WHEN length(y.cur) > {limit} THEN {{'done': list_concat(x.done, CASE WHEN x.cur = '' THEN []::VARCHAR[] ELSE [x.cur] END,
+        list_transform(range(0, length(y.cur), {limit}), lambda i: substr(y.cur, i + 1, {limit}))), 'cur': ''}}
+      WHEN x.cur = '' THEN {{'done': x.done, 'cur': y.cur}}
+      WHEN length(x.cur) + 1 + length(y.cur) > {limit} THEN {{'done': list_append(x.done, x.cur), 'cur': y.cur}}
+      ELSE {{'done': x.done, 'cur': x.cur || ' ' || y.cur}} END"""
+    tail = f"x.cur[list_min(list_filter(range(1, len(x.cur) + 1), lambda b: b = len(x.cur) OR length(array_to_string(x.cur[b:], ' ')) <= {overlap})):]"
+    unit = f"""lambda x, y: CASE WHEN len(x.cur) > 0 AND length(array_to_string(x.cur, ' ')) + 1 + length(y.cur[1]) > {limit}
+      THEN {{'done': list_append(x.done, array_to_string(x.cur, ' ')), 'cur': list_concat({tail}, y.cur)}}
+      ELSE {{'done': x.done, 'cur': list_concat(x.cur, y.cur)}} END"""
+    return f"""flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents),
+    parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(f,
+      '([.!?])\\s+(["''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM flat WHERE f <> '')),
+    split AS (SELECT doc_id, i, CASE WHEN length(s) > {limit} THEN list_reduce(list_transform(string_split(s, ' '),
+      lambda w: {{'done': []::VARCHAR[], 'cur': w}}), {word}, {{'done': []::VARCHAR[], 'cur': ''}}) ELSE {{'done': [s], 'cur': ''}} END AS r FROM parts),
+    units AS (SELECT doc_id, flatten(list(CASE WHEN r.cur = '' THEN r.done ELSE list_append(r.done, r.cur) END ORDER BY i)) AS u FROM split GROUP BY doc_id),
+    folded AS (SELECT doc_id, list_reduce(list_transform(u, lambda v: {{'done': []::VARCHAR[], 'cur': [v]}}), {unit},
+      {{'done': []::VARCHAR[], 'cur': []::VARCHAR[]}}) AS r FROM units),
+    listed AS (SELECT doc_id, list_append(r.done, array_to_string(r.cur, ' ')) AS c FROM folded),
+    chunks AS (SELECT doc_id, (generate_subscripts(c, 1) - 1)::INTEGER AS ordinal, unnest(c) AS text FROM listed)"""
+
+
+@_query(f"WITH {_chunk_sql(chunk.MAX_CHARS, chunk.OVERLAP)} SELECT doc_id, ordinal, text FROM chunks")
 def chunk_text(spark, sf_dir):
     return chunk.chunk(_docs(spark, sf_dir), "doc_id")
 
 
-@_query()
+@_query(
+    f"""WITH {_chunk_sql(chunk.MAX_CHARS, chunk.OVERLAP)} SELECT count(*) AS chunks, count(DISTINCT text) AS distinct_texts, max(length(text))::INTEGER AS longest,
+    count(*) FILTER (WHERE length(text) > {chunk.MAX_CHARS}) AS over FROM chunks"""
+)
 def chunk_stats(spark, sf_dir):
     rows = chunk.chunk(_docs(spark, sf_dir), "doc_id")
     return rows.agg(
@@ -133,7 +160,13 @@ def preview(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-@_query()
+@_query(
+    """WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda v: v <> '') AS w FROM documents),
+    r AS (SELECT doc_id, list_reduce(list_transform(w, lambda v: {'line': v, 'done': []::VARCHAR[]}), lambda x, y: CASE
+      WHEN length(x.line) + length(y.line) + 1 > 60 THEN {'line': y.line, 'done': list_append(x.done, x.line)}
+      WHEN x.line = '' THEN {'line': y.line, 'done': x.done} ELSE {'line': x.line || ' ' || y.line, 'done': x.done} END, {'line': '', 'done': []::VARCHAR[]}) AS r FROM w)
+    SELECT doc_id, array_to_string(list_append(r.done, r.line), '<br>') AS wrapped FROM r"""
+)
 def wrap_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.wrap(F.col("text")).alias("wrapped"))
 
