@@ -312,18 +312,16 @@ def read_file(uri: str) -> Iterator[tuple[int | None, bytes]]:
         ids = np.frombuffer(index, "<i8", docs, docs)
         sizes = np.frombuffer(index, "<u4", docs, 9 * docs)
         f.seek(12)
-        held = b""
-        left = blocks
+        held, at, left = b"", 0, blocks
         for k, doc_id, n in zip(known.tolist(), ids.tolist(), sizes.tolist()):
-            while len(held) < 4 * n and left:
+            while len(held) - at < 4 * n and left:
                 (length,) = struct.unpack("<I", f.read(4))
-                held += decode_block(f.read(length), vocabulary).tobytes()
+                held, at = held[at:] + decode_block(f.read(length), vocabulary).tobytes(), 0
                 left -= 1
-                at = 0
-            if len(held) < 4 * n:
+            if len(held) - at < 4 * n:
                 raise ValueError(f"{uri} ends early")
-            yield (doc_id if k else None), held[: 4 * n]
-            held = held[4 * n :]
+            yield (doc_id if k else None), held[at : at + 4 * n]
+            at += 4 * n
 
 
 def write_documents(
