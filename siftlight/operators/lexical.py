@@ -122,6 +122,64 @@ def tfidf(docs: DataFrame, query: str, k: int, **columns) -> DataFrame:
     return top(tfidf_scores(docs, query, **columns), k)
 
 
+class LexicalIndex:
+    """BM25 over tables that are made once: postings (id, term, tf, dl), terms (term, df,
+    idf) and sizes (mean, n, avgdl, buckets). On disk the postings lie by term, so that a query
+    reads the buckets of its terms, and of their files the row groups that hold them."""
+
+    def __init__(self, postings: DataFrame, terms: DataFrame, sizes: DataFrame, documents: DataFrame):
+        self.postings, self.terms, self.sizes, self.documents = postings, terms, sizes, documents
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> LexicalIndex:
+        cut = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+        each = cut.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        rows = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        total = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+        idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = rows.groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).withColumn("idf", idf)
+        sizes = terms.agg(F.avg("idf").alias("mean")).crossJoin(total).withColumn("buckets", F.lit(buckets))
+        return cls(rows, terms.select("bucket", "term", "df", "idf"), sizes, cut.select("id"))
+
+    def write(self, root: str, spread: int = 8) -> None:
+        """A term's postings go to ``spread`` tasks at most and at least, so that a term of
+        every document is no task's burden."""
+        dealt = self.postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
+        dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
+        self.terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
+        self.sizes.write.parquet(f"{root}/sizes")
+        self.documents.write.parquet(f"{root}/documents")
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> LexicalIndex:
+        return cls(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "terms", "sizes", "documents")))
+
+    def search(self, query: str, k: int, drop_zero: bool = False) -> DataFrame:
+        """The k best; documents without a query term fill up what is left, by id, unless
+        they are to be dropped."""
+        spark = self.postings.sparkSession
+        wanted = Counter(query_terms(spark, query))
+        if not wanted:
+            return top(self.documents.select("id", F.lit(0.0).alias("score")).where(F.lit(not drop_zero)), k)
+        asked = spark.createDataFrame(list(wanted.items()), "term string, times long")
+        where = asked.crossJoin(self.sizes.select("buckets")).select(F.pmod(F.xxhash64("term"), "buckets").cast("int").alias("b"))
+        buckets = [r["b"] for r in where.distinct().collect()]
+        names = F.col("term").isin(list(wanted)) & F.col("bucket").isin(buckets)
+        weights = self.terms.where(names).select("term", "idf").join(F.broadcast(asked), "term").crossJoin(F.broadcast(self.sizes))
+        weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")) * F.col("times")
+        weights = weights.select("term", weight.alias("w"), "avgdl")
+        room = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+        hits = self.postings.where(names).join(F.broadcast(weights), "term")
+        scores = hits.groupBy("id").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / room).alias("score"))
+        if not drop_zero:
+            # As many others as could be needed, the smallest ids.
+            rest = self.documents.join(scores, "id", "left_anti").orderBy("id").limit(k)
+            scores = scores.unionByName(rest.select("id", F.lit(0.0).alias("score")))
+        return top(scores, k)
+
+
+
 def expected_idf(n: int, df: int) -> float:
     """The idf of BM25, for tests and reports."""
     return math.log(n - df + 0.5) - math.log(df + 0.5)

@@ -229,6 +229,11 @@ def bm25_scores(spark, sf_dir):
     return scores.select("id", (F.round("score", 6) + 0.0).alias("score"))
 
 
+@_query(f"WITH {_BM25_SQL} {_ranked_sql('bm25', K)}")
+def bm25_index_topk(spark, sf_dir):
+    return lexical.LexicalIndex.build(_docs(spark, sf_dir)).search(ASKED, K)
+
+
 def _tfidf_sql() -> str:
     """Built when it is asked for: the stop list is Spark's."""
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in lexical.stop_words())

@@ -40,6 +40,18 @@ def test_bm25_against_plain_python(spark):
     assert [(r["id"], r["score"], r["rank"]) for r in top] == [(0, 0.0, 1), (1, 0.0, 2), (2, 0.0, 3)]
 
 
+def test_index_scores_like_the_scan(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lexical.LexicalIndex.build(docs, buckets=4).write(str(tmp_path / "i"))
+    index = lexical.LexicalIndex.read(spark, str(tmp_path / "i"))
+    for query in ("the of license version", "zzzz", "", "mit mit the"):
+        want = [(r["id"], pytest.approx(r["score"])) for r in lexical.bm25(docs, query, 8).orderBy("rank").collect()]
+        assert [(r["id"], r["score"]) for r in index.search(query, 8).orderBy("rank").collect()] == want
+    assert index.search("zzzz", 8, drop_zero=True).count() == 0
+    plan = index.postings.where("bucket = 1 AND term = 'x'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,x)" in plan
+
+
 def test_lexical_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lexical.bm25_scores(empty, "a").count() == 0
