@@ -6,13 +6,14 @@ id that last followed the context, with a confidence; order 0 is the distributio
 ids of the block so far. How often each prediction came true at each pair of confidences
 gives the weights of the mixture
 ``w2 [id = named by order 2] + w1 [id = named by order 1] + w0 p(id)``,
-whose three parts lie one after another in the coder's range. A range coder (64-bit,
-carryless, 16-bit words) codes the intervals.
+whose three parts lie one after another in the coder's range. A range coder (48-bit
+ranges, 16-bit words, carries) codes the intervals.
 
 A block is read as up to LANES runs of equal length, each with a coder of its own but all
 with one model, and numpy works on one id of every run at a time. The model learns after
 a growing number of such steps; encoder and decoder learn the same at the same steps.
-All arithmetic is on integers, so files read alike on any machine.
+All arithmetic is on integers, or on doubles where they are exact, so files read alike
+on any machine.
 
 A file is: magic, version, vocabulary size; blocks (ids, words, lanes, steps, checksum,
 lengths of the lanes' words, words); the documents' ids and numbers of tokens; a footer.
@@ -36,103 +37,114 @@ from siftlight.llm.tokens import FastTokenizer
 MAGIC, VERSION = b"CMRC", 1
 LANES, STEPS = 2048, 1024
 BLOCK = LANES * STEPS
-_ORDER0 = 19  # bits of the order-0 distribution's total
+_ORDER0 = 18  # bits of the order-0 distribution's total
 _TOTAL = 24  # bits of the mixed distribution's total
 _LEAST0 = 1 << 20  # order 0 keeps this much of it, so that every id has an interval
-_TABLE2 = 18  # bits of the order-2 table's index
-_U = np.uint64
-_WORD, _FULL, _LOW = _U(16), _U(1) << _U(48), _U(1) << _U(32)
-_MASK32 = _U((1 << 32) - 1)
+_TABLE2 = 16  # bits of the order-2 table's index
+_ID = (1 << 16) - 1
+_HASH = 0x9E3779B1
+_SPAN, _BASE = 1 << 48, 1 << 32  # a coder's range is above _BASE and at most _SPAN
 
 
 class Model:
-    """What a block has shown so far."""
+    """What a block has shown so far.
+
+    An entry of a context's table is the id it names, in 16 bits, with its confidence (0
+    to 7) above: from bit 16 for order 1, from bit 19 for order 2, so that both
+    confidences make one number."""
 
     def __init__(self, vocabulary: int):
         if not 0 < vocabulary <= 1 << 16:
             raise ValueError("ids must have 16 bits")
         self.vocabulary = vocabulary
         self.counts = np.zeros(vocabulary, dtype=np.int64)
-        # Named id times 8 plus confidence.
         self.order1 = np.zeros(vocabulary, dtype=np.int32)
         self.order2 = np.zeros(1 << _TABLE2, dtype=np.int32)
         self.outcomes = np.zeros((3, 64), dtype=np.int64)
-        self._spread()
+        self.spread()
+        self.weigh()
 
-    def _spread(self) -> None:
+    def spread(self) -> None:
+        """Order 0 from the counts: at least one part for every id."""
         room = (1 << _ORDER0) - self.vocabulary
         total = int(self.counts.sum())
-        if total:
-            share = 1 + self.counts * room // total
-        else:
-            share = np.full(self.vocabulary, 1 + room // self.vocabulary, dtype=np.int64)
+        share = 1 + (self.counts * room // total if total else np.full(self.vocabulary, room // self.vocabulary))
         share[int(share.argmax())] += (1 << _ORDER0) - int(share.sum())
-        self.cumulative = np.zeros(self.vocabulary + 1, dtype=np.int64)
-        np.cumsum(share, out=self.cumulative[1:])
+        self.share = share.astype(np.int32)
+        self.start = (np.cumsum(share) - share).astype(np.int32)
         self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.uint16), share)
+
+    def weigh(self) -> None:
+        """Weights from how often each order's id came true."""
         n = self.outcomes.sum(axis=0) + 2
         scale = (1 << _TOTAL) - _LEAST0
         self.weight2 = self.outcomes[2] * scale // n
-        self.weight1 = self.outcomes[1] * scale // n
+        self.past = self.weight2 + self.outcomes[1] * scale // n
 
     def predictions(self, before: np.ndarray, last: np.ndarray):
-        """Places in the order-2 table, named ids, the pairs of confidences and the
-        weights, for contexts of two ids each."""
-        mixed = before.astype(np.uint32) * np.uint32(2654435761) ^ last.astype(np.uint32) * np.uint32(2246822519)
-        place2 = (mixed >> np.uint32(32 - _TABLE2)).astype(np.int64)
+        """For contexts of two ids each: the order-2 table's places, both tables' entries,
+        and where the intervals of order 2 and of order 1 end."""
+        place2 = (before * 0x2545F491 ^ last * _HASH) >> 12 & ((1 << _TABLE2) - 1)
         two, one = self.order2.take(place2), self.order1.take(last)
-        pair = ((two & 7) << 3) | (one & 7)
-        return place2, two >> 3, one >> 3, pair, self.weight2.take(pair), self.weight1.take(pair)
+        pair = (two >> 16) | (one >> 16)
+        return place2, two, one, pair, self.weight2.take(pair), self.past.take(pair)
 
-    def intervals(self, ids: np.ndarray, named2, named1, w2, w1) -> tuple[np.ndarray, np.ndarray]:
+    def intervals(self, ids: np.ndarray, two, one, w2, past) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids' intervals: first that of the id named by order 2,
         then by order 1, then order 0's. An id with more than one has the first."""
-        past = w2 + w1
         w0 = (1 << _TOTAL) - past
-        low = w0 * self.cumulative.take(ids) >> _ORDER0
-        size = (w0 * self.cumulative.take(ids + 1) >> _ORDER0) - low
+        first = self.start.take(ids).astype(np.int64)
+        low = w0 * first >> _ORDER0
+        size = (w0 * (first + self.share.take(ids)) >> _ORDER0) - low
         low += past
-        hit1 = (ids == named1) & (w1 > 0)
+        hit1 = (ids == (one & _ID)) & (past > w2)
         np.copyto(low, w2, where=hit1)
-        np.copyto(size, w1, where=hit1)
-        hit2 = (ids == named2) & (w2 > 0)
+        np.copyto(size, past - w2, where=hit1)
+        hit2 = (ids == (two & _ID)) & (w2 > 0)
         np.copyto(low, 0, where=hit2)
         np.copyto(size, w2, where=hit2)
         return low, size
 
-    def find(self, value: np.ndarray, named2, named1, w2, w1) -> np.ndarray:
-        """The ids whose intervals hold the values."""
-        past = w2 + w1
-        rest = value - past
-        # The quotient is below 2^19 and at least 2^-24 from the next integer: exact in doubles.
-        at = (((rest + 1) << _ORDER0) - 1) / ((1 << _TOTAL) - past)
-        ids = self.inverse.take(at.astype(np.int64), mode="clip").astype(np.int64)
-        np.copyto(ids, named1, where=rest < 0)
-        np.copyto(ids, named2, where=value < w2)
-        return ids
-
-    def learn(self, ids, last, place2, named2, named1, pair) -> None:
+    def find(self, value: np.ndarray, two, one, w2, past):
+        """The ids whose intervals hold the values, and those intervals' starts and sizes."""
+        w0 = (1 << _TOTAL) - past
+        # The quotient is below 2^18 and at least 2^-24 from the next integer: exact in doubles.
+        at = ((((value - past + 1) << _ORDER0) - 1) / w0).astype(np.int64)
+        ids = self.inverse.take(at, mode="clip").astype(np.int64)
+        first = self.start.take(ids).astype(np.int64)
+        low = w0 * first >> _ORDER0
+        size = (w0 * (first + self.share.take(ids)) >> _ORDER0) - low
+        low += past
+        named = np.flatnonzero(value < past)
+        if len(named):
+            v, a, b = value[named], w2[named], past[named]
+            by2 = v < a
+            ids[named] = np.where(by2, two[named], one[named]) & _ID
+            low[named] = np.where(by2, 0, a)
+            size[named] = np.where(by2, a, b - a)
+        return ids, low, size
+
+    def learn(self, ids, last, place2, two, one, pair) -> None:
         """From some steps of all lanes, flattened in order of step, then lane."""
         self.counts += np.bincount(ids, minlength=self.vocabulary)
         short = ids.astype(np.int32)
-        hit2, hit1 = short == named2, short == named1
-        outcome = np.where(hit2, np.int32(128), np.where(hit1, np.int32(64), np.int32(0)))
-        self.outcomes += np.bincount(outcome + pair, minlength=192).reshape(3, 64)
-        fresh = short << 3
-        for table, place, hit, named, level in ((self.order2, place2, hit2, named2, pair >> 3), (self.order1, last, hit1, named1, pair & 7)):
-            held = named << 3
-            wrong = np.where(level >= 4, held + (level - 4), fresh)
-            table[place] = np.where(hit, held + np.minimum(level + 1, 7), wrong)
-        self._spread()
-
-
-def _lessons(steps: int) -> list[int]:
-    """After how many steps the model learns."""
-    out, at = [], 1
+        hit2, hit1 = short == (two & _ID), short == (one & _ID)
+        self.outcomes += np.bincount(pair + 64 * np.where(hit2, 2, hit1), minlength=192).reshape(3, 64)
+        for table, place, hit, entry, bit in ((self.order2, place2, hit2, two, 19), (self.order1, last, hit1, one, 16)):
+            up = np.minimum(entry + (1 << bit), (7 << bit) | (entry & _ID))
+            down = np.where(entry >= 4 << bit, entry - (4 << bit), short)
+            table[place] = np.where(hit, up, down)
+        self.weigh()
+
+
+def _lessons(steps: int) -> list[tuple[int, bool]]:
+    """After how many steps the model learns, and whether order 0 is spread anew then."""
+    out, at, spread = [], 1, 1
     while at < steps:
-        out.append(at)
-        at += min(at, 64)
-    return [*out, steps]
+        out.append((at, at >= spread))
+        spread = at + min(at, 128) if at >= spread else spread
+        at += min(at, 16)
+    return [*out, (steps, False)]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -148,90 +160,90 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocabulary)
-    low, span = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U)
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, _SPAN, dtype=np.int64)
     who: list[np.ndarray] = []
     words: list[np.ndarray] = []
     zero = np.zeros((1, lanes), dtype=np.int64)
-    shifted1 = np.concatenate([zero, grid[:-1]])
-    shifted2 = np.concatenate([zero, shifted1[:-1]])
     first = 0
-    for stop in _lessons(steps):
-        part, last, before = (x[first:stop].ravel() for x in (grid, shifted1, shifted2))
-        place2, named2, named1, pair, w2, w1 = model.predictions(before, last)
-        start, size = model.intervals(part, named2, named1, w2, w1)
-        start, size = start.astype(_U).reshape(-1, lanes), size.astype(_U).reshape(-1, lanes)
-        for i in range(stop - first):
-            r = span >> _U(_TOTAL)
-            low = low + r * start[i]
-            span = r * size[i]
-            low, span = _emit(low, span, who, words)
-        model.learn(part, last, place2, named2, named1, pair)
+    for stop, spread in _lessons(steps):
+        part = grid[first:stop].ravel()
+        last = np.concatenate([zero, grid[: stop - 1]])[-(stop - first) :].ravel() if first < 2 else grid[first - 1 : stop - 1].ravel()
+        before = np.concatenate([zero, zero, grid[: max(0, stop - 2)]])[-(stop - first) :].ravel() if first < 2 else grid[first - 2 : stop - 2].ravel()
+        place2, two, one, pair, w2, past = model.predictions(before, last)
+        starts, sizes = (x.reshape(-1, lanes) for x in model.intervals(part, two, one, w2, past))
+        for start, size in zip(starts, sizes):
+            r = span >> _TOTAL
+            low += r * start
+            span = r * size
+            go = np.flatnonzero(span <= _BASE)
+            while len(go):
+                a = low[go]
+                who.append(go.astype(np.uint16))
+                words.append((a >> 32).astype(np.int32))  # 16 bits and a carry
+                low[go] = (a & (_BASE - 1)) << 16
+                s = span[go] << 16
+                span[go] = s
+                go = go[s <= _BASE]
+        model.learn(part, last, place2, two, one, pair)
+        if spread:
+            model.spread()
         first = stop
     every = np.arange(lanes, dtype=np.uint16)
-    for k in range(4):
+    for _ in range(3):
         who.append(every)
-        words.append((low >> _U(48 - 16 * k)).astype(np.uint16))
+        words.append((low >> 32).astype(np.int32))
+        low = (low & (_BASE - 1)) << 16
     owner, flat = np.concatenate(who), np.concatenate(words)
-    flat = flat[np.argsort(owner, kind="stable")]
+    order = np.argsort(owner, kind="stable")
+    flat = flat[order]
+    # Carries go to the word before, which is of the same lane: a lane's first word never has one.
+    carry = flat >> 16
+    while carry.any():
+        flat &= 0xFFFF
+        flat[:-1] += carry[1:]
+        carry = flat >> 16
     lengths = np.bincount(owner, minlength=lanes).astype("<u4")
     head = struct.pack("<5I", n, len(flat), lanes, steps, zlib.crc32(ids.astype("<u4").tobytes()))
     return head + lengths.tobytes() + flat.astype("<u2").tobytes()
 
 
-def _emit(low, span, who, words):
-    """Gives out leading words that no further symbol can change, lane by lane."""
-    short = span < _LOW
-    go = np.flatnonzero(((low ^ (low + span)) < _FULL) | short)
-    while len(go):
-        a, s = low[go], span[go]
-        cut = ((a ^ (a + s)) >= _FULL) & (s < _LOW)
-        s = np.where(cut, (~a + _U(1)) & _MASK32, s)
-        who.append(go.astype(np.uint16))
-        words.append((a >> _U(48)).astype(np.uint16))
-        a, s = a << _WORD, s << _WORD
-        low[go], span[go] = a, s
-        go = go[((a ^ (a + s)) < _FULL) | (s < _LOW)]
-    return low, span
-
-
 def decode_block(data: bytes, vocabulary: int) -> np.ndarray:
     n, total, lanes, steps, checksum = struct.unpack_from("<5I", data)
     lengths = np.frombuffer(data, "<u4", lanes, 20).astype(np.int64)
-    flat = np.concatenate([np.frombuffer(data, "<u2", total, 20 + 4 * lanes), np.zeros(4, np.uint16)]).astype(_U)
+    flat = np.frombuffer(data, "<u2", total, 20 + 4 * lanes).astype(np.int64)
     at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    code = np.zeros(lanes, dtype=_U)
-    for _ in range(4):
-        code = (code << _WORD) | flat[at]
+    code = np.zeros(lanes, dtype=np.int64)  # what the stream has above the coder's low end
+    for _ in range(3):
+        code = (code << 16) | flat[at]
         at += 1
     model = Model(vocabulary)
-    low, span = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U)
+    span = np.full(lanes, _SPAN, dtype=np.int64)
     out = np.zeros((steps, lanes), dtype=np.int64)
     last = before = np.zeros(lanes, dtype=np.int64)
     first = 0
-    for stop in _lessons(steps):
+    for stop, spread in _lessons(steps):
         kept = []
         for i in range(first, stop):
-            place2, named2, named1, pair, w2, w1 = model.predictions(before, last)
-            r = span >> _U(_TOTAL)
-            value = np.minimum((code - low) // r, _U((1 << _TOTAL) - 1)).astype(np.int64)
-            ids = model.find(value, named2, named1, w2, w1)
-            start, size = model.intervals(ids, named2, named1, w2, w1)
-            low = low + r * start.astype(_U)
-            span = r * size.astype(_U)
-            go = np.flatnonzero(((low ^ (low + span)) < _FULL) | (span < _LOW))
+            place2, two, one, pair, w2, past = model.predictions(before, last)
+            r = span >> _TOTAL
+            # Below 2^24, of numbers below 2^48: exact in doubles.
+            value = (code / r).astype(np.int64)
+            ids, start, size = model.find(value, two, one, w2, past)
+            code -= r * start
+            span = r * size
+            go = np.flatnonzero(span <= _BASE)
             while len(go):
-                a, s = low[go], span[go]
-                cut = ((a ^ (a + s)) >= _FULL) & (s < _LOW)
-                s = np.where(cut, (~a + _U(1)) & _MASK32, s) << _WORD
-                code[go] = (code[go] << _WORD) | flat[at[go]]
+                code[go] = (code[go] << 16) | flat[at[go]]
                 at[go] += 1
-                a = a << _WORD
-                low[go], span[go] = a, s
-                go = go[((a ^ (a + s)) < _FULL) | (s < _LOW)]
-            kept.append((last, place2, named2, named1, pair))
+                s = span[go] << 16
+                span[go] = s
+                go = go[s <= _BASE]
+            kept.append((last, place2, two, one, pair))
             out[i] = ids
             before, last = last, ids
         model.learn(out[first:stop].ravel(), *(np.concatenate(x) for x in zip(*kept)))
+        if spread:
+            model.spread()
         first = stop
     ids = out.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != checksum:
