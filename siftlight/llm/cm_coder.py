@@ -35,7 +35,7 @@ from siftlight.llm.common import partition_number, shared_dir, slices, text_or_e
 from siftlight.llm.tokens import FastTokenizer
 
 MAGIC, VERSION = b"CMRC", 1
-LANES, STEPS = 2048, 1024
+LANES, STEPS = 2048, 512
 BLOCK = LANES * STEPS
 _ORDER0 = 18  # bits of the order-0 distribution's total
 _TOTAL = 24  # bits of the mixed distribution's total
@@ -281,7 +281,7 @@ class FileWriter:
         self.held.append(ids)
         self.waiting += len(ids)
         self.tokens += len(ids) // 4
-        if self.waiting >= 8 * BLOCK:
+        if self.waiting >= 4 * BLOCK:
             self._code(final=False)
 
     def _code(self, final: bool) -> None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -38,7 +39,7 @@ class FastTokenizer:
 
     _open: dict[tuple[str, str], FastTokenizer] = {}
 
-    def __init__(self, path: str, kind: str, limit: int = 250_000):
+    def __init__(self, path: str, kind: str, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -52,10 +53,10 @@ class FastTokenizer:
             stored = json.load(f)
         ranks = self._ranks(stored)
         self.engine = None if ranks is None else tiktoken.Encoding(name=path, pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        # Chunks between white space, for word ends: two generations, of `limit` each, keep what is frequent.
+        # For word ends: two generations of chunks, of `limit` each, keep what is frequent.
         self.limit = limit
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.chunks = _Chunks(self)
+        self.merge = self.engine and self.engine._core_bpe.encode_single_piece
 
     @classmethod
     def of(cls, path: str, kind: str) -> FastTokenizer:
@@ -104,19 +105,33 @@ class FastTokenizer:
         return out
 
     def _ends(self, text: str) -> bytes:
-        found = text.lower().split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, found))
-        except KeyError:
-            for chunk in [c for c in set(found) if c not in self.chunks]:
-                self.chunks[chunk] = self.older.get(chunk) or self._chunk(chunk)
-        ids = b"".join(map(self.chunks.__getitem__, found))
+        ids = b"".join(map(self.chunks.__getitem__, text.lower().split()))
         if len(self.chunks) > self.limit:
-            self.chunks, self.older = {}, self.chunks
+            self.chunks = _Chunks(self, self.chunks)
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in _WORD_END.findall(chunk):
-            ids += self.engine._encode_single_piece(piece.encode() + _END)
-        return np.array(ids, dtype="<u4").tobytes()
+    def piece(self, piece: str) -> bytes:
+        return array("I", self.merge(piece.encode() + _END)).tobytes()
+
+
+class _Chunks(dict):
+    """Chunk between white space -> its ids, found when they are first asked for. Chunks
+    of the generation before are taken over from it."""
+
+    def __init__(self, tokenizer: FastTokenizer, older: dict | None = None):
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, dict(older or {})
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            find = self.tokenizer.piece
+            if chunk.isalpha():
+                ids = find(chunk)
+            elif chunk[-1] in ".,;:" and chunk[:-1].isalpha():
+                word = chunk[:-1]
+                ids = (self.get(word) or self.older.get(word) or find(word)) + self[chunk[-1]]
+            else:
+                ids = b"".join(map(find, _WORD_END.findall(chunk)))
+        self[chunk] = ids
+        return ids
