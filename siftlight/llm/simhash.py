@@ -203,8 +203,9 @@ def links(distinct: DataFrame, radius: int = 3, tree: int = 2048) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge. Alternates
-    large-star and small-star until nothing changes; each round is checkpointed."""
+    """(node, root): the smallest node reachable, for every node of an edge that isn't
+    itself the smallest. Alternates large-star and small-star until nothing changes; each
+    round is checkpointed."""
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
