@@ -24,7 +24,7 @@ def sentences(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def word_tokens(text: Column) -> Column:
@@ -43,15 +43,10 @@ def preview(text: Column, width: int = 160) -> Column:
 
 
 def wrap(text: Column, width: int = 60, mark: str = "<br>") -> Column:
-    """Lines of words joined by ``mark``: a word that would reach past ``width`` starts a line."""
-    state = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("done"))
-
-    def add(s, w):
-        full = F.length(s["line"]) + F.length(w) + 1 > width
-        return F.struct(
-            F.when(full | (s["line"] == ""), w).otherwise(F.concat(s["line"], F.lit(" "), w)).alias("line"),
-            F.when(full, F.array_append(s["done"], s["line"])).otherwise(s["done"]).alias("done"),
-        )
-
-    words = F.filter(F.split(collapse(text), " "), lambda w: w != "")
-    return F.aggregate(words, state, add, lambda s: F.array_join(F.array_append(s["done"], s["line"]), mark))
+    """Lines of words joined by ``mark``: a word that would reach past ``width`` starts a
+    line, and so does a first word of that width, after an empty line."""
+    flat = collapse(text)
+    line = rf"(?s)(\S{{{width + 1},}}|\S.{{0,{width - 1}}}(?= |$))(?: |$)"
+    lines = F.rtrim(F.regexp_replace(flat, line, "$1\n"), F.lit("\n"))
+    first = F.when(F.length(F.substring_index(flat, " ", 1)) >= width, "\n").otherwise("")
+    return F.replace(F.concat(first, lines), F.lit("\n"), F.lit(mark))

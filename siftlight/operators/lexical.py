@@ -45,16 +45,29 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     """(id, score) of every document, Okapi BM25 with a floor for terms in over half."""
     wanted = Counter(query_terms(docs.sparkSession, query))
     cut = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    sizes = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    by_term = cut.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    # One row: the corpus' size, the mean idf, and the idf of each term of the query.
-    stats = by_term.crossJoin(F.broadcast(sizes)).agg(
-        F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), F.avg(idf).alias("mean"),
-        *[F.max(F.when(F.col("term") == term, idf)).alias(f"i{j}") for j, term in enumerate(wanted)],
+    # One pass: every document also counts for the empty term, which no text has, with its size.
+    each = cut.select(F.size("t").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), "")).alias("term"))
+    by_term = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+    # Then by frequency, of which there are few, as all that idf depends on.
+    known = F.coalesce(*[F.when(F.col("term") == term, F.lit(j)) for j, term in enumerate(["", *wanted])])
+    by_df = by_term.groupBy("df", known.alias("known")).agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
+    folded = by_df.agg(
+        F.max(F.when(F.col("known") == 0, F.struct("df", "dl"))).alias("all"), F.collect_list(F.struct("df", "known", "terms")).alias("dfs")
+    )
+    n = F.col("all.df")
+    idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+    own = F.filter("dfs", lambda x: ~x["known"].eqNullSafe(F.lit(0)))
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["terms"] * idf(x["df"]))
+    many = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["terms"])
+    # One row: the corpus' mean length, the mean idf, and the idf of each term of the query.
+    stats = folded.select(
+        (F.col("all.dl") / n).alias("avgdl"), (total / many).alias("mean"),
+        *[idf(_known_df(j)).alias(f"i{j - 1}") for j in range(1, len(wanted) + 1)],
     )
     frequency = [_count("t", term).alias(f"f{j}") for j, term in enumerate(wanted)]
-    counted = cut.select("id", F.size("t").alias("dl"), *frequency).crossJoin(F.broadcast(stats))
+    # One look at each token; what is counted are the few that the query has.
+    hits = cut.select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(list(wanted))).alias("t"))
+    counted = hits.select("id", "dl", *frequency).crossJoin(F.broadcast(stats))
     parts = []
     for j, times in enumerate(wanted.values()):
         weight = F.coalesce(F.when(F.col(f"i{j}") < 0, EPSILON * F.col("mean")).otherwise(F.col(f"i{j}")), F.lit(0.0))
@@ -64,6 +77,11 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     return counted.select("id", _sum(parts).alias("score"))
 
 
+def _known_df(number: int) -> Column:
+    """The frequency of a known term in ``dfs``; null if no document has it."""
+    return F.get(F.filter("dfs", lambda x: x["known"] == F.lit(number)), F.lit(0))["df"]
+
+
 def _count(array: str, term: str) -> Column:
     return F.size(F.filter(array, lambda x: x == F.lit(term)))
 

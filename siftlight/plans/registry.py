@@ -436,7 +436,7 @@ def subsample(spark, sf_dir):
     """SELECT quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem"""
 )
 def nearest_rank_pct(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").agg(*[stats.nearest_rank("l_extendedprice", p).alias(f"p{p}") for p in (50, 95, 99)])
+    return stats.percentiles(_table(spark, sf_dir, "lineitem"), "l_extendedprice", (50, 95, 99))
 
 
 @_query(

@@ -65,6 +65,18 @@ def test_plot(spark):
     assert page.index("cluster 2") < page.index("cluster 10") and "unlabelled" in page and "a &lt;b&gt;" in page
 
 
+def test_percentiles_by_ranges(spark):
+    from siftlight.functions import stats
+
+    values = [float((i * 7919) % 1009) for i in range(3000)] + [5.0] * 2000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    ranked = sorted(values)
+    want = [ranked[max(1, math.ceil(len(values) * p / 100)) - 1] for p in (0, 10, 50, 99.5, 100)]
+    for small, cuts in ((300, 10), (10_000, 100)):
+        assert list(stats.percentiles(df, "x", (0, 10, 50, 99.5, 100), small, cuts).first()) == want
+    assert list(stats.percentiles(df.where("x < 0"), "x", (50,)).first()) == [None]
+
+
 def test_measure(spark):
     row = measure.bench(spark, lambda: None, runs=5, warm_ups=1).first()
     assert row["best"] <= row["p50"] <= row["max"]
