@@ -75,7 +75,7 @@ def _item(op, value) -> tuple[set[str] | None, Query]:
     if op is sre.AT:
         return {""}, None
     if op is sre.IN:
-        if len(value) <= 4 and all(kind is sre.LITERAL for kind, _ in value):
+        if len(value) <= 8 and all(kind is sre.LITERAL for kind, _ in value):
             return {chr(c).lower() for _, c in value}, None
         return None, None
     if op is sre.SUBPATTERN:
