@@ -96,10 +96,9 @@ def fingerprints(docs: DataFrame, *, k: int = 5, window: int = 16, id_col: str =
     return add_fingerprint(picked, F.col("text"), "fp", k, window).select("doc_id", selected("fp").alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 20_000, most_buckets: int = 4096) -> DataFrame:
-    """``docs`` (doc_id, text) with the text of the next document in descending order of
-    doc_id, after the last that of the first, and ``bucket`` and ``rank_*`` columns that
-    windows over the same order can use.
+def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_buckets: int = 10_000) -> DataFrame:
+    """``docs`` (doc_id, text) with ``bucket`` and ``halo``, by which a window finds the
+    next document in descending order of doc_id, and after the last the first.
 
     Rows are dealt to buckets by quantiles of doc_id, in one shuffle. Each bucket also
     gets the first rows of the bucket after it, marked ``halo``. Rows of one id are in
@@ -110,7 +109,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 20_000, most_buckets: int
     found = docs.agg(F.percentile_approx("doc_id", shares, 20 * buckets).alias("q")).first()["q"] or []
     bounds = sorted(set(found))
     # Binary search for the number of bounds that are not above the id: descending ids have rising buckets.
-    whole = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else None
+    # All are one literal, which is folded before anything runs.
+    whole = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     steps = max(1, len(bounds).bit_length())
 
     def halve(s, _):
@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 20_000, most_buckets: int
     heads = {r["bucket"]: r["top"] for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(heads)
     if not order:
-        return dealt.withColumn("halo", F.lit(False)).withColumn("next_text", F.lit(None).cast("string"))
+        return dealt.withColumn("halo", F.lit(False))
     halo = docs.sparkSession.createDataFrame(
         [(heads[b], b, order[i - 1]) for i, b in enumerate(order)], "head long, of int, before int"
     )  # i - 1: the bucket before, and the last one for the first
