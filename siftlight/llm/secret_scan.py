@@ -49,6 +49,17 @@ def _any_case(word: str) -> str:
 
 _KEYWORDS = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
 
+_B64 = "[A-Za-z0-9+/]"
+#: A PEM key from its BEGIN line through the END line, if that is the next dashed line. Else through the key's headers,
+#: all base64 that follows up to its last piece of 24 or more characters, and what base64 the next line starts with,
+#: which may be the key's short last line. No lookarounds or possessive loops, so that SQL's engine takes it too; loops
+#: of groups are bounded, for Java's stack (lines that aren't indented all go to one loop of characters).
+_PEM_END = r"(?:[^-]+-){0,30}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+_PEM_HEADS = r"(?:[\r\n]+[\x20\t>]*(?:Proc-Type|DEK-Info):[^\r\n]*)*"
+_PEM_PIECE = rf"[\x20\t\r\n>\\]+[A-Za-z0-9+/=\r\n\\]*{_B64}{{8}}{_B64}{{8}}{_B64}{{8}}=*"
+_PEM_BODY = rf"(?:{_PEM_PIECE}){{1,120}}(?:(?:\r?\n|\\)[\x20\t>]*{_B64}+=*)?"
+_PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM_END}|{_PEM_HEADS}{_PEM_BODY}|)"
+
 #: The order is that of kinds at equal starts.
 BASE_RULES = (
     Rule("assign", rf"""({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -61,7 +72,7 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._-]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
