@@ -4,7 +4,8 @@ A notice of m characters with at most k edits, cut into k + 1 seeds, holds at le
 seed unchanged (pigeonhole). All seeds of all notices are found in one pass of an
 Aho-Corasick automaton over the text's words joined by spaces; around each the ``regex``
 library's bounded-error matching verifies the notice and counts the edits. Base phrases
-are places where their words stand one after another, exactly.
+are places where their words stand one after another, exactly; they are notices too, in
+whole words only, so that a slip in one is found in whatever sentence it stands.
 
 Letters A-Z count as a-z; words are runs of digits, letters and characters from U+0080
 on. Defined results: a null or empty text has no words and no labels; null ids and
@@ -26,9 +27,16 @@ from siftlight.llm.common import slices, text_or_empty
 
 @dataclass(frozen=True)
 class Notice:
+    """With ``whole``, a match is widened to whole words and its edits are those of them;
+    it must hold ``core``, unless a single slip explains it, and be nearer to the notice
+    than to each of ``unlike``."""
+
     label: str
     words: str
     edits: int
+    whole: bool = False
+    core: str = ""
+    unlike: tuple[str, ...] = ()
 
 
 #: Exact phrases and their labels.
@@ -52,12 +60,36 @@ NOTICES = (
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 5),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", 5),
     Notice("proprietary", "all rights reserved", 1),
+    Notice("mit", "under the mit license", 2, whole=True, core="mit"),
+    Notice("apache-2", "apache license version 2", 2, whole=True, core="apache", unlike=("apache license version 1",)),
+    Notice("cc-by-nc", "cc by nc", 1, whole=True, unlike=("cc by nd", "cc by no")),
 )
 
 _WORDS = bytes(c if c >= 128 or 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
+def _edits(a: str, b: str, swaps: bool = False) -> int:
+    """Edit distance; with ``swaps``, two neighbours that changed places are one edit."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if swaps and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def _whole_edits(notice: Notice, text: str) -> int | None:
+    """The edits of whole words against the notice; None if they aren't one."""
+    n = _edits(text, notice.words)
+    if n > notice.edits or any(_edits(text, other) <= n for other in notice.unlike):
+        return None
+    return n if notice.core in text or _edits(text, notice.words, swaps=True) <= 1 else None
+
+
 class NoticeScanner:
     def __init__(self, notices: Iterable[Notice] = NOTICES, phrases: Iterable[tuple[str, str]] = PHRASES):
         import ahocorasick
@@ -105,13 +137,20 @@ class NoticeScanner:
                 low, high = max(0, place - notice.edits, done), min(len(line), place + size + notice.edits)
                 match = self.verify[number].search(line, low, high)
                 if match:
-                    done = match.end()
                     a, b = match.span()
                     while a < b and line[a] == " ":
                         a += 1
                     while b > a and line[b - 1] == " ":
                         b -= 1
-                    found.append((notice.label, line.count(" ", 0, a) - 1, line.count(" ", 0, b) - 1, sum(match.fuzzy_counts)))
+                    edits: int | None = sum(match.fuzzy_counts)
+                    if notice.whole:
+                        a, b = line.rfind(" ", 0, a + 1) + 1, line.find(" ", b)
+                        edits = _whole_edits(notice, line[a:b])
+                        if edits is None:
+                            continue
+                    done = match.end()
+                    if edits or not notice.whole:  # whole and without edits: a base phrase
+                        found.append((notice.label, line.count(" ", 0, a) - 1, line.count(" ", 0, b) - 1, edits))
         return sorted(found, key=lambda x: x[1:])
 
 

@@ -362,3 +362,22 @@ def test_spans_of_private_keys_against_sql(spark, tmp_path):
         want = {x[0]: x[-1] for x in con.execute(oracles.secret_scans()).fetchall()}
     got = {r["doc_id"]: r["spans"] for r in queries.op3_secret_scans(spark, str(tmp_path)).collect()}
     assert got == want and got[0].startswith("private_key:0:")
+
+
+def test_slips_in_base_phrases():
+    """One edit anywhere in a base phrase, in any sentence; other licences stay apart."""
+    scanner = license_scan.NoticeScanner()
+    frames = ["distributed {} today", "Use is subject to {}; see below.", "{}", "zz {} 0 yy"]
+    for phrase, label in license_scan.PHRASES:
+        for i in range(1, len(phrase) - 1):
+            for slip in (phrase[:i] + phrase[i + 1 :], phrase[:i] + "q" + phrase[i + 1 :], phrase[:i] + "q" + phrase[i:]):
+                for frame in frames:
+                    assert (label, 0) in {(m[0], 0) for m in scanner.scan(frame.format(slip))[2]}, slip
+        assert scanner.scan(f"zz {phrase} yy")[2] == []  # that is a base match
+    for text, label in (
+        ("licensed under the mit licence", "mit"), ("available under teh MIT license", "mit"), ("under the mti license", "mit"), ("undr the mit licence", "mit"),
+        ("use is subject to the Apache Licence, Version 2.0", "apache-2"), ("content is CC BYNC 4.0", "cc-by-nc"),
+    ):
+        assert label in {m[0] for m in scanner.scan(text)[2]}, text
+    for text in ("under the mpl license", "under the nist license", "apache license version 1.1", "apache license version 3", "cc by nd 4 0", "cc by ncaa", "cc by no later date"):
+        assert scanner.scan(text) == (len(license_scan._WORD.findall(text)), [], []), text
