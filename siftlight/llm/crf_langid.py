@@ -11,6 +11,12 @@ documents of each label, by order of a hash of their ids, of at most ``LONGEST``
 characters; segments of them are strung together so that transitions are learned from
 switches. Nothing but a row's text is used to predict.
 
+A field only weighs its labels against each other: any word gets one. ``keep_known`` thus
+asks too how many of a text's 4-grams (of its words' UTF-8 bytes, with marks at the ends)
+the training texts of its words' labels hold. Texts of one half of the training rows are
+counted by the other half's grams, and three quarters of what all but a twentieth of them
+reach, but half of the grams at most, is the least that a label's text must have.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every
 text if there is nothing to learn from; null ids aren't held out nor learned from;
 repeated rows are predicted alike; other columns are ignored; empty in, empty out.
@@ -37,6 +43,7 @@ LONGEST = 20_000
 _BITS = 17
 _BUCKETS = 1 << _BITS
 _CACHE = 250_000
+_GRAM_BITS = 19
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters beyond those among which the pattern above finds letters only.
 _ODD = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
@@ -92,6 +99,17 @@ def spell(words: list[str]) -> Spelled:
     return Spelled(grams, starts, sizes, whole)
 
 
+def _gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the 4-grams of all words, end to end, and how many each word has."""
+    raw = [f"^{w}$".encode().ljust(4, b"$") for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    octets = np.frombuffer(b"".join(raw) + bytes(4), np.uint8).astype(np.uint64)
+    n = int(sizes.sum())
+    code = octets[:n] << np.uint64(24) | octets[1 : n + 1] << np.uint64(16) | octets[2 : n + 2] << np.uint64(8) | octets[3 : n + 3]
+    inside = np.repeat(np.cumsum(sizes), sizes) - np.arange(n) >= 4
+    return (code[inside] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _GRAM_BITS)).astype(np.int64), sizes - 3
+
+
 def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
     mixed = (code + np.uint64(kind << 44)) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -104,6 +122,9 @@ class Model:
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, int]
+    #: A row per 4-gram's number, whether each label knows it; and the least share of known ones.
+    known: np.ndarray | None = None
+    least_known: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)
     emissions: np.ndarray | None = None
 
@@ -148,19 +169,37 @@ class Model:
         return forward_backward(self.rows(words), np.array([len(c) for c in chains if c]), np.exp(self.transitions))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(label, score) for label, score, _ in self.judge(texts)]
+
+    def _known_counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, the grams that each label knows, and all."""
+        kinds = list(dict.fromkeys(words))
+        place = dict(zip(kinds, range(len(kinds))))
+        numbers, sizes = _gram_buckets(kinds)
+        counts = np.add.reduceat(self.known[numbers].astype(np.int64), np.cumsum(sizes) - sizes)
+        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        return counts[which], sizes[which]
+
+    def judge(self, texts: list[str | None], familiar: bool = False) -> list[tuple[str, float, float]]:
+        """(label, score, margin): by how much the share of known grams is over the least
+        (0 unless ``familiar``)."""
         if not self.labels:
-            return [(UND, 0.0)] * len(texts)
+            return [(UND, 0.0, 0.0)] * len(texts)
         chains = [words_of(t or "") for t in texts]
         sizes = np.array([sum(map(len, c)) for c in chains])
         found = self.marginals([c for own in chains for c in own if c])
         some = np.flatnonzero(sizes)
-        out = [(UND, 0.0)] * len(texts)
+        out = [(UND, 0.0, 0.0)] * len(texts)
         if not len(some):
             return out
-        mean = np.add.reduceat(found, (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
-        best = mean.argmax(axis=1)
-        for i, label, score in zip(some.tolist(), best.tolist(), mean[np.arange(len(some)), best].tolist()):
-            out[i] = (self.labels[label], min(1.0, score))
+        starts = (np.cumsum(sizes) - sizes)[some]
+        mean = np.add.reduceat(found, starts) / sizes[some, None]
+        best, margin = mean.argmax(axis=1), np.zeros(len(some))
+        if familiar:
+            counts, every = self._known_counts([w for own in chains for c in own for w in c])
+            margin = np.add.reduceat((counts * found).sum(axis=1), starts) / np.add.reduceat(every, starts) - mean @ self.least_known
+        for i, label, score, over in zip(some.tolist(), best.tolist(), mean[np.arange(len(some)), best].tolist(), margin.tolist()):
+            out[i] = (self.labels[label], min(1.0, score), over)
         return out
 
 
@@ -247,9 +286,25 @@ def train(labelled: list[tuple[str, str]], seed: int = 42, chains: int = 4000, l
             grown_moves += slope_moves**2
             model.transitions -= 0.1 * slope_moves / np.sqrt(grown_moves)
     model.weights = model.weights.astype(np.float32)
+    model.known, model.least_known = _familiar(labelled, labels)
     return model
 
 
+def _familiar(labelled: list[tuple[str, str]], labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams each label knows, and the least share of known ones in its texts. Grams
+    of a single text don't count where a label has 20 or more."""
+    known, least = np.zeros((1 << _GRAM_BITS, len(labels)), dtype=bool), np.zeros(len(labels))
+    for i, label in enumerate(labels):
+        texts = [_gram_buckets(words)[0] for words in (list(itertools.chain.from_iterable(words_of(t))) for t, own in labelled if own == label) if words]
+        halves = [np.zeros(1 << _GRAM_BITS, dtype=np.int64) for _ in range(2)]
+        for n, grams in enumerate(texts):
+            halves[n % 2][np.unique(grams)] += 1
+        known[:, i] = halves[0] + halves[1] >= (2 if len(texts) >= 20 else 1)
+        shares = [(halves[1 - n % 2][grams] >= (2 if len(texts) >= 40 else 1)).mean() for n, grams in enumerate(texts)] if len(texts) > 1 else [0.0]
+        least[i] = min(0.5, 0.75 * float(np.quantile(shares, 0.05)))
+    return known, least
+
+
 def _numbers(words: list[str], lexicon: dict[str, int]) -> dict[str, np.ndarray]:
     """The numbers of the features that each word has."""
     spelled, out = spell(words), {}
@@ -360,7 +415,8 @@ def label_words(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
 
 
 def keep_known(docs: DataFrame, model: Model, *, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language the model tells with at least ``least``."""
+    """The rows of ``docs`` whose language the model tells with at least ``least``, and of
+    whose 4-grams that language's training texts hold enough."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -368,7 +424,7 @@ def keep_known(docs: DataFrame, model: Model, *, least: float = 0.0, text_col: s
         for batch in batches:
             texts, good = batch.column(names.index(text_col)), []
             for at in range(0, batch.num_rows, 256):
-                good += [x != UND and s >= least for x, s in held.value.predict(texts.slice(at, 256).to_pylist())]
+                good += [x != UND and s >= least and over >= 0 for x, s, over in held.value.judge(texts.slice(at, 256).to_pylist(), familiar=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -381,3 +381,30 @@ def test_slips_in_base_phrases():
         assert label in {m[0] for m in scanner.scan(text)[2]}, text
     for text in ("under the mpl license", "under the nist license", "apache license version 1.1", "apache license version 3", "cc by nd 4 0", "cc by ncaa", "cc by no later date"):
         assert scanner.scan(text) == (len(license_scan._WORD.findall(text)), [], []), text
+
+
+FOREIGN = [
+    "Вчера правительство объявило что в следующем году увеличит расходы на школы и больницы но не сказало откуда возьмет деньги и когда начнутся работы",
+    "昨天政府宣布明年将增加学校和医院的开支，但没有说明资金来源，也没有说明工程何时开始。人们对此表示怀疑",
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e la ricerca ha dimostrato che gli italiani mangiano insieme",
+    "Wczoraj rząd ogłosił że w przyszłym roku zwiększy wydatki na szkoły oraz szpitale ale nie powiedział skąd weźmie na to pieniądze ani kiedy rozpoczną się prace",
+    "Hallitus ilmoitti eilen että ensi vuonna kouluihin ja sairaaloihin käytetään enemmän rahaa mutta ei kertonut mistä rahat otetaan eikä milloin työt alkavat",
+    "xkq wvzt pqlmr zzgh vbnw qjx plkt rrtw mnbvx qwzx hgfk dfgkl zxcvb nmqw prtk lkjh gfds wqrt yplk jhgz bvcx zqw",
+    "bipo gexu zavo wiku jeqo fuvi xaze kopu wyje muqa vozi hexo bujy kewa zofi qupe xira woju",
+]
+
+
+def test_unseen_languages_are_not_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = crf_langid.fit(docs)
+    held = docs.where(crf_langid.held_out("doc_id"))
+    foreign = spark.createDataFrame([(90_000 + i, t) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in crf_langid.keep_known(held.select("doc_id", "text").union(foreign), model).collect()}
+    assert not {i for i in kept if i >= 90_000}
+    clean = [r for r in held.collect() if len(r["text"].split()) >= 5]
+    for lang in ("en", "de", "es", "fr"):
+        own = [r["doc_id"] for r in clean if r["lang"] == lang]
+        assert own and len([i for i in own if i not in kept]) <= 0.03 * len(own), lang
+    rows = {r["lang"]: " ".join(r["text"].split()[:40]) for r in clean if len(r["text"].split()) > 80}
+    assert all(over >= 0 for _, _, over in model.judge([rows["en"] + " " + rows["de"], *rows.values()], familiar=True))
+    assert crf_langid.keep_known(foreign.limit(0), model).count() == 0
