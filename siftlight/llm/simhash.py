@@ -16,6 +16,14 @@ pairs; these join up by alternating large-star and small-star contraction.
 Defined results: a null or empty text has fingerprint zero and links like any other; a
 null ``doc_id`` doesn't become a group's id unless the whole group has none; repeated
 rows are kept, each with its group; other columns are ignored; empty in, empty out.
+
+``keep_distinct`` goes by the shingles themselves: links are texts whose sets of shingles
+are alike by ``least`` or more (Jaccard). Fingerprints of such texts are up to 11 bits
+apart, where no band of 64 bits prunes anything, so candidates come from MinHash: 16 bands
+of 4 minima, one of which two texts alike by 0.8 share in 9998 of 10,000 cases. Rows are
+sorted by band, the band after it and text, and each is paired with the one before it, so
+a large group of near copies gives no more pairs a text than a small one. Every pair is
+verified over the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -245,12 +253,116 @@ def near_duplicates(
     )
 
 
+def _shingles(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    import xxhash
+
+    parts = text.encode().lower().split()
+    spans = range(max(len(parts) - words + 1, min(1, len(parts))))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words])) for i in spans), np.uint64, len(spans)))
+
+
+_BANDS, _ROWS = 16, 4
+
+
+def _band_keys(shingles: np.ndarray) -> list[int]:
+    """Keys of the bands of minima of a set of shingles."""
+    rng = np.random.default_rng(9)
+    turns = rng.integers(0, 1 << 63, (2, _BANDS * _ROWS, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    least = np.full(_BANDS * _ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        mixed = (shingles[None, at : at + 2048] ^ turns[0]) * turns[1]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(axis=1))
+    keys = np.zeros(_BANDS, dtype=np.uint64)
+    for column in least.reshape(_BANDS, _ROWS).T:
+        keys = (keys ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64).tolist()
+
+
+def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, node, keys): ``node`` is one for texts of the same words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        import xxhash
+
+        for ids, hashes, texts in slices(batches):
+            nodes = [_signed(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts]
+            keys = [_band_keys(x) if len(x) > 1 else [] for x in (_shingles(t, words) for t in texts)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, hashes, nodes)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+
+    picked = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text")
+    )
+    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+
+
+def _neighbours(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one key that follow each other."""
+    last_key, last_node = None, None
+    for batch in batches:
+        a, b = [], []
+        for key, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist()):
+            if key == last_key and node != last_node:
+                a.append(max(node, last_node))
+                b.append(min(node, last_node))
+            last_key, last_node = key, node
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def alike_links(signed: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): nodes that neighbour each other in a band and are alike by ``least``."""
+    nodes = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
+    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node"
+    )
+    keyed = keyed.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
+    pairs = settle(keyed.mapInArrow(_neighbours, "a long, b long").distinct())
+    # One row of each node gives the text.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    chosen = signed.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("k")).select("node", "k.doc_id", "k.text_hash")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    picked = picked.withColumn("text_hash", F.xxhash64("text"))
+    same = picked.doc_id.eqNullSafe(chosen.doc_id) & (picked.text_hash == chosen.text_hash)
+    texts = settle(picked.join(chosen, same).select("node", "text").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+                p, q = _shingles(x, words), _shingles(y, words)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(common >= least * (len(p) + len(q) - common))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def keep_distinct(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one row of each group of texts whose shingles of ``words``
+    words are alike by ``least`` or more; the row kept is that of ``keep_one``."""
+    signed = settle(_signed_texts(docs, words, id_col, text_col))
+    roots = components(alike_links(signed, docs, words, least, id_col, text_col))
+    grouped = signed.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    return _keep_best(docs, grouped, id_col, text_col)
+
+
 def keep_one(
     docs: DataFrame, *, words: int = 3, radius: int = 3, tree: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without all but one row of each group: the one of the smallest id, of
     equal ids that of the smallest text hash; rows without an id come last."""
-    grouped = _grouped(docs, words, radius, tree, id_col, text_col)
+    return _keep_best(docs, _grouped(docs, words, radius, tree, id_col, text_col), id_col, text_col)
+
+
+def _keep_best(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each group of ``grouped`` (doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
     # Rows that agree in id and text are copies of one row: how many there are decides whether any must be dropped.

@@ -408,3 +408,46 @@ def test_unseen_languages_are_not_kept(spark, sf):
     rows = {r["lang"]: " ".join(r["text"].split()[:40]) for r in clean if len(r["text"].split()) > 80}
     assert all(over >= 0 for _, _, over in model.judge([rows["en"] + " " + rows["de"], *rows.values()], familiar=True))
     assert crf_langid.keep_known(foreign.limit(0), model).count() == 0
+
+
+def five_word_likeness(a, b):
+    p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(p & q) / len(p | q)
+
+
+def test_near_copies_are_dropped(spark):
+    """Planted near copies alike by 0.8 or more go, nearly as alike ones below that stay."""
+    rng = np.random.default_rng(8)
+    rows, copies, others = [], [], []
+    for n in range(60):
+        words = ["w" + str(i) for i in rng.integers(0, 3000, int(rng.integers(60, 400)))]
+        rows.append((n, " ".join(words)))
+        for k, share in enumerate((0.01, 0.02, 0.08)):
+            changed = list(words)
+            for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+                changed[i] = "x" + str(rng.integers(0, 3000))
+            text, i = " ".join(changed), 1000 * (k + 1) + n
+            alike = five_word_likeness(rows[-1][1] if k == 0 else " ".join(words), text)
+            (copies if alike >= 0.8 else others).append(i)
+            rows.append((i, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_distinct(df).collect()}
+    texts = dict(rows)
+    wrong = [i for i in range(60) if i not in kept] + [i for i in copies if i in kept]
+    assert len(copies) > 80 and not wrong
+    for i in others:  # none goes but by a chain of likeness
+        near = [j for j in texts if j != i and j % 1000 == i % 1000 and five_word_likeness(texts[i], texts[j]) >= 0.8]
+        assert (i in kept) == (not near)
+
+
+def test_one_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    base = ["w" + str(i) for i in range(200)]
+    rows = [(5, " ".join(base)), (4, " ".join(base).upper()), (None, " ".join(base)), (7, None), (8, " "), (9, "two words"), (3, "two  words")]
+    for n in range(400):
+        words = list(base)
+        words[int(rng.integers(200))] = f"x{n}"
+        rows.append((100 + n, " ".join(words)))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
+    found = simhash.keep_distinct(df)
+    assert found.columns == df.columns and sorted(r["doc_id"] for r in found.collect()) == [3, 4, 7]
