@@ -10,15 +10,23 @@ Each gram is one 64-bit integer: 36 bits of hash above 27 bits that fall as the
 rises. Its minimum over a window is then the smallest hash with ties to the right, and
 minima of windows of 2, 4, 8, ... come from those of half the width.
 
-Words are runs of letters and digits, in lower case. Defined results: fewer than ``k``
-words make one gram; no words make an empty fingerprint, which has likeness 1 to another
-empty one and 0 to any other; fewer grams than a window make one window; a null text is
+Words are runs of letters and digits, in lower case; letters of scripts that don't space
+words, and those of runs of more than 40, are words of their own, and so are the characters
+of a text without words. Texts of at most ``SHORT`` characters have a fine fingerprint too,
+of runs of 5 letters and windows of 2: any 6 letters that two such texts share yield a
+fingerprint. Two texts that both have a fine fingerprint are compared by it, others by the
+coarse one; an edited text is no longer than its original, so it has one if that does.
+
+Defined results: fewer than ``k`` words make one gram; an empty text makes an empty
+fingerprint, which has likeness 1 to another empty one and 0 to any other; fewer grams than a window make one window; a null text is
 an empty one; repeated rows and null ids are kept; other columns are ignored; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,19 +37,47 @@ from siftlight.llm.common import text_or_empty
 _PLACE = 27
 
 
+#: Texts of more characters have half of 512 or more, which holds the 20 words that a coarse fingerprint needs.
+SHORT = 1024
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def _filled(items: Column) -> Column:
+    return F.filter(items, lambda w: w != "")
+
+
+def _or_characters(items: Column, text: Column) -> Column:
+    return F.when(text.rlike(r"[\p{L}\p{N}]"), items).otherwise(_filled(F.split(text, "")))
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    low = F.lower(text)
+    words = _filled(F.split(F.when(low.rlike(_UNSPACED), F.regexp_replace(low, _UNSPACED, " $0 ")).otherwise(low), _GAP))
+    pieces = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 40, _filled(F.split(w, ""))).otherwise(F.array(w))))
+    return _or_characters(F.when(low.rlike(r"[\p{L}\p{N}]{41}"), pieces).otherwise(words), text)
 
 
-def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = 5, window: int = 16) -> DataFrame:
-    """``df`` with an array column ``name`` of the selected grams, in order of place.
+def _letters(text: Column) -> Column:
+    """The letters and digits of a short text; none of a longer one."""
+    letters = _filled(F.split(F.regexp_replace(F.lower(text), _GAP, ""), ""))
+    return F.when(F.length(text) <= SHORT, _or_characters(letters, text)).otherwise(F.array().cast("array<string>"))
+
+
+def add_fine_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
+    return add_fingerprint(df, text, name, 5, 2, _letters)
+
+
+def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = 5, window: int = 16, items: Callable[[Column], Column] = _words) -> DataFrame:
+    """``df`` with an array column ``name`` of the selected grams of the text's words (or
+    other ``items``), in order of place.
 
     The steps are columns of their own, each used by the next through element_at, so no
     step is evaluated more than once a row."""
     if window & (window - 1) or k < 1:
         raise ValueError("window must be a power of two, k positive")
     a, b = f"_{name}_a", f"_{name}_b"
-    df = df.withColumn(a, F.transform(_words(text), lambda w: F.xxhash64(w)))
+    df = df.withColumn(a, F.transform(items(text), lambda w: F.xxhash64(w)))
     span = F.greatest(F.size(a) - k + 1, F.least(F.size(a), F.lit(1)))
     top = F.lit((1 << _PLACE) - 1)
 
@@ -74,9 +110,9 @@ def selected(name: str) -> Column:
     return F.transform(name, lambda x: F.struct((F.lit(top) - x.bitwiseAND(F.lit(top))).alias("place"), F.shiftright(x, _PLACE).alias("hash")))
 
 
-def digest(name: str) -> Column:
-    """A fingerprint's places and hashes as one hex string."""
-    return F.sha2(F.array_join(F.transform(name, lambda x: F.hex(x)), ",").cast("binary"), 256)
+def digest(*names: str) -> Column:
+    """The places and hashes of fingerprints as one hex string."""
+    return F.sha2(F.concat_ws(";", *(F.array_join(F.transform(x, lambda g: F.hex(g)), ",") for x in names)).cast("binary"), 256)
 
 
 def hashes(name: str) -> Column:
@@ -90,6 +126,12 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(common / total)
 
 
+def fine_or_coarse(a: str, b: str) -> Column:
+    """Likeness of the columns ``a`` and ``b`` of coarse hashes, or of the fine ones."""
+    both = (F.size(f"{a}_fine") > 0) & (F.size(f"{b}_fine") > 0)
+    return F.when(both, likeness(f"{a}_fine", f"{b}_fine")).otherwise(likeness(a, b))
+
+
 def fingerprints(docs: DataFrame, *, k: int = 5, window: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its selected fingerprints, as structs of place and hash."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -161,11 +203,13 @@ def compare_with_edits(docs: DataFrame, *, k: int = 5, window: int = 16, id_col:
     led = led.withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(F.left(F.col("text"), (F.length("text") - half)), F.left(following, half))
     )
-    printed = add_fingerprint(led, F.col("text"), "fp", k, window)
-    printed = printed.withColumn("hashes", hashes("fp")).withColumn("next_hashes", F.lead("hashes").over(order)).where(~F.col("halo"))
-    printed = add_fingerprint(printed, F.col("edited"), "edited_fp", k, window).withColumn("edited_hashes", hashes("edited_fp"))
+    printed = add_fine_fingerprint(add_fingerprint(led, F.col("text"), "fp", k, window), F.col("text"), "fine")
+    printed = printed.withColumn("hashes", hashes("fp")).withColumn("hashes_fine", hashes("fine"))
+    printed = printed.withColumns({f"next_{x}": F.lead(x).over(order) for x in ("hashes", "hashes_fine")}).where(~F.col("halo"))
+    printed = add_fine_fingerprint(add_fingerprint(printed, F.col("edited"), "edited_fp", k, window), F.col("edited"), "edited_fine")
+    printed = printed.withColumn("edited_hashes", hashes("edited_fp")).withColumn("edited_hashes_fine", hashes("edited_fine"))
     return printed.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest("fp").alias("fingerprint"), digest("edited_fp").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"),
+        digest("fp", "fine").alias("fingerprint"), digest("edited_fp", "edited_fine").alias("edited_fingerprint"),
+        fine_or_coarse("hashes", "edited_hashes").alias("near_edited"), fine_or_coarse("hashes", "next_hashes").alias("near_next"),
     )

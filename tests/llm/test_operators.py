@@ -451,3 +451,18 @@ def test_one_of_a_large_group_of_near_copies(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
     found = simhash.keep_distinct(df)
     assert found.columns == df.columns and sorted(r["doc_id"] for r in found.collect()) == [3, 4, 7]
+
+
+def test_short_and_unspaced_texts_share_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    letters, signs = list("abcdefghijklmnopqrstuvwxyz"), [chr(c) for c in range(0x4E00, 0x5E00)]
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(3, 9)))) for _ in range(n)) for n in range(5, 41) for _ in range(4)]
+    texts += ["".join(rng.choice(signs, n)) for n in (14, 60, 300, 3000)] + ["".join(rng.choice(letters, n)) for n in (20, 90, 3000)]
+    texts += ["!?" * 8, "#-" * 9, "..." * 900, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in winnow.compare_with_edits(df).collect()}
+    full = len(texts) - 5
+    assert len(found) == len(texts) and not [i for i in range(full) if found[i]["near_edited"] == 0]
+    assert np.mean([found[i]["near_next"] for i in range(full)]) < 0.02
+    assert found[full + 1]["near_next"] == 0 and found[full + 2]["near_edited"] > 0 and found[full + 4]["near_next"] == 1  # null and empty
+    assert found[full + 1]["fingerprint"] != found[full]["fingerprint"]
