@@ -8,30 +8,19 @@ shuffle. Nothing is capped, and documents without a query term keep their zero s
 from __future__ import annotations
 
 import math
-import zipfile
 from collections import Counter
-from functools import cache, reduce
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlight.functions.stop_words import ENGLISH
 from siftlight.functions.text import tokens, word_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 
 
-@cache
-def stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, from its own archive, for which no session is needed."""
-    import pyspark
-
-    (jar,) = (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")
-    with zipfile.ZipFile(jar) as archive:
-        return tuple(archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")[:-1])
-
-
 def query_terms(spark: SparkSession, query: str, of=tokens) -> list[str]:
     """A query's terms, by the very function that cuts the documents."""
     return spark.createDataFrame([(query,)], "q string").select(of(F.col("q")).alias("t")).first()["t"]
@@ -89,7 +78,7 @@ def _count(array: str, term: str) -> Column:
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stops: tuple[str, ...] | None = None) -> DataFrame:
     """(id, term, tf): the inverted index, to be kept as a table for many queries."""
     words = word_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    stops = stop_words() if stops is None else stops
+    stops = ENGLISH if stops is None else stops
     each = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
     return each.where(~F.col("term").isin(list(stops))).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
@@ -98,7 +87,7 @@ def tfidf_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col:
     """(id, score) of every document: cosine of TF-IDF vectors with smoothed idf.
 
     Spark's English stop list is used."""
-    spark, stops = docs.sparkSession, stop_words()
+    spark, stops = docs.sparkSession, ENGLISH
     wanted = Counter(t for t in query_terms(spark, query, word_tokens) if t not in set(stops))
     ids = docs.select(F.col(id_col).alias("id"))
     index = postings(docs, id_col, text_col, stops)

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from siftlight.functions.stop_words import ENGLISH
 from siftlight.plans import registry
 
 
@@ -40,6 +41,12 @@ def test_query(spark, sf, duck, name):
         assert all(x == y or isinstance(x, float) and math.isclose(x, y, abs_tol=1e-6) for x, y in zip(a, b)), (a, b)
 
 
+def test_stop_words_are_sparks(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
+
+
 def test_entry_and_training_queries_are_apart(spark):
     import __spark_entry__
 
