@@ -9,6 +9,6 @@ because as until while of at by for with about against between into through duri
 again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
 can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
 we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
-cannot could here's how's let's ought that's there's what's when's where's who's why's
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
 """.split()
 )
