@@ -79,13 +79,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = [
         op1_packing, op2_license_scans, op3_secret_scans, op4_simhash, op5_bpe_tree, op6_language_id, op7_sharding, op8_token_files, op9_quality_rules,
         op10_fingerprints,
     ]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -227,7 +227,7 @@ def test_fingerprints(spark, folder, texts):
     assert np.mean([found[i]["near_edited"] for i in long]) > np.mean([found[i]["near_next"] for i in long]) + 0.15
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert Q.queries()[name](spark, str(tmp_path)).count() == 0
@@ -236,7 +236,7 @@ def test_empty_table(spark, tmp_path, name):
 REPEATED = [(1, "same text of a few words here"), (1, "same text of a few words here"), (None, "no id at all"), (None, None), (2, None), (None, "no id at all")]
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - {"pipeline", "op1_packing"}))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - {"op1_packing"}))
 def test_repeated_rows_and_null_ids(spark, tmp_path, name):
     spark.createDataFrame([(*r, None, None, None) for r in REPEATED], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     rows = Q.queries()[name](spark, str(tmp_path)).collect()
