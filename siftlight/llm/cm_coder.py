@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlight.llm.common import partition_number, shared_dir, slices, text_or_empty
-from siftlight.llm.tokens import FastTokenizer
+from siftlight.llm.tokens import ChunkTokenizer
 
 MAGIC, VERSION = b"CMRC", 1
-LANES, STEPS = 2048, 512
+LANES, STEPS = 4096, 256
 BLOCK = LANES * STEPS
 _ORDER0 = 18  # bits of the order-0 distribution's total
 _TOTAL = 24  # bits of the mixed distribution's total
@@ -350,7 +350,7 @@ def write_documents(
     schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
-        encode = FastTokenizer.of(tokenizer_path, kind).encode
+        encode = ChunkTokenizer.of(tokenizer_path, kind).encode
         part = partition_number()
         name = f"{where}/{part:06d}.cmrc"
         out = FileWriter(name, vocabulary)
@@ -361,8 +361,9 @@ def write_documents(
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, len(out.sizes), out.tokens)], schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    placed = picked.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # By both: rows without an id, or of one id, needn't all go to one task.
+    ordered = picked.repartitionByRange(*order).sortWithinPartitions(*order)
     # One row per partition comes back; sorting them in Spark would run the tasks twice.
     files = sorted(ordered.mapInArrow(run, "part long, file string, docs long, tokens long").collect())
     return [(r["file"], r["docs"], r["tokens"]) for r in files]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlight.llm.common import partition_number, slices, text_or_empty
-from siftlight.llm.tokens import FastTokenizer
+from siftlight.llm.tokens import ChunkTokenizer
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -222,7 +222,7 @@ def pack_documents(
     limits = {"tokens": tokens, "segments": segments, "loss": loss}
 
     def run(batches):
-        return _packed_rows(batches, FastTokenizer.of(tokenizer_path, "byte_level").encode, end_id, limits)
+        return _packed_rows(batches, ChunkTokenizer.of(tokenizer_path, "byte_level").encode, end_id, limits)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return picked.mapInArrow(run, SCHEMA)
@@ -238,7 +238,7 @@ def pack_conversations(
     schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def run(batches):
-        encode = FastTokenizer.of(tokenizer_path, "byte_level").encode
+        encode = ChunkTokenizer.of(tokenizer_path, "byte_level").encode
         packer = VectorPacker(tokens=tokens, segments=segments, loss=loss)
         sequence, waiting = partition_number() * _ROOM, {}
 

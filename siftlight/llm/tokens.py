@@ -1,137 +1,127 @@
-"""Token ids of a ``tokenizers`` file, by a quicker engine where it gives the same ids.
-
-The two vocabularies used here are byte-pair encodings whose merges are in order of
-their results' ids, which is checked when a file is opened. tiktoken's merging engine
-then finds the library's ids from the library's own file: the ranks are the ids, and
-where the vocabulary marks ends of words, a byte that no UTF-8 text has stands for the
-mark. It takes texts of printable Latin-1 characters, for which the pre-tokenizers'
-patterns below are exact; every other text goes to the library. The library also encodes
-one text of every batch again, and a difference is an error.
+"""Token ids of a ``tokenizers`` file, with a memo of what the library gave.
+
+All ids come from the library, with its defaults and without special tokens. A text is cut
+into chunks that the library encodes alike alone and in the text; each different chunk is
+encoded once and remembered, up to a bound. The cuts are before runs of ASCII white space:
+
+- ``byte_level``: the pre-tokenizer takes a space into the piece after it, and no
+  alternative of its pattern matches across a step from a non-space to white space.
+- ``word_end``: white space only parts pieces and is dropped, so chunks go without it.
+
+Special tokens hold no white space, and the normalizers (NFC, lower case) never join
+characters over an ASCII space, so both act within chunks. A chunk that is one word of
+Latin-1 letters, or one with a mark after it, is given to the library's model directly.
+Texts with any other white space, or with a chunk longer than ``LONG``, go to the library
+whole. It also encodes one text of every call again as a whole, and a difference is an
+error.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from array import array
 
-import numpy as np
+#: White space of Unicode that isn't a cut; texts with it aren't cut at all.
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CHUNK = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
+LONG = 1 << 14
 
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Characters that no normalizer changes (but for case) and all libraries class alike.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
-_WORD_END = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_END = b"\xff"
+# Byte-level vocabularies show printable bytes as themselves, the others as characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each printable stand-in of a byte-level vocabulary means."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class FastTokenizer:
+class ChunkTokenizer:
     """``encode(texts)`` gives, per text, its ids as bytes of unsigned 32-bit integers."""
 
-    _open: dict[tuple[str, str], FastTokenizer] = {}
+    _open: dict[tuple[str, str], ChunkTokenizer] = {}
 
-    def __init__(self, path: str, kind: str, limit: int = 200_000):
+    def __init__(self, path: str, kind: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
 
         if kind not in ("byte_level", "word_end"):
             raise ValueError(kind)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.marks = {x: self._library(x) for x in ".,;:"}
         self.marks_ends = kind == "word_end"
-        with open(path, encoding="utf-8") as f:
-            stored = json.load(f)
-        ranks = self._ranks(stored)
-        self.engine = None if ranks is None else tiktoken.Encoding(name=path, pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        # For word ends: two generations of chunks, of `limit` each, keep what is frequent.
+        # Two generations of chunks, of about `limit` each, keep what is frequent.
         self.limit = limit
-        self.chunks = _Chunks(self)
-        self.merge = self.engine and self.engine._core_bpe.encode_single_piece
+        self.known = _Known(self)
 
     @classmethod
-    def of(cls, path: str, kind: str) -> FastTokenizer:
+    def of(cls, path: str, kind: str) -> ChunkTokenizer:
         if (path, kind) not in cls._open:
             cls._open[path, kind] = cls(path, kind)
         return cls._open[path, kind]
 
-    def _ranks(self, stored: dict) -> dict[bytes, int] | None:
-        """Bytes of each token -> its id; None if the merges aren't in that order."""
-        vocabulary, byte_of = stored["model"]["vocab"], _byte_of()
-        last = -1
-        for merge in stored["model"]["merges"]:
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            if vocabulary[a + b] <= last:
-                return None
-            last = vocabulary[a + b]
-        special = {x["content"] for x in stored.get("added_tokens", ())}
-        ranks = {}
-        for token, rank in vocabulary.items():
-            if token in special:
-                continue
-            end = self.marks_ends and token.endswith("</w>")
-            ranks[bytes(byte_of[c] for c in (token[:-4] if end else token)) + _END * end] = rank
-        if self.marks_ends and max(ranks[bytes([b]) + _END] for b in range(255)) > min(r for t, r in ranks.items() if len(t) > 2):
-            return None
-        if _END not in ranks:
-            ranks[_END] = len(ranks) + len(special)
-        return ranks
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text; None if it has to be encoded whole."""
+        if _OTHER_SPACE.search(text):
+            return None
+        if self.marks_ends:
+            # The library lowers letters itself; done here, chunks that differ in case are one. Beyond
+            # Latin-1, and where a special token may stand, that is left to it.
+            plain = "<|" not in text and _narrow(text)
+            chunks = (text.lower() if plain else text).split()
+        else:
+            chunks = _CHUNK.findall(text)
+        return None if len(text) > LONG and max(map(len, chunks), default=0) > LONG else chunks
+
+    def _piece(self, word: str) -> bytes:
+        """The ids of a word of Latin-1 letters, with a space before it or none: one piece to
+        both pre-tokenizers and normal to NFC, so its bytes go straight to the library's model."""
+        if self.marks_ends:
+            word = word.lower()
+        if not (word.isalpha() and word.isascii()):
+            word = word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain, whole = [], []
-        for i, text in enumerate(texts):
-            odd = self.engine is None or _OTHER.search(text) or self.marks_ends and "<|" in text
-            (whole if odd else plain).append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else ()):
-            out[i] = ids
-        for i in plain:
-            out[i] = self._ends(texts[i]) if self.marks_ends else np.array(self.engine.encode_ordinary(texts[i]), dtype="<u4").tobytes()
-        if plain and self._library([texts[plain[0]]])[0] != out[plain[0]]:
-            raise AssertionError("the engine's ids differ from the library's")
+        out = []
+        for text in texts:
+            chunks = self._chunks(text)
+            if chunks is None:
+                out.append(self._library(text))
+                continue
+            out.append(b"".join(map(self.known.__getitem__, chunks)))
+            if len(self.known) > self.limit:
+                self.known = _Known(self, self.known)
+        again = next((i for i, t in enumerate(texts) if t), None)
+        if again is not None and self._library(texts[again]) != out[again]:
+            raise AssertionError("the chunks' ids differ from the whole text's")
         return out
 
-    def _ends(self, text: str) -> bytes:
-        ids = b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        if len(self.chunks) > self.limit:
-            self.chunks = _Chunks(self, self.chunks)
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        return array("I", self.merge(piece.encode() + _END)).tobytes()
-
 
-class _Chunks(dict):
-    """Chunk between white space -> its ids, found when they are first asked for. Chunks
-    of the generation before are taken over from it."""
+class _Known(dict):
+    """Chunk -> its ids, found when they are first asked for; what the generation before
+    had is taken over."""
 
-    def __init__(self, tokenizer: FastTokenizer, older: dict | None = None):
+    def __init__(self, tokenizer: ChunkTokenizer, older: dict | None = None):
         super().__init__()
-        self.tokenizer, self.older = tokenizer, dict(older or {})
+        self.older = dict(older or {})
+        self.piece, self.library, self.marks = tokenizer._piece, tokenizer._library, tokenizer.marks
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            find = self.tokenizer.piece
-            if chunk.isalpha():
-                ids = find(chunk)
-            elif chunk[-1] in ".,;:" and chunk[:-1].isalpha():
-                word = chunk[:-1]
-                ids = (self.get(word) or self.older.get(word) or find(word)) + self[chunk[-1]]
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha() and _narrow(chunk):
+                ids = self.piece(chunk)
+            elif word[-1:] in self.marks and word[:-1].isalpha() and _narrow(chunk):  # two pieces
+                ids = self[chunk[:-1]] + self.marks[word[-1]]
             else:
-                ids = b"".join(map(find, _WORD_END.findall(chunk)))
+                ids = self.library(chunk)
         self[chunk] = ids
         return ids
+
+
+def _narrow(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    return text.isascii() or not _BEYOND_LATIN1.search(text)

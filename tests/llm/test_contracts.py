@@ -56,7 +56,6 @@ def test_packing(spark, folder, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in texts.items()}
     pieces = Q.op1_packing(spark, folder).collect()
     at, room = collections.Counter(), collections.Counter()
@@ -181,7 +180,6 @@ def test_token_files(spark, folder, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     found, at = result(spark, folder, "op8_token_files"), 0
     for i in sorted(texts):
         ids = t.encode(texts[i] or "", add_special_tokens=False).ids + [1]

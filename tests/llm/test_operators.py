@@ -186,6 +186,25 @@ def test_tree_encodes_as_a_whole(text, leaf):
     assert ids.tolist() == codec.plain.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("kind, name", [("byte_level", "byte_bpe_50k.json"), ("word_end", "word_bpe_49k.json")])
+def test_chunks_have_the_librarys_ids(kind, name):
+    """With the library's defaults, over odd white space, letters, marks and special tokens."""
+    from tokenizers import Tokenizer
+
+    from siftlight.llm.tokens import ChunkTokenizer
+
+    library, chunks = Tokenizer.from_file(P.path(name)), ChunkTokenizer(P.path(name), kind, limit=300)
+    parts = [*"abcXYZ'stre  \n\t1,.;:x<|>!$%", "é", "É", "ß", "Ñ", "ª", "µ", "日", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u0301", "\u212a", "İ", "Σ"]
+    parts += ["<|endoftext|>", "<|startoftext|>", "  ", "the ", "The, ", "don't", "We'LL", "LICENSE. "]
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 30))))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert chunks.encode(["a", text])[1] == np.array(ids, dtype="<u4").tobytes(), repr(text)
+    long = "ab" * 40_000 + " c"
+    assert chunks.encode([long])[0] == np.array(library.encode(long, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_tree_on_tables(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([(1, "hello world " * 50), (2, None)], "doc_id long, text string")
