@@ -11,8 +11,8 @@ encoded once and remembered, up to a bound. The cuts are before runs of ASCII wh
 Special tokens hold no white space, and the normalizers (NFC, lower case) never join
 characters over an ASCII space, so both act within chunks. A chunk that is one word of
 Latin-1 letters, or one with a mark after it, is given to the library's model directly.
-Texts with any other white space, or with a chunk longer than ``LONG``, go to the library
-whole. It also encodes one text of every call again as a whole, and a difference is an
+Texts with any other white space (but that of Latin-1, for ``word_end``), or with a chunk
+longer than ``LONG``, go to the library whole. It also encodes one text of every call again as a whole, and a difference is an
 error.
 """
 
@@ -24,7 +24,9 @@ from array import array
 
 #: White space of Unicode that isn't a cut; texts with it aren't cut at all.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER_BYTES = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _CHUNK = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_BYTES_CHUNK = re.compile(_CHUNK.pattern.encode())
 _BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
 LONG = 1 << 14
 
@@ -61,17 +63,24 @@ class ChunkTokenizer:
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text; None if it has to be encoded whole."""
-        if _OTHER_SPACE.search(text):
-            return None
-        if self.marks_ends:
-            # The library lowers letters itself; done here, chunks that differ in case are one. Beyond
-            # Latin-1, and where a special token may stand, that is left to it.
-            plain = "<|" not in text and _narrow(text)
-            chunks = (text.lower() if plain else text).split()
+    def _chunks(self, text: str) -> list | None:
+        """The chunks of a text, as bytes if its characters are all of Latin-1; None if it
+        has to be encoded whole."""
+        # The library lowers letters itself; done here, chunks that differ in case are one. Beyond
+        # Latin-1, and where a special token may stand, that is left to it.
+        try:
+            raw = (text.lower() if self.marks_ends and "<|" not in text else text).encode("latin-1")
+        except UnicodeEncodeError:
+            if _OTHER_SPACE.search(text):
+                return None
+            chunks = text.split() if self.marks_ends else _CHUNK.findall(text)
         else:
-            chunks = _CHUNK.findall(text)
+            if self.marks_ends:
+                chunks = raw.split()
+            elif len(raw.translate(None, _OTHER_BYTES)) < len(raw):
+                return None
+            else:
+                chunks = _BYTES_CHUNK.findall(raw)
         return None if len(text) > LONG and max(map(len, chunks), default=0) > LONG else chunks
 
     def _piece(self, word: str) -> bytes:
@@ -108,20 +117,18 @@ class _Known(dict):
         self.older = dict(older or {})
         self.piece, self.library, self.marks = tokenizer._piece, tokenizer._library, tokenizer.marks
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: bytes | str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            word = chunk[1:] if chunk[0] == " " else chunk
-            if word.isalpha() and _narrow(chunk):
-                ids = self.piece(chunk)
-            elif word[-1:] in self.marks and word[:-1].isalpha() and _narrow(chunk):  # two pieces
+            text = chunk.decode("latin-1") if isinstance(chunk, bytes) else chunk
+            word = text[1:] if text[0] == " " else text
+            if isinstance(chunk, str):
+                ids = self.library(text) if _BEYOND_LATIN1.search(text) else self[text.encode("latin-1")]
+            elif word.isalpha():
+                ids = self.piece(text)
+            elif word[-1:] in self.marks and word[:-1].isalpha():  # two pieces
                 ids = self[chunk[:-1]] + self.marks[word[-1]]
             else:
-                ids = self.library(chunk)
+                ids = self.library(text)
         self[chunk] = ids
         return ids
-
-
-def _narrow(text: str) -> bool:
-    """Whether all characters are of Latin-1."""
-    return text.isascii() or not _BEYOND_LATIN1.search(text)
