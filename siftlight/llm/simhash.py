@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlight.llm.common import settle, slices, text_or_empty
@@ -210,22 +210,45 @@ def links(distinct: DataFrame, radius: int = 3, tree: int = 2048) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _edges_of_cells(batches, radius), "a long, b long")
 
 
+def _join_salted(many: DataFrame, one: DataFrame, key: str, by: Column, total: int, salts: int = 64) -> DataFrame:
+    """The rows of ``many`` with the row of ``one`` of their key. ``one`` counts in ``n``
+    how many rows of ``many`` each key has, ``total`` is at least their sum. Keys of over a
+    1024th of it, so fewer than 1024, are told to all tasks, and their rows salted by ``by``."""
+    hot = F.col("n") * 1024 > total
+    told = F.broadcast(one.where(hot).select(key, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    left = many.join(told, key, "left").withColumn("salt", salt).drop("hot")
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("salt", F.explode(every)).drop("n"), [key, "salt"]).drop("salt")
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
+def _row() -> Column:
+    """What tells apart most rows of a checkpointed table, even copies without an id."""
+    return F.struct("doc_id", "text_hash", F.spark_partition_id())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge that isn't
     itself the smallest. Alternates large-star and small-star until nothing changes; each
-    round is checkpointed."""
+    round is checkpointed. A node of very many edges is salted."""
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
+    def lows(df):
+        return df.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     while seen[0]:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        both, total = now.union(now.select("b", "a")), 2 * seen[0]
+        near = _join_salted(both, lows(both), "a", F.col("b"), total).where("b > a")
+        large = near.select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         ends = F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
-        small = large.join(low, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = _join_salted(large, lows(large), "a", F.col("b"), total).select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = settle(small)
         if (then := state(now)) == seen:
             break
@@ -236,11 +259,13 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, radius: int, tree: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) for every document."""
     prints = settle(fingerprints(docs, words, id_col=id_col, text_col=text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
     roots = components(links(nodes.select("fp"), radius, tree))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+    rooted = settle(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = _join_salted(rooted.select("fp", "root", F.col("n").alias("rows")), named, "root", F.col("fp"), total)
+    return _join_salted(prints, named.withColumnRenamed("rows", "n"), "fp", _row(), total)
 
 
 def near_duplicates(
@@ -313,9 +338,9 @@ def _neighbours(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def alike_links(signed: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): nodes that neighbour each other in a band and are alike by ``least``."""
-    nodes = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
+def alike_links(nodes: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): nodes that neighbour each other in a band and are alike by ``least``.
+    ``nodes`` has each node's keys, and in ``k`` the id and the text's hash of one row."""
     keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node"
     )
@@ -323,8 +348,7 @@ def alike_links(signed: DataFrame, docs: DataFrame, words: int, least: float, id
     pairs = settle(keyed.mapInArrow(_neighbours, "a long, b long").distinct())
     # One row of each node gives the text.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    chosen = signed.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("k")).select("node", "k.doc_id", "k.text_hash")
+    chosen = nodes.join(asked, "node", "left_semi").select("node", "k.doc_id", "k.text_hash")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     picked = picked.withColumn("text_hash", F.xxhash64("text"))
     same = picked.doc_id.eqNullSafe(chosen.doc_id) & (picked.text_hash == chosen.text_hash)
@@ -348,8 +372,11 @@ def keep_distinct(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col
     """``docs`` without all but one row of each group of texts whose shingles of ``words``
     words are alike by ``least`` or more; the row kept is that of ``keep_one``."""
     signed = settle(_signed_texts(docs, words, id_col, text_col))
-    roots = components(alike_links(signed, docs, words, least, id_col, text_col))
-    grouped = signed.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    nodes = settle(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min(_order()).alias("k"), F.count("*").alias("n")))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    roots = components(alike_links(nodes, docs, words, least, id_col, text_col))
+    rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = _join_salted(signed.drop("keys"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
     return _keep_best(docs, grouped, id_col, text_col)
 
 
@@ -357,20 +384,24 @@ def keep_one(
     docs: DataFrame, *, words: int = 3, radius: int = 3, tree: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without all but one row of each group: the one of the smallest id, of
-    equal ids that of the smallest text hash; rows without an id come last."""
+    equal ids that of the smallest text hash; rows without an id come last. Of rows that
+    agree in both, one whose text isn't null, and the first by its columns as JSON, stays."""
     return _keep_best(docs, _grouped(docs, words, radius, tree, id_col, text_col), id_col, text_col)
 
 
 def _keep_best(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first row of each group of ``grouped`` (doc_id, text_hash, root)."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
+    best = grouped.groupBy("root").agg(F.min(_order()).alias("k")).select("k.doc_id", "k.text_hash")
     # Rows that agree in id and text are copies of one row: how many there are decides whether any must be dropped.
     best = settle(grouped.join(best, grouped.doc_id.eqNullSafe(best.doc_id) & (grouped.text_hash == best.text_hash), "left_semi")
-                  .groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies")))
-    keys = best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
-    kept = docs.join(keys, same, "left_semi")
-    if best.where("_copies > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+                  .groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")))
+    # The rows go as one column each, so that their columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    same = rows.doc_id.eqNullSafe(best.doc_id) & (rows.text_hash == best.text_hash)
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    if best.where("copies > 1").isEmpty():
+        return rows.join(best, same, "left_semi").select(*columns)
+    kept = rows.join(best, same).select("row", best.doc_id, best.text_hash, "copies")
+    first = F.min_by("row", F.struct(F.col(f"row.`{text_col}`").isNull(), F.to_json("row")))
+    several = kept.where("copies > 1").groupBy("doc_id", "text_hash").agg(first.alias("row"))
+    return kept.where("copies = 1").select("row").unionByName(several.select("row")).select(*columns)

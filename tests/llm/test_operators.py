@@ -175,6 +175,27 @@ def test_keep_one(spark):
     assert kept == sorted([(3, base, "b"), (None, "alone text without any id", "d"), (8, "", "f")], key=str)
 
 
+def test_keep_one_of_rows_that_agree(spark):
+    """Null and empty texts of one id are one; of repeated rows the choice is fixed; any names of columns will do."""
+    schema = "doc_id long, text string, _id long, _hash long, copies string, row int, text_hash int, n int"
+    rows = [(1, None, 1, 1, "z", 1, 1, 1), (1, "", 2, 2, "y", 2, 2, 2), (2, "a b c d", 5, 5, "q", 9, 9, 9), (2, "a b c d", 5, 5, "b", 9, 9, 9), (2, "a b c d", 5, 5, None, 9, 9, 9)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        for keep in (simhash.keep_one, simhash.keep_distinct):
+            kept = keep(df)
+            assert kept.columns == df.columns
+            assert sorted(map(tuple, kept.collect())) == [(1, "", 2, 2, "y", 2, 2, 2), (2, "a b c d", 5, 5, "b", 9, 9, 9)]
+    single = spark.createDataFrame(rows[1:3], schema)
+    assert sorted(map(tuple, simhash.keep_one(single).collect())) == sorted(rows[1:3])
+
+
+def test_hubs_are_salted(spark):
+    """A star, whose centre has nearly all edges, and a chain through it."""
+    edges = spark.createDataFrame([(i, 5) for i in range(10, 3000)] + [(5, 2), (2, 1), (4000, 4001)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert set(roots) == {*range(10, 3000), 5, 2, 4001} and {roots[i] for i in roots if i < 4000} == {1}
+
+
 # --- tokens ---------------------------------------------------------------------------
 
 
