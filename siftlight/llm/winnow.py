@@ -6,6 +6,11 @@ consecutive gram hashes the smallest is selected, the rightmost of equal ones, a
 with its position. Any run of ``k + window - 1`` words that two texts share yields a
 fingerprint that both have.
 
+A gram's hash is the polynomial that rolls (Karp and Rabin): over the words' hashes h it is
+``h1 b^(k-1) + ... + hk`` modulo a prime, and the next gram's is ``(H - h1 b^(k-1)) b + hk+1``.
+A column function carries no state from gram to gram at linear cost, so each value is
+evaluated as ``(((h1 b + h2) b + ...) b + hk``, in k steps that no string is hashed again for.
+
 Each gram is one 64-bit integer: 36 bits of hash above 27 bits that fall as the position
 rises. Its minimum over a window is then the smallest hash with ties to the right, and
 minima of windows of 2, 4, 8, ... come from those of half the width.
@@ -18,9 +23,10 @@ fingerprint. Two texts that both have a fine fingerprint are compared by it, oth
 coarse one; an edited text is no longer than its original, so it has one if that does.
 
 Defined results: fewer than ``k`` words make one gram; an empty text makes an empty
-fingerprint, which has likeness 1 to another empty one and 0 to any other; fewer grams than a window make one window; a null text is
-an empty one; repeated rows and null ids are kept; other columns are ignored; an empty
-table gives no rows.
+fingerprint, which has likeness 1 to another empty one and 0 to any other; fewer grams than
+a window make one window; places from 2^27 on are held as 2^27 - 1; a null text is an empty
+one; repeated rows and null ids are kept (of equal ids in order of their texts' hashes, those
+without an id last); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftlight.llm.common import text_or_empty
+from siftlight.llm.common import settle, text_or_empty
 
-#: Bits for positions; a text of more words than this would be over 2^27 bytes.
+#: Bits for positions.
 _PLACE = 27
+#: The rolling hash's modulus, the largest prime below 2^36, and base: a product stays below 2^62.
+MODULUS, BASE = (1 << 36) - 5, 49_329_351
 
-
+#: Heads of so many buckets (32 bytes each) are broadcast; more are joined by a shuffle.
+_FEW_HEADS = 1_000_000
 #: Texts of more characters have half of 512 or more, which holds the 20 words that a coarse fingerprint needs.
 SHORT = 1024
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
@@ -77,13 +86,16 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = 5, window:
     if window & (window - 1) or k < 1:
         raise ValueError("window must be a power of two, k positive")
     a, b = f"_{name}_a", f"_{name}_b"
-    df = df.withColumn(a, F.transform(items(text), lambda w: F.xxhash64(w)))
+    # From 1 on: 0 stands for a word that a short text lacks.
+    df = df.withColumn(a, F.transform(items(text), lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS - 1)) + 1))
     span = F.greatest(F.size(a) - k + 1, F.least(F.size(a), F.lit(1)))
     top = F.lit((1 << _PLACE) - 1)
 
     def gram(i):
-        whole = F.xxhash64(*[F.get(F.col(a), i + j) for j in range(k)])
-        return F.shiftleft(F.shiftrightunsigned(whole, 28), _PLACE).bitwiseOR((top - i).cast("long"))
+        whole = F.get(F.col(a), i)
+        for j in range(1, k):
+            whole = (whole * F.lit(BASE).cast("long") + F.coalesce(F.get(F.col(a), i + j), F.lit(0))) % F.lit(MODULUS)
+        return F.shiftleft(whole, _PLACE).bitwiseOR(F.greatest(top - i, F.lit(0)).cast("long"))
 
     places = F.when(span > 0, F.sequence(F.lit(0), span - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(b, F.transform(places, gram)).drop(a)
@@ -138,22 +150,22 @@ def fingerprints(docs: DataFrame, *, k: int = 5, window: int = 16, id_col: str =
     return add_fingerprint(picked, F.col("text"), "fp", k, window).select("doc_id", selected("fp").alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_buckets: int = 10_000) -> DataFrame:
-    """``docs`` (doc_id, text) with ``bucket`` and ``halo``, by which a window finds the
-    next document in descending order of doc_id, and after the last the first.
+def _folded(numbers: list[int]) -> Column:
+    """An array of numbers as one literal, which is folded before anything runs."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
-    Rows are dealt to buckets by quantiles of doc_id, in one shuffle. Each bucket also
-    gets the first rows of the bucket after it, marked ``halo``. Rows of one id are in
-    order of their text's hash; rows without an id come last."""
-    total = docs.count()
-    buckets = int(min(most_buckets, max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // rows_per_bucket)))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * buckets).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    # Binary search for the number of bounds that are not above the id: descending ids have rising buckets.
-    # All are one literal, which is folded before anything runs.
-    whole = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps = max(1, len(bounds).bit_length())
+
+def _zones(docs: DataFrame, wanted: int) -> tuple[Column, int]:
+    """The number of a row's zone, which rises as doc_id falls, and how many there may be.
+    Zones part the ids at quantiles; an id of very many rows has one to itself, and so have
+    rows without an id."""
+    shares = [i / wanted for i in range(1, wanted)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * wanted).alias("q")).first()["q"] or []
+    many = {a for a, b in zip(found, found[1:]) if a == b and a < (1 << 63) - 1}
+    bounds = sorted({*found, *(x + 1 for x in many)})
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)), 2
+    whole = _folded(bounds)
 
     def halve(s, _):
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -164,24 +176,55 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_buckets: int =
             F.when(live & ~go, middle).otherwise(s["hi"]).cast("int").alias("hi"),
         )
 
-    if bounds:
-        start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-        below = F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, halve, lambda s: s["lo"])
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below)
-    else:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    dealt = docs.withColumn("bucket", bucket.cast("int"))
-    # The first id of each bucket; buckets are few (most_buckets at most).
-    heads = {r["bucket"]: r["top"] for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads)
-    if not order:
-        return dealt.withColumn("halo", F.lit(False))
-    halo = docs.sparkSession.createDataFrame(
-        [(heads[b], b, order[i - 1]) for i, b in enumerate(order)], "head long, of int, before int"
-    )  # i - 1: the bucket before, and the last one for the first
-    first = dealt.join(F.broadcast(halo), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("bucket") == F.col("of")))
-    first = first.select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("halo"))
-    return dealt.select("doc_id", "text", "bucket", F.lit(False).alias("halo")).unionByName(first)
+    # Binary search for the number of bounds that are not above the id.
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    below = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda s: s["lo"])
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below), len(bounds) + 2
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_zones: int = 4_096) -> DataFrame:
+    """``docs`` (doc_id, text, rank) with ``bucket`` and ``halo``, by which a window finds the
+    next document in descending order of doc_id, and after the last the first. Rows of one
+    id are in order of ``rank``, a hash of the text; rows without an id come last.
+
+    Rows are dealt in one shuffle to buckets whose number grows with the table: at most
+    ``most_zones`` zones by quantiles, of which the driver knows the counts, have as many
+    buckets as they need, by id or, where all ids are one or none, by rank. Each bucket also
+    gets the first row of the bucket after it, marked ``halo``."""
+    total = docs.count()
+    zone, _ = _zones(docs, int(min(most_zones, max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // rows_per_bucket))))
+    zoned = docs.withColumn("zone", zone.cast("int"))
+    stats = sorted((r["zone"], r["n"], r["lo"], r["hi"]) for r in zoned.groupBy("zone").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect())
+    if not stats:
+        return docs.withColumns({"bucket": F.lit(0).cast("long"), "halo": F.lit(False)})
+    parts, firsts, lows, highs = ([0] * (stats[-1][0] + 1) for _ in range(4))
+    at = 0
+    for number, n, lo, hi in stats:
+        parts[number], firsts[number], lows[number], highs[number] = -(-n // rows_per_bucket), at, lo or 0, hi or 0
+        at += parts[number]
+    m, lo, hi = (F.get(_folded(x), F.col("zone")) for x in (parts, lows, highs))
+    by_id = (hi.cast("double") - F.col("doc_id")) / (hi.cast("double") - lo + 1)
+    by_rank = (F.shiftright("rank", 11) + (1 << 52)) / F.lit(float(1 << 53))
+    part = F.floor(F.when(hi > lo, by_id).otherwise(by_rank) * m)
+    dealt = zoned.withColumn("bucket", F.get(_folded(firsts), F.col("zone")) + F.when(m > 1, F.greatest(F.lit(0), F.least(m - 1, part))).otherwise(F.lit(0)))
+    # Heads: the first row of each bucket, one for some thousands of rows. A bucket's row before is in
+    # the bucket before, of this zone, or in the last one of the zone before.
+    head = F.min(F.struct(F.bitwise_not("doc_id").alias("turned"), F.col("rank").alias("first_rank"))).alias("head")
+    heads = settle(dealt.groupBy("zone", "bucket").agg(head).select("zone", F.col("bucket").alias("of"), "head.*"))
+    last = {r["zone"]: r["last"] for r in heads.groupBy("zone").agg(F.max("of").alias("last")).collect()}
+    order = sorted(last)
+    before_zone = [0] * (order[-1] + 1)
+    for a, b in zip([order[-1], *order], order):
+        before_zone[b] = last[a]
+    before = F.coalesce(F.lag("of").over(Window.partitionBy("zone").orderBy("of")), F.get(_folded(before_zone), F.col("zone")))
+    heads = heads.withColumn("before", before).drop("zone")
+    if at <= _FEW_HEADS:
+        heads = F.broadcast(heads)
+    own = (F.col("bucket") == F.col("of")) & F.bitwise_not("doc_id").eqNullSafe(F.col("turned")) & (F.col("rank") == F.col("first_rank"))
+    first = dealt.join(heads, own).select("doc_id", "text", "rank", F.col("before").alias("bucket")).dropDuplicates(["bucket"])
+    columns = ["doc_id", "text", "rank", "bucket"]
+    return dealt.select(*columns, F.lit(False).alias("halo")).unionByName(first.select(*columns, F.lit(True).alias("halo")))
 
 
 def next_window() -> Window:
@@ -194,7 +237,7 @@ def compare_with_edits(docs: DataFrame, *, k: int = 5, window: int = 16, id_col:
     both fingerprints, and likenesses of the fingerprint to the edited text's and to the
     next document's."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    both = with_next(picked).withColumn("rank", F.xxhash64("text"))
+    both = with_next(picked.withColumn("rank", F.xxhash64("text")))
     order = next_window()
     led = both.withColumn("next_text", F.lead("text").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
