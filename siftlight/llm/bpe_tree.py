@@ -29,13 +29,16 @@ from siftlight.llm.common import slices, text_or_empty
 #: A white-space character after another: every such character that all of the libraries call one.
 _STEP = re.compile(r"(?<=[!-~])[ \t\n\r]")
 
+#: Characters of a leaf: most documents have more, and so a tree.
+LEAF = 512
+
 
 class TreeCodec:
     """Encodes and decodes with the ranks in a file, ``leaf`` characters at a time."""
 
     _open: dict[tuple, "TreeCodec"] = {}
 
-    def __init__(self, path: str, pattern: str, leaf: int = 4096):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -48,7 +51,7 @@ class TreeCodec:
             self.sizes[rank], self.bytes[rank] = len(token), token
 
     @classmethod
-    def of(cls, path: str, pattern: str, leaf: int = 4096) -> "TreeCodec":
+    def of(cls, path: str, pattern: str, leaf: int = LEAF) -> "TreeCodec":
         key = (path, pattern, leaf)
         if key not in cls._open:
             cls._open[key] = cls(*key)
@@ -115,14 +118,14 @@ class TreeCodec:
             width *= 2
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= self.leaf:
+        if len(ids) <= max(1, self.leaf // 4):
             return b"".join(map(self.bytes.__getitem__, ids.tolist()))
         middle = len(ids) // 2
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF
 ) -> DataFrame:
     """doc_id and ids (array of int) per document."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -136,7 +139,7 @@ def encode_documents(
     return _picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_documents(coded: DataFrame, ranks_path: str, pattern: str, *, leaf: int = 4096) -> DataFrame:
+def decode_documents(coded: DataFrame, ranks_path: str, pattern: str, *, leaf: int = LEAF) -> DataFrame:
     """doc_id and decoded (binary) for the output of ``encode_documents``."""
     schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.binary())])
 
@@ -150,7 +153,7 @@ def decode_documents(coded: DataFrame, ranks_path: str, pattern: str, *, leaf: i
 
 
 def round_trip(
-    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF
 ) -> DataFrame:
     """Encodes every text, decodes its ids, and returns the number of ids and the digests
     of both, so that neither leaves the executors."""
