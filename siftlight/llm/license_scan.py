@@ -15,6 +15,7 @@ repeated rows are scanned like others; other columns are ignored; empty in, empt
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -116,9 +117,11 @@ class NoticeScanner:
         joined = b" ".join([b"", *words, b""])
         base = []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, counted, word = joined.find(phrase), 0, 0
             while at >= 0:
-                base.append((label, joined.count(b" ", 0, at)))
+                word += joined.count(b" ", counted, at)
+                counted = at
+                base.append((label, word))
                 at = joined.find(phrase, at + 1)
         return len(words), sorted(base, key=lambda x: x[1]), self._fuzzy(joined.decode()) if words else []
 
@@ -128,6 +131,7 @@ class NoticeScanner:
             for number, offset in uses:
                 starts.setdefault(number, set()).add(end + 1 - size - offset)
         found = []
+        spaces = None  # where words part, to number them
         for number, places in starts.items():
             notice, size = self.notices[number], len(self.notices[number].words)
             done = -1
@@ -150,7 +154,9 @@ class NoticeScanner:
                             continue
                     done = match.end()
                     if edits or not notice.whole:  # whole and without edits: a base phrase
-                        found.append((notice.label, line.count(" ", 0, a) - 1, line.count(" ", 0, b) - 1, edits))
+                        if spaces is None:
+                            spaces = [i for i, c in enumerate(line) if c == " "]
+                        found.append((notice.label, bisect_left(spaces, a) - 1, bisect_left(spaces, b) - 1, edits))
         return sorted(found, key=lambda x: x[1:])
 
 
