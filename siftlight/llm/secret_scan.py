@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlight.llm.common import text_or_empty
+from siftlight.llm.common import settle, text_or_empty
 from siftlight.llm.trigrams import Query, trigram_query
 
 
@@ -77,6 +77,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: So many candidates (16 bytes each) are broadcast.
+_FEW = 2_000_000
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -129,21 +131,36 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return each.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 
+_BLOCK = 256
+
+
+def _walked(pairs: Column) -> Column:
+    """Spans of gaps and matches that follow each other. They are gathered by blocks, since
+    every addition to an array copies it."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(s, p):
+        first = s["at"] + p["gap"]
+        return F.struct((first + p["size"]).alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("start"), (first + p["size"]).alias("end")))).alias("out"))
+
+    def block(s, b):
+        some = F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK))
+        begin = F.struct(s["last"]["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.struct(F.aggregate(some, begin, step).alias("last"), F.array_append(s["all"], s["last"]["out"]).alias("all"))
+
+    none = F.struct(start.alias("last"), F.array().cast(f"array<{_SPAN}>").alias("all"))
+    blocks = F.sequence(F.lit(0), F.floor(F.size(pairs) / _BLOCK).cast("int"))
+    return F.aggregate(blocks, none, block, lambda s: F.flatten(F.array_append(s["all"], s["last"]["out"])))
+
+
 def _spans(rule: Rule) -> Column:
     """Spans of a rule in ``text``: what is left of the text between the matches, and the
     matches, give the positions."""
     gaps = F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x))
     matches = F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("size"))
-    walked = F.aggregate(
-        pairs, start,
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + p["size"]).alias("end")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    # Bound to a name, so that the pattern is searched once.
+    walked = F.element_at(F.transform(F.array(pairs), _walked), 1)
     if not rule.least:
         return walked
     if rule.group == 0:
@@ -164,7 +181,10 @@ def _found(rule: Rule, bit: int) -> Column:
 def _verified(docs: DataFrame, rules: tuple[Rule, ...], block_docs: int) -> DataFrame:
     """``docs`` (doc_id, text and any others) with a column of spans for each kind."""
     picked = docs.select("doc_id", "text")
-    found = candidates(build_index(picked, rules, block_docs), rules)
+    found = settle(candidates(build_index(picked, rules, block_docs), rules))
+    # Few enough candidates go to the texts; only where there are more do texts move.
+    if found.count() <= _FEW:
+        found = F.broadcast(found)
     keyed = docs.withColumn("key", _key()).join(found, "key", "left").drop("key")
     keyed = keyed.withColumn("rules", F.coalesce("rules", F.lit(0)))
     return keyed.withColumns({f"s_{rule.kind}": _found(rule, i) for i, rule in enumerate(rules)}).drop("rules")
