@@ -200,11 +200,54 @@ def test_quality_rules(spark, folder, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
-def plain_winnow(text, k=5, window=16):
-    """Selected (place, gram), rightmost smallest of each window, by the module's gram order."""
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-    grams = [tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, min(1, len(words))))]
-    return words, grams
+P36, B = 2**36 - 5, 49_329_351
+
+
+def plain_items(text, fine):
+    """What the grams are made of: words, or the letters of a short text."""
+    import regex
+
+    if fine and len(text) > 1024:
+        return []
+    if not regex.search(r"[\p{L}\p{N}]", text):
+        return list(text)
+    if fine:
+        return list(regex.sub(r"[^\p{L}\p{N}]+", "", text.lower()))
+    spaced = regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", r" \g<0> ", text.lower())
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", spaced) if w]
+    return [x for w in words for x in (w if len(w) > 40 else [w])]
+
+
+def plain_winnow(text, fine):
+    """Selected (place, hash): rolling hashes by their recurrence, rightmost smallest of each window."""
+    k, window = (5, 2) if fine else (5, 16)
+    signed = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in plain_items(text, fine)]
+    h = [(x - 2**64 if x >= 2**63 else x) % (P36 - 1) + 1 for x in signed]
+    if not h:
+        return []
+    if len(h) <= k:
+        grams = [sum(x * B ** (k - 1 - i) for i, x in enumerate(h)) % P36]
+    else:
+        grams = [sum(x * B ** (k - 1 - i) for i, x in enumerate(h[:k])) % P36]
+        for out, new in zip(h, h[k:]):
+            grams.append(((grams[-1] - out * B ** (k - 1)) * B + new) % P36)
+    picked = []
+    for i in range(max(1, len(grams) - window + 1)):
+        place = min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j], -j))
+        if not picked or picked[-1][0] != place:
+            picked.append((place, grams[place]))
+    return picked
+
+
+def plain_digest(text):
+    shown = [",".join(f"{h << 27 | (2**27 - 1 - p):X}" for p, h in plain_winnow(text, fine)) for fine in (False, True)]
+    return hashlib.sha256(";".join(shown).encode()).hexdigest()
+
+
+def plain_likeness(a, b):
+    fine = [{h for _, h in plain_winnow(t, True)} for t in (a, b)]
+    p, q = fine if all(fine) else ({h for _, h in plain_winnow(t, False)} for t in (a, b))
+    return len(p & q) / len(p | q) if p | q else 1.0
 
 
 def test_fingerprints(spark, folder, texts):
@@ -219,7 +262,8 @@ def test_fingerprints(spark, folder, texts):
         r = found[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_digest(t), plain_digest(edited)), t[:60]
+        assert r["near_edited"] == pytest.approx(plain_likeness(t, edited)) and r["near_next"] == pytest.approx(plain_likeness(t, following))
         assert edited != t or (r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"])
     long = [i for i in order if len(texts[i] or "") > 1500 and i < 10_000]
     assert np.mean([found[i]["near_edited"] for i in long]) > np.mean([found[i]["near_next"] for i in long]) + 0.15

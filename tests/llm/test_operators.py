@@ -322,13 +322,58 @@ def test_hypergeometric_matrix():
 
 
 def test_shards_are_uniform(spark):
-    """Every row gets to every shard about equally often over seeds."""
+    """Every row gets to every shard about equally often over seeds (chi-square)."""
     df = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(3)
     hits = np.zeros((64, 4))
     for seed in range(12):
         for r in hyper_shard.shuffle_into_shards(df, 4, seed=seed, bucket_rows=5).collect():
             hits[r["doc_id"], r["shard"]] += 1
-    assert hits.sum() == 64 * 12 and np.allclose(hits.sum(axis=0), 192) and hits.max() <= 10
+    assert hits.sum() == 64 * 12 and np.allclose(hits.sum(axis=0), 192) and ((hits - 3) ** 2 / 3).sum() < 192 + 5 * (2 * 192) ** 0.5
+
+
+def test_rows_go_where_the_matrix_says(spark):
+    """Each partition's rows, in the order of its permutation, are cut by its line of the matrix; slots are permuted again."""
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(5, "doc_id").checkpoint()
+    placed = {r["doc_id"]: (r["shard"], r["slot"]) for r in hyper_shard.shuffle_into_shards(df, 7, seed=3, bucket_rows=20).collect()}
+    own = df.withColumn("row", F.monotonically_increasing_id()).select("doc_id", F.spark_partition_id().alias("part"), "row", hyper_shard._random(3, 1).alias("key"))
+    parts = {}
+    for r in own.collect():
+        parts.setdefault(r["part"], []).append((r["key"], r["row"], r["doc_id"]))
+    order = sorted(parts)
+    matrix = hyper_shard.communication_matrix([len(parts[p]) for p in order], hyper_shard.shard_sizes(500, 7), 3)
+    for p, line in zip(order, matrix):
+        want = np.repeat(np.arange(7), line).tolist()
+        assert [placed[i][0] for _, _, i in sorted(parts[p])] == want
+    for shard in range(7):
+        ids = [i for _, i in sorted((slot, i) for i, (s, slot) in placed.items() if s == shard)]
+        assert sorted(placed[i][1] for i in ids) == list(range(len(ids))) and ids != sorted(ids)
+
+
+def test_next_documents_in_buckets_of_any_size(spark):
+    """Hot ids, null ids and copies are split, and every row's next one is that of one long list."""
+    rows = [(i, f"t{i % 40}") for i in range(300)] + [(150, f"h{i}") for i in range(400)] + [(None, f"n{i % 150}") for i in range(300)] + [(7, "same")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rank", F.xxhash64("text"))
+    for per in (9, 50, 5000):
+        dealt = winnow.with_next(df, per, 8)
+        led = dealt.withColumn("next", F.lead(F.struct("doc_id", "text")).over(winnow.next_window())).where("NOT halo").collect()
+        order = sorted(led, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["rank"]))
+        assert len(led) == len(rows)
+        got = sorted((str(r["doc_id"]), r["text"], str(r["next"]["doc_id"]), r["next"]["text"]) for r in led)
+        want = sorted((str(a["doc_id"]), a["text"], str(b["doc_id"]), b["text"]) for a, b in zip(order, order[1:] + order[:1]))
+        assert got == want
+        sizes = [r["count"] for r in dealt.where("NOT halo").groupBy("bucket").count().collect()]
+        assert max(sizes) <= 6 * per and (per > 100 or len(sizes) > 10)
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans are gathered by blocks, over several of them and at their edges."""
+    import re
+
+    texts = [" ".join(f"token=abc{i:06d}é" for i in range(n)) for n in (1, 255, 256, 257, 512, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan_secrets(df).collect():
+        spans = [m.span() for m in re.finditer(r"token=[A-Za-z0-9]+", texts[r["doc_id"]])]
+        assert [(x["start"], x["end"]) for x in r["base"]] == spans
 
 
 def test_winnowing_guarantee(spark):
