@@ -155,16 +155,17 @@ def _folded(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
-def _zones(docs: DataFrame, wanted: int) -> tuple[Column, int]:
-    """The number of a row's zone, which rises as doc_id falls, and how many there may be.
-    Zones part the ids at quantiles; an id of very many rows has one to itself, and so have
-    rows without an id."""
+def _zones(docs: DataFrame, total: int, wanted: int) -> Column:
+    """The number of a row's zone, which rises as doc_id falls. Zones part the ids about
+    evenly, at quantiles of some hundred rows a zone, taken by hash; an id of very many rows
+    has one to itself, and so have rows without an id."""
     shares = [i / wanted for i in range(1, wanted)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * wanted).alias("q")).first()["q"] or []
+    taken = docs.where(F.pmod(F.xxhash64("doc_id", "rank"), F.lit(1 << 40)) < int(min(1.0, 100 * wanted / max(1, total)) * (1 << 40)))
+    found = taken.agg(F.percentile_approx("doc_id", shares, 20 * wanted).alias("q")).first()["q"] or []
     many = {a for a, b in zip(found, found[1:]) if a == b and a < (1 << 63) - 1}
     bounds = sorted({*found, *(x + 1 for x in many)})
     if not bounds:
-        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)), 2
+        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
     whole = _folded(bounds)
 
     def halve(s, _):
@@ -179,10 +180,10 @@ def _zones(docs: DataFrame, wanted: int) -> tuple[Column, int]:
     # Binary search for the number of bounds that are not above the id.
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
     below = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda s: s["lo"])
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below), len(bounds) + 2
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below)
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_zones: int = 4_096) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_bucket: int = 256, most_zones: int = 4_096) -> DataFrame:
     """``docs`` (doc_id, text, rank) with ``bucket`` and ``halo``, by which a window finds the
     next document in descending order of doc_id, and after the last the first. Rows of one
     id are in order of ``rank``, a hash of the text; rows without an id come last.
@@ -192,8 +193,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_zones: int = 4
     buckets as they need, by id or, where all ids are one or none, by rank. Each bucket also
     gets the first row of the bucket after it, marked ``halo``."""
     total = docs.count()
-    zone, _ = _zones(docs, int(min(most_zones, max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // rows_per_bucket))))
-    zoned = docs.withColumn("zone", zone.cast("int"))
+    wanted = min(most_zones, max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // rows_per_bucket))
+    zoned = docs.withColumn("zone", _zones(docs, total, wanted).cast("int"))
     stats = sorted((r["zone"], r["n"], r["lo"], r["hi"]) for r in zoned.groupBy("zone").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect())
     if not stats:
@@ -208,7 +209,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2_000, most_zones: int = 4
     by_rank = (F.shiftright("rank", 11) + (1 << 52)) / F.lit(float(1 << 53))
     part = F.floor(F.when(hi > lo, by_id).otherwise(by_rank) * m)
     dealt = zoned.withColumn("bucket", F.get(_folded(firsts), F.col("zone")) + F.when(m > 1, F.greatest(F.lit(0), F.least(m - 1, part))).otherwise(F.lit(0)))
-    # Heads: the first row of each bucket, one for some thousands of rows. A bucket's row before is in
+    # Heads: the first row of each bucket, one for some hundreds of rows. A bucket's row before is in
     # the bucket before, of this zone, or in the last one of the zone before.
     head = F.min(F.struct(F.bitwise_not("doc_id").alias("turned"), F.col("rank").alias("first_rank"))).alias("head")
     heads = settle(dealt.groupBy("zone", "bucket").agg(head).select("zone", F.col("bucket").alias("of"), "head.*"))
