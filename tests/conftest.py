@@ -16,6 +16,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     yield session
 
 
