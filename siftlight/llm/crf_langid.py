@@ -7,7 +7,7 @@ chains at a time. A document's language is the label with the largest mean margi
 that mean is its score.
 
 Chains are lines, cut after ``CHAIN`` words. Training takes at most ``per_label`` whole
-documents of each label, by order of a hash of their ids, of at most ``LONGEST``
+documents of each label, by order of a hash of their ids, of each its first ``LONGEST``
 characters; segments of them are strung together so that transitions are learned from
 switches. Nothing but a row's text is used to predict.
 
@@ -19,7 +19,9 @@ reach, but half of the grams at most, is the least that a label's text must have
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every
 text if there is nothing to learn from; null ids aren't held out nor learned from;
-repeated rows are predicted alike; other columns are ignored; empty in, empty out.
+repeated rows are predicted alike; of labels with equal marginals the first by name is
+taken; a text of any length counts whole, runs of over 40 letters in pieces; other columns
+are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ _BITS = 17
 _BUCKETS = 1 << _BITS
 _CACHE = 250_000
 _GRAM_BITS = 19
-_WORD = re.compile(r"[^\W\d_]+")
+#: Longer runs of letters are cut, so that every letter is in some word.
+_WORD = re.compile(r"[^\W\d_]{1,40}")
 #: Characters beyond those among which the pattern above finds letters only.
 _ODD = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
@@ -77,7 +80,7 @@ class Spelled:
 
 
 def spell(words: list[str]) -> Spelled:
-    raw = [f"^{w if len(w) <= 40 else w[:20] + w[-20:]}$".encode() for w in words]
+    raw = [f"^{w}$".encode() for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -361,8 +364,8 @@ def training_rows(docs: DataFrame, per_label: int = 250, *, id_col: str = "doc_i
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
     counts = docs.where(usable).groupBy(F.col(label_col).cast("string").alias("label")).count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(17)), 11) / F.lit(float(1 << 53))
-    rows = docs.where(usable & (F.length(text_col) <= LONGEST)).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), draw.alias("draw"), F.col(id_col).alias("id")
+    rows = docs.where(usable & F.col(text_col).isNotNull()).select(
+        F.left(F.col(text_col), F.lit(LONGEST)).alias("text"), F.col(label_col).cast("string").alias("label"), draw.alias("draw"), F.col(id_col).alias("id")
     )
     few = counts.select(F.col("label").alias("of"), (F.lit(3.0 * per_label) / F.col("count")).alias("share"))
     near = rows.join(F.broadcast(few), F.col("label") == F.col("of")).where("draw < share")

@@ -9,7 +9,9 @@ whole words only, so that a slip in one is found in whatever sentence it stands.
 
 Letters A-Z count as a-z; words are runs of digits, letters and characters from U+0080
 on. Defined results: a null or empty text has no words and no labels; null ids and
-repeated rows are scanned like others; other columns are ignored; empty in, empty out.
+repeated rows are scanned like others; matches of one place are in order of end, then label;
+a text of any length is scanned whole, in time about proportional to it; other columns are
+ignored; empty in, empty out.
 """
 
 from __future__ import annotations

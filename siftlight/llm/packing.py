@@ -14,8 +14,10 @@ partly filled sequence of a partition is cut into sequences of power-of-two leng
 which need no padding.
 
 Defined results: a null text is an empty one (a document of just the end id); null ids
-and repeated rows are packed like any others; columns other than the two named are
-ignored, whatever they are called; an empty table gives no pieces.
+and repeated rows are packed like any others; of equal scores the piece that waits at the
+lowest place is taken; a text of any length gives whole sequences and a rest, while its ids
+are held once; columns other than the two named are ignored, whatever they are called; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ how common a trigram is.
 
 Defined results: a null or empty text has no spans; null ids and repeated rows each get
 their own row; other columns are ignored by ``scan`` and kept by ``redact``; an empty
-table gives no rows. Positions are code points, the end exclusive.
+table gives no rows. Spans of one start are in order of kind. A text of any length is
+scanned whole. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ pairs; these join up by alternating large-star and small-star contraction.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a
 null ``doc_id`` doesn't become a group's id unless the whole group has none; repeated
-rows are kept, each with its group; other columns are ignored; empty in, empty out.
+rows are kept, each with its group; a text of any length counts whole, its hashes being
+summed by blocks; other columns are ignored; empty in, empty out.
 
 ``keep_distinct`` goes by the shingles themselves: links are texts whose sets of shingles
 are alike by ``least`` or more (Jaccard). Fingerprints of such texts are up to 11 bits

@@ -5,6 +5,10 @@ concatenated as far as they form a small set of strings; each such set gives an
 its strings of the AND of their trigrams. A query is kept as a list of alternatives,
 each a set of trigrams that must all occur; None means that nothing is mandatory, so
 every text has to be scanned. Trigrams are in lower case.
+
+Defined results: an empty pattern, one whose every match may be shorter than three characters
+and one with a branch that asks for nothing give None; sets of more than ``_MOST`` strings or
+alternatives are weakened, never dropped, so that no match is lost.
 """
 
 from __future__ import annotations
