@@ -39,6 +39,8 @@ SCHEMA = (
 )
 #: Sequences of one partition get consecutive ids from here on, times the partition's number.
 _ROOM = 1 << 33
+#: Chunks whose ids a worker remembers, twice over.
+_MEMO = 200_000
 
 
 class VectorPacker:
@@ -224,7 +226,7 @@ def pack_documents(
     limits = {"tokens": tokens, "segments": segments, "loss": loss}
 
     def run(batches):
-        return _packed_rows(batches, ChunkTokenizer.of(tokenizer_path, "byte_level").encode, end_id, limits)
+        return _packed_rows(batches, ChunkTokenizer.of(tokenizer_path, "byte_level", _MEMO).encode, end_id, limits)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return picked.mapInArrow(run, SCHEMA)
@@ -240,7 +242,7 @@ def pack_conversations(
     schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def run(batches):
-        encode = ChunkTokenizer.of(tokenizer_path, "byte_level").encode
+        encode = ChunkTokenizer.of(tokenizer_path, "byte_level", _MEMO).encode
         packer = VectorPacker(tokens=tokens, segments=segments, loss=loss)
         sequence, waiting = partition_number() * _ROOM, {}
 

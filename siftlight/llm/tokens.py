@@ -38,7 +38,7 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 class ChunkTokenizer:
     """``encode(texts)`` gives, per text, its ids as bytes of unsigned 32-bit integers."""
 
-    _open: dict[tuple[str, str], ChunkTokenizer] = {}
+    _open: dict[tuple, ChunkTokenizer] = {}
 
     def __init__(self, path: str, kind: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,10 +55,11 @@ class ChunkTokenizer:
         self.known = _Known(self)
 
     @classmethod
-    def of(cls, path: str, kind: str) -> ChunkTokenizer:
-        if (path, kind) not in cls._open:
-            cls._open[path, kind] = cls(path, kind)
-        return cls._open[path, kind]
+    def of(cls, path: str, kind: str, limit: int = 400_000) -> ChunkTokenizer:
+        key = (path, kind, limit)
+        if key not in cls._open:
+            cls._open[key] = cls(*key)
+        return cls._open[key]
 
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
