@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from siftlight.operators import chunk, cluster, embed, fusion, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, project, search
 from siftlight.plans import measure
 from siftlight.sources import files, markdown
 from siftlight.sources.store import Store
@@ -46,10 +47,14 @@ def _parser() -> argparse.ArgumentParser:
     add.add_argument("--alpha", type=float, default=fusion.ALPHA)
     add.add_argument("--lambda", dest="trade", type=float, default=fusion.DIVERSITY)
     add.add_argument("--rerank", action="store_true")
-    add.add_argument("--rerank-model")
+    add.add_argument("--rerank-model", default=embed.DEFAULT_RERANKER, help="a cross-encoder, or overlap: the offline stand-in")
+    add.add_argument("--where", help="a condition on the table's columns, such as cluster = 3")
+    add.add_argument("--ef", type=int, help="search an index, which is made where there is none, and look at so many vectors")
     add = sub.add_parser("cluster")
     add.add_argument("--store", required=True)
     add.add_argument("--k", type=int, default=cluster.K)
+    add.add_argument("--entries", metavar="JSON", help="entries with a text, to be written with their clusters to --out")
+    add.add_argument("--out")
     add = sub.add_parser("sweep")
     add.add_argument("--store", required=True)
     add.add_argument("--min-k", type=int, default=2)
@@ -82,11 +87,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
 
 
 def _ingest(spark, a) -> str:
-    pages = files.extract_pages(files.find(spark, a.path))
-    chunks = files.extract_chunks(files.extract_texts(pages), a.max_chars, a.overlap).persist()
-    lines = [f"skipped {r['source']}: {r['reason']}" for r in files.quarantine(pages).collect()]
+    try:
+        texts, bad = files.read_texts(spark, a.path)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
+    chunks = files.extract_chunks(texts, a.max_chars, a.overlap).persist()
+    lines = [f"skipped {r['source']}: {r['reason']}" for r in bad.collect()]
     if a.out:
-        markdown.write(chunks.withColumn("n", F.xxhash64("source")), a.out, order="ordinal")
+        markdown.write(chunks, a.out, order=("source", "ordinal"))
     if a.store:
         done = Store(spark, a.store).ingest(chunks, embedder_of(a.model), a.reset)
         lines.append(f"{done.fresh} embedded, {done.hits} there already, {done.stale} dropped, {done.sources} sources")
@@ -111,20 +119,35 @@ def _load(spark, a) -> str:
 
 
 def _search(spark, a) -> str:
-    table = Store(spark, a.store).read()
+    store = Store(spark, a.store)
     needs = a.method not in ("lexical", "tfidf")
-    scorer = embed.CrossEncoderScorer(a.rerank_model) if a.rerank_model else embed.OverlapScorer()
-    found = search.Searcher(table, embedder_of(a.model) if needs else None).search(
-        a.query, a.method, a.k, a.candidates, do_rerank=a.rerank, scorer=scorer, alpha=a.alpha, trade=a.trade
+    scorer = embed.OverlapScorer() if a.rerank_model == "overlap" else embed.CrossEncoderScorer(a.rerank_model)
+    searcher = search.Searcher(store.read(), embedder_of(a.model) if needs else None, "chunk_hash", _index(spark, store) if needs and a.ef else None)
+    found = searcher.search(
+        a.query, a.method, a.k, a.candidates, do_rerank=a.rerank, scorer=scorer, alpha=a.alpha, trade=a.trade, where=a.where, ef=a.ef
     )
     return "\n".join(f"{r['rank']}. ({r['score']}) {r['text']}" for r in search.shown(found).collect())
 
 
+def _index(spark, store) -> dense.IvfIndex:
+    """The index of the store's last version, made when it is first asked for."""
+    where = f"{store.root}/_ivf-{store.manifest().rows[-1]}-{len(store.manifest().gone)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/centres/_SUCCESS")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return dense.IvfIndex.read(spark, where, "chunk_hash")
+    return dense.IvfIndex.create(store.read(), where, id_col="chunk_hash")
+
+
 def _cluster(spark, a) -> str:
     store = Store(spark, a.store)
+    store.verify()
     store.store_labels(cluster.kmeans(store.read(), a.k))
     found = cluster.members(store.read(), a.k, text_col="text").orderBy("cluster").collect()
-    return "\n".join(f"cluster {r['cluster']}: {r['n']}" + "".join(f"\n  {m['text']}" for m in r["first_members"] or ()) for r in found)
+    said = []
+    if a.entries and a.out:
+        n, missed = cluster.write_labelled(spark.read.json(a.entries), store.read(), a.out)
+        said = [f"{n} entries written, {missed} without a cluster"]
+    return "\n".join([*said, *(f"cluster {r['cluster']}: {r['n']}" + "".join(f"\n  {m['text']}" for m in r["first_members"] or ()) for r in found)])
 
 
 def _sweep(spark, a) -> str:
@@ -140,14 +163,19 @@ def _visualize(spark, a) -> str:
     points = (project.pca if a.pca else project.umap)(table)
     from siftlight.functions.text import wrap
 
-    page = project.plot(points.join(table.select("id", "cluster", wrap(F.col("text"), mark="\n").alias("text")), "id"))
     with open(a.out, "w", encoding="utf-8") as f:
-        f.write(page)
+        project.plot_to(points.join(table.select("id", "cluster", wrap(F.col("text"), mark="\n").alias("text")), "id"), f)
     return a.out
 
 
 def _bench(spark, a) -> str:
-    store = Store(spark, a.store)
-    searcher = search.Searcher(store.read(), embedder_of(a.model))
+    store, embedder = Store(spark, a.store), embedder_of(a.model)
+    searcher = search.Searcher(store.read(), embedder)
     times = {m: measure.bench(spark, lambda m=m: searcher.search(a.query, m).collect(), runs=a.runs) for m in search.METHODS}
-    return measure.report(spark, times, store.properties().dim)
+    times["embed one"] = measure.bench(spark, lambda: embedder.encode([a.query]), runs=a.runs)
+    texts = [r["text"] for r in store.read().select("text").orderBy("text").limit(max(measure.SIZES)).collect()]
+    scaled = {
+        "Embedding": measure.embed_scaling(embedder, texts, runs=min(a.runs, measure.SCALING_RUNS)),
+        "Insert": measure.insert_scaling(spark, embedder, texts, f"{store.root}/_bench-{uuid.uuid4().hex[:8]}", runs=min(a.runs, measure.INSERT_RUNS)),
+    }
+    return measure.report(spark, times, store.properties().dim, scaled)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from siftlight.functions.text import preview
 
 K, INITS, SWEEP_INITS, SEED, ITERATIONS = 10, 10, 3, 42, 300
 SAMPLE, WEAK = 8_000, 0.10
+PARALLEL = 4  # fits at a time
 
 
 def _features(vectors: DataFrame, embedding: str) -> DataFrame:
@@ -21,11 +23,19 @@ def _features(vectors: DataFrame, embedding: str) -> DataFrame:
 
 
 def _fit(table: DataFrame, k: int, inits: int, seed: int, iterations: int):
-    """The best of several starts, by the sum of squared distances."""
+    """The best of several starts, by the sum of squared distances, the first of equal ones.
+    A few starts run at a time: their jobs are small beside what a cluster can do."""
     from pyspark.ml.clustering import KMeans
 
-    models = (KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(table) for i in range(inits))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    def start(i: int):
+        return KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(table)
+
+    return min(_together(start, range(inits)), key=lambda m: m.summary.trainingCost)
+
+
+def _together(action, items) -> list:
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(action, items))
 
 
 def kmeans(vectors: DataFrame, k: int = K, *, inits: int = INITS, seed: int = SEED, iterations: int = ITERATIONS, embedding: str = "embedding") -> DataFrame:
@@ -103,14 +113,14 @@ def sweep(
     vectors: DataFrame, min_k: int = 2, max_k: int = 20, step: int = 1, *, sample: int = SAMPLE, id_col: str = "id",
     embedding: str = "embedding", inits: int = SWEEP_INITS, seed: int = SEED,
 ) -> DataFrame:
-    """(k, silhouette, inertia, smallest) for each k, on at most ``sample`` vectors."""
+    """(k, silhouette, inertia, smallest) for each k, on at most ``sample`` vectors (0: all)."""
     if min_k < 2 or max_k < min_k:
         raise ValueError("k goes from 2 or more to no less than that")
     table = _features(subsample(vectors, sample, id_col, seed), embedding).select("_v").persist()
     try:
         if max_k >= table.count():
             raise ValueError("max_k must be below the number of vectors")
-        rows = [score_k(table, k, inits, seed) for k in range(min_k, max_k + 1, step)]
+        rows = _together(lambda k: score_k(table, k, inits, seed), range(min_k, max_k + 1, step))
     finally:
         table.unpersist()
     return vectors.sparkSession.createDataFrame([(r.k, r.silhouette, r.inertia, r.smallest) for r in rows], "k int, silhouette double, inertia double, smallest int")
@@ -141,6 +151,15 @@ def attach_labels(entries: DataFrame, labelled: DataFrame, text: str = "text", i
     return entries.join(by_text, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
+def write_labelled(entries: DataFrame, labelled: DataFrame, path: str, text: str = "text", id_col: str = "id") -> tuple[int, int]:
+    """Writes ``entries`` with their clusters as JSON lines; how many there are, and how
+    many of them have no label."""
+    attach_labels(entries, labelled, text, id_col).write.mode("overwrite").json(path)
+    missed = F.count_if(F.col("cluster").isNull()) if entries.take(1) else F.lit(0)
+    written = entries.sparkSession.read.schema("cluster int").json(path).agg(F.count("*").alias("n"), missed.alias("missed")).first()
+    return written["n"], written["missed"]
+
+
 def fit_pca(spark: SparkSession, vectors: DataFrame, embedding: str = "embedding"):
     from pyspark.ml.feature import PCA
 

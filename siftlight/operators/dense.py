@@ -1,11 +1,14 @@
-"""Nearest vectors: exact, by hashing (LSH), and by inverted lists (IVF)."""
+"""Nearest vectors: exact, and by inverted lists (IVF)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlight.functions.vectors import dot, literal, norm
@@ -19,12 +22,21 @@ def check_dim(vectors: DataFrame, query, embedding: str = "embedding") -> None:
         raise ValueError(f"the query has {len(query)} dimensions, the table {row['d']}")
 
 
+def _sound(embedding: str, dim: int) -> Column:
+    """The vector, in doubles; zeros for a null one, one of another dimension or with nulls in it."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    v = F.col(embedding).cast("array<double>")
+    return F.coalesce(F.when((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull()), v), zero)
+
+
 def cosine_scores(vectors: DataFrame, query, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, score) of every vector; zero vectors score zero."""
+    """(id, score) of every vector. Zero vectors score zero, and so do rows without a vector
+    of the query's dimension or with nulls in it."""
     size = math.sqrt(sum(float(x) ** 2 for x in query))
     length = norm(F.col(embedding)) * size
     score = dot(F.col(embedding), literal(query)) / length
-    return vectors.select(F.col(id_col).alias("id"), F.when(length > 0, score).otherwise(F.lit(0.0)).alias("score"))
+    sound = (F.size(embedding) == len(query)) & (length > 0)
+    return vectors.select(F.col(id_col).alias("id"), F.coalesce(F.when(sound, score), F.lit(0.0)).alias("score"))
 
 
 def exact(vectors: DataFrame, query, k: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -33,94 +45,160 @@ def exact(vectors: DataFrame, query, k: int, id_col: str = "vec_id", embedding:
     return top(cosine_scores(vectors, query, id_col, embedding), k)
 
 
-def exact_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", block: int = 256) -> DataFrame:
-    """(query_id, id, score, rank) for a table of queries (query_id, vector), taken to the
-    executors in blocks of bounded size; each partition keeps its k best of each query
-    before anything is shuffled."""
+def _blocks(queries: DataFrame, dim: int, room: int) -> Iterator[tuple[list, np.ndarray, list]]:
+    """(names, unit vectors, lists to look into) of as many queries at a time as fit in
+    ``room`` bytes; the driver never holds more."""
+    most = max(1, room // (8 * dim))
+    lists = "lists" if "lists" in queries.columns else F.lit(None).alias("lists")
+    rows = queries.select("query_id", _sound("vector", dim).alias("vector"), lists).toLocalIterator()
+    while some := list(islice(rows, most)):
+        asked = np.array([r["vector"] for r in some], dtype=np.float64)
+        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+        yield [r["query_id"] for r in some], asked, [r["lists"] for r in some]
+
+
+class _Best:
+    """The k best of each query so far, by score, then id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: a row for each of the queries ``which``, a column for each id."""
+        if scores.shape[1] > 4 * self.k:  # only what reaches the k-th score of a row, ties and all
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+            scores, ids = scores[:, some], ids[some]
+        every = np.concatenate([self.scores[which], scores], axis=1)
+        names = np.concatenate([self.ids[which], np.broadcast_to(ids, scores.shape)], axis=1)
+        order = np.lexsort((names, -every), axis=1)[:, : self.k]
+        self.scores[which], self.ids[which] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
+def _scan(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int, room: int) -> DataFrame:
+    """(query_id, id, score, rank) over ``rows`` (id, v[, list]): one scan for as many
+    queries as fit in ``room``. Each partition keeps its k best of each query. With lists,
+    a query is held only against the rows of those it names."""
     import pyarrow as pa
     from pyspark.sql.window import Window
 
+    kind, sc = queries.schema["query_id"].dataType.simpleString(), rows.sparkSession.sparkContext
     parts = []
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    held = list(rows)
-    kind = queries.schema["query_id"].dataType.simpleString()
-    for at in range(0, len(held), block):
-        some = held[at : at + block]
-        names = [r["query_id"] for r in some]
-        asked = np.array([r["vector"] for r in some], dtype=np.float64)
-        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, names=names, asked=asked):
-            best: list[list[tuple[float, int]]] = [[] for _ in names]
+    for names, asked, lists in _blocks(queries, dim, room):
+        wanted: dict[int, list[int]] = {}
+        for q, own in enumerate(lists):
+            for x in own or ():
+                wanted.setdefault(x, []).append(q)
+        held = sc.broadcast((names, asked, {x: np.array(q) for x, q in wanted.items()}))
+
+        def run(batches, held=held):
+            names, asked, wanted = held.value
+            best, every = _Best(len(names), k), np.arange(len(names))
             for batch in batches:
-                ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(ids):
-                    continue
-                own = flat.reshape(len(ids), -1)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
                 own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                scores = np.round(asked @ own.T, 6)
-                for q in range(len(names)):
-                    order = np.lexsort((ids, -scores[q]))[:k]
-                    best[q] = sorted(best[q] + [(-scores[q][i], ids[i]) for i in order])[:k]
-            out = [(names[q], int(i), float(-s)) for q in range(len(names)) for s, i in best[q]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["query_id", "id", "score"])
-
-        picked = vectors.select(F.col(id_col).cast("long"), F.col(embedding).cast("array<double>"))
-        parts.append(picked.mapInArrow(run, f"query_id {kind}, id long, score double"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+                groups = [(every, np.arange(len(ids)))]
+                if batch.num_columns > 2:
+                    which = batch.column(2).to_numpy(zero_copy_only=False)
+                    groups = [(wanted[x], np.flatnonzero(which == x)) for x in np.unique(which).tolist() if x in wanted]
+                for asking, at in groups:
+                    for first in range(0, len(asking), block):
+                        some = asking[first : first + block]
+                        best.add(some, np.round(asked[some] @ own[at].T, 6), ids[at])
+            q, place = np.nonzero(np.isfinite(best.scores))
+            for at in range(0, len(q), 65_536):
+                a, b = q[at : at + 65_536], place[at : at + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a]), pa.array(best.ids[a, b]), pa.array(best.scores[a, b] + 0.0)], names=["query_id", "id", "score"])
+
+        parts.append(rows.mapInArrow(run, f"query_id {kind}, id long, score double"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id long, score double, rank long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return every.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-class LshIndex:
-    """Random projections in buckets; candidates are ranked by exact cosine."""
+def _dim(vectors: DataFrame, embedding: str) -> int:
+    row = vectors.select(F.size(embedding).alias("d")).where("d > 0").first()
+    return row["d"] if row else 1
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", bucket: float = 0.5, tables: int = 12, seed: int = 42):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
 
-        self.id_col, self.embedding = id_col, embedding
-        self.table = vectors.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
-        self.model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(self.table)
+def exact_many(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", block: int = 256, room: int = 256 << 20
+) -> DataFrame:
+    """(query_id, id, score, rank) for a table of queries (query_id, vector). They are
+    broadcast, as many at a time as take ``room`` bytes, for each of which the vectors are
+    scanned once; numpy compares ``block`` of them at a time. Vectors and queries that
+    ``cosine_scores`` would call unsound count as zero."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    dim = _dim(vectors, embedding)
+    return _scan(vectors.select(F.col(id_col).cast("long").alias("id"), _sound(embedding, dim).alias("v")), queries, k, dim, block, room)
 
-    def search(self, query, k: int) -> DataFrame:
-        from pyspark.ml.linalg import Vectors
 
-        near = self.model.approxNearestNeighbors(self.table, Vectors.dense([float(x) for x in query]), k)
-        return top(cosine_scores(near, query, self.id_col, self.embedding), k)
+class IvfIndex:
+    """Inverted lists under k-means centres, which are fit on a sample of at most ``sample``
+    vectors; every vector is in a list. There are about as many lists as a list has vectors,
+    if no number is given. A search compares the lists nearest to the query.
 
+    ``table``: the vectors with their ``list``; ``centres``: a row per list; ``sizes``: how
+    many vectors each has."""
 
-class IvfIndex:
-    """Inverted lists under k-means centres, which are fit on a sample of at most
-    ``sample`` vectors; every vector is in a list. ``probe`` lists are scanned."""
+    def __init__(self, table: DataFrame, centres: np.ndarray, sizes: dict[int, int], id_col: str, embedding: str):
+        self.table, self.centres, self.sizes, self.id_col, self.embedding = table, centres, sizes, id_col, embedding
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, id_col: str = "vec_id", embedding: str = "embedding", sample: int = 100_000, seed: int = 42):
+    @classmethod
+    def create(cls, vectors: DataFrame, root: str, lists: int | None = None, id_col: str = "vec_id", embedding: str = "embedding", sample: int = 100_000, seed: int = 42) -> IvfIndex:
+        """Fits the centres, writes the lists apart from each other below ``root``, and reads them."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.id_col, self.embedding = id_col, embedding
-        table = vectors.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
-        share = min(1.0, sample / max(1, vectors.count()))
+        spark, n, dim = vectors.sparkSession, vectors.count(), _dim(vectors, embedding)
+        table = vectors.withColumn("_v", array_to_vector(_sound(embedding, dim)))
+        lists = lists or max(1, min(65_536, round(math.sqrt(n))))
+        share = min(1.0, sample / max(1, n))
         seen = table if share == 1.0 else table.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="list", maxIter=20).fit(seen)
-        self.centres = np.array(model.clusterCenters())
-        self.table = model.transform(table).drop("_v")
-
-    def write(self, path: str) -> None:
-        """Keeps the lists apart on disk, so that a search reads only those it probes."""
-        self.table.write.partitionBy("list").parquet(path)
-
-    def search(self, query, k: int, probe: int = 8) -> DataFrame:
-        asked = np.array(query, dtype=np.float64)
-        near = np.argsort(((self.centres - asked) ** 2).sum(axis=1))[:probe]
-        return top(cosine_scores(self.table.where(F.col("list").isin(near.tolist())), query, self.id_col, self.embedding), k)
+        model = KMeans(k=max(2, lists), seed=seed, featuresCol="_v", predictionCol="list", maxIter=20).fit(seen.select("_v"))
+        model.transform(table).drop("_v").repartition("list").write.partitionBy("list").parquet(f"{root}/lists")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+        return cls.read(spark, root, id_col, embedding)
+
+    @classmethod
+    def read(cls, spark, root: str, id_col: str = "vec_id", embedding: str = "embedding") -> IvfIndex:
+        table = spark.read.parquet(f"{root}/lists")
+        centres = np.array([r["centre"] for r in spark.read.parquet(f"{root}/centres").orderBy("list").collect()])
+        return cls(table, centres, {r["list"]: r["count"] for r in table.groupBy("list").count().collect()}, id_col, embedding)
+
+    def _near(self, query) -> list[int]:
+        return np.argsort(((self.centres - np.array(query, dtype=np.float64)) ** 2).sum(axis=1), kind="stable").tolist()
+
+    def search(self, query, k: int, probe: int | None = None, ef: int | None = None) -> DataFrame:
+        """The k best of the nearest ``probe`` lists, or of as many as hold ``ef`` vectors."""
+        near = self._near(query)
+        if ef is not None:
+            held = np.cumsum([self.sizes.get(x, 0) for x in near])
+            probe = 1 + int(np.searchsorted(held, max(k, ef)))
+        picked = near[: probe or PROBE]
+        return top(cosine_scores(self.table.where(F.col("list").isin(picked)), query, self.id_col, self.embedding), k)
+
+    def search_many(self, queries: DataFrame, k: int, probe: int | None = None, block: int = 256, room: int = 256 << 20) -> DataFrame:
+        """(query_id, id, score, rank) for a table of queries (query_id, vector): one scan
+        of the lists for as many queries as fit in ``room``."""
+        dim, probe = self.centres.shape[1], probe or PROBE
+        apart = lambda c: F.aggregate(F.zip_with("vector", literal(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        ranked = F.array_sort(F.array(*[F.struct(apart(c).alias("away"), F.lit(i).alias("list")) for i, c in enumerate(self.centres.tolist())]))
+        asked = queries.select("query_id", _sound("vector", dim).alias("vector")).withColumn("lists", F.transform(F.slice(ranked, 1, probe), lambda x: x["list"]))
+        rows = self.table.select(F.col(self.id_col).cast("long").alias("id"), _sound(self.embedding, dim).alias("v"), "list")
+        return _scan(rows, asked, k, dim, block, room)
+
+
+#: Lists that a search looks into.
+PROBE = 16
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:
-    """The share of the true ids that were found."""
+    """The share of the true ids that were found, of each query if there are many."""
+    keys = [c for c in ("query_id", "id") if c in truth.columns]
     n = truth.count()
-    return truth.join(found.select("id"), "id", "left_semi").count() / n if n else 1.0
+    return truth.join(found.select(*keys), keys, "left_semi").count() / n if n else 1.0

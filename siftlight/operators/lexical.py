@@ -31,78 +31,81 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every document, Okapi BM25 with a floor for terms in over half."""
+    """(id, score) of every document, Okapi BM25 with a floor for terms in over half.
+
+    One pass counts the documents and the query's terms in them, where the texts are. Only
+    if a term is in over half of the documents is the mean idf of all terms needed; then
+    documents are counted by term too."""
     wanted = Counter(query_terms(docs.sparkSession, query))
     cut = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    # One pass: every document also counts for the empty term, which no text has, with its size.
-    each = cut.select(F.size("t").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), "")).alias("term"))
-    by_term = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
-    # Then by frequency, of which there are few, as all that idf depends on.
-    known = F.coalesce(*[F.when(F.col("term") == term, F.lit(j)) for j, term in enumerate(["", *wanted])])
-    by_df = by_term.groupBy("df", known.alias("known")).agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
-    folded = by_df.agg(
-        F.max(F.when(F.col("known") == 0, F.struct("df", "dl"))).alias("all"), F.collect_list(F.struct("df", "known", "terms")).alias("dfs")
-    )
-    n = F.col("all.df")
-    idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    own = F.filter("dfs", lambda x: ~x["known"].eqNullSafe(F.lit(0)))
-    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["terms"] * idf(x["df"]))
-    many = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["terms"])
-    # One row: the corpus' mean length, the mean idf, and the idf of each term of the query.
-    stats = folded.select(
-        (F.col("all.dl") / n).alias("avgdl"), (total / many).alias("mean"),
-        *[idf(_known_df(j)).alias(f"i{j - 1}") for j in range(1, len(wanted) + 1)],
-    )
-    frequency = [_count("t", term).alias(f"f{j}") for j, term in enumerate(wanted)]
     # One look at each token; what is counted are the few that the query has.
     hits = cut.select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(list(wanted))).alias("t"))
-    counted = hits.select("id", "dl", *frequency).crossJoin(F.broadcast(stats))
+    counted = hits.select("id", "dl", *[_count("t", term).alias(f"f{j}") for j, term in enumerate(wanted)])
+    seen = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"d{j}") for j in range(len(wanted))]).first()
+    n = seen["n"]
+    idfs = [math.log(n - d + 0.5) - math.log(d + 0.5) if d else 0.0 for d in (seen[f"d{j}"] for j in range(len(wanted)))]
+    floor = EPSILON * mean_idf(cut, n) if min(idfs, default=0.0) < 0 else 0.0
     parts = []
-    for j, times in enumerate(wanted.values()):
-        weight = F.coalesce(F.when(F.col(f"i{j}") < 0, EPSILON * F.col("mean")).otherwise(F.col(f"i{j}")), F.lit(0.0))
+    for j, (times, idf) in enumerate(zip(wanted.values(), idfs)):
         tf = F.col(f"f{j}")
-        room = tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-        parts.append(F.when(tf > 0, times * weight * tf * (K1 + 1) / room).otherwise(F.lit(0.0)))
+        room = tf + K1 * (1 - B + B * F.col("dl") / F.lit(seen["avgdl"]))
+        parts.append(F.when(tf > 0, times * (idf if idf >= 0 else floor) * tf * (K1 + 1) / room).otherwise(F.lit(0.0)))
     return counted.select("id", _sum(parts).alias("score"))
 
 
-def _known_df(number: int) -> Column:
-    """The frequency of a known term in ``dfs``; null if no document has it."""
-    return F.get(F.filter("dfs", lambda x: x["known"] == F.lit(number)), F.lit(0))["df"]
+def mean_idf(cut: DataFrame, n: int) -> float:
+    """The mean idf of all terms of ``cut`` (t), of n documents; counts are combined before
+    they are shuffled."""
+    by_term = cut.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return by_term.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
 
 
 def _count(array: str, term: str) -> Column:
     return F.size(F.filter(array, lambda x: x == F.lit(term)))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stops: tuple[str, ...] | None = None) -> DataFrame:
-    """(id, term, tf): the inverted index, to be kept as a table for many queries."""
-    words = word_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    stops = ENGLISH if stops is None else stops
-    each = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
-    return each.where(~F.col("term").isin(list(stops))).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def term_counts(words: Column) -> Column:
+    """An array of (term, tf) from an array of words: runs of equal ones, once sorted."""
+    def runs(w: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda f: F.array_append(F.slice(f, 2, F.size(f)), F.size(w) + 1)
+        pairs = lambda f: F.zip_with(f, ends(f), lambda a, b: F.struct(F.element_at(w, a).alias("term"), (b - a).alias("tf")))
+        return F.element_at(F.transform(F.array(firsts), pairs), 1)
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return F.element_at(F.transform(F.array(F.array_sort(words)), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none)), 1)
+
+
+#: idfs of so many terms (about 100 bytes each) are broadcast; more are joined by a shuffle.
+_FEW_TERMS = 1_000_000
 
 
 def tfidf_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document: cosine of TF-IDF vectors with smoothed idf.
 
-    Spark's English stop list is used."""
-    spark, stops = docs.sparkSession, ENGLISH
-    wanted = Counter(t for t in query_terms(spark, query, word_tokens) if t not in set(stops))
-    ids = docs.select(F.col(id_col).alias("id"))
-    index = postings(docs, id_col, text_col, stops)
-    total = ids.agg(F.count("*").alias("n"))
-    idf = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
-    idf = idf.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    Spark's English stop list is used. Terms are counted within each text; what is shuffled
+    are counts of documents by term, and one norm and product for each document."""
+    spark = docs.sparkSession
+    wanted = Counter(t for t in query_terms(spark, query, word_tokens) if t not in set(ENGLISH))
+    words = F.filter(word_tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ~w.isin(list(ENGLISH)))
+    counted = docs.select(F.col(id_col).alias("id"), term_counts(words).alias("terms"))
+    n = docs.count()
+    by_term = counted.select(F.explode(F.transform("terms", lambda x: x["term"])).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = by_term.select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist()
     asked = F.when(F.lit(False), F.lit(0))
     for term, times in wanted.items():
         asked = asked.when(F.col("term") == term, F.lit(times))
     asked = F.coalesce(asked, F.lit(0))
-    weighted = index.join(idf, "term").select("id", (F.col("tf") * F.col("idf")).alias("w"), (asked * F.col("idf")).alias("q"))
-    lengths = idf.agg(F.sqrt(F.sum(F.pow(asked * F.col("idf"), 2))).alias("query_norm"))
-    by_doc = weighted.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    found = by_doc.where("dot > 0").crossJoin(F.broadcast(lengths)).select("id", (F.col("dot") / (F.col("norm") * F.col("query_norm"))).alias("score"))
-    return ids.join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    size = idf.agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.pow(asked * F.col("idf"), 2))).alias("norm")).first()
+    if not size["norm"]:
+        idf.unpersist()
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+    told = F.broadcast(idf) if size["terms"] <= _FEW_TERMS else idf
+    each = counted.select("id", F.explode("terms").alias("x")).select("id", "x.term", "x.tf").join(told, "term")
+    each = each.select("id", (F.col("tf") * F.col("idf")).alias("w"), (asked * F.col("idf")).alias("q"))
+    found = each.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("dot > 0")
+    found = found.select("id", (F.col("dot") / (F.col("norm") * F.lit(size["norm"]))).alias("score"))
+    return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -130,37 +133,39 @@ def tfidf(docs: DataFrame, query: str, k: int, **columns) -> DataFrame:
 
 
 class LexicalIndex:
-    """BM25 over tables that are made once: postings (id, term, tf, dl), terms (term, df,
-    idf) and sizes (mean, n, avgdl, buckets). On disk the postings lie by term, so that a query
-    reads the buckets of its terms, and of their files the row groups that hold them."""
+    """BM25 over tables that are written once: postings (id, term, tf, dl), terms (term, df,
+    idf), sizes (mean, n, avgdl, buckets) and documents (id, dl). Postings and terms lie by
+    bucket of the term, so that a query reads the buckets of its terms, and of their files
+    the row groups that hold them."""
 
     def __init__(self, postings: DataFrame, terms: DataFrame, sizes: DataFrame, documents: DataFrame):
         self.postings, self.terms, self.sizes, self.documents = postings, terms, sizes, documents
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> LexicalIndex:
+    def create(cls, docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64, spread: int = 8) -> LexicalIndex:
+        """Writes the tables, each from the one before, so that texts are cut once. A term's
+        postings go to ``spread`` tasks, so that a term of every document is no task's burden."""
+        spark = docs.sparkSession
         cut = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-        each = cut.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        rows = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        rows = cut.select("id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("x")).select("id", "x.term", "x.tf", "dl")
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        total = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-        idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        terms = rows.groupBy("bucket", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).withColumn("idf", idf)
-        sizes = terms.agg(F.avg("idf").alias("mean")).crossJoin(total).withColumn("buckets", F.lit(buckets))
-        return cls(rows, terms.select("bucket", "term", "df", "idf"), sizes, cut.select("id"))
-
-    def write(self, root: str, spread: int = 8) -> None:
-        """A term's postings go to ``spread`` tasks at most and at least, so that a term of
-        every document is no task's burden."""
-        dealt = self.postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
-        self.terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
-        self.sizes.write.parquet(f"{root}/sizes")
-        self.documents.write.parquet(f"{root}/documents")
+        cut.select("id", F.size("t").alias("dl")).write.parquet(f"{root}/documents")
+        total = spark.read.parquet(f"{root}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        idf = F.log(total["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = spark.read.schema(rows.schema).parquet(f"{root}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
+        mean = spark.read.schema(terms.schema).parquet(f"{root}/terms").agg(F.avg("idf")).first()[0]
+        spark.createDataFrame([(mean, total["n"], total["avgdl"], buckets)], "mean double, n long, avgdl double, buckets int").write.parquet(f"{root}/sizes")
+        return cls.read(spark, root)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "terms", "sizes", "documents")))
+        names = {"postings": "id {}, term string, tf int, dl int, bucket int", "terms": "term string, df long, idf double, bucket int"}
+        kind = spark.read.parquet(f"{root}/documents").schema["id"].dataType.simpleString()
+        tables = [spark.read.schema(names[x].format(kind)).parquet(f"{root}/{x}") for x in ("postings", "terms")]
+        return cls(*tables, spark.read.parquet(f"{root}/sizes"), spark.read.parquet(f"{root}/documents"))
 
     def search(self, query: str, k: int, drop_zero: bool = False) -> DataFrame:
         """The k best; documents without a query term fill up what is left, by id, unless
@@ -169,24 +174,17 @@ class LexicalIndex:
         wanted = Counter(query_terms(spark, query))
         if not wanted:
             return top(self.documents.select("id", F.lit(0.0).alias("score")).where(F.lit(not drop_zero)), k)
+        sizes = self.sizes.first()
         asked = spark.createDataFrame(list(wanted.items()), "term string, times long")
-        where = asked.crossJoin(self.sizes.select("buckets")).select(F.pmod(F.xxhash64("term"), "buckets").cast("int").alias("b"))
+        where = asked.select(F.pmod(F.xxhash64("term"), F.lit(sizes["buckets"])).cast("int").alias("b"))
         buckets = [r["b"] for r in where.distinct().collect()]
         names = F.col("term").isin(list(wanted)) & F.col("bucket").isin(buckets)
-        weights = self.terms.where(names).select("term", "idf").join(F.broadcast(asked), "term").crossJoin(F.broadcast(self.sizes))
-        weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")) * F.col("times")
-        weights = weights.select("term", weight.alias("w"), "avgdl")
-        room = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-        hits = self.postings.where(names).join(F.broadcast(weights), "term")
-        scores = hits.groupBy("id").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / room).alias("score"))
+        idfs = {r["term"]: r["idf"] for r in self.terms.where(names).select("term", "idf").collect()}
+        weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(wanted[t] * (idf if idf >= 0 else EPSILON * sizes["mean"]))) for t, idf in idfs.items()], F.lit(0.0))
+        room = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(sizes["avgdl"]))
+        scores = self.postings.where(names).groupBy("id").agg(F.sum(weight * F.col("tf") * (K1 + 1) / room).alias("score"))
         if not drop_zero:
             # As many others as could be needed, the smallest ids.
             rest = self.documents.join(scores, "id", "left_anti").orderBy("id").limit(k)
             scores = scores.unionByName(rest.select("id", F.lit(0.0).alias("score")))
         return top(scores, k)
-
-
-
-def expected_idf(n: int, df: int) -> float:
-    """The idf of BM25, for tests and reports."""
-    return math.log(n - df + 0.5) - math.log(df + 0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import io
 import math
 
 import numpy as np
@@ -128,29 +129,31 @@ def umap(vectors: DataFrame, id_col: str = "id", embedding: str = "embedding", s
     return table.mapInArrow(run, "id long, x double, y double")
 
 
-def plot(points: DataFrame, title: str = "Clusters", most: int = 50_000) -> str:
-    """A page with a scatter of (x, y, cluster, text): a colour for each cluster, the text
-    as the tooltip. Rows without a cluster are in a group of their own. The page takes at
-    most ``most`` points, a hashed sample beyond."""
-    rows = subsample(points, most, "x").collect()
-    if not rows:
+def plot_to(points: DataFrame, out, title: str = "Clusters") -> int:
+    """Writes a page with a scatter of (x, y, cluster, text) to ``out``: a colour for each
+    cluster, the text as the tooltip. Rows without a cluster are in a group of their own.
+    All points are there; they pass through the driver one partition at a time."""
+    box = points.agg(F.count("*").alias("n"), *(f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in "xy")).first()
+    if not box["n"]:
         raise ValueError("there is nothing to plot")
-    xs, ys = [r["x"] for r in rows], [r["y"] for r in rows]
-    lo_x, lo_y = min(xs), min(ys)
-    span_x, span_y = (max(xs) - lo_x) or 1, (max(ys) - lo_y) or 1
-    labels = sorted({r["cluster"] for r in rows}, key=lambda c: (c is None, c if c is not None else 0))
-    radius, style = (1.5, 'fill-opacity="0.5"') if len(rows) > MANY else (5, 'stroke="white" stroke-width="0.5"')
-    parts = []
+    span_x, span_y = (box["maxx"] - box["minx"]) or 1, (box["maxy"] - box["miny"]) or 1
+    labels = sorted((r["cluster"] for r in points.select("cluster").distinct().collect()), key=lambda c: (c is None, c if c is not None else 0))
+    colours = {label: f"hsl({n * 360 // len(labels)},65%,50%)" for n, label in enumerate(labels)}
+    radius, style = (1.5, 'fill-opacity="0.5"') if box["n"] > MANY else (5, 'stroke="white" stroke-width="0.5"')
+    out.write(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><svg viewBox='0 0 1120 700' width='100%'><g {style}>")
+    for r in points.select("x", "y", "cluster", "text").toLocalIterator(prefetchPartitions=True):
+        x, y = 20 + 960 * (r["x"] - box["minx"]) / span_x, 680 - 660 * (r["y"] - box["miny"]) / span_y
+        out.write(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{radius}" fill="{colours[r["cluster"]]}"><title>{html.escape(r["text"] or "")}</title></circle>')
+    out.write("</g>")
     for n, label in enumerate(labels):
-        colour = f"hsl({n * 360 // len(labels)},65%,50%)"
-        marks = "".join(
-            f'<circle cx="{20 + 960 * (r["x"] - lo_x) / span_x:.1f}" cy="{680 - 660 * (r["y"] - lo_y) / span_y:.1f}" r="{radius}">'
-            f"<title>{html.escape(r['text'] or '')}</title></circle>"
-            for r in rows if r["cluster"] == label
-        )
         name = "unlabelled" if label is None else f"cluster {label}"
-        parts.append(f'<g fill="{colour}" {style}>{marks}</g><text x="1000" y="{30 + 18 * n}" fill="{colour}" font-size="13">{name}</text>')
-    return (
-        f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"
-        f"<svg viewBox='0 0 1120 700' width='100%'>{''.join(parts)}</svg>"
-    )
+        out.write(f'<text x="1000" y="{30 + 18 * n}" fill="{colours[label]}" font-size="13">{name}</text>')
+    out.write("</svg>")
+    return box["n"]
+
+
+def plot(points: DataFrame, title: str = "Clusters") -> str:
+    """The page as a string."""
+    out = io.StringIO()
+    plot_to(points, out, title)
+    return out.getvalue()

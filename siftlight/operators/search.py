@@ -17,11 +17,13 @@ DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
 
 @dataclass
 class Searcher:
-    """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along."""
+    """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along. With
+    an ``index`` over the same vectors, dense search looks into its nearest lists only."""
 
     table: DataFrame
     embedder: Embedder | None = None
     id_col: str = "id"
+    index: dense.IvfIndex | None = None
 
     def _vector(self, query: str):
         if self.embedder is None:
@@ -32,10 +34,19 @@ class Searcher:
 
     def search(
         self, query: str, method: str = DEFAULT_METHOD, k: int = K, candidates: int = CANDIDATES, *, do_rerank: bool = False,
-        scorer: PairScorer | None = None, alpha: float = fusion.ALPHA, trade: float = fusion.DIVERSITY,
+        scorer: PairScorer | None = None, alpha: float = fusion.ALPHA, trade: float = fusion.DIVERSITY, where: str | None = None, ef: int | None = None,
     ) -> DataFrame:
         """(rank, id, text, [source,] score). With reranking a method's first
-        ``candidates`` results are scored again and the k best stay."""
+        ``candidates`` results are scored again and the k best stay. ``where`` is a condition
+        in SQL on the table's columns; only rows that meet it take part. ``ef``: how many
+        vectors an index has to look at."""
+        if where is not None:
+            if self.index is not None:
+                raise ValueError("an index searches the whole table")
+            return Searcher(self.table.where(where), self.embedder, self.id_col).search(
+                query, method, k, candidates, do_rerank=do_rerank, scorer=scorer, alpha=alpha, trade=trade
+            )
+        self._ef = ef
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}: one of {', '.join(METHODS)}")
         if k < 1 or candidates < 1:
@@ -54,6 +65,8 @@ class Searcher:
         return rows.join(F.broadcast(found), "id").select("rank", "id", *columns, "score")
 
     def _dense(self, query, depth, candidates, alpha, trade):
+        if self.index is not None:
+            return self.index.search(self._vector(query), depth, ef=self._ef)
         return dense.exact(self.table, self._vector(query), depth, self.id_col)
 
     def _lexical(self, query, depth, candidates, alpha, trade):

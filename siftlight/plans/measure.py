@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftlight.functions.stats import latency_stats, storage_projection
 
 RUNS, WARM_UPS, SIZES = 30, 3, (1, 10, 50, 100)
+SCALING_RUNS, INSERT_RUNS = 20, 8
 
 
 def timed(action: Callable[[], object]) -> float:
@@ -36,19 +37,49 @@ def cycled(docs: list[str], n: int) -> list[str]:
     return [docs[i % len(docs)] for i in range(n)] if docs else []
 
 
-def bench_fresh(make: Callable[[str], object], root: str, runs: int = 8) -> float:
-    """The least time of writing a table anew, each time in a place of its own."""
-    return min(timed(lambda i=i: make(f"{root}/run-{i}")) for i in range(runs))
+def scaling(action: Callable[[int], Callable[[], object]], sizes: tuple[int, ...] = SIZES, runs: int = SCALING_RUNS) -> list[tuple[int, float, float]]:
+    """(batch size, least milliseconds, items a second by the mean) of ``runs`` calls of
+    ``action(size)``, made before the clock starts."""
+    out = []
+    for size in sizes:
+        times = [timed(action(size)) for _ in range(runs)]
+        out.append((size, min(times), size * len(times) * 1000 / max(1e-9, sum(times))))
+    return out
+
+
+def embed_scaling(embedder, docs: list[str], **options) -> list[tuple[int, float, float]]:
+    """Batches of texts through an embedder."""
+    return scaling(lambda n: lambda texts=cycled(docs, n): embedder.encode(texts), **options)
+
+
+def insert_scaling(spark: SparkSession, embedder, docs: list[str], root: str, runs: int = INSERT_RUNS, **options) -> list[tuple[int, float, float]]:
+    """Batches of rows, embedded before, into a fresh table each."""
+    from siftlight.sources.store import Properties, Store, build_rows
+
+    made = iter(range(1 << 30))
+
+    def insert(n: int):
+        texts = [f"{i} {t}" for i, t in enumerate(cycled(docs, n))]
+        rows, store = build_rows(spark, texts, embedder.encode(texts), embedder.model_id), Store(spark, f"{root}/run-{next(made)}")
+        return lambda: store.write(rows, Properties(embedder.model_id, embedder.dim))
+
+    return scaling(insert, runs=runs, **options)
+
+
+_SHOWN = ("best", "best_of_10", "mean", "p50", "p95", "p99", "max")
 
 
 def line(name: str, row) -> str:
     """A row of a markdown table."""
-    return "| " + " | ".join([name, *(f"{row[c]:.3f}" for c in ("best", "best_of_10", "mean", "p95", "p99", "max"))]) + " |"
+    return "| " + " | ".join([name, *(f"{row[c]:.3f}" for c in _SHOWN)]) + " |"
 
 
-def report(spark: SparkSession, measured: dict[str, DataFrame], dim: int) -> str:
-    """Markdown: latencies in milliseconds, and what vectors take."""
-    head = ["| metric | best | best of 10 | mean | p95 | p99 | max |", "|---|---|---|---|---|---|---|"]
+def report(spark: SparkSession, measured: dict[str, DataFrame], dim: int, scaled: dict[str, list[tuple[int, float, float]]] | None = None) -> str:
+    """Markdown: latencies in milliseconds, what batches of each size took, and what vectors take."""
+    head = ["| metric | best | best of 10 | mean | p50 | p95 | p99 | max |", "|---|---|---|---|---|---|---|---|"]
     rows = [line(name, df.first()) for name, df in measured.items()]
+    batches = []
+    for name, found in (scaled or {}).items():
+        batches += [f"## {name} by batch size", "", "| batch | best (ms) | per second |", "|---|---|---|", *(f"| {n} | {ms:.3f} | {rate:.1f} |" for n, ms, rate in found), ""]
     room = [f"- {r['vectors']:,} vectors: {r['shown']}" for r in storage_projection(spark, dim).collect()]
-    return "\n".join(["## Latency (ms)", "", *head, *rows, "", "## Storage", "", *room, ""])
+    return "\n".join(["## Latency (ms)", "", *head, *rows, "", *batches, "## Storage", "", *room, ""])

@@ -5,15 +5,18 @@ best k of a ranking."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.functions import stats, text, vectors
 from siftlight.functions.stop_words import ENGLISH
-from siftlight.operators import chunk, cluster, dense, embed, fusion, lexical, project
-from siftlight.sources import store
+from siftlight.operators import chunk, cluster, dense, embed, fusion, lexical, project, search
+from siftlight.sources import files, markdown, store, tables
 
 #: What the queries ask for. The vector is a sum of stored ones, so that none is the query itself.
 ASKED = "the version of that license is and thati"
@@ -39,7 +42,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents")
+    return tables.spread(_table(spark, sf_dir, "documents"))
 
 
 def _vectors(spark, sf_dir):
@@ -51,6 +54,19 @@ def _asked_vector(spark, sf_dir) -> list[float]:
     return [sum(x) for x in zip(*(r["embedding"] for r in rows))]
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, sf_dir: str, name: str, make: Callable[[str], object]) -> str:
+    """Where ``make`` has written ``name`` for these tables, once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        root = f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make(root)
+        _made[key] = root
+    return _made[key]
+
+
 _ASKED_SQL = f"""
 asked AS (SELECT list(s ORDER BY i) AS v FROM (
   SELECT i, sum(CAST(embedding[i] AS DOUBLE)) AS s FROM embeddings, range(1, 65) r(i) WHERE vec_id IN {PARTS} GROUP BY i)),
@@ -61,8 +77,9 @@ cosines AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e,
 
 
 
-_BM25_SQL = f"""
-cut AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+def _bm25_sql(source: str) -> str:
+    return f"""
+cut AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {source}),
 sizes AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM cut),
 dfs AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(t)) AS term FROM cut) GROUP BY term),
 idfs AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, sizes),
@@ -74,6 +91,9 @@ sums AS (SELECT id, sum(times * w * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl
 bm25 AS (SELECT cut.id, round(coalesce(s, 0.0), 6) + 0.0 AS score FROM cut LEFT JOIN sums USING (id))"""
 
 
+_BM25_SQL = _bm25_sql("documents")
+
+
 def _ranked_sql(source: str, k: int, columns: str = "id, score") -> str:
     return f"SELECT {columns}, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {source} ORDER BY score DESC, id LIMIT {k}"
 
@@ -208,12 +228,11 @@ def dense_topk_many(spark, sf_dir):
 
 @_query()
 def ann_ivf(spark, sf_dir):
-    return dense.IvfIndex(_vectors(spark, sf_dir)).search(_asked_vector(spark, sf_dir), K, probe=24)
-
-
-@_query()
-def ann_lsh(spark, sf_dir):
-    return dense.LshIndex(_vectors(spark, sf_dir)).search(_asked_vector(spark, sf_dir), K)
+    """Every row whose id is divisible by 100 asks all rows, through an index that is written once."""
+    rows = _vectors(spark, sf_dir)
+    root = _once(spark, sf_dir, "ivf", lambda where: dense.IvfIndex.create(rows, where))
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense.IvfIndex.read(spark, root).search_many(asked, K)
 
 
 # --- lexical --------------------------------------------------------------------------
@@ -232,7 +251,8 @@ def bm25_scores(spark, sf_dir):
 
 @_query(f"WITH {_BM25_SQL} {_ranked_sql('bm25', K)}")
 def bm25_index_topk(spark, sf_dir):
-    return lexical.LexicalIndex.build(_docs(spark, sf_dir)).search(ASKED, K)
+    root = _once(spark, sf_dir, "bm25", lambda where: lexical.LexicalIndex.create(_docs(spark, sf_dir), where))
+    return lexical.LexicalIndex.read(spark, root).search(ASKED, K)
 
 
 def _tfidf_sql() -> str:
@@ -254,6 +274,57 @@ def tfidf_topk(spark, sf_dir):
     return lexical.tfidf(_docs(spark, sf_dir), ASKED, K)
 
 
+# --- the search entry -----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _Given:
+    """Stands for a model: whatever the text, it gives one vector."""
+
+    vector: tuple[float, ...]
+    model_id: str = "given"
+
+    @property
+    def dim(self) -> int:
+        return len(self.vector)
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        return np.array([self.vector] * len(texts))
+
+
+def _searcher(spark, sf_dir) -> search.Searcher:
+    """Documents with the vectors of their ids; many have none."""
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
+    return search.Searcher(_docs(spark, sf_dir).join(vectors, "doc_id", "left"), _Given(tuple(_asked_vector(spark, sf_dir))), "doc_id")
+
+
+#: Scores of all documents: those without a vector have zero.
+_NEAR_SQL = "near AS (SELECT doc_id AS id, coalesce(score, 0.0::DOUBLE) AS score FROM documents LEFT JOIN cosines ON id = doc_id)"
+
+
+def _shown_sql(ranked: str, source: str = "documents") -> str:
+    return f"SELECT rank, r.id, text, source, score FROM ({ranked}) r JOIN {source} d ON d.doc_id = r.id"
+
+
+@_query(
+    f"""WITH {_ASKED_SQL}, {_NEAR_SQL}, {_BM25_SQL}, a AS ({_ranked_sql('near', POOL)}), b AS ({_ranked_sql('bm25', POOL)}),
+    f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT id, rank FROM a UNION ALL SELECT id, rank FROM b) GROUP BY id)
+    {_shown_sql(_ranked_sql('f', K))}"""
+)
+def search_hybrid(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "hybrid", K, POOL)
+
+
+@_query(f"WITH {_bm25_sql('(SELECT * FROM documents WHERE lang = $$de$$)')} {_shown_sql(_ranked_sql('bm25', K))}")
+def search_where(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "lexical", K, where="lang = 'de'")
+
+
+@_query(f"WITH {_ASKED_SQL}, {_NEAR_SQL} {_shown_sql(_ranked_sql('near', K))}")
+def search_dense(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "dense", K)
+
+
 # --- fusion ---------------------------------------------------------------------------
 
 
@@ -377,6 +448,83 @@ def attach_labels(spark, sf_dir):
     return cluster.attach_labels(docs.select("doc_id", "text"), labelled.select("doc_id", "text", "cluster"), id_col="doc_id").select("doc_id", "cluster")
 
 
+_LABELS_SQL = """l AS (SELECT text, arg_max(label, doc_id) AS cluster FROM (SELECT d.doc_id, d.text, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id) GROUP BY text)"""
+
+
+@_query(f"WITH {_LABELS_SQL} SELECT count(*) AS entries, count(*) FILTER (WHERE l.text IS NULL) AS missed FROM documents LEFT JOIN l USING (text)")
+def label_misses(spark, sf_dir):
+    """The entries of a file of labels, read back, and how many have none."""
+    docs = _docs(spark, sf_dir)
+    labelled = docs.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster")), "doc_id")
+    path = f"{tables.shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    counts = cluster.write_labelled(docs.select("doc_id", "text"), labelled.select("doc_id", "text", "cluster"), path, id_col="doc_id")
+    return spark.createDataFrame([counts], "entries long, missed long")
+
+
+@_query(
+    """WITH held AS (SELECT text, min(source) AS source FROM documents WHERE doc_id % 3 <> 0 GROUP BY text),
+    wanted AS (SELECT text, min(source) AS source FROM documents WHERE doc_id % 3 <> 1 GROUP BY text)
+    SELECT sha256('hashing-16' || chr(0) || w.text) AS chunk_hash, w.text, coalesce(h.source, w.source) AS source, 16::INTEGER AS dim
+    FROM wanted w LEFT JOIN held h ON w.text = h.text"""
+)
+def store_round_trip(spark, sf_dir):
+    """Two ingests into a table, the second of which adds some texts and drops others; then all of it."""
+    docs, embedder = _docs(spark, sf_dir), embed.HashingEmbedder(16)
+    table = store.Store(spark, f"{tables.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    table.ingest(docs.where(F.col("doc_id") % 3 != 0), embedder)
+    table.ingest(docs.where(F.col("doc_id") % 3 != 1), embedder)
+    table.verify()
+    return table.read().select("chunk_hash", "text", "source", F.size("embedding").alias("dim"))
+
+
+# --- sources --------------------------------------------------------------------------
+
+_STATE = "{'line': '', 'q': false, 'c': false, 'docs': []::VARCHAR[], 'query': NULL::VARCHAR}"
+
+
+def _state(**changed: str) -> str:
+    old = {"line": "''", "q": "x.q", "c": "x.c", "docs": "x.docs", "query": "x.query"} | changed
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in old.items()) + "}"
+
+
+@_query(
+    f"""WITH lines AS (SELECT doc_id, list_transform(string_split('<!-- ' || source || chr(10) || '- hidden -->' || chr(10) || '# Documents' || chr(10) || '- ' || text
+      || chr(10) || '## Queries' || chr(10) || '1. ' || source || chr(10) || 'second', chr(10)),
+      lambda l: {{'line': regexp_replace(l, '^\s+|\s+$', '', 'g'), 'q': false, 'c': false, 'docs': []::VARCHAR[], 'query': NULL::VARCHAR}}) AS l FROM documents),
+    folded AS (SELECT doc_id, list_reduce(l, lambda x, y: CASE
+      WHEN x.c THEN {_state(c="NOT contains(y.line, '-->')")}
+      WHEN starts_with(y.line, '<!--') THEN {_state(c="NOT contains(y.line, '-->')")}
+      WHEN starts_with(y.line, '#') THEN {_state(q="starts_with(lower(regexp_replace(y.line, '^#+ *', '')), 'quer')")}
+      WHEN y.line = '' THEN {_state()}
+      WHEN NOT x.q THEN {_state(docs="list_append(x.docs, trim(regexp_replace(y.line, '^([-*+] |[0-9]+[.] )', '')))")}
+      ELSE {_state(query="coalesce(x.query, trim(regexp_replace(y.line, '^([-*+] |[0-9]+[.] )', '')))")} END, {_STATE}) AS r FROM lines)
+    SELECT doc_id, 'document' AS kind, (generate_subscripts(r.docs, 1) - 1)::BIGINT AS ordinal, unnest(r.docs) AS text FROM folded
+    UNION ALL SELECT doc_id, 'query', 0::BIGINT, r.query FROM folded WHERE r.query IS NOT NULL"""
+)
+def markdown_parse(spark, sf_dir):
+    """Each document as a markdown file with a comment, documents and queries."""
+    page = F.concat(
+        F.lit("<!-- "), "source", F.lit("\n- hidden -->\n# Documents\n- "), "text", F.lit("\n## Queries\n1. "), "source", F.lit("\nsecond")
+    )
+    return markdown.parse_texts(_docs(spark, sf_dir).select("doc_id", page.alias("value")), "doc_id")
+
+
+@_query(
+    """SELECT doc_id || '.txt' AS source, text FROM documents UNION ALL
+    SELECT doc_id || '.fb2', 'Head ' || source || chr(10) || 'A — ' || lang || ' line' || chr(10) || 'bare' FROM documents"""
+)
+def file_texts(spark, sf_dir):
+    """Documents as plain files, and as books with nested blocks, entities, bare text and a binary part."""
+    docs = _docs(spark, sf_dir)
+    book = F.concat(
+        F.lit("<FictionBook><description>no</description><body><title><p>Head  "), "source", F.lit("</p></title><section><p>A &mdash; "), "lang",
+        F.lit(" <b>line</b></p>bare</section></body><binary>QUJD</binary></FictionBook>"),
+    )
+    plain = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), F.col("text").cast("binary").alias("content"))
+    books = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".fb2")).alias("source"), book.cast("binary").alias("content"))
+    return files.extract_texts(files.extract_pages(plain.unionByName(books)))
+
+
 # --- clusters -------------------------------------------------------------------------
 
 
@@ -410,13 +558,14 @@ def silhouette(spark, sf_dir):
 
 @_query()
 def kmeans_clusters(spark, sf_dir):
-    found = cluster.kmeans(_vectors(spark, sf_dir), 10, inits=2, iterations=30)
+    found = cluster.kmeans(_vectors(spark, sf_dir), 10)
     return found.select("vec_id", F.col("cluster").cast("int").alias("cluster"))
 
 
 @_query()
 def kmeans_sweep(spark, sf_dir):
-    return cluster.sweep(_vectors(spark, sf_dir), 2, 6, 2, id_col="vec_id", inits=1)
+    """All k from 2 to 20, with all starts, over all rows."""
+    return cluster.sweep(_vectors(spark, sf_dir), sample=0, id_col="vec_id")
 
 
 @_query()
@@ -424,6 +573,11 @@ def pca_projection(spark, sf_dir):
     return project.pca(_vectors(spark, sf_dir), "vec_id")
 
 
+@_query()
+def umap_projection(spark, sf_dir):
+    return project.umap(_vectors(spark, sf_dir), "vec_id")
+
+
 @_query()
 def subsample(spark, sf_dir):
     return cluster.subsample(_vectors(spark, sf_dir), 100, "vec_id").select("vec_id")

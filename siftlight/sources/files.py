@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable
+from html.entities import name2codepoint
+from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -21,21 +25,106 @@ def _plain(data: bytes) -> list[str]:
     return [data.decode("utf-8", errors="replace")]
 
 
-def _markup(data: bytes) -> str:
-    """The text of well-formed markup, its blocks on lines of their own."""
-    root = ElementTree.fromstring(data)
-    lines = []
-    for node in root.iter():
-        name = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
-        if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title", "v", "subtitle"):
-            lines.append(re.sub(r"\s+", " ", "".join(node.itertext())).strip())
-    return "\n".join(x for x in lines if x)
+_BLOCKS = frozenset("p div section article body h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table blockquote pre title subtitle v stanza poem cite epigraph annotation text-author br hr".split())
+_SILENT = frozenset(("head", "script", "style", "binary", "description"))
+
+
+class _Lines:
+    """Takes a document's tags and text; its lines are what stands between block tags."""
+
+    def __init__(self):
+        self.lines, self.now, self.silent = [], [], 0
+
+    def _name(self, tag: str) -> str:
+        return tag.rpartition("}")[2].lower()
+
+    def start(self, tag, attributes=()):
+        name = self._name(tag)
+        self.silent += name in _SILENT
+        if name in _BLOCKS:
+            self._end_line()
+
+    def end(self, tag):
+        name = self._name(tag)
+        self.silent -= name in _SILENT and self.silent > 0
+        if name in _BLOCKS:
+            self._end_line()
+
+    def data(self, text):
+        if not self.silent:
+            self.now.append(text)
+
+    def _end_line(self):
+        line = re.sub(r"\s+", " ", "".join(self.now)).strip()
+        self.now.clear()
+        if line:
+            self.lines.append(line)
+
+    def close(self) -> str:
+        self._end_line()
+        return "\n".join(self.lines)
+
+
+class _Loose(HTMLParser):
+    """Pages that aren't well-formed."""
+
+    def __init__(self, lines: _Lines):
+        super().__init__(convert_charrefs=True)
+        self.lines = lines
+        self.handle_data = lines.data
+
+    def handle_starttag(self, tag, attrs):
+        self.lines.start(tag)
+        if tag in ("br", "hr"):
+            self.lines.end(tag)
+
+    def handle_endtag(self, tag):
+        self.lines.end(tag)
+
+
+def _entities(data: bytes) -> bytes:
+    """HTML's named characters by number; XML itself knows five."""
+    def number(m):
+        name = m[1].decode()
+        known = name2codepoint.get(name)
+        return m[0] if known is None or name in ("amp", "lt", "gt", "quot", "apos") else b"&#%d;" % known
+
+    return re.sub(rb"&([A-Za-z][A-Za-z0-9]*);", number, data)
+
+
+def _markup(data: bytes, loose: bool = False) -> str:
+    """The text of markup, its blocks on lines of their own; all text is there once."""
+    try:
+        parser = ElementTree.XMLParser(target=_Lines())
+        parser.feed(_entities(data))
+        return parser.close()
+    except ElementTree.ParseError:
+        if not loose:
+            raise
+    lines = _Lines()
+    page = _Loose(lines)
+    page.feed(data.decode("utf-8", errors="replace"))
+    page.close()
+    return lines.close()
+
+
+def _spine(book: zipfile.ZipFile) -> list[str]:
+    """A book's pages in reading order: by its package's spine, or by name without one."""
+    names = set(book.namelist())
+    if "META-INF/container.xml" in names:
+        found = next((x.get("full-path") for x in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if x.tag.endswith("rootfile")), None)
+        if found in names:
+            package, folder = ElementTree.fromstring(book.read(found)), posixpath.dirname(found)
+            pages = {x.get("id"): posixpath.normpath(posixpath.join(folder, unquote(x.get("href", "")))) for x in package.iter() if x.tag.endswith("}item") or x.tag == "item"}
+            order = [pages.get(x.get("idref")) for x in package.iter() if x.tag.rpartition("}")[2] == "itemref"]
+            if order := [x for x in order if x in names]:
+                return order
+    return sorted(n for n in names if n.lower().endswith((".xhtml", ".html", ".htm")))
 
 
 def _epub(data: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = [n for n in book.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
-        return [_markup(book.read(n)) for n in sorted(names)]
+        return [_markup(book.read(n), loose=True) for n in _spine(book)]
 
 
 def _fb2(data: bytes) -> list[str]:
@@ -68,13 +157,14 @@ EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {
 
 def find(spark: SparkSession, path: str) -> DataFrame:
     """(path, source, content) of the supported files directly in a folder, whatever the
-    case of their extension; a file that is named itself is taken whatever it is."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    found = files.select("path", name.alias("source"), "content")
-    one = path.rstrip("/").rpartition("/")[2]
-    known = F.lower(F.regexp_extract("source", r"(\.[^.]+)$", 1)).isin(list(EXTENSIONS))
-    return found.where(known | ((F.col("source") == one) & F.lit("." in one)))
+    case of their extension; a file that is named itself is taken whatever it is. Other
+    files aren't opened."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        kinds = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in EXTENSIONS)
+        reader = reader.option("pathGlobFilter", f"*{{{','.join(kinds)}}}")
+    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("source"), "content")
 
 
 def extract_pages(files: DataFrame) -> DataFrame:
@@ -103,6 +193,16 @@ def extract_texts(pages: DataFrame) -> DataFrame:
     return pages.where("error IS NULL").groupBy("source").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"))
 
 
+def read_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(source, text) of the documents in a folder, and its quarantine. Raises ValueError if
+    no document has a text."""
+    pages = extract_pages(find(spark, path))
+    texts = extract_texts(pages).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    if texts.isEmpty():
+        raise ValueError(f"{path} has no document with a text")
+    return texts, quarantine(pages)
+
+
 def extract_chunks(texts: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """(source, ordinal, text) per chunk."""
     return chunk(texts, "source", "text", limit, overlap)

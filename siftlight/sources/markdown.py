@@ -39,27 +39,35 @@ def parse(text: str) -> tuple[list[str], str | None]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, ordinal, text) of the documents and queries of whole files."""
+    return parse_texts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value")))
+
+
+def parse_texts(texts: DataFrame, id_col: str = "path", text_col: str = "value") -> DataFrame:
+    """(id_col, kind, ordinal, text) of the documents and queries of whole texts."""
     import pyarrow as pa
 
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    key = texts.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                documents, query = parse(text)
+                documents, query = parse(text or "")
                 rows += [(name, "document", i, t) for i, t in enumerate(documents)]
                 rows += [(name, "query", 0, query)] if query is not None else []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "kind", "ordinal", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=[id_col, "kind", "ordinal", "text"])
 
-    return files.mapInArrow(run, "path string, kind string, ordinal long, text string")
+    return texts.select(id_col, text_col).mapInArrow(run, f"{id_col} {key}, kind string, ordinal long, text string")
 
 
-def write(rows: DataFrame, path: str, text: str = "text", order: str = "ordinal") -> None:
-    """A markdown file of bullets, one document each, with white space flattened."""
+def write(rows: DataFrame, path: str, text: str = "text", order: tuple[str, ...] = ("ordinal",)) -> None:
+    """A markdown file of bullets, one document each, with white space flattened, in order
+    of the columns ``order``. It is one file, so one task sorts and writes it."""
     from siftlight.functions.text import collapse
 
-    head = rows.sparkSession.createDataFrame([(-2, "# Documents"), (-1, "")], "o long, value string")
-    lines = rows.select(F.col(order).cast("long").alias("o"), F.concat(F.lit("- "), collapse(F.col(text))).alias("value"))
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    head = rows.sparkSession.createDataFrame([(0, "# Documents"), (1, "")], "head int, value string")
+    lines = rows.select(F.concat(F.lit("- "), collapse(F.col(text))).alias("value"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keys = [F.coalesce("head", F.lit(2)), *(f"o{i}" for i in range(len(order))), "value"]
+    every = head.unionByName(lines, allowMissingColumns=True)
+    every.coalesce(1).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)

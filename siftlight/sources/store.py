@@ -1,15 +1,20 @@
 """A table of texts and vectors in versions, brought up to date by content.
 
-A version is a directory of Parquet files; the file that names its properties is written
-last and makes it visible, so readers never see half a version and a failed job leaves
-the last one in place. Ingest compares hashes of (model, text): only texts that the table
-lacks are embedded, and rows whose text is gone are left out of the next version.
+A version is a manifest: the segments (directories of Parquet files) that hold its rows,
+and those that hold the hashes of rows that are gone. The manifest is written last and
+makes the version visible, so readers never see half a version and a failed job leaves the
+last one in place. Ingest compares hashes of (model, text): only texts that the table lacks
+are embedded and written, as a segment of their own, and of rows whose text is gone only
+the hashes are. After ``SEGMENTS`` of either, and when labels are stored, all is written
+anew as one segment. Rows are known by their hash; ``id`` is a number made from it.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +22,10 @@ from pyspark.sql import functions as F
 from siftlight.functions.text import content_hash
 from siftlight.operators.embed import Embedder, embed
 
-VERSION = 1
+VERSION = 2
+
+
+SEGMENTS = 32
 
 
 @dataclass(frozen=True)
@@ -27,6 +35,17 @@ class Properties:
     schema_version: int = VERSION
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """Segments of rows, in order; segments of hashes, each with how many of the row
+    segments it is about; and the number of rows."""
+
+    properties: Properties
+    rows: tuple[str, ...]
+    gone: tuple[tuple[str, int], ...]
+    count: int
+
+
 @dataclass(frozen=True)
 class Ingested:
     """What an ingest did: rows embedded, rows kept, rows dropped, different sources."""
@@ -55,37 +74,88 @@ class Store:
     def exists(self) -> bool:
         return bool(self._versions())
 
-    def properties(self) -> Properties | None:
+    def manifest(self) -> Manifest | None:
         versions = self._versions()
         if not versions:
             return None
         text = self.spark.read.text(f"{self.root}/_versions/{versions[-1]:06d}.json", wholetext=True).first()["value"]
-        return Properties(**json.loads(text))
+        x = json.loads(text)
+        return Manifest(Properties(**x["properties"]), tuple(x["rows"]), tuple((a, b) for a, b in x["gone"]), x["count"])
+
+    def properties(self) -> Properties | None:
+        now = self.manifest()
+        return now and now.properties
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
+        now = self.manifest()
+        if now is None:
             raise FileNotFoundError(f"{self.root} has no table")
-        return self.spark.read.parquet(f"{self.root}/v{versions[-1]:06d}")
+        parts = [self.spark.read.parquet(f"{self.root}/{x}") for x in now.rows]
+        if now.gone:
+            about = [self.spark.read.parquet(f"{self.root}/{x}").select("chunk_hash", F.lit(n).alias("_n")) for x, n in now.gone]
+            gone = reduce(DataFrame.unionByName, about).groupBy("chunk_hash").agg(F.max("_n").alias("_n"))
+            numbered = [x.withColumn("_at", F.lit(i)) for i, x in enumerate(parts)]
+            held = reduce(DataFrame.unionByName, numbered)
+            return held.join(gone.withColumnRenamed("chunk_hash", "_hash"), (F.col("chunk_hash") == F.col("_hash")) & (F.col("_at") < F.col("_n")), "left_anti").drop("_at")
+        return reduce(DataFrame.unionByName, parts)
+
+    def verify(self) -> int:
+        """The number of rows; ValueError if a full scan finds another than was stored."""
+        found, want = self.read().count(), self.manifest().count
+        if found != want:
+            raise ValueError(f"{self.root} has {found} rows, not {want}")
+        return found
 
     def is_current(self, properties: Properties) -> bool:
         return self.properties() == properties
 
-    def write(self, rows: DataFrame, properties: Properties) -> None:
-        """The next version. ``rows`` may come from the one before."""
+    def _segment(self, kind: str, rows: DataFrame) -> str:
+        name = f"{kind}-{(self._versions() or [0])[-1] + 1:06d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _publish(self, now: Manifest) -> None:
         number = (self._versions() or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{number:06d}")
         out = self._fs.create(self._path(f"{self.root}/_versions/{number:06d}.json"), False)
-        out.write(bytearray(json.dumps(asdict(properties)).encode()))
+        out.write(bytearray(json.dumps(asdict(now)).encode()))
         out.close()
 
-    def drop_old(self, keep: int = 1) -> None:
-        for number in self._versions()[:-keep]:
+    def write(self, rows: DataFrame, properties: Properties) -> None:
+        """The next version, of one segment. ``rows`` may come from the one before."""
+        name = self._segment("rows", rows)
+        self._publish(Manifest(properties, (name,), (), self.spark.read.parquet(f"{self.root}/{name}").count()))
+
+    def change(self, fresh: DataFrame | None, stale: DataFrame | None) -> None:
+        """The next version, with the rows ``fresh`` and without those of the hashes in
+        ``stale``. Only these are written."""
+        now = self.manifest()
+        rows, gone, count = list(now.rows), list(now.gone), now.count
+        if stale is not None:
+            gone.append((self._segment("gone", stale.select("chunk_hash")), len(rows)))
+            count -= self.spark.read.parquet(f"{self.root}/{gone[-1][0]}").count()
+        if fresh is not None:
+            rows.append(self._segment("rows", fresh))
+            count += self.spark.read.parquet(f"{self.root}/{rows[-1]}").count()
+        self._publish(Manifest(now.properties, tuple(rows), tuple(gone), count))
+        if max(len(rows), len(gone)) > SEGMENTS:
+            self.compact()
+
+    def compact(self) -> None:
+        self.write(self.read(), self.properties())
+
+    def drop_old(self) -> None:
+        """Only the last version stays, and the segments it has."""
+        now = self.manifest()
+        for number in self._versions()[:-1]:
             self._fs.delete(self._path(f"{self.root}/_versions/{number:06d}.json"), False)
-            self._fs.delete(self._path(f"{self.root}/v{number:06d}"), True)
+        held = {*now.rows, *(x for x, _ in now.gone)}
+        for entry in self._fs.listStatus(self._path(self.root)):
+            name = entry.getPath().getName()
+            if name.startswith(("rows-", "gone-")) and name not in held:
+                self._fs.delete(entry.getPath(), True)
 
     def ingest(self, records: DataFrame, embedder: Embedder, reset: bool = False) -> Ingested:
-        """Makes the table hold the texts of ``records`` (text[, source]), each once.
+        """Makes the table hold the texts of ``records`` (text[, source[, ordinal]]), each once.
 
         Rows that stay keep their id, source and cluster. A different model or dimension,
         or ``reset``, starts anew. If nothing changes no version is written and nothing is
@@ -94,30 +164,40 @@ class Store:
         wanted = hashed(records, embedder.model_id)
         keep = self.exists() and not reset and self.is_current(properties)
         if not keep:
-            rows = fresh_rows(wanted, embedder)
-            self.write(rows, properties)
-            made = self.read()
-            return Ingested(made.count(), 0, 0, made.select("source").distinct().count())
-        held = self.read()
-        fresh, hits, stale = difference(wanted, held)
-        n_fresh, n_hits, n_stale = fresh.count(), hits.count(), stale.count()
-        sources = wanted.select("source").distinct().count()
-        if n_fresh or n_stale:
-            kept = held.join(wanted.select("chunk_hash"), "chunk_hash", "left_semi").select(held.columns)
-            self.write(kept.unionByName(fresh_rows(fresh, embedder), allowMissingColumns=True), properties)
-        return Ingested(n_fresh, n_hits, n_stale, sources)
+            self.write(fresh_rows(wanted, embedder), properties)
+            return Ingested(self.manifest().count, 0, 0, self.read().select("source").distinct().count())
+        held = self.read().select("chunk_hash")
+        marked = wanted.select("chunk_hash", "source", F.lit(1).alias("w")).join(held.withColumn("h", F.lit(1)), "chunk_hash", "full_outer")
+        n = marked.agg(
+            F.count_if(F.col("w").isNotNull() & F.col("h").isNull()).alias("fresh"), F.count_if(F.col("w").isNotNull() & F.col("h").isNotNull()).alias("hits"), F.count_if(F.col("w").isNull()).alias("stale"),
+            F.countDistinct("source").alias("sources"), F.max(F.col("w").isNotNull() & F.col("source").isNull()).alias("unnamed"),
+        ).first()
+        if n["fresh"] or n["stale"]:
+            fresh, _, stale = difference(wanted, held)
+            self.change(fresh_rows(fresh, embedder) if n["fresh"] else None, stale if n["stale"] else None)
+        return Ingested(n["fresh"], n["hits"], n["stale"], n["sources"] + bool(n["unnamed"]))
 
     def store_labels(self, labels: DataFrame) -> None:
-        """The next version with ``cluster`` from (id, cluster); all other columns stay."""
+        """The next version with ``cluster`` from (chunk_hash, cluster); all other columns stay."""
         held = self.read()
-        self.write(held.drop("cluster").join(labels.select("id", "cluster"), "id", "left"), self.properties())
+        self.write(held.drop("cluster").join(labels.select("chunk_hash", "cluster"), "chunk_hash", "left").select(held.columns), self.properties())
 
 
 def hashed(records: DataFrame, model_id: str) -> DataFrame:
-    """(text, source, chunk_hash), one row per text: of equal texts the first source by name."""
+    """(text, source, chunk_hash), one row per text: of equal texts the source of the first,
+    by ``ordinal`` within sources by name, where records have those."""
     source = F.col("source") if "source" in records.columns else F.lit(None).cast("string")
-    rows = records.where("text IS NOT NULL").select("text", source.alias("source"), content_hash(F.col("text"), model_id).alias("chunk_hash"))
-    return rows.groupBy("chunk_hash").agg(F.first("text").alias("text"), F.min("source").alias("source")).select("text", "source", "chunk_hash")
+    ordinal = F.col("ordinal") if "ordinal" in records.columns else F.lit(0)
+    rows = records.where("text IS NOT NULL").select("text", F.struct(source.isNull().alias("none"), source.alias("source"), ordinal.alias("ordinal")).alias("k"), content_hash(F.col("text"), model_id).alias("chunk_hash"))
+    return rows.groupBy("chunk_hash").agg(F.first("text").alias("text"), F.min("k").alias("k")).select("text", "k.source", "chunk_hash")
+
+
+def build_rows(spark: SparkSession, texts: list[str], vectors, model_id: str, source: str | None = None) -> DataFrame:
+    """Rows of the table from texts and their vectors, one for one."""
+    if len(texts) != len(vectors):
+        raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
+    given = spark.createDataFrame([(t, [float(x) for x in v], source) for t, v in zip(texts, vectors)], "text string, embedding array<float>, source string")
+    return _rows(given.withColumn("chunk_hash", content_hash(F.col("text"), model_id)))
 
 
 def difference(wanted: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,7 +209,10 @@ def difference(wanted: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame
 def fresh_rows(wanted: DataFrame, embedder: Embedder) -> DataFrame:
     """Rows of the table: ids come from the content, so that a task that runs again gives
     the same ones."""
-    made = embed(wanted.select("text", "source", "chunk_hash"), embedder)
+    return _rows(embed(wanted.select("text", "source", "chunk_hash"), embedder))
+
+
+def _rows(made: DataFrame) -> DataFrame:
     identity = F.conv(F.substring("chunk_hash", 1, 15), 16, 10).cast("long")
     return made.select(identity.alias("id"), "text", "chunk_hash", "embedding", "source", F.lit(None).cast("int").alias("cluster"))
 

@@ -1,8 +1,10 @@
-"""Reading tables."""
+"""Reading tables, and the folder that all of a session's machines share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -10,3 +12,20 @@ def spread(table: DataFrame) -> DataFrame:
     small table in one file; larger ones have many and are left where they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    A session without it gets a temporary one if it is a local one, where driver and
+    executors are one machine; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir()
+    if where is None:
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="siftlight-checkpoint-"))
+        where = sc.getCheckpointDir()
+    return where

@@ -19,13 +19,12 @@ def append_batch(store: Store, records: DataFrame, embedder: Embedder) -> int:
             return 0
         store.write(fresh_rows(wanted, embedder), properties)
         return store.read().count()
-    held = store.read()
-    fresh, _, _ = difference(wanted, held)
+    fresh, _, _ = difference(wanted, store.read().select("chunk_hash"))
     fresh = fresh.persist()
     try:
         added = fresh.count()
         if added:
-            store.write(held.unionByName(fresh_rows(fresh, embedder), allowMissingColumns=True), properties)
+            store.change(fresh_rows(fresh, embedder), None)  # a segment of its own
     finally:
         fresh.unpersist()
     return added

@@ -92,15 +92,23 @@ def test_cli(spark, tmp_path):
     assert "chunks" in run("ingest", str(tmp_path), "--max-chars", "60", "--overlap", "0")
     assert "0 dropped" in run("ingest", str(tmp_path), "--store", store, "--max-chars", "60", "--overlap", "0", "--model", "hashing-32", "--out", str(tmp_path / "md"))
     assert "0 embedded" in run("ingest", str(tmp_path), "--store", store, "--max-chars", "60", "--overlap", "0", "--model", "hashing-32")
-    assert "Bread" in run("search", "bread butter", "--store", store, "--model", "hashing-32", "--k", "1", "--rerank")
+    assert "Bread" in run("search", "bread butter", "--store", store, "--model", "hashing-32", "--k", "1", "--rerank", "--rerank-model", "overlap")
     assert "Rain" in run("search", "rain", "--store", store, "--method", "lexical", "--k", "1")
     with pytest.raises(SystemExit):
         run("visualize", "--store", store, "--out", str(tmp_path / "x.html"))
     assert "cluster 1" in run("cluster", "--store", store, "--k", "2")
+    assert run("search", "rain", "--store", store, "--model", "hashing-32", "--method", "dense", "--k", "2", "--ef", "9") == run("search", "rain", "--store", store, "--model", "hashing-32", "--method", "dense", "--k", "2", "--ef", "9")
+    assert run("search", "bread", "--store", store, "--method", "lexical", "--where", "text LIKE 'Rain%'").count("Rain") >= 1
+    (tmp_path / "e.json").write_text('{"id": 1, "text": "nothing like it"}\n')
+    assert "1 entries written, 1 without a cluster" in run("cluster", "--store", store, "--k", "2", "--entries", str(tmp_path / "e.json"), "--out", str(tmp_path / "labelled"))
+    (tmp_path / "nothing").mkdir()
+    with pytest.raises(SystemExit):
+        run("ingest", str(tmp_path / "nothing"), "--store", store)
     assert "k=" in run("sweep", "--store", store, "--max-k", "3")
     run("visualize", "--store", store, "--out", str(tmp_path / "x.html"))
     assert "<svg" in (tmp_path / "x.html").read_text()
     assert "minilm" in run("models")
     (tmp_path / "in.md").write_text("# Documents\n- one thing\n- another thing\n# Query\nthing")
     assert run("load", str(tmp_path / "in.md"), "--store", store, "--model", "hashing-32", "--full", str(tmp_path / "full")) == "2 documents"
-    assert "hybrid" in run("bench", "--store", store, "--query", "thing", "--runs", "1", "--model", "hashing-32")
+    page = run("bench", "--store", store, "--query", "thing", "--runs", "1", "--model", "hashing-32")
+    assert "hybrid" in page and "Embedding by batch size" in page and "| 100 |" in page and "p50" in page

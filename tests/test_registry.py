@@ -5,9 +5,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from siftlight.functions.stop_words import ENGLISH
+from siftlight.operators.embed import HashingEmbedder
 from siftlight.plans import registry
 
 
@@ -23,16 +25,45 @@ def _key(row):
     return tuple((x is None, str(x)) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+def recall(spark, sf, rows):
+    truth = registry.queries()["dense_topk_many"](spark, sf).collect()
+    return len({(r["query_id"], r["id"]) for r in truth} & {(r["query_id"], r["id"]) for r in rows}) / len(truth)
+
+
+def test_queries_without_sql(spark, sf):
+    """What SQL can't say, by other means."""
+    run = lambda name: registry.queries()[name](spark, sf).collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert recall(spark, sf, run("ann_ivf")) >= 0.9
+    matrix, ids = np.stack([vectors[i] for i in sorted(vectors)]), sorted(vectors)
+    found = {r["vec_id"]: r["cluster"] for r in run("kmeans_clusters")}
+    groups = np.array([found[i] for i in ids])
+    centres = np.stack([matrix[groups == k].mean(axis=0) for k in range(10)])
+    away = ((matrix[:, None] - centres) ** 2).sum(axis=2)
+    assert set(found) == set(ids) and (away.argmin(axis=1) == groups).mean() > 0.99  # each is with its nearest mean
+    swept = run("kmeans_sweep")
+    assert [r["k"] for r in sorted(swept)] == list(range(2, 21)) and all(-1 <= r["silhouette"] <= 1 for r in swept)
+    by_k = {r["k"]: r for r in swept}
+    assert by_k[20]["inertia"] < by_k[2]["inertia"] and by_k[10]["inertia"] <= 1.001 * away.min(axis=1).sum()
+    flat = {r["id"]: (r["x"], r["y"]) for r in run("pca_projection")}
+    _, _, axes = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs([flat[i] for i in ids]), np.abs(matrix @ axes[:2].T), atol=1e-6)
+    assert {r["id"] for r in run("umap_projection")} == set(ids)
+    picked = [r["vec_id"] for r in run("subsample")]
+    assert len(set(picked)) == 100 and set(picked) <= set(ids)
+    made = {r["doc_id"]: r for r in run("hashing_embeddings")}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want = np.linalg.norm(HashingEmbedder(64).encode([r["text"]])[0])
+        assert made[r["doc_id"]]["dim"] == 64 and abs(made[r["doc_id"]]["norm"] - want) < 1e-3
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, sf, duck, name):
     df = registry.queries()[name](spark, sf)
     columns = sorted(df.columns)
     rows = [tuple(r[c] for c in columns) for r in df.collect()]
     assert rows
-    sql = registry.oracle_sql().get(name)
-    if sql is None:
-        return
-    cursor = duck.execute(sql)
+    cursor = duck.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     truth = [tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()]

@@ -42,8 +42,7 @@ def test_bm25_against_plain_python(spark):
 
 def test_index_scores_like_the_scan(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    lexical.LexicalIndex.build(docs, buckets=4).write(str(tmp_path / "i"))
-    index = lexical.LexicalIndex.read(spark, str(tmp_path / "i"))
+    index = lexical.LexicalIndex.create(docs, str(tmp_path / "i"), buckets=4)
     for query in ("the of license version", "zzzz", "", "mit mit the"):
         want = [(r["id"], pytest.approx(r["score"])) for r in lexical.bm25(docs, query, 8).orderBy("rank").collect()]
         assert [(r["id"], r["score"]) for r in index.search(query, 8).orderBy("rank").collect()] == want
@@ -85,14 +84,30 @@ def test_dense_exact_and_many(spark, sf):
         dense.exact(rows, [1.0], 3)
 
 
-def test_approximate_recall(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").persist()
-    q = [sum(x) for x in zip(*(r["embedding"] for r in rows.where("vec_id IN (3, 17, 141)").collect()))]
-    truth = dense.exact(rows, q, 10)
-    ivf = dense.IvfIndex(rows, lists=16)
-    assert dense.recall(ivf.search(q, 10, probe=16), truth) == 1.0
-    assert dense.recall(ivf.search(q, 10, probe=12), truth) >= 0.7
-    assert dense.recall(dense.LshIndex(rows).search(q, 10), truth) >= 0.7
+def test_approximate_recall(spark, sf, tmp_path):
+    """Every row whose id is divisible by 100 asks all rows, with the registered settings."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    truth = dense.exact_many(rows, asked, 10)
+    index = dense.IvfIndex.create(rows, str(tmp_path / "i"))
+    found = index.search_many(asked, 10)
+    assert found.count() == truth.count() and dense.recall(found, truth) >= 0.9
+    everything = index.search_many(asked, 10, probe=len(index.centres))
+    assert sorted(map(tuple, everything.collect())) == sorted(map(tuple, truth.collect()))
+    q = rows.where("vec_id = 100").first()["embedding"]
+    one = truth.where("query_id = 100").drop("query_id")
+    assert dense.recall(index.search(q, 10, ef=len(index.sizes) and rows.count()), one) == 1.0
+    assert dense.recall(index.search(q, 10, ef=200), one) >= 0.7 and index.search(q, 10, ef=1).count() == 10
+
+
+def test_unsound_vectors_count_as_zero(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    want = {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.6}
+    assert scores(dense.cosine_scores(rows, [2.0, 0.0])) == pytest.approx(want)
+    asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "query_id long, vector array<double>")
+    many = dense.exact_many(rows, asked, 6, room=16)
+    assert scores(many.where("query_id = 7")) == pytest.approx(want) and set(scores(many.where("query_id = 8")).values()) == {0.0}
+    assert dense.exact_many(rows, asked.limit(0), 6).count() == 0
 
 
 def ranked(spark, pairs):
@@ -146,6 +161,7 @@ def test_every_method(spark):
     again = searcher.search("bread recipe", "hybrid", k=1, candidates=4, do_rerank=True).collect()
     assert again[0]["id"] == 2 and again[0]["score"] == 1.0
     assert shown(searcher.search("rain", "dense", 1)).first()["source"] == "s"
+    assert {r["id"] for r in searcher.search("rain storm", "lexical", k=5, where="id > 2").collect()} == {3, 4}
     with pytest.raises(ValueError):
         searcher.search("x", "other")
     with pytest.raises(ValueError):

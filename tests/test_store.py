@@ -1,9 +1,12 @@
+import hashlib
+import zipfile
+
 import numpy as np
 import pytest
 
 from siftlight.operators.embed import HashingEmbedder
-from siftlight.sources import files
-from siftlight.sources.store import Properties, Store
+from siftlight.sources import files, markdown
+from siftlight.sources.store import Properties, Store, build_rows, hashed
 from siftlight.streaming import ingest
 
 
@@ -21,7 +24,7 @@ def test_ingest_only_what_is_new(spark, tmp_path):
     assert (done.fresh, done.hits, done.stale) == (0, 10, 0)
     done = store.ingest(records(spark, first + [("new", "b")]), e)
     assert (done.fresh, done.hits, done.stale) == (1, 10, 0)
-    store.store_labels(store.read().selectExpr("id", "1 AS cluster"))
+    store.store_labels(store.read().selectExpr("chunk_hash", "1 AS cluster"))
     done = store.ingest(records(spark, first[1:] + [("new", "b"), ("newer", None)]), e)
     assert (done.fresh, done.hits, done.stale) == (1, 10, 1)
     rows = {r["text"]: r for r in store.read().collect()}
@@ -34,6 +37,36 @@ def test_ingest_only_what_is_new(spark, tmp_path):
     assert store.read().count() == 10
 
 
+def test_changes_write_only_what_changed(spark, tmp_path):
+    store, e = Store(spark, str(tmp_path / "t")), HashingEmbedder(8)
+    texts = [(f"text {i}", "b" if i % 2 else "a") for i in range(20)]
+    store.ingest(records(spark, texts), e)
+    first = store.manifest()
+    store.ingest(records(spark, texts + [("one more", "c")]), e)
+    then = store.manifest()
+    assert then.rows[:1] == first.rows and len(then.rows) == 2 and not then.gone and store.verify() == 21
+    assert spark.read.parquet(f"{store.root}/{then.rows[1]}").count() == 1
+    store.ingest(records(spark, texts[1:] + [("one more", "c")]), e)
+    assert store.manifest().rows == then.rows and store.verify() == 20
+    store.ingest(records(spark, texts + [("one more", "c")]), e)  # a text that comes back
+    assert store.verify() == 21 and len(store.manifest().rows) == 3
+    held = {r["text"] for r in store.read().collect()}
+    store.compact()
+    assert len(store.manifest().rows) == 1 and {r["text"] for r in store.read().collect()} == held and store.verify() == 21
+    store.drop_old()
+    assert store.verify() == 21 and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith(("rows", "gone"))]) == 1
+
+
+def test_first_source_and_rows_of_given_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "b", 0), ("x", "a", 5), ("x", None, 0), ("y", None, 1)], "text string, source string, ordinal int")
+    found = {r["text"]: r["source"] for r in hashed(rows, "m").collect()}
+    assert found == {"x": "a", "y": None}
+    made = build_rows(spark, ["x", "y"], [[1, 2], [3, 4]], "m").collect()
+    assert [r["chunk_hash"] for r in made] == [hashlib.sha256(f"m\0{t}".encode()).hexdigest() for t in "xy"]
+    with pytest.raises(ValueError):
+        build_rows(spark, ["x"], [], "m")
+
+
 def test_no_table(spark, tmp_path):
     store = Store(spark, str(tmp_path / "none"))
     assert not store.exists() and store.properties() is None
@@ -69,6 +102,30 @@ def test_files(spark, tmp_path):
     assert files.extract_chunks(files.extract_texts(pages)).count() == 2
 
 
+def test_books(spark, tmp_path):
+    """Text of nested blocks comes once, that of bare containers too, in the order of the spine."""
+    page = "<html xmlns='http://www.w3.org/1999/xhtml'><head><title>no</title></head><body>{}</body></html>"
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as book:
+        book.writestr("META-INF/container.xml", "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='OPS/c.opf'/></rootfiles></container>")
+        book.writestr("OPS/c.opf", "<package xmlns='http://www.idpf.org/2007/opf'><manifest><item id='x' href='ch%2010.xhtml'/><item id='y' href='ch2.xhtml'/></manifest><spine><itemref idref='y'/><itemref idref='x'/></spine></package>")
+        book.writestr("OPS/ch 10.xhtml", page.format("<div>Bare&nbsp;text<p>in <b>bold</b></p>tail</div>"))
+        book.writestr("OPS/ch2.xhtml", page.format("<ul><li><p>Item &amp; more</p></li></ul><br>not well-formed"))
+    (tmp_path / "b.fb2").write_text("<FictionBook><description><title-info>no</title-info></description><body><title><p>Head</p></title><p>Text &mdash; x</p></body><binary>QUJD</binary></FictionBook>")
+    pages = files.extract_pages(files.find(spark, str(tmp_path)))
+    texts = {r["source"]: r["text"] for r in files.extract_texts(pages).collect()}
+    assert texts == {"a.epub": "Item & more\nnot well-formed\n\nBare text\nin bold\ntail", "b.fb2": "Head\nText \u2014 x"}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        files.read_texts(spark, str(tmp_path / "none"))
+
+
+def test_markdown_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 0, "b0"), ("a", 1, "a  1"), ("b", 1, "b1"), ("a", 0, "a0")], "source string, ordinal int, text string").repartition(3)
+    markdown.write(rows, str(tmp_path / "m"), order=("source", "ordinal"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["# Documents", "", "- a0", "- a 1", "- b0", "- b1"]
+    assert [(r["ordinal"], r["text"]) for r in markdown.read(spark, str(tmp_path / "m")).orderBy("ordinal").collect()] == [(0, "a0"), (1, "a 1"), (2, "b0"), (3, "b1")]
+
+
 def test_embedding_width(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     store.ingest(records(spark, [("a", None)]), HashingEmbedder(4))
