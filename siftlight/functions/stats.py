@@ -10,11 +10,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def nearest_rank(value: str, percent: float) -> Column:
-    """The smallest value with at least so many percent of the values at or below it."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
 def percentiles(rows: DataFrame, value: str, percents: tuple[float, ...], small: int = 1_000_000, cuts: int = 1000) -> DataFrame:
     """One row with p50 and the like: exact nearest-rank percentiles of a table of any size.
 
@@ -87,10 +82,10 @@ def _halved(s: Column, held: Column) -> Column:
 
 def latency_stats(runs: DataFrame, run: str = "run", value: str = "ms") -> DataFrame:
     """One row: best, best of the first ten, mean, p50, p95, p99, max of the timings."""
+    ranked = percentiles(runs, value, (50, 95, 99)).first()
     return runs.agg(
         F.min(value).alias("best"), F.min(F.when(F.col(run) < 10, F.col(value))).alias("best_of_10"), F.avg(value).alias("mean"),
-        nearest_rank(value, 50).alias("p50"), nearest_rank(value, 95).alias("p95"), nearest_rank(value, 99).alias("p99"),
-        F.max(value).alias("max"),
+        *(F.lit(ranked[p]).cast(runs.schema[value].dataType).alias(p) for p in ("p50", "p95", "p99")), F.max(value).alias("max"),
     )
 
 

@@ -490,7 +490,7 @@ def _state(**changed: str) -> str:
 @_query(
     f"""WITH lines AS (SELECT doc_id, list_transform(string_split('<!-- ' || source || chr(10) || '- hidden -->' || chr(10) || '# Documents' || chr(10) || '- ' || text
       || chr(10) || '## Queries' || chr(10) || '1. ' || source || chr(10) || 'second', chr(10)),
-      lambda l: {{'line': regexp_replace(l, '^\s+|\s+$', '', 'g'), 'q': false, 'c': false, 'docs': []::VARCHAR[], 'query': NULL::VARCHAR}}) AS l FROM documents),
+      lambda l: {{'line': regexp_replace(l, '^\\s+|\\s+$', '', 'g'), 'q': false, 'c': false, 'docs': []::VARCHAR[], 'query': NULL::VARCHAR}}) AS l FROM documents),
     folded AS (SELECT doc_id, list_reduce(l, lambda x, y: CASE
       WHEN x.c THEN {_state(c="NOT contains(y.line, '-->')")}
       WHEN starts_with(y.line, '<!--') THEN {_state(c="NOT contains(y.line, '-->')")}
