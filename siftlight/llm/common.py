@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,29 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.sources import tables
+from siftlight.sources.tables import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    A session without it gets a temporary one if it is a local one, where driver and
-    executors are one machine; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir()
-    if where is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="siftlight-checkpoint-"))
-        where = sc.getCheckpointDir()
-    return where
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

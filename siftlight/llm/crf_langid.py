@@ -7,8 +7,8 @@ chains at a time. A document's language is the label with the largest mean margi
 that mean is its score.
 
 Chains are lines, cut after ``CHAIN`` words. Training takes at most ``per_label`` whole
-documents of each label, by order of a hash of their ids, of each its first ``LONGEST``
-characters; segments of them are strung together so that transitions are learned from
+documents of each of at most ``most_labels`` labels, by order of a hash of their ids, of
+each its first ``LONGEST`` characters; segments of them are strung together so that transitions are learned from
 switches. Nothing but a row's text is used to predict.
 
 A field only weighs its labels against each other: any word gets one. ``keep_known`` thus
@@ -357,9 +357,9 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_label: int = 250, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, per_label: int = 250, *, most_labels: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
     """At most ``per_label`` (text, label) rows of each label that aren't held out: those
-    of the smallest hashes. A first count tells how small a hash must be, so that no
+    of the smallest hashes. Of more than ``most_labels`` labels, the most frequent count. A first count tells how small a hash must be, so that no
     label's rows have to be sorted whole."""
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
     counts = docs.where(usable).groupBy(F.col(label_col).cast("string").alias("label")).count()
@@ -367,7 +367,7 @@ def training_rows(docs: DataFrame, per_label: int = 250, *, id_col: str = "doc_i
     rows = docs.where(usable & F.col(text_col).isNotNull()).select(
         F.left(F.col(text_col), F.lit(LONGEST)).alias("text"), F.col(label_col).cast("string").alias("label"), draw.alias("draw"), F.col(id_col).alias("id")
     )
-    few = counts.select(F.col("label").alias("of"), (F.lit(3.0 * per_label) / F.col("count")).alias("share"))
+    few = counts.orderBy(F.desc("count"), "label").limit(most_labels).select(F.col("label").alias("of"), (F.lit(3.0 * per_label) / F.col("count")).alias("share"))
     near = rows.join(F.broadcast(few), F.col("label") == F.col("of")).where("draw < share")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", "text"))
     picked = near.withColumn("rank", rank).where(F.col("rank") <= per_label).orderBy("label", "rank")
