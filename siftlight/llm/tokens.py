@@ -10,7 +10,8 @@ encoded once and remembered, up to a bound. The cuts are before runs of ASCII wh
 
 Special tokens hold no white space, and the normalizers (NFC, lower case) never join
 characters over an ASCII space, so both act within chunks. A chunk that is one word of
-Latin-1 letters, or one with a mark after it, is given to the library's model directly.
+Latin-1 letters is given to the library's model directly; one with marks after it is two
+pieces to both pre-tokenizers.
 Texts with any other white space (but that of Latin-1, for ``word_end``), or with a chunk
 longer than ``LONG``, go to the library whole. It also encodes one text of every call again as a whole, and a difference is an
 error.
@@ -32,7 +33,9 @@ LONG = 1 << 14
 
 # Byte-level vocabularies show printable bytes as themselves, the others as characters from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII, what is no letter, digit or space
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_SHOWN[32])
 
 
 class ChunkTokenizer:
@@ -48,7 +51,6 @@ class ChunkTokenizer:
             raise ValueError(kind)
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.marks = {x: self._library(x) for x in ".,;:"}
         self.marks_ends = kind == "word_end"
         # Two generations of chunks, of about `limit` each, keep what is frequent.
         self.limit = limit
@@ -89,8 +91,10 @@ class ChunkTokenizer:
         both pre-tokenizers and normal to NFC, so its bytes go straight to the library's model."""
         if self.marks_ends:
             word = word.lower()
-        if not (word.isalpha() and word.isascii()):
+        if not word.isascii():
             word = word.encode().decode("latin-1").translate(_SHOWN)
+        elif word[0] == " ":
+            word = _SPACE + word[1:]
         return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -116,7 +120,7 @@ class _Known(dict):
     def __init__(self, tokenizer: ChunkTokenizer, older: dict | None = None):
         super().__init__()
         self.older = dict(older or {})
-        self.piece, self.library, self.marks = tokenizer._piece, tokenizer._library, tokenizer.marks
+        self.piece, self.library = tokenizer._piece, tokenizer._library
 
     def __missing__(self, chunk: bytes | str) -> bytes:
         ids = self.older.get(chunk)
@@ -127,9 +131,12 @@ class _Known(dict):
                 ids = self.library(text) if _BEYOND_LATIN1.search(text) else self[text.encode("latin-1")]
             elif word.isalpha():
                 ids = self.piece(text)
-            elif word[-1:] in self.marks and word[:-1].isalpha():  # two pieces
-                ids = self[chunk[:-1]] + self.marks[word[-1]]
             else:
-                ids = self.library(text)
+                stem = word.rstrip(_MARKS)
+                n = len(word) - len(stem)
+                if n and stem.isalpha():  # two pieces, and no more
+                    ids = self[chunk[:-n]] + self[chunk[-n:]]
+                else:
+                    ids = self.library(text)
         self[chunk] = ids
         return ids

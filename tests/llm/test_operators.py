@@ -216,7 +216,7 @@ def test_chunks_have_the_librarys_ids(kind, name):
 
     library, chunks = Tokenizer.from_file(P.path(name)), ChunkTokenizer(P.path(name), kind, limit=300)
     parts = [*"abcXYZ'stre  \n\t1,.;:x<|>!$%", "é", "É", "ß", "Ñ", "ª", "µ", "日", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u0301", "\u212a", "İ", "Σ"]
-    parts += ["<|endoftext|>", "<|startoftext|>", "  ", "the ", "The, ", "don't", "We'LL", "LICENSE. "]
+    parts += ["$$$", "word''", "a_b", "x'", ",%%%", "<|endoftext|>", "<|startoftext|>", "  ", "the ", "The, ", "don't", "We'LL", "LICENSE. "]
     rng = np.random.default_rng(4)
     for _ in range(4000):
         text = "".join(rng.choice(parts, int(rng.integers(0, 30))))
