@@ -57,6 +57,10 @@ def _blocks(queries: DataFrame, dim: int, room: int) -> Iterator[tuple[list, np.
         yield [r["query_id"] for r in some], asked, [r["lists"] for r in some]
 
 
+#: Vectors whose neighbours tell how many lists a search of an index needs.
+ASKED = 200
+
+
 class _Best:
     """The k best of each query so far, by score, then id."""
 
@@ -140,13 +144,14 @@ def exact_many(
 class IvfIndex:
     """Inverted lists under k-means centres, which are fit on a sample of at most ``sample``
     vectors; every vector is in a list. There are about as many lists as a list has vectors,
-    if no number is given. A search compares the lists nearest to the query.
+    if no number is given. A search compares the lists nearest to the query, by default as
+    many as held 0.95 of the ten nearest of ``ASKED`` stored vectors when the index was made.
 
     ``table``: the vectors with their ``list``; ``centres``: a row per list; ``sizes``: how
-    many vectors each has."""
+    many vectors each has; ``probe``: that number of lists."""
 
-    def __init__(self, table: DataFrame, centres: np.ndarray, sizes: dict[int, int], id_col: str, embedding: str):
-        self.table, self.centres, self.sizes, self.id_col, self.embedding = table, centres, sizes, id_col, embedding
+    def __init__(self, table: DataFrame, centres: np.ndarray, sizes: dict[int, int], probe: int, id_col: str, embedding: str):
+        self.table, self.centres, self.sizes, self.probe, self.id_col, self.embedding = table, centres, sizes, probe, id_col, embedding
 
     @classmethod
     def create(cls, vectors: DataFrame, root: str, lists: int | None = None, id_col: str = "vec_id", embedding: str = "embedding", sample: int = 100_000, seed: int = 42) -> IvfIndex:
@@ -162,13 +167,29 @@ class IvfIndex:
         model = KMeans(k=max(2, lists), seed=seed, featuresCol="_v", predictionCol="list", maxIter=20).fit(seen.select("_v"))
         model.transform(table).drop("_v").repartition("list").write.partitionBy("list").parquet(f"{root}/lists")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+        made = cls(spark.read.parquet(f"{root}/lists"), np.array(model.clusterCenters()), {}, 0, id_col, embedding)
+        spark.createDataFrame([(made._enough(seed),)], "probe int").coalesce(1).write.parquet(f"{root}/probe")
         return cls.read(spark, root, id_col, embedding)
 
+    def _enough(self, seed: int, k: int = 10, share: float = 0.95) -> int:
+        """How many lists hold that share of the k nearest of some stored vectors."""
+        dim = self.centres.shape[1]
+        rows = self.table.select(F.xxhash64(self.id_col).alias("vec_id"), _sound(self.embedding, dim).alias("embedding"), "list")
+        asked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).persist()
+        truth = exact_many(rows, asked, k).select("query_id", F.col("id").alias("vec_id"))
+        vectors = {r["query_id"]: r["vector"] for r in asked.collect()}
+        order = {q: {x: i for i, x in enumerate(self._near(v), 1)} for q, v in vectors.items()}
+        # ASKED times k rows.
+        places = [order[r["query_id"]][r["list"]] for r in rows.join(F.broadcast(truth), "vec_id").select("query_id", "list").collect()]
+        asked.unpersist()
+        return int(np.quantile(places, share, method="higher")) if places else 1
+
     @classmethod
     def read(cls, spark, root: str, id_col: str = "vec_id", embedding: str = "embedding") -> IvfIndex:
         table = spark.read.parquet(f"{root}/lists")
         centres = np.array([r["centre"] for r in spark.read.parquet(f"{root}/centres").orderBy("list").collect()])
-        return cls(table, centres, {r["list"]: r["count"] for r in table.groupBy("list").count().collect()}, id_col, embedding)
+        sizes = {r["list"]: r["count"] for r in table.groupBy("list").count().collect()}
+        return cls(table, centres, sizes, spark.read.parquet(f"{root}/probe").first()["probe"], id_col, embedding)
 
     def _near(self, query) -> list[int]:
         return np.argsort(((self.centres - np.array(query, dtype=np.float64)) ** 2).sum(axis=1), kind="stable").tolist()
@@ -179,13 +200,13 @@ class IvfIndex:
         if ef is not None:
             held = np.cumsum([self.sizes.get(x, 0) for x in near])
             probe = 1 + int(np.searchsorted(held, max(k, ef)))
-        picked = near[: probe or PROBE]
+        picked = near[: probe or self.probe]
         return top(cosine_scores(self.table.where(F.col("list").isin(picked)), query, self.id_col, self.embedding), k)
 
     def search_many(self, queries: DataFrame, k: int, probe: int | None = None, block: int = 256, room: int = 256 << 20) -> DataFrame:
         """(query_id, id, score, rank) for a table of queries (query_id, vector): one scan
         of the lists for as many queries as fit in ``room``."""
-        dim, probe = self.centres.shape[1], probe or PROBE
+        dim, probe = self.centres.shape[1], probe or self.probe
         apart = lambda c: F.aggregate(F.zip_with("vector", literal(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
         ranked = F.array_sort(F.array(*[F.struct(apart(c).alias("away"), F.lit(i).alias("list")) for i, c in enumerate(self.centres.tolist())]))
         asked = queries.select("query_id", _sound("vector", dim).alias("vector")).withColumn("lists", F.transform(F.slice(ranked, 1, probe), lambda x: x["list"]))
@@ -193,10 +214,6 @@ class IvfIndex:
         return _scan(rows, asked, k, dim, block, room)
 
 
-#: Lists that a search looks into.
-PROBE = 16
-
-
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """The share of the true ids that were found, of each query if there are many."""
     keys = [c for c in ("query_id", "id") if c in truth.columns]
