@@ -19,16 +19,19 @@ rows are kept, each with its group; a text of any length counts whole, its hashe
 summed by blocks; other columns are ignored; empty in, empty out.
 
 ``keep_distinct`` goes by the shingles themselves: links are texts whose sets of shingles
-are alike by ``least`` or more (Jaccard). Fingerprints of such texts are up to 11 bits
-apart, where no band of 64 bits prunes anything, so candidates come from MinHash: 16 bands
-of 4 minima, one of which two texts alike by 0.8 share in 9998 of 10,000 cases. Rows are
-sorted by band, the band after it and text, and each is paired with the one before it, so
-a large group of near copies gives no more pairs a text than a small one. Every pair is
-verified over the whole shingle sets.
+are alike by ``least`` or more (Jaccard). Candidates come from the groups that the BK-trees
+make of the fingerprints, and, since fingerprints of such texts are up to 11 bits apart,
+where no band of 64 bits prunes anything, from MinHash as well: 16 bands of 4 minima, one
+of which two texts alike by 0.8 share in 9998 of 10,000 cases. Rows are sorted by group or
+band, by a band's key, and by text. Each is first paired with the one before it, so a large
+group of near copies gives no more pairs a text than a small one; then, since a third text
+may stand between two that are alike, with those of other groups so far among the
+``window`` before it. Every pair is verified over the whole shingle sets.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,26 +44,32 @@ from siftlight.llm.common import settle, slices, text_or_empty
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the shingles of ``words`` words, as an unsigned integer."""
+def _hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles of ``words`` words, repeats included."""
     import xxhash
 
     parts = text.encode().lower().split()
-    if not parts:
-        return 0
-    if len(parts) < words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
-    joined = b" ".join(parts)
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([digest(joined, seed)] if parts else [], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[: len(parts) - words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, dtype=np.int64), len(starts)
-    for at in range(0, total, _CHUNK):
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), "<u8", len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """SimHash of the shingles of ``words`` words, as an unsigned integer."""
+    return _majority(_hashes(text, words, seed))
 
 
 def _signed(x: int) -> int:
@@ -279,16 +288,6 @@ def near_duplicates(
     )
 
 
-def _shingles(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order."""
-    import xxhash
-
-    parts = text.encode().lower().split()
-    spans = range(max(len(parts) - words + 1, min(1, len(parts))))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words])) for i in spans), np.uint64, len(spans)))
-
-
 _BANDS, _ROWS = 16, 4
 
 
@@ -309,45 +308,67 @@ def _band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, node, keys): ``node`` is one for texts of the same words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, node, fp, keys): ``node`` is one for texts of the same words."""
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "text_hash", "node", "fp")), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         import xxhash
 
         for ids, hashes, texts in slices(batches):
             nodes = [_signed(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts]
-            keys = [_band_keys(x) if len(x) > 1 else [] for x in (_shingles(t, words) for t in texts)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, hashes, nodes)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            prints, keys = [], []
+            for t in texts:
+                shingles = _hashes(t, words)
+                prints.append(_signed(_majority(shingles)))
+                keys.append(_band_keys(np.unique(shingles)) if len(shingles) > 1 else [])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, hashes, nodes, prints)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text")
     )
-    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>")
 
 
-def _neighbours(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one key that follow each other."""
-    last_key, last_node = None, None
+def _neighbours(batches, window: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one key and different roots, of which one is among the ``window``
+    rows before the other."""
+    last_key, held = None, deque(maxlen=window)
     for batch in batches:
         a, b = [], []
-        for key, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist()):
-            if key == last_key and node != last_node:
-                a.append(max(node, last_node))
-                b.append(min(node, last_node))
-            last_key, last_node = key, node
+        for key, node, root in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root"))):
+            if key != last_key:
+                last_key = key
+                held.clear()
+            for other, its in held:
+                if its != root:
+                    a.append(max(node, other))
+                    b.append(min(node, other))
+            held.append((node, root))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def alike_links(nodes: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): nodes that neighbour each other in a band and are alike by ``least``.
-    ``nodes`` has each node's keys, and in ``k`` the id and the text's hash of one row."""
-    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node"
-    )
+def _simhash_groups(nodes: DataFrame, radius: int, tree: int, total: int) -> DataFrame:
+    """(node, keys, group): ``group`` is a key of the group that the BK-trees put the node's
+    fingerprint in. ``total`` is at least the number of nodes."""
+    prints = settle(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = components(links(prints.select("fp"), radius, tree))
+    tied = settle(prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("tied")))
+    held = _join_salted(nodes.select("node", "fp", "keys"), tied, "fp", F.col("node"), total)
+    return held.select("node", "keys", F.xxhash64(F.lit(_BANDS), "tied").alias("group"))
+
+
+def _candidates(cells: DataFrame, window: int) -> DataFrame:
+    """(a, b): nodes of different roots that are near each other in a band or a group."""
+    bands = F.transform("keys", lambda x, i: F.struct(F.xxhash64(i, x).alias("key"), F.get("keys", (i + 1) % _BANDS).alias("turn")))
+    group = F.array(F.struct(F.col("group").alias("key"), F.get("keys", F.lit(0)).alias("turn")))
+    keyed = cells.select("node", "root", F.explode(F.concat(bands, group)).alias("k")).select("k.key", "k.turn", "node", "root")
     keyed = keyed.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
-    pairs = settle(keyed.mapInArrow(_neighbours, "a long, b long").distinct())
-    # One row of each node gives the text.
+    return settle(keyed.mapInArrow(lambda batches: _neighbours(batches, window), "a long, b long").distinct())
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` whose texts are alike by ``least``. ``nodes`` has in ``k`` the id and the
+    text's hash of one row of each node, which gives the text."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.join(asked, "node", "left_semi").select("node", "k.doc_id", "k.text_hash")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -361,23 +382,30 @@ def alike_links(nodes: DataFrame, docs: DataFrame, words: int, least: float, id_
         for batch in batches:
             good = []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                p, q = _shingles(x, words), _shingles(y, words)
+                p, q = np.unique(_hashes(x, words)), np.unique(_hashes(y, words))
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(common >= least * (len(p) + len(q) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return settle(both.mapInArrow(verify, "a long, b long"))
 
 
-def keep_distinct(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_distinct(
+    docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 3, tree: int = 2048, window: int = 16, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` without all but one row of each group of texts whose shingles of ``words``
     words are alike by ``least`` or more; the row kept is that of ``keep_one``."""
     signed = settle(_signed_texts(docs, words, id_col, text_col))
-    nodes = settle(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min(_order()).alias("k"), F.count("*").alias("n")))
+    nodes = settle(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min(_order()).alias("k"), F.count("*").alias("n")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    roots = components(alike_links(nodes, docs, words, least, id_col, text_col))
+    cells = settle(_simhash_groups(nodes, radius, tree, total))
+    roots = components(_alike(_candidates(cells.withColumn("root", F.col("node")), 1), nodes, docs, words, least, id_col, text_col))
+    apart = _candidates(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), window)
+    more = _alike(apart, nodes, docs, words, least, id_col, text_col)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = _join_salted(signed.drop("keys"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
+    grouped = _join_salted(signed.drop("keys", "fp"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
     return _keep_best(docs, grouped, id_col, text_col)
 
 

@@ -538,6 +538,31 @@ def test_one_of_a_large_group_of_near_copies(spark):
     assert found.columns == df.columns and sorted(r["doc_id"] for r in found.collect()) == [3, 4, 7]
 
 
+def test_groups_of_trees_are_candidates(spark):
+    """Fingerprints that BK-trees link share a key, and one fingerprint's nodes do."""
+    rows = [(1, 0, [9]), (2, 7, [8]), (3, 7, []), (4, 63, []), (5, 1 << 40 | 0b1111, [8]), (6, -1, [1])]
+    nodes = spark.createDataFrame(rows, "node long, fp long, keys array<long>")
+    found = {r["node"]: r["group"] for r in simhash._simhash_groups(nodes, 3, 2048, 6).collect()}
+    assert len({found[n] for n in (1, 2, 3, 4, 5)}) == 1 and found[6] != found[1]
+
+
+def test_a_text_between_two_alike_hides_no_link(spark):
+    """Sets of 100 trios: the second and the third are each alike the first, not each other."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(100):
+        base = [f"w{n}.{i}" for i in range(100)]
+        for k, places in enumerate([(), (20, 90), (40, 60)]):
+            words = list(base)
+            for i in places:
+                words[i] = f"x{rng.integers(1 << 40)}"
+            rows.append((3 * n + k, " ".join(words)))
+    likeness = [five_word_likeness(rows[i][1], rows[j][1]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert min(likeness[:2]) >= 0.8 > likeness[2]
+    found = simhash.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {3 * n for n in range(100)}
+
+
 def test_short_and_unspaced_texts_share_fingerprints(spark):
     rng = np.random.default_rng(4)
     letters, signs = list("abcdefghijklmnopqrstuvwxyz"), [chr(c) for c in range(0x4E00, 0x5E00)]
