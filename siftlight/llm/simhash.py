@@ -19,14 +19,14 @@ rows are kept, each with its group; a text of any length counts whole, its hashe
 summed by blocks; other columns are ignored; empty in, empty out.
 
 ``keep_distinct`` goes by the shingles themselves: links are texts whose sets of shingles
-are alike by ``least`` or more (Jaccard). Candidates come from the groups that the BK-trees
-make of the fingerprints, and, since fingerprints of such texts are up to 11 bits apart,
-where no band of 64 bits prunes anything, from MinHash as well: 16 bands of 4 minima, one
-of which two texts alike by 0.8 share in 9998 of 10,000 cases. Rows are sorted by group or
-band, by a band's key, and by text. Each is first paired with the one before it, so a large
-group of near copies gives no more pairs a text than a small one; then, since a third text
-may stand between two that are alike, with those of other groups so far among the
-``window`` before it. Every pair is verified over the whole shingle sets.
+are alike by ``least`` or more (Jaccard). Candidates are the links of the BK-trees and,
+since fingerprints of such texts are up to 11 bits apart, where no band of 64 bits prunes
+anything, those of MinHash as well: 16 bands of 4 minima, one of which two texts alike by
+0.8 share in 9998 of 10,000 cases. Rows are sorted by band, the band after it and text, and
+each is paired with the one before it, so a large group of near copies gives no more pairs
+a text than a small one. Every pair is verified over the whole shingle sets. Where one
+fails, a third text may stand between two that are alike; so each row is paired again with
+those of the ``window`` before it that lie beyond such a place.
 """
 
 from __future__ import annotations
@@ -330,40 +330,43 @@ def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
 
 
 def _neighbours(batches, window: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one key and different roots, of which one is among the ``window``
-    rows before the other."""
-    last_key, held = None, deque(maxlen=window)
+    """Pairs of rows of one key, of which one is among the ``window`` rows before the other,
+    and between which two doubted rows follow each other."""
+    last_key, last_doubt, run, held = None, False, 0, deque(maxlen=window)
     for batch in batches:
         a, b = [], []
-        for key, node, root in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root"))):
+        for key, node, doubt in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "doubt"))):
             if key != last_key:
-                last_key = key
+                last_key, last_doubt = key, False
                 held.clear()
+            run += doubt and last_doubt
             for other, its in held:
-                if its != root:
+                if its != run:
                     a.append(max(node, other))
                     b.append(min(node, other))
-            held.append((node, root))
+            held.append((node, run))
+            last_doubt = doubt
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _simhash_groups(nodes: DataFrame, radius: int, tree: int, total: int) -> DataFrame:
-    """(node, keys, group): ``group`` is a key of the group that the BK-trees put the node's
-    fingerprint in. ``total`` is at least the number of nodes."""
-    prints = settle(nodes.groupBy("fp").agg(F.count("*").alias("n")))
-    roots = components(links(prints.select("fp"), radius, tree))
-    tied = settle(prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("tied")))
-    held = _join_salted(nodes.select("node", "fp", "keys"), tied, "fp", F.col("node"), total)
-    return held.select("node", "keys", F.xxhash64(F.lit(_BANDS), "tied").alias("group"))
-
-
 def _candidates(cells: DataFrame, window: int) -> DataFrame:
-    """(a, b): nodes of different roots that are near each other in a band or a group."""
-    bands = F.transform("keys", lambda x, i: F.struct(F.xxhash64(i, x).alias("key"), F.get("keys", (i + 1) % _BANDS).alias("turn")))
-    group = F.array(F.struct(F.col("group").alias("key"), F.get("keys", F.lit(0)).alias("turn")))
-    keyed = cells.select("node", "root", F.explode(F.concat(bands, group)).alias("k")).select("k.key", "k.turn", "node", "root")
+    """(a, b): nodes that are near each other in a band, with a doubt between them."""
+    keyed = cells.select("node", "keys", "doubt", F.posexplode("keys").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node", "doubt"
+    )
     keyed = keyed.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
-    return settle(keyed.mapInArrow(lambda batches: _neighbours(batches, window), "a long, b long").distinct())
+    return keyed.mapInArrow(lambda batches: _neighbours(batches, window), "a long, b long")
+
+
+def _tree_links(nodes: DataFrame, radius: int, tree: int) -> DataFrame:
+    """(a, b): the nodes that BK-trees link, one for each fingerprint, and that one with the
+    others of its fingerprint."""
+    prints = settle(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    ends = F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
+    found = links(prints.select("fp"), radius, tree)
+    found = found.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    same = nodes.join(prints, "fp").select(F.col("node").alias("x"), F.col("one").alias("y")).where("x <> y")
+    return found.select(*ends).unionByName(same.select(*ends))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -398,12 +401,12 @@ def keep_distinct(
     signed = settle(_signed_texts(docs, words, id_col, text_col))
     nodes = settle(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min(_order()).alias("k"), F.count("*").alias("n")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    cells = settle(_simhash_groups(nodes, radius, tree, total))
-    roots = components(_alike(_candidates(cells.withColumn("root", F.col("node")), 1), nodes, docs, words, least, id_col, text_col))
-    apart = _candidates(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), window)
-    more = _alike(apart, nodes, docs, words, least, id_col, text_col)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    pairs = settle(_candidates(nodes.withColumn("doubt", F.lit(True)), 1).unionByName(_tree_links(nodes, radius, tree)).distinct())
+    sure = _alike(pairs, nodes, docs, words, least, id_col, text_col)
+    doubted = pairs.join(sure, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node"), F.lit(True).alias("doubt")).distinct()
+    cells = nodes.select("node", "keys").join(doubted, "node", "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
+    more = settle(_candidates(cells, window).distinct().join(pairs, ["a", "b"], "left_anti"))
+    roots = components(sure.unionByName(_alike(more, nodes, docs, words, least, id_col, text_col)))
     rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = _join_salted(signed.drop("keys", "fp"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
     return _keep_best(docs, grouped, id_col, text_col)

@@ -538,12 +538,16 @@ def test_one_of_a_large_group_of_near_copies(spark):
     assert found.columns == df.columns and sorted(r["doc_id"] for r in found.collect()) == [3, 4, 7]
 
 
-def test_groups_of_trees_are_candidates(spark):
-    """Fingerprints that BK-trees link share a key, and one fingerprint's nodes do."""
-    rows = [(1, 0, [9]), (2, 7, [8]), (3, 7, []), (4, 63, []), (5, 1 << 40 | 0b1111, [8]), (6, -1, [1])]
-    nodes = spark.createDataFrame(rows, "node long, fp long, keys array<long>")
-    found = {r["node"]: r["group"] for r in simhash._simhash_groups(nodes, 3, 2048, 6).collect()}
-    assert len({found[n] for n in (1, 2, 3, 4, 5)}) == 1 and found[6] != found[1]
+def test_links_of_trees_are_candidates(spark):
+    """Fingerprints that BK-trees link, and nodes of one fingerprint, connect."""
+    rows = [(1, 0), (2, 7), (3, 7), (4, 63), (5, 1 << 40 | 0b1111), (6, -1)]
+    found = simhash._tree_links(spark.createDataFrame(rows, "node long, fp long"), 3, 2048).collect()
+    group = {n: {n} for n, _ in rows}
+    for a, b in found:
+        assert a > b
+        both = group[a] | group[b]
+        group.update(dict.fromkeys(both, both))
+    assert group[1] == {1, 2, 3, 4, 5} and group[6] == {6}
 
 
 def test_a_text_between_two_alike_hides_no_link(spark):
