@@ -19,20 +19,22 @@ rows are kept, each with its group; a text of any length counts whole, its hashe
 summed by blocks; other columns are ignored; empty in, empty out.
 
 ``keep_distinct`` goes by the shingles themselves: links are texts whose sets of shingles
-are alike by ``least`` or more (Jaccard). Candidates are the links of the BK-trees and,
-since fingerprints of such texts are up to 11 bits apart, where no band of 64 bits prunes
-anything, those of MinHash as well: 16 bands of 4 minima, one of which two texts alike by
-0.8 share in 9998 of 10,000 cases. Rows are sorted by band, the band after it and text, and
-each is paired with the one before it, so a large group of near copies gives no more pairs
-a text than a small one. Every pair is verified over the whole shingle sets. Where one
-fails, a third text may stand between two that are alike; so each row is paired again with
-those of the ``window`` before it that lie beyond such a place.
+are alike by ``least`` or more (Jaccard), and no link between different groups is left out.
+First come the links of the BK-trees and those of MinHash: 16 bands of 4 minima, in which
+each row is paired with the one before it, so a large group of near copies gives no more
+pairs a text than a small one. These, verified, make groups. What they leave apart is joined
+by prefixes: in one order of all shingles, that of the common ones last, two sets alike by
+``least`` share one of the first n - ceil(least * n) + 1 of each. The first that they share
+also bounds how many they can share in all. Pairs that one group holds already aren't asked
+for again. A pair whose parities of shingles by bins differ in more places than the sets
+may is no link; every other is verified over the whole sets. The common shingles and the
+sizes of their cells are those of a sample, which decides on cost alone.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from siftlight.llm.common import settle, slices, text_or_empty
 
 _CHUNK = 1 << 16
+_TOLD = 1 << 20
 
 
 def _hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -307,55 +310,221 @@ def _band_keys(shingles: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def _node(text: str) -> int:
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split())))
+
+
+def _parities(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of a set of shingles is in each bin, by their low bits. There are
+    as many bins as shingles or up to twice as many, a power of two, and 512 at least."""
+    bins = max(512, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _bins_apart(x: bytes, y: bytes) -> int:
+    """In how many bins two sets differ: they differ in at least as many shingles."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(p) < len(q):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, node, fp, keys): ``node`` is one for texts of the same words."""
-    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "text_hash", "node", "fp")), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, node, fp, keys, size, bins): ``node`` is one for texts of the same
+    words, ``size`` the number of different shingles."""
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "text_hash", "node", "fp")), ("keys", pa.list_(pa.int64())), ("size", pa.int64()), ("bins", pa.binary())])
 
     def run(batches):
-        import xxhash
-
         for ids, hashes, texts in slices(batches):
-            nodes = [_signed(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts]
-            prints, keys = [], []
+            nodes, prints, keys, sizes, bins = [], [], [], [], []
             for t in texts:
                 shingles = _hashes(t, words)
+                unique = np.unique(shingles)
+                nodes.append(_node(t))
                 prints.append(_signed(_majority(shingles)))
-                keys.append(_band_keys(np.unique(shingles)) if len(shingles) > 1 else [])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, hashes, nodes, prints)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                keys.append(_band_keys(unique) if len(shingles) > 1 else [])
+                sizes.append(len(unique))
+                bins.append(_parities(unique))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, hashes, nodes, prints, keys, sizes, bins), schema.types)], schema=schema)
 
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text")
     )
-    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>")
+    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>, size long, bins binary")
 
 
-def _neighbours(batches, window: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one key, of which one is among the ``window`` rows before the other,
-    and between which two doubted rows follow each other."""
-    last_key, last_doubt, run, held = None, False, 0, deque(maxlen=window)
+def _neighbours(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row and the one before it of the same key."""
+    last_key, last = None, None
     for batch in batches:
         a, b = [], []
-        for key, node, doubt in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "doubt"))):
-            if key != last_key:
-                last_key, last_doubt = key, False
-                held.clear()
-            run += doubt and last_doubt
-            for other, its in held:
-                if its != run:
-                    a.append(max(node, other))
-                    b.append(min(node, other))
-            held.append((node, run))
-            last_doubt = doubt
+        for key, node in zip(*(batch.column(c).to_pylist() for c in ("key", "node"))):
+            if key == last_key:
+                a.append(max(node, last))
+                b.append(min(node, last))
+            last_key, last = key, node
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _candidates(cells: DataFrame, window: int) -> DataFrame:
-    """(a, b): nodes that are near each other in a band, with a doubt between them."""
-    keyed = cells.select("node", "keys", "doubt", F.posexplode("keys").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node", "doubt"
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes that are next to each other in a band."""
+    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node"
     )
     keyed = keyed.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
-    return keyed.mapInArrow(lambda batches: _neighbours(batches, window), "a long, b long")
+    return keyed.mapInArrow(_neighbours, "a long, b long")
+
+
+@dataclass
+class Common:
+    """Shingles that many texts have, ascending; in how many texts of a sample; into how many
+    trees their cells are split."""
+
+    shingles: np.ndarray = field(default_factory=lambda: np.zeros(0, "<u8"))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    trees: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def places(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each shingle stands here, and whether it does."""
+        if not len(self.shingles):
+            return np.zeros(len(shingles), np.int64), np.zeros(len(shingles), bool)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return at, self.shingles[at] == shingles
+
+
+def _prefix(shingles: np.ndarray, common: Common, least: float) -> np.ndarray:
+    """The first of a set (ascending) by the order of all shingles: so many that another set
+    alike by ``least`` has one of them among its own."""
+    at, known = common.places(shingles)
+    if known.any():
+        shingles = shingles[np.argsort(np.where(known, common.counts[at], 0), kind="stable")]
+    return shingles[: len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1]
+
+
+def _postings(shingles: np.ndarray, node: int, common: Common, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a set, and for each its size, the place of the shingle and the side in
+    the cell (2: both sides) as one integer."""
+    cells = _prefix(shingles, common, least)
+    meta = np.int64(len(shingles)) << 33 | np.arange(len(cells), dtype=np.int64) << 2
+    at, known = common.places(cells)
+    split = np.nonzero(known & (common.trees[at] > 1))[0] if known.any() else []
+    if not len(split):
+        return cells.view(np.int64), meta | 2
+    whole = np.ones(len(cells), bool)
+    whole[split] = False
+    all_cells, all_meta = [cells[whole]], [meta[whole] | 2]
+    for i in split.tolist():
+        trees = int(common.trees[at[i]])
+        own, other = node % trees, np.arange(trees)
+        block = np.minimum(own, other) * trees + np.maximum(own, other) + 1
+        all_cells.append(cells[i] + block.astype("<u8") * np.uint64(0x9E3779B97F4A7C15))
+        all_meta.append(meta[i] | np.where(other == own, 2, (other < own).astype(np.int64)))
+    return np.concatenate(all_cells).view(np.int64), np.concatenate(all_meta)
+
+
+def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str, sample: int = 4096, most: int = 1 << 16) -> Common:
+    """The shingles of three or more of a sample of about ``sample`` texts, ``most`` at most.
+    They only order shingles and split cells: any others would give the same links."""
+    every = max(1, docs.count() // sample)
+
+    def read(batches):
+        for (texts,) in slices(batches):
+            sets = [pa.array(np.unique(_hashes(t, words)).view(np.int64)) for t in texts]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = pa.concat_arrays(sets) if sets else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["node", "shingles"])
+
+    text = text_or_empty(text_col)
+    picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    sets = settle(picked.mapInArrow(read, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(most).collect()
+    if not rows:
+        return Common()
+    found = np.array([r["shingle"] for r in rows], np.int64).view("<u8")
+    order = np.argsort(found)
+    common = Common(found[order], np.array([r["count"] for r in rows], np.int64)[order], np.ones(len(rows), np.int64))
+
+    def first(batches):
+        for batch in batches:
+            heads = [_prefix(np.array(x, np.int64).view("<u8"), common, least) for x in batch.column("shingles").to_pylist()]
+            heads = np.concatenate(heads) if heads else np.zeros(0, "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(heads[common.places(heads)[1]].view(np.int64))], names=["shingle"])
+
+    for r in sets.mapInArrow(first, "shingle long").groupBy("shingle").count().where(F.col("count") * every > tree).collect():
+        at = np.searchsorted(common.shingles, np.array([r["shingle"]], np.int64).view("<u8"))[0]
+        common.trees[at] = -(-r["count"] * every // tree)
+    return common
+
+
+def _cell_pairs(batches, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of a cell that different groups hold and that, if the cell's shingle is the
+    first that both have, can be alike by ``least``. Rows come sorted by cell."""
+    share = least / (1 + least)
+
+    def pairs(cell, node, root, meta) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.nonzero(cell[1:] != cell[:-1])[0] + 1))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        keep = np.repeat(mixed, np.diff(np.append(starts, len(cell))))
+        cell, node, root, meta = cell[keep], node[keep], root[keep], meta[keep]
+        size, side = meta >> 33, meta & 3
+        rest = size - (meta >> 2 & (1 << 31) - 1)
+        i, ahead, a, b, held = np.arange(len(cell)), 1, [], [], 0
+        while len(i := i[: np.searchsorted(i, len(cell) - ahead)]) and len(i := i[cell[i] == cell[i + ahead]]):
+            j = i + ahead
+            good = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            good &= np.minimum(rest[i], rest[j]) >= share * (size[i] + size[j]) - 1e-9
+            x, y = node[i[good]], node[j[good]]
+            a.append(np.maximum(x, y))
+            b.append(np.minimum(x, y))
+            held, ahead = held + len(x), ahead + 1
+            if held > _CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []  # of the last cell, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in ("cell", "node", "root", "meta")]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or held and held[0][0][0] != columns[0][0]:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])))
+            held = []
+        held.append([c[cut:].copy() for c in columns])
+    if held:
+        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _prefix_pairs(docs: DataFrame, roots: DataFrame, common: Common, words: int, least: float, text_col: str) -> DataFrame:
+    """(a, b): all nodes of different ``roots`` that can be alike by ``least``, some of them
+    more than once."""
+
+    def run(batches):
+        for (texts,) in slices(batches):
+            nodes, ends, cells, meta = [], [0], [], []
+            for t in texts:
+                shingles = np.unique(_hashes(t, words))
+                if not len(shingles):
+                    continue
+                nodes.append(_node(t))
+                its, about = _postings(shingles, nodes[-1], common, least)
+                cells.append(its)
+                meta.append(about)
+                ends.append(ends[-1] + len(its))
+            if nodes:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (cells, meta)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *lists], names=["node", "cell", "meta"])
+
+    posted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "node long, cell array<long>, meta array<long>")
+    posted = posted.groupBy("node").agg(F.first("cell").alias("cell"), F.first("meta").alias("meta")).join(roots, "node", "left")
+    posted = posted.select("node", F.coalesce("root", "node").alias("root"), F.explode(F.arrays_zip("cell", "meta")).alias("c")).select("c.cell", "node", "root", "c.meta")
+    return posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cell_pairs(batches, least), "a long, b long")
 
 
 def _tree_links(nodes: DataFrame, radius: int, tree: int) -> DataFrame:
@@ -372,10 +541,26 @@ def _tree_links(nodes: DataFrame, radius: int, tree: int) -> DataFrame:
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` whose texts are alike by ``least``. ``nodes`` has in ``k`` the id and the
     text's hash of one row of each node, which gives the text."""
+    about = nodes.select("node", "size", "bins")
+    for end in "ab":
+        pairs = pairs.join(about.toDF(end, f"size_{end}", f"bins_{end}"), end)
+    pairs = pairs.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)
+
+    def possible(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("size_a", "bins_a", "size_b", "bins_b"))
+            good = [_bins_apart(x, y) <= (1 - least) / (1 + least) * (m + n) + 1e-9 for m, x, n, y in zip(*columns)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    pairs = settle(pairs.mapInArrow(possible, "a long, b long"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.join(asked, "node", "left_semi").select("node", "k.doc_id", "k.text_hash")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     picked = picked.withColumn("text_hash", F.xxhash64("text"))
+    # Few hashes are told to the texts, so that only those asked for are shuffled.
+    hashes = settle(chosen.select("text_hash").distinct())
+    if hashes.count() <= _TOLD:
+        picked = picked.join(F.broadcast(hashes), "text_hash", "left_semi")
     same = picked.doc_id.eqNullSafe(chosen.doc_id) & (picked.text_hash == chosen.text_hash)
     texts = settle(picked.join(chosen, same).select("node", "text").dropDuplicates(["node"]))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -394,21 +579,21 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, leas
 
 
 def keep_distinct(
-    docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 3, tree: int = 2048, window: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 3, tree: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without all but one row of each group of texts whose shingles of ``words``
     words are alike by ``least`` or more; the row kept is that of ``keep_one``."""
     signed = settle(_signed_texts(docs, words, id_col, text_col))
-    nodes = settle(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min(_order()).alias("k"), F.count("*").alias("n")))
+    firsts = [F.first(c).alias(c) for c in ("keys", "fp", "size", "bins")]
+    nodes = settle(signed.groupBy("node").agg(*firsts, F.min(_order()).alias("k"), F.count("*").alias("n")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    pairs = settle(_candidates(nodes.withColumn("doubt", F.lit(True)), 1).unionByName(_tree_links(nodes, radius, tree)).distinct())
-    sure = _alike(pairs, nodes, docs, words, least, id_col, text_col)
-    doubted = pairs.join(sure, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node"), F.lit(True).alias("doubt")).distinct()
-    cells = nodes.select("node", "keys").join(doubted, "node", "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
-    more = settle(_candidates(cells, window).distinct().join(pairs, ["a", "b"], "left_anti"))
-    roots = components(sure.unionByName(_alike(more, nodes, docs, words, least, id_col, text_col)))
+    pairs = settle(_candidates(nodes).unionByName(_tree_links(nodes, radius, tree)).distinct())
+    near = components(_alike(pairs, nodes, docs, words, least, id_col, text_col))
+    more = settle(_prefix_pairs(docs, near, _common(docs, words, least, tree, text_col), words, least, text_col).distinct().join(pairs, ["a", "b"], "left_anti"))
+    joined = _alike(more, nodes, docs, words, least, id_col, text_col)
+    roots = components(near.toDF("a", "b").unionByName(joined))
     rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = _join_salted(signed.drop("keys", "fp"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
+    grouped = _join_salted(signed.drop("keys", "fp", "size", "bins"), rooted, "node", _row(), total).select("doc_id", "text_hash", "root")
     return _keep_best(docs, grouped, id_col, text_col)
 
 

@@ -567,6 +567,53 @@ def test_a_text_between_two_alike_hides_no_link(spark):
     assert {r["doc_id"] for r in found.collect()} == {3 * n for n in range(100)}
 
 
+def stars(rng, centres, others):
+    """Texts of 100 words, and for each others alike it by 0.81 and each other by 0.66."""
+    rows = []
+    for n in range(centres):
+        base = [f"w{n}.{i}" for i in range(100)]
+        for k in range(others + 1):
+            words = list(base)
+            for i in rng.choice(np.arange(5, 95, 6), 2, replace=False) if k else ():
+                words[i] = f"x{rng.integers(1 << 40)}"
+            rows.append((int(rng.integers(1 << 40)), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("tree", [2048, 16])
+def test_no_link_of_a_large_group_is_lost(spark, tree):
+    """One centre links all texts of a group, which share its bands with very many others."""
+    rows = stars(np.random.default_rng(5), 3, 200)
+    found = simhash.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tree=tree)
+    assert {r["doc_id"] for r in found.collect()} == {min(rows[at : at + 201])[0] for at in (0, 201, 402)}
+
+
+@pytest.mark.parametrize("tree", [2048, 4])
+def test_prefixes_hold_all_links(spark, tree):
+    """All pairs alike by 0.8 of texts of 1 to 60 words, many from a common passage, or of one word."""
+    rng = np.random.default_rng(6)
+    passage, texts = [f"p{i}" for i in range(40)], ["a " * n for n in range(1, 9)] + ["", " "]
+    for _ in range(250):
+        words = passage[: int(rng.integers(1, 41))] + [f"q{i}" for i in rng.integers(0, 4, int(rng.integers(0, 3)))]
+        words[int(rng.integers(len(words)))] = f"r{rng.integers(3)}"
+        texts.append(" ".join(words))
+    texts = list({simhash._node(t): t for t in texts}.values())
+    sets = [set(simhash._hashes(t, 5).tolist()) for t in texts]
+    wanted = {
+        tuple(sorted((simhash._node(texts[i]), simhash._node(texts[j])), reverse=True))
+        for i, p in enumerate(sets) for j, q in enumerate(sets[:i]) if p and q and len(p & q) >= 0.8 * len(p | q)
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    common = simhash._common(docs, 5, 0.8, tree, "text")
+    assert len(common.shingles) and (tree > 4 or common.trees.max() > 1)
+    roots = spark.createDataFrame([], "node long, root long")
+    found = {tuple(r) for r in simhash._prefix_pairs(docs, roots, common, 5, 0.8, "text").collect()}
+    assert len(wanted) > 50 and wanted <= found and len(found) < len(texts) ** 2 / 4
+    sets += [set(rng.integers(1 << 62, size=n).tolist()) for n in (0, 511, 513, 3000)]
+    for a, b in itertools.combinations(sets[-60:], 2):
+        assert simhash._bins_apart(*(simhash._parities(np.array(sorted(s), "<u8")) for s in (a, b))) <= len(a ^ b)
+
+
 def test_short_and_unspaced_texts_share_fingerprints(spark):
     rng = np.random.default_rng(4)
     letters, signs = list("abcdefghijklmnopqrstuvwxyz"), [chr(c) for c in range(0x4E00, 0x5E00)]
