@@ -425,7 +425,7 @@ def _postings(shingles: np.ndarray, node: int, common: Common, least: float) ->
     return np.concatenate(all_cells).view(np.int64), np.concatenate(all_meta)
 
 
-def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str, sample: int = 4096, most: int = 1 << 16) -> Common:
+def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str, sample: int = 4096, most: int = 1 << 14) -> Common:
     """The shingles of three or more of a sample of about ``sample`` texts, ``most`` at most.
     They only order shingles and split cells: any others would give the same links."""
     every = max(1, docs.count() // sample)
@@ -441,12 +441,12 @@ def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str,
     picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     sets = settle(picked.mapInArrow(read, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
     counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
-    rows = counted.orderBy(F.desc("count"), "shingle").limit(most).collect()
-    if not rows:
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+    if not len(rows):
         return Common()
-    found = np.array([r["shingle"] for r in rows], np.int64).view("<u8")
+    found = rows.column("shingle").to_numpy().view("<u8")
     order = np.argsort(found)
-    common = Common(found[order], np.array([r["count"] for r in rows], np.int64)[order], np.ones(len(rows), np.int64))
+    common = Common(found[order], rows.column("count").to_numpy()[order], np.ones(len(rows), np.int64))
 
     def first(batches):
         for batch in batches:
