@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,20 @@ def slices(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[
             yield [column.to_pylist() for column in part.columns]
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` (for mapInArrow), after which the worker gives the memory it has freed back to
+    the system. Workers outlive their tasks; what they keep counts beside the next stage's."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

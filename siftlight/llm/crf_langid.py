@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftlight.llm.common import slices
+from siftlight.llm.common import slices, tidy
 
 UND = "und"
 CHAIN = 256
@@ -430,4 +430,4 @@ def keep_known(docs: DataFrame, model: Model, *, least: float = 0.0, text_col: s
                 good += [x != UND and s >= least and over >= 0 for x, s, over in held.value.judge(texts.slice(at, 256).to_pylist(), familiar=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlight.llm.common import slices, text_or_empty
+from siftlight.llm.common import slices, text_or_empty, tidy
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -181,7 +181,7 @@ def keep(docs: DataFrame, policy: Policy, *, text_col: str = "text") -> DataFram
                 good += [_passes(measure(t or ""), policy) for t in texts.slice(at, 256).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _passes(values: tuple[int, ...], policy: Policy) -> bool:

@@ -11,7 +11,8 @@ at most the radius. A shard of more than ``tree`` fingerprints (a large group of
 copies) is salted: it becomes several trees, and each tree is sent to every block of
 queries of its shard, so that neither tree nor block outgrows a task. Nothing is
 collected to the driver. Lookups report the edges of a spanning forest, never all
-pairs; these join up by alternating large-star and small-star contraction.
+pairs. Each task turns its edges into a forest; if a million are left at most, one task
+joins them up, otherwise alternating large-star and small-star contraction does.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a
 null ``doc_id`` doesn't become a group's id unless the whole group has none; repeated
@@ -41,10 +42,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlight.llm.common import settle, slices, text_or_empty
+from siftlight.llm.common import settle, slices, text_or_empty, tidy
 
 _CHUNK = 1 << 16
 _TOLD = 1 << 20
+_FEW = 1 << 20
 
 
 def _hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -92,7 +94,7 @@ def fingerprints(docs: DataFrame, words: int = 3, *, id_col: str = "doc_id", tex
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text")
     )
-    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return picked.mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
@@ -220,7 +222,7 @@ def links(distinct: DataFrame, radius: int = 3, tree: int = 2048) -> DataFrame:
     )
     dealt = salted.select("key", "fp", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "c.role", "fp")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-    return dealt.mapInArrow(lambda batches: _edges_of_cells(batches, radius), "a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: _edges_of_cells(batches, radius)), "a long, b long")
 
 
 def _join_salted(many: DataFrame, one: DataFrame, key: str, by: Column, total: int, salts: int = 64) -> DataFrame:
@@ -244,17 +246,62 @@ def _row() -> Column:
     return F.struct("doc_id", "text_hash", F.spark_partition_id())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest nodes that these edges reach from them, without those that are
+    the smallest themselves."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _forests(batches, few: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from each node to the smallest it reaches. A forest of over ``few`` edges is
+    let go, so that no task holds many; ``few`` edges or less give one forest."""
+    a, b, n = [], [], 0
+
+    def close() -> tuple[np.ndarray, np.ndarray]:
+        return _contract(np.concatenate(a), np.concatenate(b))
+
+    for batch in batches:
+        for column, held in zip("ab", (a, b)):
+            held.append(batch.column(column).to_numpy())
+        n += batch.num_rows
+        if n > 2 * few:
+            x, y = close()
+            a, b, n = [x], [y], len(x)
+            if n > few:
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                a, b, n = [], [], 0
+    if n:
+        x, y = close()
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def components(edges: DataFrame, few: int = _FEW) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge that isn't
-    itself the smallest. Alternates large-star and small-star until nothing changes; each
-    round is checkpointed. A node of very many edges is salted."""
+    itself the smallest. Each task contracts its own edges. What is left is contracted by one
+    task if it is ``few`` edges at most, so bounded. Otherwise large-star and small-star
+    alternate until nothing changes; each round is checkpointed, and a node of very many
+    edges is salted."""
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
     def lows(df):
         return df.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
 
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    run = tidy(lambda batches: _forests(batches, _FEW))
+    own = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(run, "a long, b long"))
+    if own.count() <= few:
+        return settle(own.coalesce(1).mapInArrow(run, "a long, b long")).toDF("node", "root")
+    now = settle(own.distinct())
     seen = state(now)
     while seen[0]:
         both, total = now.union(now.select("b", "a")), 2 * seen[0]
@@ -274,7 +321,7 @@ def _grouped(docs: DataFrame, words: int, radius: int, tree: int, id_col: str, t
     prints = settle(fingerprints(docs, words, id_col=id_col, text_col=text_col))
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    roots = components(links(nodes.select("fp"), radius, tree))
+    roots = components(settle(links(nodes.select("fp"), radius, tree)))
     rooted = settle(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     named = _join_salted(rooted.select("fp", "root", F.col("n").alias("rows")), named, "root", F.col("fp"), total)
@@ -353,7 +400,7 @@ def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text")
     )
-    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>, size long, bins binary")
+    return picked.mapInArrow(tidy(run), "doc_id long, text_hash long, node long, fp long, keys array<long>, size long, bins binary")
 
 
 def _neighbours(batches) -> Iterator[pa.RecordBatch]:
@@ -375,7 +422,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         F.xxhash64("band", "value").alias("key"), F.get("keys", (F.col("band") + 1) % _BANDS).alias("turn"), "node"
     )
     keyed = keyed.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
-    return keyed.mapInArrow(_neighbours, "a long, b long")
+    return keyed.mapInArrow(tidy(_neighbours), "a long, b long")
 
 
 @dataclass
@@ -439,7 +486,7 @@ def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str,
 
     text = text_or_empty(text_col)
     picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    sets = settle(picked.mapInArrow(read, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = settle(picked.mapInArrow(tidy(read), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
     counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
     rows = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
     if not len(rows):
@@ -454,7 +501,7 @@ def _common(docs: DataFrame, words: int, least: float, tree: int, text_col: str,
             heads = np.concatenate(heads) if heads else np.zeros(0, "<u8")
             yield pa.RecordBatch.from_arrays([pa.array(heads[common.places(heads)[1]].view(np.int64))], names=["shingle"])
 
-    for r in sets.mapInArrow(first, "shingle long").groupBy("shingle").count().where(F.col("count") * every > tree).collect():
+    for r in sets.mapInArrow(tidy(first), "shingle long").groupBy("shingle").count().where(F.col("count") * every > tree).collect():
         at = np.searchsorted(common.shingles, np.array([r["shingle"]], np.int64).view("<u8"))[0]
         common.trees[at] = -(-r["count"] * every // tree)
     return common
@@ -521,10 +568,10 @@ def _prefix_pairs(docs: DataFrame, roots: DataFrame, common: Common, words: int,
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (cells, meta)]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *lists], names=["node", "cell", "meta"])
 
-    posted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "node long, cell array<long>, meta array<long>")
+    posted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), "node long, cell array<long>, meta array<long>")
     posted = posted.groupBy("node").agg(F.first("cell").alias("cell"), F.first("meta").alias("meta")).join(roots, "node", "left")
     posted = posted.select("node", F.coalesce("root", "node").alias("root"), F.explode(F.arrays_zip("cell", "meta")).alias("c")).select("c.cell", "node", "root", "c.meta")
-    return posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cell_pairs(batches, least), "a long, b long")
+    return posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(lambda batches: _cell_pairs(batches, least)), "a long, b long")
 
 
 def _tree_links(nodes: DataFrame, radius: int, tree: int) -> DataFrame:
@@ -552,7 +599,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, leas
             good = [_bins_apart(x, y) <= (1 - least) / (1 + least) * (m + n) + 1e-9 for m, x, n, y in zip(*columns)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    pairs = settle(pairs.mapInArrow(possible, "a long, b long"))
+    pairs = settle(pairs.mapInArrow(tidy(possible), "a long, b long"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.join(asked, "node", "left_semi").select("node", "k.doc_id", "k.text_hash")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -567,15 +614,16 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, leas
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches):
-        for batch in batches:
+        for ends_a, ends_b, texts_a, texts_b in slices(batches):
             good = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+            for a, b, x, y in zip(ends_a, ends_b, texts_a, texts_b):
                 p, q = np.unique(_hashes(x, words)), np.unique(_hashes(y, words))
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(common >= least * (len(p) + len(q) - common))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+                if common >= least * (len(p) + len(q) - common):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in good], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return settle(both.mapInArrow(verify, "a long, b long"))
+    return settle(both.mapInArrow(tidy(verify), "a long, b long"))
 
 
 def keep_distinct(

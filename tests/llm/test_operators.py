@@ -196,6 +196,48 @@ def test_hubs_are_salted(spark):
     assert set(roots) == {*range(10, 3000), 5, 2, 4001} and {roots[i] for i in roots if i < 4000} == {1}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_by_one_task_and_by_stars(spark, few):
+    """Random edges, a hub and a path, in several partitions: both ways give the smallest node."""
+    rng = np.random.default_rng(3)
+    ends = [*rng.integers(-600, 600, (500, 2)).tolist(), *([i, 5000] for i in range(4000, 4400)), *([i, i + 1] for i in range(9000, 9060))]
+    label = {x: x for e in ends for x in e}
+    for _ in label:
+        if not any([label.update({x: min(label[x], label[y]), y: min(label[x], label[y])}) for x, y in ends if label[x] != label[y]]) and all(label[x] == label[y] for x, y in ends):
+            break
+    found = simhash.components(spark.createDataFrame(ends, "a long, b long").repartition(7), few).collect()
+    assert sorted(map(tuple, found)) == sorted((n, r) for n, r in label.items() if n != r)
+
+
+def test_forests_are_let_go():
+    """A task's edges beyond its bound come out as several forests that hold the same links."""
+    import pyarrow as pa
+
+    ends = np.random.default_rng(4).permutation(np.arange(1, 3000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x // 2)], names=["a", "b"]) for x in np.array_split(ends, 40)]
+    out = list(simhash._forests(batches, 100))
+    assert len(out) > 1 and all(b.num_rows <= 350 for b in out)
+    nodes, roots = simhash._contract(*(np.concatenate([b.column(c).to_numpy() for b in out]) for c in "ab"))
+    assert nodes.tolist() == list(range(1, 3000)) and not roots.any()
+
+
+def test_few_edges_take_few_jobs(spark):
+    """Rounds of stars ran dozens of jobs on any small graph, each with all its partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("few", "few edges")
+    try:
+        roots = simhash.components(edges).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(roots) == 200 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+
+
+def test_tidy_changes_no_batch():
+    from siftlight.llm.common import tidy
+
+    assert list(tidy(lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3]
+
+
 # --- tokens ---------------------------------------------------------------------------
 
 
