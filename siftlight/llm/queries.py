@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.llm import (
-    bpe_tree, cm_coder, crf_langid, hyper_shard, license_scan, oracles, packing, rule_ledger, secret_scan, simhash, winnow,
+    bpe_tree, cm_coder, crf_langid, hyper_shard, lattice_lm, license_scan, oracles, packing, rule_ledger, secret_scan, simhash, winnow,
 )
 from siftlight.llm.common import table
 
@@ -78,10 +78,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_packing, op2_license_scans, op3_secret_scans, op4_simhash, op5_bpe_tree, op6_language_id, op7_sharding, op8_token_files, op9_quality_rules,
-        op10_fingerprints,
+        op10_fingerprints, op11_lattice_lm,
     ]
     return {f.__name__: f for f in own}
 
