@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.llm import (
-    bpe_tree, cm_coder, crf_langid, hyper_shard, lattice_lm, license_scan, oracles, packing, rule_ledger, secret_scan, simhash, winnow,
+    bpe_tree, cm_coder, conversation_trie, crf_langid, hard_negatives, hyper_shard, lattice_lm, license_scan, oracles, packing, rule_ledger, secret_scan, simhash, winnow,
 )
 from siftlight.llm.common import table
 
@@ -82,13 +82,23 @@ def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.with_shared_heads(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_packing, op2_license_scans, op3_secret_scans, op4_simhash, op5_bpe_tree, op6_language_id, op7_sharding, op8_token_files, op9_quality_rules,
-        op10_fingerprints, op11_lattice_lm,
+        op10_fingerprints, op11_lattice_lm, op12_hard_negatives, op13_conversation_trie,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": oracles.secret_scans(), "op9_quality_rules": oracles.quality_rules()}
+    return {"op3_secret_scans": oracles.secret_scans(), "op9_quality_rules": oracles.quality_rules(), "op12_hard_negatives": oracles.hard_negatives()}
