@@ -1,4 +1,4 @@
-"""Two-dimensional layouts of vectors: UMAP on a bounded sample, or PCA; and their plot."""
+"""Two-dimensional layouts of vectors by UMAP or PCA, and their plot."""
 
 from __future__ import annotations
 
@@ -7,13 +7,18 @@ import io
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siftlight.operators.cluster import _features, fit_pca, subsample
+from siftlight.operators.cluster import _features, fit_pca
+from siftlight.operators.neighbours import LEAF, TREES, dealt, grown, planted, settle
 
-MANY = 5_000
+MANY = 5_000  # points that are drawn smaller
 NEIGHBOURS, MIN_DIST, SEED = 15, 0.1, 42
+ROUNDS, STEPS, BLOCK, FAR, REPELLED = 8, 25, 4096, 8192, 5
 
 
 def pca(vectors: DataFrame, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
@@ -27,106 +32,122 @@ def pca(vectors: DataFrame, id_col: str = "id", embedding: str = "embedding") ->
 
 def _memberships(distances: np.ndarray) -> np.ndarray:
     """Fuzzy memberships of each point's neighbours: exp(-(d - rho) / sigma), sigma such
-    that a row sums to log2 of the number of neighbours."""
-    rho, goal = distances.min(axis=1, keepdims=True), math.log2(max(2, distances.shape[1]))
+    that a row sums to log2 of the number of neighbours. Where a row has fewer, it is infinite."""
+    goal = np.log2(np.maximum(2, np.isfinite(distances).sum(axis=1)))
+    apart = distances - distances.min(axis=1, keepdims=True)
     low, high = np.full(len(distances), 1e-9), np.full(len(distances), 1e3)
     for _ in range(60):
         middle = (low + high) / 2
-        total = np.exp(-(distances - rho) / middle[:, None]).sum(axis=1)
+        total = np.exp(-apart / middle[:, None]).sum(axis=1)
         high, low = np.where(total > goal, middle, high), np.where(total > goal, low, middle)
-    return np.exp(-(distances - rho) / high[:, None])
+    return np.exp(-apart / high[:, None])
 
 
-def layout(matrix: np.ndarray, neighbours: int = NEIGHBOURS, min_dist: float = MIN_DIST, rounds: int = 200, seed: int = SEED) -> np.ndarray:
-    """UMAP (McInnes, Healy and Melville, 2018) by cosine: fuzzy neighbour graph, start
-    from the main components, then attraction along edges and sampled repulsion."""
-    n = len(matrix)
-    if n < 3:
-        return np.zeros((n, 2)) + np.arange(n)[:, None]
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    k = min(neighbours, n - 1)
-    near = np.empty((n, k), dtype=np.int64)
-    away = np.empty((n, k))
-    for at in range(0, n, 512):
-        d = 1 - unit[at : at + 512] @ unit.T
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        near[at : at + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
-        away[at : at + 512] = np.take_along_axis(d, near[at : at + 512], axis=1)
-    weights = _memberships(np.maximum(away, 0))
-    heads, tails = np.repeat(np.arange(n), k), near.ravel()
-    both = {}
-    for i, j, w in zip(heads.tolist(), tails.tolist(), weights.ravel().tolist()):
-        both[i, j] = w
-    edges = {}
-    for (i, j), w in both.items():
-        v = both.get((j, i), 0.0)
-        edges[min(i, j), max(i, j)] = w + v - w * v
-    ends = np.array(list(edges))
-    strength = np.array(list(edges.values()))
-    # The curve 1 / (1 + a d^(2b)) for this min_dist, by the usual fit on [0, 3].
+def fuzzy_union(near: DataFrame) -> DataFrame:
+    """(id, other, weight) in both directions, of (id, neighbour, score, rank): the fuzzy
+    union w + v - w * v of what two vectors hold of each other."""
+    kind = near.schema["id"].dataType.simpleString()
+    rows = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "score"))).alias("n")).select("id", F.col("n.neighbour").alias("others"), F.col("n.score").alias("scores"))
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            flat = batch.column(2).flatten().to_numpy()
+            away, real = np.full((len(sizes), sizes.max(initial=1)), np.inf), np.arange(sizes.max(initial=1)) < sizes[:, None]
+            away[real] = np.maximum(1 - flat, 0)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1).flatten(), pa.array(_memberships(away)[real])], names=["id", "other", "weight"])
+
+    held = rows.mapInArrow(run, f"id {kind}, other {kind}, weight double")
+    both = held.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.sum("weight").alias("s"), F.when(F.count("*") > 1, F.max("weight") * F.min("weight")).otherwise(0.0).alias("p"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    return both.select(ends.alias("e"), (F.col("s") - F.col("p")).alias("weight")).select("e.id", "e.other", "weight")
+
+
+def _curve(min_dist: float) -> tuple[float, float]:
+    """The curve 1 / (1 + a d^(2b)) for this least distance, by the usual fit on [0, 3]."""
     d = np.linspace(1e-3, 3, 300)
     target = np.where(d < min_dist, 1.0, np.exp(-(d - min_dist)))
     grid = [(((1 / (1 + a * d ** (2 * b)) - target) ** 2).sum(), a, b) for a in np.linspace(0.3, 3, 55) for b in np.linspace(0.5, 1.5, 41)]
-    _, a, b = min(grid)
-    centred = unit - unit.mean(axis=0)
-    _, _, axes = np.linalg.svd(centred, full_matrices=False)
-    y = centred @ axes[:2].T
-    y = 10 * y / max(1e-9, np.abs(y).max())
-    rng = np.random.default_rng(seed)
-    for r in range(rounds):
-        rate = 1 - r / rounds
-        live = rng.random(len(ends)) < strength
-        i, j = ends[live].T
-        move = np.zeros_like(y)
+    return min(grid)[1:]
+
+
+def _start(table: DataFrame, seed: int) -> DataFrame:
+    """(id, x, y): the two main components, at most ten from the middle; copies a little apart."""
+    dim = len((table.select("v").first() or [[]])["v"])
+    flat = pca(table, "id", "v") if dim > 1 else table.select("id", F.coalesce(F.col("v")[0], F.lit(0.0)).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    size = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
+    shift = lambda i: (F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(10_000)) / 10_000 - 0.5) * 0.01
+    return flat.select("id", (F.col("x") * (10 / size) + shift(0)).alias("x"), (F.col("y") * (10 / size) + shift(1)).alias("y"))
+
+
+def _moved(edges: pa.Table, at: pa.Table, far: np.ndarray, rates: np.ndarray, curve: tuple[float, float], seed: int) -> pa.Table:
+    """The own points of a block after a step for each rate: pulled along edges, pushed by
+    some of ``far``. What the edges lead to in other blocks stands still meanwhile."""
+    a, b = curve
+    ids, own = at["id"].combine_chunks(), at["own"].to_numpy()
+    y = np.stack([at["x"].to_numpy(), at["y"].to_numpy()], axis=1)
+    head, tail = (pc.index_in(edges[c].combine_chunks(), value_set=ids).to_numpy() for c in ("id", "other"))
+    weight, rng = edges["weight"].to_numpy(), np.random.default_rng(seed)
+    for rate in rates:
+        live = rng.random(len(weight)) < weight
+        i, j = head[live], tail[live]
         gap = y[i] - y[j]
         d2 = (gap**2).sum(axis=1, keepdims=True) + 1e-9
-        pull = np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * gap, -4, 4)
-        np.add.at(move, i, pull)
-        np.add.at(move, j, -pull)
-        for _ in range(5):
-            other = rng.integers(n, size=len(i))
-            gap = y[i] - y[other]
+        move = np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * gap, -4, 4)
+        for _ in range(REPELLED):
+            gap = y[i] - far[rng.integers(len(far), size=len(i))]
             d2 = (gap**2).sum(axis=1, keepdims=True)
-            push = np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * gap, -4, 4)
-            np.add.at(move, i, np.where((other == i)[:, None], 0, push))
-        y = y + rate * np.clip(move, -4, 4)
-    return y
+            move += np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * gap, -4, 4)
+        total = np.stack([np.bincount(i, move[:, c], minlength=len(y)) for c in (0, 1)], axis=1)
+        y += rate * np.clip(total, -4, 4)
+    mine = pa.array(own)
+    return pa.table([ids.filter(mine), pa.array(y[own, 0]), pa.array(y[own, 1])], names=["id", "x", "y"])
 
 
-def umap(vectors: DataFrame, id_col: str = "id", embedding: str = "embedding", sample: int = MANY, **options) -> DataFrame:
-    """(id, x, y). At most ``sample`` vectors are laid out, on the driver; every other
-    vector is then placed, on the executors, at the mean of its nearest laid-out ones."""
-    import pyarrow as pa
+def _mover(far, rates: np.ndarray, curve: tuple[float, float], seed: tuple[int, int]):
+    def run(key, mine: pa.Table, at: pa.Table) -> pa.Table:
+        return _moved(mine, at, far.value, rates, curve, hash((*seed, key[0].as_py(), key[1].as_py())) & 0xFFFFFFFF)
 
-    spark = vectors.sparkSession
-    table = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    seen = subsample(table, sample).orderBy("id").collect()
-    if not seen:
-        return spark.createDataFrame([], "id long, x double, y double")
-    matrix = np.array([r["v"] for r in seen])
-    places = layout(matrix, **options)
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    held = spark.sparkContext.broadcast((np.array([r["id"] for r in seen]), unit, places))
+    return run
 
-    def run(batches):
-        own_ids, own, xy = held.value
-        known = {i: p for i, p in zip(own_ids.tolist(), xy)}
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = []
-            for at in range(0, len(ids), 512):
-                v = np.array(batch.column(1).slice(at, 512).to_pylist())
-                if not len(v):
-                    continue
-                like = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ own.T
-                top = np.argpartition(-like, min(4, like.shape[1] - 1), axis=1)[:, :5]
-                w = np.maximum(np.take_along_axis(like, top, axis=1), 1e-6)
-                mean = (xy[top] * w[..., None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
-                out += [known.get(i, m) for i, m in zip(ids[at : at + 512], mean)]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(p[0]) for p in out]), pa.array([float(p[1]) for p in out])], names=["id", "x", "y"])
-
-    return table.mapInArrow(run, "id long, x double, y double")
+
+def umap(
+    vectors: DataFrame, id_col: str = "id", embedding: str = "embedding", *, neighbours: int = NEIGHBOURS, min_dist: float = MIN_DIST, rounds: int = ROUNDS,
+    steps: int = STEPS, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """(id, x, y) by UMAP (McInnes, Healy and Melville, 2018), by cosine: a graph of nearest
+    neighbours, their fuzzy union, a start from the main components, then attraction along
+    edges and sampled repulsion.
+
+    Vectors that lie together are a block of about ``block``. In a round each block moves its
+    own points for some steps, against the places that others had when the round began and a
+    sample of ``FAR`` of all points; then all learn the new places. Ids are unique."""
+    spark = vectors.sparkSession
+    table = planted(vectors, id_col=id_col, embedding=embedding, trees=TREES, leaf=LEAF, seed=seed)
+    kind, n = table.schema["id"].dataType.simpleString(), table.count()
+    if n < 3:
+        return table.select("id", F.row_number().over(Window.orderBy("id")).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    edges = settle(fuzzy_union(grown(table, min(neighbours, n - 1), leaf=LEAF, seed=seed)))
+    block = min(block, max(LEAF, n // (2 * spark.sparkContext.defaultParallelism)))
+    cells = 1 << max(0, math.ceil(math.log2(n / block)))
+    # The first cuts of a tree give a block; one with far more vectors is cut in parts.
+    owned = settle(dealt(table.select("id", F.pmod(F.col("codes")[0], F.lit(cells)).alias("cell")), ["cell"], block))
+    inside = settle(edges.join(owned, "id"))
+    there = inside.select(F.col("other").alias("id"), "cell", "part", F.lit(False).alias("own")).unionByName(owned.withColumn("own", F.lit(True)))
+    there = there.groupBy("id", F.col("cell").alias("to_cell"), F.col("part").alias("to_part"))
+    there = settle(there.agg(F.max("own").alias("own")))
+    places, curve = settle(_start(table, seed)), _curve(min_dist)
+    for r in range(rounds):
+        share = min(1 << 20, math.ceil(FAR / n * (1 << 20)))
+        seen = places.where(F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(1 << 20)) < share).limit(2 * FAR).select("x", "y").toArrow()
+        far = spark.sparkContext.broadcast(np.stack([seen["x"].to_numpy(), seen["y"].to_numpy()], axis=1) if len(seen) else np.zeros((1, 2)))
+        rates = 1 - (r * steps + np.arange(steps)) / (rounds * steps)
+
+        at = there.join(places, "id").groupBy("to_cell", "to_part")
+        places = settle(inside.groupBy("cell", "part").cogroup(at).applyInArrow(_mover(far, rates, curve, (seed, r)), f"id {kind}, x double, y double"))
+        far.destroy()
+    return places
 
 
 def plot_to(points: DataFrame, out, title: str = "Clusters") -> int:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import stats, text, vectors
 from siftlight.functions.stop_words import ENGLISH
-from siftlight.operators import chunk, cluster, dense, embed, fusion, lexical, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, lexical, neighbours, project, search
 from siftlight.sources import files, markdown, store, tables
 
 #: What the queries ask for. The vector is a sum of stored ones, so that none is the query itself.
@@ -573,6 +573,12 @@ def pca_projection(spark, sf_dir):
     return project.pca(_vectors(spark, sf_dir), "vec_id")
 
 
+@_query()
+def knn_graph(spark, sf_dir):
+    """The nearest neighbours of every row, by NN-descent."""
+    return neighbours.graph(_vectors(spark, sf_dir), K)
+
+
 @_query()
 def umap_projection(spark, sf_dir):
     return project.umap(_vectors(spark, sf_dir), "vec_id")

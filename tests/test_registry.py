@@ -49,6 +49,11 @@ def test_queries_without_sql(spark, sf):
     _, _, axes = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)
     assert np.allclose(np.abs([flat[i] for i in ids]), np.abs(matrix @ axes[:2].T), atol=1e-6)
     assert {r["id"] for r in run("umap_projection")} == set(ids)
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    scores = unit @ unit.T - 2 * np.eye(len(ids))
+    least, place = np.sort(scores, axis=1)[:, -10], {x: i for i, x in enumerate(ids)}
+    near = run("knn_graph")
+    assert sum(scores[place[r["id"]], place[r["neighbour"]]] >= least[place[r["id"]]] - 1e-5 for r in near) >= 0.9 * len(near) == 0.9 * 10 * len(ids)
     picked = [r["vec_id"] for r in run("subsample")]
     assert len(set(picked)) == 100 and set(picked) <= set(ids)
     made = {r["doc_id"]: r for r in run("hashing_embeddings")}
