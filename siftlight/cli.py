@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
+import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlight.operators import chunk, cluster, dense, embed, fusion, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, project, search
 from siftlight.plans import measure
 from siftlight.sources import files, markdown
 from siftlight.sources.store import Store
 
 
-def embedder_of(name: str | None) -> embed.Embedder:
-    """``hashing`` or ``hashing-N``: the offline stand-in; else a model of sentence-transformers."""
+def embedder_of(name: str | None, store: Store | None = None, texts: DataFrame | None = None, anew: bool = False) -> embed.Embedder:
+    """``latent`` or ``latent-N``: learned from the first texts that go into ``store``, and
+    kept there; ``hashing`` or ``hashing-N``; else a model of sentence-transformers. Without
+    a name the store's own, or the default model, or ``latent`` where that library is absent."""
+    name = name or os.environ.get("SIFTLIGHT_MODEL")
+    if store is not None and (not name or name.startswith("latent")):
+        where = f"{store.root}/_latent"
+        path = store.spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        there = path.getFileSystem(store.spark._jsc.hadoopConfiguration()).exists(path)
+        if there and not anew:
+            return latent.LatentEmbedder.load(store.spark, where)
+        if name or not importlib.util.find_spec("sentence_transformers"):
+            if texts is None:
+                raise SystemExit(f"{store.root} has no model of its own: name one")
+            latent.fit(texts, int((name or "").partition("-")[2] or latent.DIM)).save(store.spark, where)
+            return latent.LatentEmbedder.load(store.spark, where)
     if name and name.startswith("hashing"):
         return embed.HashingEmbedder(int(name.partition("-")[2] or 256))
     return embed.SentenceEmbedder(embed.resolve(name))
@@ -93,13 +109,17 @@ def _ingest(spark, a) -> str:
         raise SystemExit(str(e)) from e
     chunks = files.extract_chunks(texts, a.max_chars, a.overlap).persist()
     lines = [f"skipped {r['source']}: {r['reason']}" for r in bad.collect()]
-    if a.out:
-        markdown.write(chunks, a.out, order=("source", "ordinal"))
-    if a.store:
-        done = Store(spark, a.store).ingest(chunks, embedder_of(a.model), a.reset)
-        lines.append(f"{done.fresh} embedded, {done.hits} there already, {done.stale} dropped, {done.sources} sources")
-    else:
-        lines.append(f"{chunks.count()} chunks")
+    try:
+        if a.out:
+            markdown.write(chunks, a.out, order=("source", "ordinal"))
+        if a.store:
+            store = Store(spark, a.store)
+            done = store.ingest(chunks, embedder_of(a.model, store, chunks, a.reset), a.reset)
+            lines.append(f"{done.fresh} embedded, {done.hits} there already, {done.stale} dropped, {done.sources} sources")
+        else:
+            lines.append(f"{chunks.count()} chunks")
+    finally:  # what is held would stand for the folder's files for as long as the session lives
+        chunks.unpersist()
     return "\n".join(lines)
 
 
@@ -108,7 +128,7 @@ def _load(spark, a) -> str:
     if rows.isEmpty():
         raise SystemExit("the file has no documents")
     store = Store(spark, a.store)
-    done = store.ingest(rows.select("text"), embedder_of(a.model), reset=True)
+    done = store.ingest(rows.select("text"), embedder_of(a.model, store, rows, True), reset=True)
     if a.full:
         from siftlight.sources.store import dump_vectors
 
@@ -122,7 +142,7 @@ def _search(spark, a) -> str:
     store = Store(spark, a.store)
     needs = a.method not in ("lexical", "tfidf")
     scorer = embed.OverlapScorer() if a.rerank_model == "overlap" else embed.CrossEncoderScorer(a.rerank_model)
-    searcher = search.Searcher(store.read(), embedder_of(a.model) if needs else None, "chunk_hash", _index(spark, store) if needs and a.ef else None)
+    searcher = search.Searcher(store.read(), embedder_of(a.model, store) if needs else None, "chunk_hash", _index(spark, store) if needs and a.ef else None)
     found = searcher.search(
         a.query, a.method, a.k, a.candidates, do_rerank=a.rerank, scorer=scorer, alpha=a.alpha, trade=a.trade, where=a.where, ef=a.ef
     )
@@ -169,7 +189,8 @@ def _visualize(spark, a) -> str:
 
 
 def _bench(spark, a) -> str:
-    store, embedder = Store(spark, a.store), embedder_of(a.model)
+    store = Store(spark, a.store)
+    embedder = embedder_of(a.model, store)
     searcher = search.Searcher(store.read(), embedder)
     times = {m: measure.bench(spark, lambda m=m: searcher.search(a.query, m).collect(), runs=a.runs) for m in search.METHODS}
     times["embed one"] = measure.bench(spark, lambda: embedder.encode([a.query]), runs=a.runs)

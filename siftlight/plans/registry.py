@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import stats, text, vectors
 from siftlight.functions.stop_words import ENGLISH
-from siftlight.operators import chunk, cluster, dense, embed, fusion, lexical, neighbours, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, lexical, neighbours, project, search
 from siftlight.sources import files, markdown, store, tables
 
 #: What the queries ask for. The vector is a sum of stored ones, so that none is the query itself.
@@ -435,7 +435,28 @@ def source_counts(spark, sf_dir):
 @_query()
 def hashing_embeddings(spark, sf_dir):
     rows = embed.embed(_docs(spark, sf_dir).select("doc_id", "text"), embed.HashingEmbedder(64))
-    return rows.select("doc_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"))
+    digest = F.sha2(F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double") + 0.0)), ",").cast("binary"), 256)
+    return rows.select("doc_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"), digest.alias("digest"))
+
+
+def _latent(spark, sf_dir) -> DataFrame:
+    """Documents with vectors along directions that are learned from all of them, once."""
+    docs = _docs(spark, sf_dir)
+    root = _once(spark, sf_dir, "latent", lambda where: latent.fit(docs, 64).save(spark, where))
+    return embed.embed(docs.select("doc_id", "text"), latent.LatentEmbedder.load(spark, root))
+
+
+@_query()
+def latent_embeddings(spark, sf_dir):
+    return _latent(spark, sf_dir).select("doc_id", "embedding")
+
+
+@_query()
+def latent_search(spark, sf_dir):
+    """Every document whose id is divisible by 100 asks all documents for what is about the same."""
+    rows = _latent(spark, sf_dir)
+    asked = rows.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense.exact_many(rows, asked, K, "doc_id")
 
 
 @_query(

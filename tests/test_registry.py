@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 
@@ -58,8 +59,13 @@ def test_queries_without_sql(spark, sf):
     assert len(set(picked)) == 100 and set(picked) <= set(ids)
     made = {r["doc_id"]: r for r in run("hashing_embeddings")}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        want = np.linalg.norm(HashingEmbedder(64).encode([r["text"]])[0])
-        assert made[r["doc_id"]]["dim"] == 64 and abs(made[r["doc_id"]]["norm"] - want) < 1e-3
+        want = HashingEmbedder(64).encode([r["text"]])[0]
+        assert made[r["doc_id"]]["dim"] == 64 and abs(made[r["doc_id"]]["norm"] - np.linalg.norm(want)) < 1e-3
+        assert made[r["doc_id"]]["digest"] == hashlib.sha256(",".join(f"{x + 0.0:.4f}" for x in want.astype(float)).encode()).hexdigest()
+    learned = {r["doc_id"]: np.array(r["embedding"]) for r in run("latent_embeddings")}
+    assert all(len(v) == 64 and abs(np.linalg.norm(v) - 1) < 1e-5 for v in learned.values())
+    for r in run("latent_search"):
+        assert abs(learned[r["query_id"]] @ learned[r["id"]] - r["score"]) < 1e-5 and r["query_id"] % 100 == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
