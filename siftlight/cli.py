@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, project, search
+from siftlight.operators.graph_index import GraphIndex
 from siftlight.plans import measure
 from siftlight.sources import files, markdown
 from siftlight.sources.store import Store
@@ -65,7 +66,8 @@ def _parser() -> argparse.ArgumentParser:
     add.add_argument("--rerank", action="store_true")
     add.add_argument("--rerank-model", default=embed.DEFAULT_RERANKER, help="a cross-encoder, or overlap: the offline stand-in")
     add.add_argument("--where", help="a condition on the table's columns, such as cluster = 3")
-    add.add_argument("--ef", type=int, help="search an index, which is made where there is none, and look at so many vectors")
+    add.add_argument("--ef", type=int, help="search an index, which is made where there is none, and keep so many vectors in view")
+    add.add_argument("--index", choices=("graph", "ivf"), default="graph", help="of that kind")
     add = sub.add_parser("cluster")
     add.add_argument("--store", required=True)
     add.add_argument("--k", type=int, default=cluster.K)
@@ -142,20 +144,21 @@ def _search(spark, a) -> str:
     store = Store(spark, a.store)
     needs = a.method not in ("lexical", "tfidf")
     scorer = embed.OverlapScorer() if a.rerank_model == "overlap" else embed.CrossEncoderScorer(a.rerank_model)
-    searcher = search.Searcher(store.read(), embedder_of(a.model, store) if needs else None, "chunk_hash", _index(spark, store) if needs and a.ef else None)
+    searcher = search.Searcher(store.read(), embedder_of(a.model, store) if needs else None, "chunk_hash", _index(spark, store, a.index) if needs and a.ef else None)
     found = searcher.search(
         a.query, a.method, a.k, a.candidates, do_rerank=a.rerank, scorer=scorer, alpha=a.alpha, trade=a.trade, where=a.where, ef=a.ef
     )
     return "\n".join(f"{r['rank']}. ({r['score']}) {r['text']}" for r in search.shown(found).collect())
 
 
-def _index(spark, store) -> dense.IvfIndex:
+def _index(spark, store, kind: str) -> GraphIndex | dense.IvfIndex:
     """The index of the store's last version, made when it is first asked for."""
-    where = f"{store.root}/_ivf-{store.manifest().rows[-1]}-{len(store.manifest().gone)}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/centres/_SUCCESS")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return dense.IvfIndex.read(spark, where, "chunk_hash")
-    return dense.IvfIndex.create(store.read(), where, id_col="chunk_hash")
+    where = f"{store.root}/_{kind}-{store.manifest().rows[-1]}-{len(store.manifest().gone)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{'rows' if kind == 'graph' else 'probe'}/_SUCCESS")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    if kind == "graph":
+        return GraphIndex.read(spark, where, "chunk_hash") if there else GraphIndex.create(store.read(), where, id_col="chunk_hash")
+    return dense.IvfIndex.read(spark, where, "chunk_hash") if there else dense.IvfIndex.create(store.read(), where, id_col="chunk_hash")
 
 
 def _cluster(spark, a) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftlight.functions.text import preview
 from siftlight.operators import dense, fusion, lexical
 from siftlight.operators.embed import Embedder, OverlapScorer, PairScorer, rerank
+from siftlight.operators.graph_index import GraphIndex
 
 METHODS = ("dense", "lexical", "tfidf", "hybrid", "weighted", "mmr")
 DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
@@ -18,12 +19,13 @@ DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
 @dataclass
 class Searcher:
     """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along. With
-    an ``index`` over the same vectors, dense search looks into its nearest lists only."""
+    an ``index`` over the same vectors, dense search walks its graphs, or looks into its
+    nearest lists only."""
 
     table: DataFrame
     embedder: Embedder | None = None
     id_col: str = "id"
-    index: dense.IvfIndex | None = None
+    index: dense.IvfIndex | GraphIndex | None = None
 
     def _vector(self, query: str):
         if self.embedder is None:
@@ -39,12 +41,13 @@ class Searcher:
         """(rank, id, text, [source,] score). With reranking a method's first
         ``candidates`` results are scored again and the k best stay. ``where`` is a condition
         in SQL on the table's columns; only rows that meet it take part. ``ef``: how many
-        vectors an index has to look at."""
+        vectors an index has to keep in view, or to look at."""
         if where is not None:
-            if self.index is not None:
-                raise ValueError("an index searches the whole table")
-            return Searcher(self.table.where(where), self.embedder, self.id_col).search(
-                query, method, k, candidates, do_rerank=do_rerank, scorer=scorer, alpha=alpha, trade=trade
+            if isinstance(self.index, dense.IvfIndex):
+                raise ValueError("lists are searched whole: a graph index takes conditions")
+            index = None if self.index is None else self.index.where(where)
+            return Searcher(self.table.where(where), self.embedder, self.id_col, index).search(
+                query, method, k, candidates, do_rerank=do_rerank, scorer=scorer, alpha=alpha, trade=trade, ef=ef
             )
         self._ef = ef
         if method not in METHODS:

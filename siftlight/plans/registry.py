@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import stats, text, vectors
 from siftlight.functions.stop_words import ENGLISH
-from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, lexical, neighbours, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, graph_index, latent, lexical, neighbours, project, search
 from siftlight.sources import files, markdown, store, tables
 
 #: What the queries ask for. The vector is a sum of stored ones, so that none is the query itself.
@@ -235,6 +235,28 @@ def ann_ivf(spark, sf_dir):
     return dense.IvfIndex.read(spark, root).search_many(asked, K)
 
 
+def _graph(spark, sf_dir) -> graph_index.GraphIndex:
+    root = _once(spark, sf_dir, "graph", lambda where: graph_index.GraphIndex.create(_vectors(spark, sf_dir), where))
+    return graph_index.GraphIndex.read(spark, root)
+
+
+def _hundredth(rows):
+    return rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@_query()
+def ann_graph(spark, sf_dir):
+    """The same by walks over proximity graphs."""
+    return _graph(spark, sf_dir).search_many(_hundredth(_vectors(spark, sf_dir)), K).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query()
+def ann_graph_where(spark, sf_dir):
+    """The same among the rows of some labels."""
+    found = _graph(spark, sf_dir).where("label IN (1, 5, 8)").search_many(_hundredth(_vectors(spark, sf_dir)), K)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 # --- lexical --------------------------------------------------------------------------
 
 

@@ -35,7 +35,7 @@ def test_queries_without_sql(spark, sf):
     """What SQL can't say, by other means."""
     run = lambda name: registry.queries()[name](spark, sf).collect()
     vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
-    assert recall(spark, sf, run("ann_ivf")) >= 0.9
+    assert recall(spark, sf, run("ann_ivf")) >= 0.9 and recall(spark, sf, run("ann_graph")) >= 0.9
     matrix, ids = np.stack([vectors[i] for i in sorted(vectors)]), sorted(vectors)
     found = {r["vec_id"]: r["cluster"] for r in run("kmeans_clusters")}
     groups = np.array([found[i] for i in ids])
