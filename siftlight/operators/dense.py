@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions.vectors import dot, literal, norm
 from siftlight.operators.lexical import top
+from siftlight.sources.tables import dealt, settle
 
 
 def check_dim(vectors: DataFrame, query, embedding: str = "embedding") -> None:
@@ -45,28 +44,17 @@ def exact(vectors: DataFrame, query, k: int, id_col: str = "vec_id", embedding:
     return top(cosine_scores(vectors, query, id_col, embedding), k)
 
 
-def _blocks(queries: DataFrame, dim: int, room: int) -> Iterator[tuple[list, np.ndarray, list]]:
-    """(names, unit vectors, lists to look into) of as many queries at a time as fit in
-    ``room`` bytes; the driver never holds more."""
-    most = max(1, room // (8 * dim))
-    lists = "lists" if "lists" in queries.columns else F.lit(None).alias("lists")
-    rows = queries.select("query_id", _sound("vector", dim).alias("vector"), lists).toLocalIterator()
-    while some := list(islice(rows, most)):
-        asked = np.array([r["vector"] for r in some], dtype=np.float64)
-        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-        yield [r["query_id"] for r in some], asked, [r["lists"] for r in some]
-
-
+_QUERIES, _ROWS, _CELLS, _LISTED = 4096, 1024, 1 << 22, 1 << 17
 #: Vectors whose neighbours tell how many lists a search of an index needs.
 ASKED = 200
 
 
 class _Best:
-    """The k best of each query so far, by score, then id."""
+    """The k best of each query so far, by score, then id; ids are integers or texts."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, ids: np.dtype):
         self.k = k
-        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max) if ids.kind == "i" else np.full((n, k), "", dtype=ids)
 
     def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: a row for each of the queries ``which``, a column for each id."""
@@ -74,51 +62,102 @@ class _Best:
             least = np.partition(scores, -self.k, axis=1)[:, -self.k]
             some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
             scores, ids = scores[:, some], ids[some]
+        if ids.dtype.kind == "U":  # room for the longest text
+            self.ids = self.ids.astype(np.promote_types(ids.dtype, self.ids.dtype), copy=False)
         every = np.concatenate([self.scores[which], scores], axis=1)
         names = np.concatenate([self.ids[which], np.broadcast_to(ids, scores.shape)], axis=1)
         order = np.lexsort((names, -every), axis=1)[:, : self.k]
         self.scores[which], self.ids[which] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
 
 
+def _names(ids) -> np.ndarray:
+    return np.array(ids.to_pylist(), dtype=str) if ids.type == "string" else ids.to_numpy(zero_copy_only=False)
+
+
+def _packed_queries(queries: DataFrame, dim: int, room: int) -> DataFrame:
+    """(block, names, asked[, lists]): so many queries in a row that they take ``room`` bytes at most."""
+    import pyarrow as pa
+
+    kind, most = queries.schema["query_id"].dataType.simpleString(), max(1, min(_QUERIES, room // (8 * dim)))
+    lists = ["lists"] if "lists" in queries.columns else []
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                asked = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
+                asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([one(part.column(0)), pa.array([asked.tobytes()], pa.binary()), *(one(part.column(2)) for _ in lists)], names=["names", "asked", *lists])
+
+    rows = queries.select("query_id", _sound("vector", dim).alias("vector"), *lists)
+    # Numbered once, as written.
+    return settle(rows.mapInArrow(run, f"names array<{kind}>, asked binary" + ", lists array<array<int>>" * len(lists)).withColumn("block", F.monotonically_increasing_id()))
+
+
 def _scan(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int, room: int) -> DataFrame:
-    """(query_id, id, score, rank) over ``rows`` (id, v[, list]): one scan for as many
-    queries as fit in ``room``. Each partition keeps its k best of each query. With lists,
-    a query is held only against the rows of those it names."""
+    """(query_id, id, score, rank) over ``rows`` (id, v[, list]). Queries are packed where
+    they lie; as many as fit in ``room`` are broadcast, for each of which the rows are scanned
+    once. Each partition keeps its k best of each query. With lists, a query is held only
+    against the rows of those it names."""
     import pyarrow as pa
     from pyspark.sql.window import Window
 
-    kind, sc = queries.schema["query_id"].dataType.simpleString(), rows.sparkSession.sparkContext
-    parts = []
-    for names, asked, lists in _blocks(queries, dim, room):
-        wanted: dict[int, list[int]] = {}
-        for q, own in enumerate(lists):
-            for x in own or ():
-                wanted.setdefault(x, []).append(q)
-        held = sc.broadcast((names, asked, {x: np.array(q) for x, q in wanted.items()}))
-
-        def run(batches, held=held):
-            names, asked, wanted = held.value
-            best, every = _Best(len(names), k), np.arange(len(names))
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    lists = ["list"] if "list" in rows.columns else []
+    blocks = _packed_queries(queries, dim, room)
+    sizes = blocks.select("block", F.length("asked").alias("size")).collect()  # a row for some thousand queries
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([one(part.column(0)), pa.array([v.tobytes()], pa.binary()), *(one(part.column(2)) for _ in lists)], names=["ids", "v", *lists])
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
+                ids = _names(at["ids"].values)
+                if (number := at["block"].as_py()) not in held:
+                    asked = np.frombuffer(at["asked"].as_buffer(), dtype=np.float64).reshape(-1, dim).copy()
+                    wanted: dict[int, list[int]] = {}
+                    for q, named in enumerate(at["lists"].as_py() if lists else ()):
+                        for x in named:
+                            wanted.setdefault(x, []).append(q)
+                    held[number] = (at["names"].values.take(pa.array(range(len(asked)))), asked, {x: np.array(q) for x, q in wanted.items()}, _Best(len(asked), k, ids.dtype))
+                _, asked, wanted, best = held[number]
+                own = np.frombuffer(at["v"].as_buffer(), dtype=np.float64).reshape(len(ids), dim)
                 own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                groups = [(every, np.arange(len(ids)))]
-                if batch.num_columns > 2:
-                    which = batch.column(2).to_numpy(zero_copy_only=False)
+                groups = [(np.arange(len(asked)), np.arange(len(ids)))]
+                if lists:
+                    which = at["list"].values.to_numpy(zero_copy_only=False)
                     groups = [(wanted[x], np.flatnonzero(which == x)) for x in np.unique(which).tolist() if x in wanted]
-                for asking, at in groups:
+                for asking, there in groups:
                     for first in range(0, len(asking), block):
                         some = asking[first : first + block]
-                        best.add(some, np.round(asked[some] @ own[at].T, 6), ids[at])
+                        best.add(some, np.round(asked[some] @ own[there].T, 6), ids[there])
+        for names, _, _, best in held.values():
             q, place = np.nonzero(np.isfinite(best.scores))
             for at in range(0, len(q), 65_536):
                 a, b = q[at : at + 65_536], place[at : at + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a]), pa.array(best.ids[a, b]), pa.array(best.scores[a, b] + 0.0)], names=["query_id", "id", "score"])
-
-        parts.append(rows.mapInArrow(run, f"query_id {kind}, id long, score double"))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), pa.array(best.ids[a, b]), pa.array(best.scores[a, b] + 0.0)], names=["query_id", "id", "score"])
+
+    packed = rows.select("id", "v", *lists).mapInArrow(pack, f"ids array<{id_kind}>, v binary" + ", list array<int>" * len(lists))
+    parts, group, left = [], [], room
+    for i, r in enumerate(sizes):
+        group.append(r["block"])
+        left -= r["size"]
+        if left > 0 and i + 1 < len(sizes):
+            continue
+        asked = F.broadcast(blocks.where(F.col("block").isin(group)))
+        parts.append(packed.withColumn("block", F.explode(F.lit(group))).join(asked, "block").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double"))
+        group, left = [], room
     if not parts:
-        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id long, score double, rank long")
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id {id_kind}, score double, rank long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -133,19 +172,51 @@ def exact_many(
 ) -> DataFrame:
     """(query_id, id, score, rank) for a table of queries (query_id, vector). They are
     broadcast, as many at a time as take ``room`` bytes, for each of which the vectors are
-    scanned once; numpy compares ``block`` of them at a time. Vectors and queries that
-    ``cosine_scores`` would call unsound count as zero."""
+    scanned once; numpy compares ``block`` of them at a time. Ids are integers or texts.
+    Vectors and queries that ``cosine_scores`` would call unsound count as zero."""
     if k < 1:
         raise ValueError("k must be at least 1")
     dim = _dim(vectors, embedding)
-    return _scan(vectors.select(F.col(id_col).cast("long").alias("id"), _sound(embedding, dim).alias("v")), queries, k, dim, block, room)
+    return _scan(vectors.select(_id(vectors, id_col), _sound(embedding, dim).alias("v")), queries, k, dim, block, room)
+
+
+def _id(vectors: DataFrame, id_col: str) -> Column:
+    return F.col(id_col).cast("string" if vectors.schema[id_col].dataType.simpleString() == "string" else "long").alias("id")
+
+
+def _lloyd(v: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means of some vectors in numpy; centres without vectors stay where they began."""
+    rng = np.random.default_rng(seed)
+    centres = v[rng.choice(len(v), min(k, len(v)), replace=False)].copy()
+    for _ in range(rounds):
+        near = nearest(v, centres, 1)[:, 0]
+        counts = np.bincount(near, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, v)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def nearest(v: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each vector, in order."""
+    k, out = min(k, len(centres)), np.empty((len(v), min(k, len(centres))), dtype=np.int32)
+    size, step = (centres**2).sum(axis=1), max(1, _CELLS // len(centres))
+    for at in range(0, len(v), step):
+        away = size - 2 * (v[at : at + step] @ centres.T)
+        near = np.argpartition(away, k - 1, axis=1)[:, :k]
+        order = np.lexsort((near, np.take_along_axis(away, near, axis=1)), axis=1)
+        out[at : at + step] = np.take_along_axis(near, order, axis=1)
+    return out
 
 
 class IvfIndex:
-    """Inverted lists under k-means centres, which are fit on a sample of at most ``sample``
-    vectors; every vector is in a list. There are about as many lists as a list has vectors,
-    if no number is given. A search compares the lists nearest to the query, by default as
-    many as held 0.95 of the ten nearest of ``ASKED`` stored vectors when the index was made.
+    """Inverted lists under a tree of centres, which is fit on a sample of at most ``sample``
+    vectors: k-means parts it in the root of ``lists`` cells, and each cell, on the executors,
+    in its share of the lists. Every vector is in the list of its nearest centre. There are
+    about as many lists as a list has vectors, if no number is given. A search compares the
+    lists nearest to the query, by default as many as held 0.95 of the ten nearest of
+    ``ASKED`` stored vectors when the index was made. Centres are an array that tasks share:
+    no plan grows with the lists.
 
     ``table``: the vectors with their ``list``; ``centres``: a row per list; ``sizes``: how
     many vectors each has; ``probe``: that number of lists."""
@@ -155,20 +226,43 @@ class IvfIndex:
 
     @classmethod
     def create(cls, vectors: DataFrame, root: str, lists: int | None = None, id_col: str = "vec_id", embedding: str = "embedding", sample: int = 100_000, seed: int = 42) -> IvfIndex:
-        """Fits the centres, writes the lists apart from each other below ``root``, and reads them."""
+        """Fits the centres, writes the lists in their order below ``root``, so that a search skips
+        the row groups of others, and reads them."""
+        import pyarrow as pa
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         spark, n, dim = vectors.sparkSession, vectors.count(), _dim(vectors, embedding)
-        table = vectors.withColumn("_v", array_to_vector(_sound(embedding, dim)))
         lists = lists or max(1, min(65_536, round(math.sqrt(n))))
         share = min(1.0, sample / max(1, n))
-        seen = table if share == 1.0 else table.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        model = KMeans(k=max(2, lists), seed=seed, featuresCol="_v", predictionCol="list", maxIter=20).fit(seen.select("_v"))
-        model.transform(table).drop("_v").repartition("list").write.partitionBy("list").parquet(f"{root}/lists")
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
-        made = cls(spark.read.parquet(f"{root}/lists"), np.array(model.clusterCenters()), {}, 0, id_col, embedding)
+        picked = F.lit(True) if share == 1.0 else F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+        seen = settle(vectors.where(picked).select(_sound(embedding, dim).alias("v")).withColumn("f", array_to_vector("v")))
+        cells = max(2, round(math.sqrt(lists)))
+        model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=20).fit(seen.select("f"))
+        each = math.ceil(lists / cells)
+
+        def parted(key, group):
+            v = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), dim)
+            return pa.table({"cell": pa.array([key[0].as_py()] * min(each, len(v)), pa.int32()), "centre": pa.array(list(_lloyd(v, each, 10, seed)), pa.list_(pa.float64()))})
+
+        # A row per list, at most 65,536 by default.
+        found = model.transform(seen).select("cell", "v").groupBy("cell").applyInArrow(parted, "cell int, centre array<double>").orderBy("cell", "centre").select("centre").toArrow()
+        centres = found["centre"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1) if len(found) else np.zeros((1, dim))
+        held, kind = spark.sparkContext.broadcast(centres), vectors.schema[id_col].dataType.simpleString()
+
+        def listed(batches):
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest(v, held.value, 1)[:, 0])], names=["id", "list"])
+
+        where = vectors.select(F.col(id_col).alias("id"), _sound(embedding, dim).alias("v")).mapInArrow(listed, f"id {kind}, list int")
+        # A list of very many vectors is written by several tasks.
+        dealt_out = dealt(settle(where), ["list"], _LISTED).withColumnRenamed("id", id_col)
+        vectors.join(dealt_out, id_col).repartitionByRange("list", "part").sortWithinPartitions("list").drop("part").write.parquet(f"{root}/lists")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+        made = cls(spark.read.parquet(f"{root}/lists"), centres, {}, 0, id_col, embedding)
         spark.createDataFrame([(made._enough(seed),)], "probe int").coalesce(1).write.parquet(f"{root}/probe")
+        held.destroy()
         return cls.read(spark, root, id_col, embedding)
 
     def _enough(self, seed: int, k: int = 10, share: float = 0.95) -> int:
@@ -206,12 +300,23 @@ class IvfIndex:
     def search_many(self, queries: DataFrame, k: int, probe: int | None = None, block: int = 256, room: int = 256 << 20) -> DataFrame:
         """(query_id, id, score, rank) for a table of queries (query_id, vector): one scan
         of the lists for as many queries as fit in ``room``."""
-        dim, probe = self.centres.shape[1], probe or self.probe
-        apart = lambda c: F.aggregate(F.zip_with("vector", literal(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        ranked = F.array_sort(F.array(*[F.struct(apart(c).alias("away"), F.lit(i).alias("list")) for i, c in enumerate(self.centres.tolist())]))
-        asked = queries.select("query_id", _sound("vector", dim).alias("vector")).withColumn("lists", F.transform(F.slice(ranked, 1, probe), lambda x: x["list"]))
-        rows = self.table.select(F.col(self.id_col).cast("long").alias("id"), _sound(self.embedding, dim).alias("v"), "list")
-        return _scan(rows, asked, k, dim, block, room)
+        import pyarrow as pa
+
+        dim, probe = self.centres.shape[1], min(probe or self.probe, len(self.centres))
+        kind, held = queries.schema["query_id"].dataType.simpleString(), self.table.sparkSession.sparkContext.broadcast(self.centres)
+
+        def led(batches):
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                near = nearest(v, held.value, probe)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probe, dtype=np.int32)), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["query_id", "vector", "lists"])
+
+        asked = queries.select("query_id", _sound("vector", dim).alias("vector")).mapInArrow(led, f"query_id {kind}, vector array<double>, lists array<int>")
+        rows = self.table.select(_id(self.table, self.id_col), _sound(self.embedding, dim).alias("v"), "list")
+        found = _scan(rows, asked, k, dim, block, room)  # queries have been led to their lists by now
+        held.destroy()
+        return found
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlight.operators.dense import _dim, _sound
-from siftlight.operators.neighbours import matrix, settle
+from siftlight.operators.neighbours import matrix
+from siftlight.sources.tables import settle
 
 LINKS, POOL, ALPHA, ANYWHERE, EF = 32, 64, 1.2, 2, 128
 SHARD_BYTES, LEAST_ROWS = 48 << 20, 4096

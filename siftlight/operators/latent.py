@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlight.operators.neighbours import settle
+from siftlight.sources.tables import settle
 
 DIM, TERMS, SPARE, OVERSAMPLE, POWER, SEED = 128, 1 << 15, 1 << 12, 16, 3, 42
 _DOCS = 128  # texts of one block

@@ -17,17 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlight.operators.dense import _dim, _sound
-from siftlight.sources.tables import shared_dir
+from siftlight.sources.tables import dealt, settle
 
 K, TREES, LEAF, ROUNDS, SEED = 15, 4, 256, 4, 42
 SAMPLED = 4096  # vectors whose projections tell where trees are cut
-_FEW = 1 << 16
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -65,15 +58,6 @@ def planted(vectors: DataFrame, *, id_col: str, embedding: str, trees: int, leaf
     return settle(rows.mapInArrow(run, f"id {kind}, v array<float>, codes array<long>"))
 
 
-def dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """``rows`` with ``part``: groups of over twice ``most`` rows are cut in parts by a hash."""
-    large = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * most))
-    n = large.count()
-    joined = rows.join(F.broadcast(large) if n <= _FEW else large, keys, "left")
-    parts = F.ceil(F.coalesce("_n", F.lit(1)) / most)
-    return joined.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).drop("_n")
-
-
 def _runs(batches, key: int):
     """Tables of the rows that agree in the column ``key``, which are next to each other."""
     held = []

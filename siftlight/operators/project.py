@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlight.operators.cluster import _features, fit_pca
-from siftlight.operators.neighbours import LEAF, TREES, dealt, grown, planted, settle
+from siftlight.operators.neighbours import LEAF, TREES, grown, planted
+from siftlight.sources.tables import dealt, settle
 
 MANY = 5_000  # points that are drawn smaller
 NEIGHBOURS, MIN_DIST, SEED = 15, 0.1, 42

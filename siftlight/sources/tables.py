@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -29,3 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="siftlight-checkpoint-"))
         where = sc.getCheckpointDir()
     return where
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, written to the shared folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: Rows of a table of counts that are broadcast.
+_FEW = 1 << 16
+
+
+def dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` with ``part``: groups of over twice ``most`` rows are cut in parts by a hash of ``id``."""
+    large = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * most))
+    joined = rows.join(F.broadcast(large) if large.count() <= _FEW else large, keys, "left")
+    parts = F.ceil(F.coalesce("_n", F.lit(1)) / most)
+    return joined.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).drop("_n")

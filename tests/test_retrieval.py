@@ -175,3 +175,21 @@ def test_embedders(spark):
     assert embed.resolve("minilm").dim == 384 and embed.resolve("some/model").model_id == "some/model"
     df = spark.createDataFrame([(None,), ("x",)], "text string")
     assert embed.embed(df, e).where(F.size("embedding") == 32).count() == 2
+
+
+def test_text_ids_and_many_lists(spark, tmp_path):
+    """Ids of the store's kind; more lists than any plan could hold as literals."""
+    rng = np.random.default_rng(4)
+    rows = [(f"row {i:05d}", rng.standard_normal(6).tolist(), 3) for i in range(6000)]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<double>, list_of int")
+    asked = table.where("substring(vec_id, 8) = '00'").selectExpr("vec_id AS query_id", "embedding AS vector")
+    truth = dense.exact_many(table, asked, 5)
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(f"row {i:05d}", f"row {j:05d}") for i in range(0, 6000, 100) for j in np.argsort(-np.round(m[i] @ m.T, 6), kind="stable")[:5]}
+    assert {(r["query_id"], r["id"]) for r in truth.collect()} == want
+    index = dense.IvfIndex.create(table, str(tmp_path / "i"), lists=2500)
+    assert len(index.centres) > 2000 and sum(index.sizes.values()) == 6000
+    found = index.search_many(asked, 5)
+    assert dense.recall(found, truth) >= 0.9
+    assert len(found._jdf.queryExecution().toString()) < 50_000
