@@ -224,6 +224,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Characters of a piece that a text is cut in, and spans that are put in at a time.
+_PIECE, _SPANS = 1024, 256
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", block_docs: int = 4096) -> DataFrame:
     """``docs`` with every span, overlapping ones together, replaced by ``mark``. The
     columns and their order stay."""
@@ -232,15 +236,28 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "d
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"),
     )
     checked = _verified(inner, rules, block_docs).withColumn("found", _merged(rules))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        fresh = x["start"] >= s["at"]
-        piece = F.when(fresh, F.array(F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
-
-    def end(s):
-        return F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text")))
-
-    clean = F.when(F.size("found") > 0, F.aggregate("found", begin, step, end)).otherwise(F.col(f"row.`{text_col}`"))
+    none = F.array().cast("array<string>")
+
+    def part(pieces, start, length):
+        """Part of a text cut in pieces; only those are looked at that it lies in."""
+        first, last = F.floor(start / _PIECE), F.floor((start + length) / _PIECE)
+        return F.substring(F.array_join(F.slice(pieces, (first + 1).cast("int"), (last - first + 1).cast("int")), ""), (start % _PIECE + 1).cast("int"), length.cast("int"))
+
+    def rebuilt(pieces):
+        def step(s, x):
+            kept = F.when(x["start"] >= s["at"], F.array(part(pieces, s["at"], x["start"] - s["at"]), F.lit(mark))).otherwise(none)
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], kept).alias("out"))
+
+        def block(s, spans):
+            return F.aggregate(spans, F.struct(s["at"].alias("at"), none.alias("out")), step, lambda t: F.struct(t["at"].alias("at"), F.concat(s["out"], F.array(F.array_join(t["out"], ""))).alias("out")))
+
+        # Arrays grow within blocks of spans, so that none is copied as often as a text has spans.
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("found") - 1) / _SPANS).cast("int")), lambda i: F.slice("found", i * _SPANS + 1, F.lit(_SPANS)))
+        last = lambda s: F.concat(F.array_join(s["out"], ""), part(pieces, s["at"], F.length("text").cast("long") - s["at"]))
+        return F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), block, last)
+
+    # A variable of a lambda, so that texts are cut once.
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    redone = F.element_at(F.transform(F.array(cut), rebuilt), 1)
+    clean = F.when(F.size("found") > 0, redone).otherwise(F.col(f"row.`{text_col}`"))
     return checked.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
