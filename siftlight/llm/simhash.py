@@ -135,15 +135,6 @@ def _cell_edges(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> li
     (None: the tree's own fingerprints)."""
     if len(tree) + (0 if queries is None else len(queries)) < 2 or not len(tree):
         return []
-    if queries is None and len(tree) <= 6:  # a tree this small is a root and its children
-        plain, label, out = tree.tolist(), list(range(len(tree))), []
-        for i, a in enumerate(plain):
-            for j in range(i):
-                if label[i] != label[j] and (a ^ plain[j]).bit_count() <= radius:
-                    out.append((a, plain[j]))
-                    old, new = label[i], label[j]
-                    label = [new if x == old else x for x in label]
-        return out
     every = tree if queries is None else np.concatenate([queries, tree])
     first = 0 if queries is None else len(queries)
     asked = tree if queries is None else queries

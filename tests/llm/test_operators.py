@@ -114,9 +114,35 @@ def test_redaction_keeps_columns(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a [secret] é b [secret]", 5), (2, "plain", 6), (None, None, 7), (2, "plain", 6)], key=str)
 
 
+def test_redaction_of_very_many_spans(spark):
+    """Of one text, in time that follows its length, with marks at the seams of its pieces."""
+    text = "".join(f"é{'x' * (i % 7)} password = abcdef{i:06d} \n" for i in range(30_000))
+    want = "".join(f"é{'x' * (i % 7)} [secret] \n" for i in range(30_000))
+    seams = "a" * 1018 + " token=abcdefgh " + "b" * 1000 + " token=abcdefgh"
+    rows = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame([(1, text), (2, seams)], "doc_id long, text string")).collect()}
+    assert rows == {1: want, 2: "a" * 1018 + " [secret] " + "b" * 1000 + " [secret]"}
+
+
 # --- SimHash --------------------------------------------------------------------------
 
 
+def test_every_cell_of_several_is_a_tree(monkeypatch):
+    """Links of cells of any size come from a BK-tree."""
+    grown, build = [], simhash.BKTree.__init__
+    monkeypatch.setattr(simhash.BKTree, "__init__", lambda self, values: (grown.append(len(values)), build(self, values))[1])
+    rng = np.random.default_rng(5)
+    for n in range(2, 12):
+        cell = np.unique(rng.integers(0, 64, n).astype(np.uint64))
+        edges = simhash._cell_edges(cell, None, 3)
+        label = {x: x for x in cell.tolist()}
+        for a, b in edges:
+            assert (a ^ b).bit_count() <= 3
+            old, new = label[a], label[b]
+            label = {x: new if y == old else y for x, y in label.items()}
+        assert all(label[a] == label[b] for a in label for b in label if (a ^ b).bit_count() <= 3)
+        assert grown.pop() == len(cell) if len(cell) > 1 else not grown
+
+
 def plain_groups(values, radius):
     root = list(range(len(values)))
 
