@@ -118,9 +118,9 @@ def test_redaction_of_very_many_spans(spark):
     """Of one text, in time that follows its length, with marks at the seams of its pieces."""
     text = "".join(f"é{'x' * (i % 7)} password = abcdef{i:06d} \n" for i in range(30_000))
     want = "".join(f"é{'x' * (i % 7)} [secret] \n" for i in range(30_000))
-    seams = "a" * 1018 + " token=abcdefgh " + "b" * 1000 + " token=abcdefgh"
+    seams = "z" * 1018 + " token=abcdefgh " + "y" * 1000 + " token=abcdefgh"
     rows = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame([(1, text), (2, seams)], "doc_id long, text string")).collect()}
-    assert rows == {1: want, 2: "a" * 1018 + " [secret] " + "b" * 1000 + " [secret]"}
+    assert rows == {1: want, 2: "z" * 1018 + " [secret] " + "y" * 1000 + " [secret]"}
 
 
 # --- SimHash --------------------------------------------------------------------------
