@@ -1,9 +1,10 @@
 """A table of texts and vectors in versions, brought up to date by content.
 
 A version is a manifest: the segments (directories of Parquet files) that hold its rows,
-and those that hold the hashes of rows that are gone. The manifest is written last and
-makes the version visible, so readers never see half a version and a failed job leaves the
-last one in place. Ingest compares hashes of (model, text): only texts that the table lacks
+and those that hold the hashes of rows that are gone. The manifest is written last, under
+another name, and renamed; that makes the version visible, so readers never see half a
+version and a failed job leaves the last one in place. A writer that finds another's version
+after the one it began with begins anew. Ingest compares hashes of (model, text): only texts that the table lacks
 are embedded and written, as a segment of their own, and of rows whose text is gone only
 the hashes are. After ``SEGMENTS`` of either, and when labels are stored, all is written
 anew as one segment. Rows are known by their hash; ``id`` is a number made from it.
@@ -11,7 +12,7 @@ anew as one segment. Rows are known by their hash; ``id`` is a number made from
 
 from __future__ import annotations
 
-import json
+import contextlib
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 
 from siftlight.functions.text import content_hash
 from siftlight.operators.embed import Embedder, embed
+from siftlight.sources.versions import Conflict, Versions
 
 VERSION = 2
-
-
-SEGMENTS = 32
+SEGMENTS, RETRIES = 32, 5
 
 
 @dataclass(frozen=True)
@@ -61,25 +61,18 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        where = self._path(f"{self.root}/_versions")
-        if not self._fs.exists(where):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(where) if s.getPath().getName().endswith(".json"))
+        self.versions = Versions(spark, self.root)
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return bool(self.versions.numbers())
 
     def manifest(self) -> Manifest | None:
-        versions = self._versions()
-        if not versions:
+        return self._at(self.versions.last())
+
+    def _at(self, number: int) -> Manifest | None:
+        if not number:
             return None
-        text = self.spark.read.text(f"{self.root}/_versions/{versions[-1]:06d}.json", wholetext=True).first()["value"]
-        x = json.loads(text)
+        x = self.versions.read(number)
         return Manifest(Properties(**x["properties"]), tuple(x["rows"]), tuple((a, b) for a, b in x["gone"]), x["count"])
 
     def properties(self) -> Properties | None:
@@ -87,7 +80,9 @@ class Store:
         return now and now.properties
 
     def read(self) -> DataFrame:
-        now = self.manifest()
+        return self._read(self.manifest())
+
+    def _read(self, now: Manifest | None) -> DataFrame:
         if now is None:
             raise FileNotFoundError(f"{self.root} has no table")
         parts = [self.spark.read.parquet(f"{self.root}/{x}") for x in now.rows]
@@ -109,50 +104,53 @@ class Store:
     def is_current(self, properties: Properties) -> bool:
         return self.properties() == properties
 
-    def _segment(self, kind: str, rows: DataFrame) -> str:
-        name = f"{kind}-{(self._versions() or [0])[-1] + 1:06d}-{uuid.uuid4().hex[:8]}"
+    def _segment(self, kind: str, rows: DataFrame, after: int) -> str:
+        name = f"{kind}-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.root}/{name}")
         return name
 
-    def _publish(self, now: Manifest) -> None:
-        number = (self._versions() or [0])[-1] + 1
-        out = self._fs.create(self._path(f"{self.root}/_versions/{number:06d}.json"), False)
-        out.write(bytearray(json.dumps(asdict(now)).encode()))
-        out.close()
-
-    def write(self, rows: DataFrame, properties: Properties) -> None:
-        """The next version, of one segment. ``rows`` may come from the one before."""
-        name = self._segment("rows", rows)
-        self._publish(Manifest(properties, (name,), (), self.spark.read.parquet(f"{self.root}/{name}").count()))
+    def write(self, rows: DataFrame, properties: Properties, after: int | None = None) -> None:
+        """The next version, of one segment. ``rows`` may come from the one before, ``after``;
+        Conflict if there is another by now."""
+        after = self.versions.last() if after is None else after
+        name = self._segment("rows", rows, after)
+        self.versions.publish(asdict(Manifest(properties, (name,), (), self.spark.read.parquet(f"{self.root}/{name}").count())), after)
 
-    def change(self, fresh: DataFrame | None, stale: DataFrame | None) -> None:
+    def change(self, fresh: DataFrame | None, stale: DataFrame | None, after: int | None = None) -> None:
         """The next version, with the rows ``fresh`` and without those of the hashes in
-        ``stale``. Only these are written."""
-        now = self.manifest()
+        ``stale``. Only these are written. Conflict if the table isn't at ``after`` any more."""
+        after = self.versions.last() if after is None else after
+        now = self._at(after)
         rows, gone, count = list(now.rows), list(now.gone), now.count
         if stale is not None:
-            gone.append((self._segment("gone", stale.select("chunk_hash")), len(rows)))
+            gone.append((self._segment("gone", stale.select("chunk_hash"), after), len(rows)))
             count -= self.spark.read.parquet(f"{self.root}/{gone[-1][0]}").count()
         if fresh is not None:
-            rows.append(self._segment("rows", fresh))
+            rows.append(self._segment("rows", fresh, after))
             count += self.spark.read.parquet(f"{self.root}/{rows[-1]}").count()
-        self._publish(Manifest(now.properties, tuple(rows), tuple(gone), count))
+        self.versions.publish(asdict(Manifest(now.properties, tuple(rows), tuple(gone), count)), after)
         if max(len(rows), len(gone)) > SEGMENTS:
             self.compact()
 
     def compact(self) -> None:
-        self.write(self.read(), self.properties())
+        after = self.versions.last()
+        with contextlib.suppress(Conflict):  # the next change that gets through compacts
+            self.write(self._read(self._at(after)), self._at(after).properties, after)
 
     def drop_old(self) -> None:
-        """Only the last version stays, and the segments it has."""
-        now = self.manifest()
-        for number in self._versions()[:-1]:
-            self._fs.delete(self._path(f"{self.root}/_versions/{number:06d}.json"), False)
-        held = {*now.rows, *(x for x, _ in now.gone)}
-        for entry in self._fs.listStatus(self._path(self.root)):
-            name = entry.getPath().getName()
-            if name.startswith(("rows-", "gone-")) and name not in held:
-                self._fs.delete(entry.getPath(), True)
+        """Only the last version stays. Segments that only older ones had go; what no version
+        has may be another writer's who isn't done, and stays."""
+        last = self.versions.last()
+        held, old = self._at(last), set()
+        for number in self.versions.numbers():
+            if number != last:
+                was = self._at(number)
+                old |= {*was.rows, *(x for x, _ in was.gone)}
+        for name in old - {*held.rows, *(x for x, _ in held.gone)}:
+            self.versions.fs.delete(self.versions.path(f"{self.root}/{name}"), True)
+        for number in self.versions.numbers():
+            if number < last:
+                self.versions.fs.delete(self.versions.path(f"{self.root}/_versions/{number:06d}.json"), False)
 
     def ingest(self, records: DataFrame, embedder: Embedder, reset: bool = False) -> Ingested:
         """Makes the table hold the texts of ``records`` (text[, source[, ordinal]]), each once.
@@ -160,13 +158,19 @@ class Store:
         Rows that stay keep their id, source and cluster. A different model or dimension,
         or ``reset``, starts anew. If nothing changes no version is written and nothing is
         embedded."""
-        properties = Properties(embedder.model_id, embedder.dim)
-        wanted = hashed(records, embedder.model_id)
-        keep = self.exists() and not reset and self.is_current(properties)
-        if not keep:
-            self.write(fresh_rows(wanted, embedder), properties)
+        for _ in range(RETRIES):
+            with contextlib.suppress(Conflict):
+                return self._ingest(records, embedder, reset)
+        return self._ingest(records, embedder, reset)
+
+    def _ingest(self, records: DataFrame, embedder: Embedder, reset: bool) -> Ingested:
+        """One attempt, from the version that is the last when it begins."""
+        properties, after = Properties(embedder.model_id, embedder.dim), self.versions.last()
+        now, wanted = self._at(after), hashed(records, embedder.model_id)
+        if now is None or reset or now.properties != properties:
+            self.write(fresh_rows(wanted, embedder), properties, after)
             return Ingested(self.manifest().count, 0, 0, self.read().select("source").distinct().count())
-        held = self.read().select("chunk_hash")
+        held = self._read(now).select("chunk_hash")
         marked = wanted.select("chunk_hash", "source", F.lit(1).alias("w")).join(held.withColumn("h", F.lit(1)), "chunk_hash", "full_outer")
         n = marked.agg(
             F.count_if(F.col("w").isNotNull() & F.col("h").isNull()).alias("fresh"), F.count_if(F.col("w").isNotNull() & F.col("h").isNotNull()).alias("hits"), F.count_if(F.col("w").isNull()).alias("stale"),
@@ -174,13 +178,14 @@ class Store:
         ).first()
         if n["fresh"] or n["stale"]:
             fresh, _, stale = difference(wanted, held)
-            self.change(fresh_rows(fresh, embedder) if n["fresh"] else None, stale if n["stale"] else None)
+            self.change(fresh_rows(fresh, embedder) if n["fresh"] else None, stale if n["stale"] else None, after)
         return Ingested(n["fresh"], n["hits"], n["stale"], n["sources"] + bool(n["unnamed"]))
 
     def store_labels(self, labels: DataFrame) -> None:
         """The next version with ``cluster`` from (chunk_hash, cluster); all other columns stay."""
-        held = self.read()
-        self.write(held.drop("cluster").join(labels.select("chunk_hash", "cluster"), "chunk_hash", "left").select(held.columns), self.properties())
+        after = self.versions.last()
+        held = self._read(self._at(after))
+        self.write(held.drop("cluster").join(labels.select("chunk_hash", "cluster"), "chunk_hash", "left").select(held.columns), self.properties(), after)
 
 
 def hashed(records: DataFrame, model_id: str) -> DataFrame:

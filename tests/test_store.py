@@ -1,10 +1,13 @@
+from concurrent.futures import ThreadPoolExecutor
 import hashlib
 import zipfile
 
 import numpy as np
 import pytest
 
+
 from siftlight.operators.embed import HashingEmbedder
+from siftlight.sources.versions import Conflict, Versions
 from siftlight.sources import files, markdown
 from siftlight.sources.store import Properties, Store, build_rows, hashed
 from siftlight.streaming import ingest
@@ -130,3 +133,39 @@ def test_embedding_width(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     store.ingest(records(spark, [("a", None)]), HashingEmbedder(4))
     assert np.array(store.read().first()["embedding"]).shape == (4,)
+
+
+def test_versions_are_whole_and_exclusive(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path / "v"))
+    assert versions.last() == 0
+    assert versions.publish({"a": 1}, 0) == 1 and versions.read(1) == {"a": 1}
+    # A writer that has begun but not renamed is not seen.
+    (tmp_path / "v" / "_versions" / ".half").write_text('{"a": ')
+    assert versions.numbers() == [1]
+    assert versions.publish({"a": 2}, 1) == 2
+    with pytest.raises(Conflict):
+        versions.publish({"a": 3}, 1)
+    # Another gets there between the look and the rename.
+    late = Versions(spark, str(tmp_path / "v"))
+    late.last = lambda: 1
+    with pytest.raises(Conflict):
+        late.publish({"a": 4}, 1)
+    assert versions.read(2) == {"a": 2} and sorted(x.name for x in (tmp_path / "v" / "_versions").iterdir() if not x.name.endswith(".crc")) == [".half", "000001.json", "000002.json"]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    e, root = HashingEmbedder(8), str(tmp_path / "t")
+    ingest.append_batch(Store(spark, root), records(spark, [("first", "s")]), e)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: ingest.append_batch(Store(spark, root), records(spark, [(f"text {i} {j}", "s") for j in range(4)]), e), range(3)))
+    assert Store(spark, root).verify() == 13
+    old = Store(spark, root)
+    after = old.versions.last()
+    old.ingest(records(spark, [("first", "s"), ("other", "s")]), e)
+    with pytest.raises(Conflict):
+        old.change(None, spark.createDataFrame([("x",)], "chunk_hash string"), after)
+    # What another writer has written and not published yet stays.
+    pending = tmp_path / "t" / "rows-999999-aaaaaaaa"
+    pending.mkdir()
+    old.drop_old()
+    assert pending.exists() and old.verify() == 2 and len(old.versions.numbers()) == 1
