@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, latent, project, search, sparse_index
 from siftlight.operators.graph_index import GraphIndex
 from siftlight.plans import measure
 from siftlight.sources import files, markdown
@@ -67,6 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     add.add_argument("--rerank-model", default=embed.DEFAULT_RERANKER, help="a cross-encoder, or overlap: the offline stand-in")
     add.add_argument("--where", help="a condition on the table's columns, such as cluster = 3")
     add.add_argument("--ef", type=int, help="search an index, which is made where there is none, and keep so many vectors in view")
+    add.add_argument("--kept", action="store_true", help="search words in an index that is kept with the table, and brought up to date first")
     add.add_argument("--index", choices=("graph", "ivf"), default="graph", help="of that kind")
     add = sub.add_parser("cluster")
     add.add_argument("--store", required=True)
@@ -144,7 +145,7 @@ def _search(spark, a) -> str:
     store = Store(spark, a.store)
     needs = a.method not in ("lexical", "tfidf")
     scorer = embed.OverlapScorer() if a.rerank_model == "overlap" else embed.CrossEncoderScorer(a.rerank_model)
-    searcher = search.Searcher(store.read(), embedder_of(a.model, store) if needs else None, "chunk_hash", _index(spark, store, a.index) if needs and a.ef else None)
+    searcher = search.Searcher(store.read(), embedder_of(a.model, store) if needs else None, "chunk_hash", _index(spark, store, a.index) if needs and a.ef else None, sparse_index.refreshed(store) if a.kept else None)
     found = searcher.search(
         a.query, a.method, a.k, a.candidates, do_rerank=a.rerank, scorer=scorer, alpha=a.alpha, trade=a.trade, where=a.where, ef=a.ef
     )

@@ -11,6 +11,7 @@ from siftlight.functions.text import preview
 from siftlight.operators import dense, fusion, lexical
 from siftlight.operators.embed import Embedder, OverlapScorer, PairScorer, rerank
 from siftlight.operators.graph_index import GraphIndex
+from siftlight.operators.sparse_index import SparseIndex
 
 METHODS = ("dense", "lexical", "tfidf", "hybrid", "weighted", "mmr")
 DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
@@ -20,12 +21,13 @@ DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
 class Searcher:
     """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along. With
     an ``index`` over the same vectors, dense search walks its graphs, or looks into its
-    nearest lists only."""
+    nearest lists only; with a ``sparse`` index over the same texts, BM25 reads that."""
 
     table: DataFrame
     embedder: Embedder | None = None
     id_col: str = "id"
     index: dense.IvfIndex | GraphIndex | None = None
+    sparse: SparseIndex | None = None
 
     def _vector(self, query: str):
         if self.embedder is None:
@@ -73,6 +75,8 @@ class Searcher:
         return dense.exact(self.table, self._vector(query), depth, self.id_col)
 
     def _lexical(self, query, depth, candidates, alpha, trade):
+        if self.sparse is not None:
+            return self.sparse.search(query, depth)
         return lexical.bm25(self.table, query, depth, id_col=self.id_col)
 
     def _tfidf(self, query, depth, candidates, alpha, trade):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import stats, text, vectors
 from siftlight.functions.stop_words import ENGLISH
-from siftlight.operators import chunk, cluster, dense, embed, fusion, graph_index, latent, lexical, neighbours, project, search
+from siftlight.operators import chunk, cluster, dense, embed, fusion, graph_index, latent, lexical, neighbours, project, search, sparse_index
 from siftlight.sources import files, markdown, store, tables
 
 #: What the queries ask for. The vector is a sum of stored ones, so that none is the query itself.
@@ -277,6 +277,19 @@ def bm25_index_topk(spark, sf_dir):
     return lexical.LexicalIndex.read(spark, root).search(ASKED, K)
 
 
+@_query(f"WITH {_bm25_sql('(SELECT * FROM documents WHERE doc_id % 3 <> 1)')} {_ranked_sql('bm25', K)}")
+def sparse_index_topk(spark, sf_dir):
+    """An index to which two thirds of the documents come, then another third while one goes."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+
+    def make(where: str) -> None:
+        index = sparse_index.SparseIndex(spark, where)
+        index.change(docs.where(F.col("id") % 3 != 0), None)
+        index.change(docs.where(F.col("id") % 3 == 0), docs.where(F.col("id") % 3 == 1))
+
+    return sparse_index.SparseIndex(spark, _once(spark, sf_dir, "sparse", make)).search(ASKED, K)
+
+
 def _tfidf_sql() -> str:
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
     return f"""WITH words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
@@ -462,10 +475,14 @@ def hashing_embeddings(spark, sf_dir):
 
 
 def _latent(spark, sf_dir) -> DataFrame:
-    """Documents with vectors along directions that are learned from all of them, once."""
+    """Documents with vectors along directions that are learned from all of them, written once."""
     docs = _docs(spark, sf_dir)
-    root = _once(spark, sf_dir, "latent", lambda where: latent.fit(docs, 64).save(spark, where))
-    return embed.embed(docs.select("doc_id", "text"), latent.LatentEmbedder.load(spark, root))
+
+    def make(where: str) -> None:
+        latent.fit(docs, 64).save(spark, f"{where}/model")
+        embed.embed(docs.select("doc_id", "text"), latent.LatentEmbedder.load(spark, f"{where}/model")).select("doc_id", "embedding").write.parquet(f"{where}/vectors")
+
+    return spark.read.parquet(f"{_once(spark, sf_dir, 'latent', make)}/vectors")
 
 
 @_query()
