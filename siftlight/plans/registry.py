@@ -401,7 +401,7 @@ def minmax_scores(spark, sf_dir):
     return scaled.select("id", F.round("score", 9).alias("score"))
 
 
-def _mmr_sql(k: int) -> str:
+def _mmr_sql(k: int, source: str = "cosines") -> str:
     """A step of picking is a query over the picks before."""
     steps = ["p1 AS (SELECT id, score, e, 1 AS rank FROM pool ORDER BY score DESC, id LIMIT 1)"]
     for i in range(2, k + 1):
@@ -412,7 +412,7 @@ def _mmr_sql(k: int) -> str:
             p{i} AS (SELECT id, score, e, rank FROM p{i - 1} UNION ALL
             (SELECT id, score, e, {i} FROM g{i} ORDER BY gain DESC, score DESC, id LIMIT 1))"""
         )
-    return f"WITH {_ASKED_SQL}, pool AS (SELECT id, score, e FROM cosines ORDER BY score DESC, id LIMIT {POOL}), {', '.join(steps)} SELECT id, score, rank::BIGINT AS rank FROM p{k}"
+    return f"WITH {_ASKED_SQL}, pool AS (SELECT id, score, e FROM {source} ORDER BY score DESC, id LIMIT {POOL}), {', '.join(steps)} SELECT id, score, rank::BIGINT AS rank FROM p{k}"
 
 
 @_query(_mmr_sql(5))
@@ -423,6 +423,26 @@ def mmr_topk(spark, sf_dir):
     return fusion.mmr(pool.select("id", "score", "vector"), 5)
 
 
+@_query(_shown_sql(_mmr_sql(5, "(SELECT * FROM cosines WHERE id IN (SELECT doc_id FROM documents))")))
+def search_mmr(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "mmr", 5, POOL)
+
+
+@_query(
+    f"""WITH {_ASKED_SQL}, {_NEAR_SQL}, {_BM25_SQL}, a AS ({_ranked_sql('near', POOL)}), b AS ({_ranked_sql('bm25', POOL)}),
+    x AS (SELECT id, {_MINMAX} AS s FROM a), y AS (SELECT id, {_MINMAX} AS s FROM b),
+    f AS (SELECT id, round(0.5::DOUBLE * coalesce(x.s, 0) + 0.5::DOUBLE * coalesce(y.s, 0), 6) AS score FROM x FULL JOIN y USING (id))
+    {_shown_sql(_ranked_sql('f', K))}"""
+)
+def search_weighted(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "weighted", K, POOL)
+
+
+@_query(_shown_sql(_tfidf_sql()))
+def search_tfidf(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(ASKED, "tfidf", K)
+
+
 _TERMS = len(set(ASKED.split()))
 
 
@@ -669,12 +689,15 @@ def latency_stats(spark, sf_dir):
 
 
 @_query(
-    """SELECT n AS vectors, n * 256 AS bytes, CASE WHEN n * 256 < 1048576 THEN format('{:,} B ({:.2f} KiB)', n * 256, n * 256 / 1024.0::DOUBLE)
-    WHEN n * 256 < 1073741824 THEN format('{:,} B ({:.2f} MiB)', n * 256, n * 256 / 1048576.0::DOUBLE)
-    ELSE format('{:,} B ({:.2f} GiB)', n * 256, n * 256 / 1073741824.0::DOUBLE) END AS shown FROM (VALUES (1000::BIGINT), (1000000::BIGINT)) t(n)"""
+    """WITH d AS (SELECT max(len(embedding)) * 4 AS size, count(*) AS own FROM embeddings), n AS (SELECT unnest([1000, 1000000, own]) AS n, size FROM d), b AS (SELECT n, n * size AS bytes FROM n)
+    SELECT n::BIGINT AS vectors, bytes::BIGINT AS bytes, CASE WHEN bytes < 1048576 THEN format('{:,} B ({:.2f} KiB)', bytes::BIGINT, bytes / 1024.0::DOUBLE)
+    WHEN bytes < 1073741824 THEN format('{:,} B ({:.2f} MiB)', bytes::BIGINT, bytes / 1048576.0::DOUBLE)
+    ELSE format('{:,} B ({:.2f} GiB)', bytes::BIGINT, bytes / 1073741824.0::DOUBLE) END AS shown FROM b"""
 )
 def storage_projection(spark, sf_dir):
-    return stats.storage_projection(spark, 64)
+    """What the stored vectors take, and a thousand and a million of their width."""
+    found = _vectors(spark, sf_dir).agg(F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n")).first()
+    return stats.storage_projection(spark, found["dim"], (1_000, 1_000_000, found["n"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
