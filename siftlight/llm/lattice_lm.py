@@ -5,7 +5,8 @@ words by pieces of an existing vocabulary counts: a spelling weighs the product
 pieces' probabilities, and the forward recursion sums all spellings, in logarithms. A mark
 begins a piece or stands alone, so that the lattice of a document is its words' lattices in
 a row: a word's likelihood is found once, wherever it stands. Each single byte is a piece
-too, so no word is impossible.
+too, so no word is impossible. A word of over ``_RUN`` bytes is runs of so many, one behind
+the other, that no piece crosses; they are spelled at the same time.
 
 The vocabulary's scores are ranks of pieces (minus the rank); a Zipf law over them gives the
 weights at first. ``rounds`` steps of expectation and maximization over the counts of all
@@ -43,6 +44,7 @@ _KEY = 64  # bytes of a word that is its own key
 _PORTION = 8 << 20  # bytes of text split at a time
 _HELD = 1 << 20  # distinct words that a task counts before it hands them on
 _WORDS = 16_384  # words in one lattice
+_RUN = 1024  # bytes of a word, with its mark, that pieces don't reach out of
 _MARK = b" "  # no word holds it
 _END = b""  # no word is empty
 _ZIPF = 2.7
@@ -91,10 +93,15 @@ class Lattice:
         return cls(keys, to, np.array(spelled), np.log(weights / weights.sum()))
 
     def _edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(from, to, piece, place of ``from`` in its word) of all edges; first node and length of each word."""
+        """(from, to, piece, place of ``from`` in its run) of all edges; first node and length
+        of each run, and whose word's it is."""
         data = np.frombuffer(_MARK + _MARK.join(words), dtype=np.uint8)
         first = np.flatnonzero(data == _MARK[0])
         size = np.diff(np.append(first, len(data)))
+        runs = -(-size // _RUN)
+        word = np.repeat(np.arange(len(first)), runs)
+        start = _RUN * (np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs))
+        first, size = first[word] + start, np.minimum(_RUN, size[word] - start)
         ends, which = np.repeat(first + size, size), np.repeat(np.arange(len(first)), size)
         at, state = np.arange(len(data)), np.zeros(len(data), dtype=np.int64)
         found, length = [], 0
@@ -109,7 +116,7 @@ class Lattice:
             at, state = at[more], state[more]
         at, length, piece = (np.concatenate(x) for x in zip(*found))
         node = at + which[at]
-        return node, node + length, piece, at - first[which[at]], first + np.arange(len(first)), size
+        return node, node + length, piece, at - first[which[at]], first + np.arange(len(first)), size, word
 
     @staticmethod
     def _sweep(value: np.ndarray, source: np.ndarray, target: np.ndarray, step: np.ndarray, gain: np.ndarray) -> None:
@@ -124,26 +131,26 @@ class Lattice:
         """The natural logarithm of each word's probability: the sum of all its spellings."""
         out = [np.empty(0)]
         for some in _blocks(words):
-            source, target, piece, place, first, size = self._edges(some)
+            source, target, piece, place, first, size, word = self._edges(some)
             ahead = np.full(first[-1] + size[-1] + 1, -np.inf)
             ahead[first] = 0.0
             self._sweep(ahead, source, target, place + target - source, self.weights[piece])
-            out.append(ahead[first + size])
+            out.append(np.bincount(word, ahead[first + size]))
         return np.concatenate(out)
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece spells the words, by its share of all their spellings."""
         total, at = np.zeros(len(self.weights)), 0
         for some in _blocks(words):
-            source, target, piece, place, first, size = self._edges(some)
+            source, target, piece, place, first, size, word = self._edges(some)
             gain, n = self.weights[piece], first[-1] + size[-1] + 1
             ahead, back = np.full(n, -np.inf), np.full(n, -np.inf)
             ahead[first], back[first + size] = 0.0, 0.0
             self._sweep(ahead, source, target, place + target - source, gain)
-            word = np.searchsorted(first, source, side="right") - 1
-            self._sweep(back, target, source, size[word] - place, gain)
-            share = np.exp(ahead[source] + gain + back[target] - ahead[first + size][word])
-            total += np.bincount(piece, share * counts[at : at + len(some)][word], minlength=len(total))
+            run = np.searchsorted(first, source, side="right") - 1
+            self._sweep(back, target, source, size[run] - place, gain)
+            share = np.exp(ahead[source] + gain + back[target] - ahead[first + size][run])
+            total += np.bincount(piece, share * counts[at : at + len(some)][word[run]], minlength=len(total))
             at += len(some)
         return total
 

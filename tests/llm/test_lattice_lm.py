@@ -65,6 +65,11 @@ def test_long_words_and_many(lattice):
     found = lattice.likelihoods(words)
     assert np.isfinite(found).all() and found[2] < found[1] < found[0]
     assert np.allclose(found[:2], [lattice.likelihoods([w])[0] for w in words[:2]])
+    steps = dict(zip(lattice.keys.tolist(), lattice.to.tolist()))
+    runs = [b" " + b"a" * 1023, *[b"a" * 1024] * 3, b"a" * 905]
+    assert found[1] == pytest.approx(sum(plain(r, lattice, steps, b"") for r in runs) * math.log(10))
+    # A piece of each kind spells every byte, whatever the run.
+    assert lattice.expected(words, np.ones(3)).sum() > 0 and lattice.expected([b"q" * 3000], np.array([2.0])).sum() <= 2 * 3001
 
 
 def test_training_raises_likelihood(spark, sf, lattice):
@@ -79,9 +84,9 @@ def test_training_raises_likelihood(spark, sf, lattice):
     counts.unpersist()
 
 
-def plain(word, lattice, steps):
+def plain(word, lattice, steps, mark=b" "):
     """The forward recursion of one word, an edge at a time."""
-    s = b" " + word
+    s = mark + word
     ahead = [0.0] + [-math.inf] * len(s)
     for i in range(len(s)):
         state = 0
