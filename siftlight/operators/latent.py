@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siftlight.sources.tables import settle
 
 DIM, TERMS, SPARE, OVERSAMPLE, POWER, SEED = 128, 1 << 15, 1 << 12, 16, 3, 42
-_DOCS = 128  # texts of one block
+_DOCS = 64  # texts of one block
 _WORD = re.compile(r"\w\w+")
 
 
@@ -56,20 +56,23 @@ class LatentEmbedder:
     def _places(self) -> dict[str, int]:
         return {term: i for i, term in enumerate(self.terms)}
 
-    def weights(self, text: str) -> tuple[list[int], np.ndarray]:
+    def weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The columns of a text's words, and their weights at length one."""
-        first, spare = len(self.terms), len(self.idf) - len(self.terms)
-        place = self._places.get
-        counts = Counter(first + zlib.crc32(w.encode()) % spare if (p := place(w)) is None else p for w in words(text))
-        columns = sorted(counts)
-        value = np.array([1 + math.log(counts[c]) for c in columns]) * self.idf[columns] if columns else np.empty(0)
-        return columns, value / max(np.linalg.norm(value), 1e-300)
+        counts = Counter(words(text))
+        if not counts:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        first, spare, place = len(self.terms), len(self.idf) - len(self.terms), self._places.get
+        columns = np.array([first + zlib.crc32(w.encode()) % spare if (p := place(w)) is None else p for w in counts])
+        columns, which = np.unique(columns, return_inverse=True)
+        value = (1 + np.log(np.bincount(which, list(counts.values())))) * self.idf[columns]
+        return columns, value / np.linalg.norm(value)
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for at in range(0, len(texts), _DOCS):
             rows = [self.weights(t) for t in texts[at : at + _DOCS]]
-            block, columns = dense([r[0] for r in rows], [r[1] for r in rows])
+            none = np.empty(0, dtype=np.int64)
+            block, columns = dense(np.concatenate([none, *(r[0] for r in rows)]), np.concatenate([none, *(r[1] for r in rows)]), [len(r[0]) for r in rows])
             out[at : at + _DOCS] = block @ self.axes[columns]
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
@@ -85,12 +88,12 @@ class LatentEmbedder:
         return cls([t for t in found["term"].to_pylist() if t is not None], found["idf"].to_numpy(), axes)
 
 
-def dense(columns: Sequence[Sequence[int]], values: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A block of sparse rows as a matrix over the columns that occur in it, and these."""
-    flat = np.concatenate([np.empty(0, dtype=np.int64), *(np.asarray(c, dtype=np.int64) for c in columns)])
-    used, place = np.unique(flat, return_inverse=True)
-    block = np.zeros((len(columns), len(used)), dtype=np.float32)
-    block[np.repeat(np.arange(len(columns)), [len(c) for c in columns]), place] = np.concatenate([np.empty(0), *values])
+def dense(columns: np.ndarray, values: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A block of sparse rows, which have ``sizes`` columns each, as a matrix over the columns
+    that occur in it, and these."""
+    used, place = np.unique(columns.astype(np.int64), return_inverse=True)
+    block = np.zeros((len(sizes), len(used)), dtype=np.float32)
+    block[np.repeat(np.arange(len(sizes)), sizes), place] = values
     return block, used
 
 
@@ -136,7 +139,8 @@ def _blocks(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, _DOCS):
             part = batch.slice(at, _DOCS)
-            block, used = dense(part.column(0).to_pylist(), part.column(1).to_pylist())
+            columns, values = part.column(0), part.column(1)
+            block, used = dense(columns.flatten().to_numpy(), values.flatten().to_numpy(), np.diff(columns.offsets.to_numpy()))
             if len(used):
                 yield block, used
 

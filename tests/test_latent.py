@@ -36,12 +36,12 @@ def test_against_numpys_svd(spark, sf):
 def test_counts_and_idf(spark):
     docs = spark.createDataFrame([(1, "aa bb bb"), (2, "aa cc"), (3, None), (4, "AA dd é ñandú x")], "id long, text string")
     model = latent.fit(docs, 2, terms=2, spare=3)
-    assert model.terms in ([], ["aa"]) or len(model.terms) <= 2
+    assert model.terms == ["aa"]  # the others tie, and together they are too many
     whole = latent.fit(docs, 2, terms=50, spare=3)
     assert whole.terms == ["aa", "bb", "cc", "dd", "ñandú"]
     assert np.allclose(whole.idf[:5], np.log(5 / (1 + np.array([3, 1, 1, 1, 1]))) + 1)
     columns, weights = whole.weights("bb BB aa zz")
-    assert columns[:2] == [0, 1] and columns[2] >= 5 and np.isclose(np.linalg.norm(weights), 1)
+    assert columns.tolist()[:2] == [0, 1] and columns[2] >= 5 and np.isclose(np.linalg.norm(weights), 1)
     assert weights[1] / weights[0] == pytest.approx((1 + np.log(2)) * whole.idf[1] / whole.idf[0])
 
 
