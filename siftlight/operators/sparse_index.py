@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftlight.functions.text import tokens
 from siftlight.operators.lexical import B, EPSILON, K1, query_terms, term_counts, top
-from siftlight.sources.tables import dealt, settle
+from siftlight.sources.tables import settle
 from siftlight.sources.versions import Versions
 
 BUCKETS, SPREAD, GROUP, FIRST, SEGMENTS = 64, 8, 256, 64, 32
@@ -56,11 +56,11 @@ class SparseIndex:
         after, now = self.versions.last(), self.manifest()
         if gone is not None:
             name = f"gone-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
-            cut = settle(self._cut(gone))
+            cut = self._cut(gone)
             cut.select("id", "dl").write.parquet(f"{self.root}/{name}/ids")
             terms = cut.select(F.explode("terms").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("df"))
             self._write_terms(terms, name)
-            lost = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+            lost = self.spark.read.parquet(f"{self.root}/{name}/ids").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
             now["gone"].append([name, len(now["segments"])])
             now["n"], now["length"] = now["n"] - lost["n"], now["length"] - lost["length"]
         if fresh is not None:
@@ -80,18 +80,26 @@ class SparseIndex:
         return cut.select("id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms"))
 
     def _write_postings(self, cut: DataFrame, name: str) -> None:
+        cut.select("id", "dl").write.parquet(f"{self.root}/{name}/documents")
+        rows = self._grouped(cut, name).select("lane", "part", "id", "dl", F.explode("terms").alias("x"))
+        self._write_blocks(rows.select("lane", "part", "id", "dl", "x.term", "x.tf"), name)
+
+    def _grouped(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows of a segment's documents with the group of each: documents of about the same
+        length are in a lane, and lanes fall in parts by a hash."""
         lane = F.floor(F.log2(F.col("dl") + 1) * 4).cast("int")
-        placed = settle(dealt(cut.withColumn("lane", lane), ["lane"], self.group))
-        placed.select("id", "dl").write.parquet(f"{self.root}/{name}/documents")
-        rows = placed.select("lane", "part", "id", "dl", F.explode("terms").alias("x")).select("lane", "part", "id", "dl", "x.term", "x.tf")
-        self._write_blocks(rows, name)
+        sizes = self.spark.read.parquet(f"{self.root}/{name}/documents").groupBy(lane.alias("lane")).agg(F.count("*").alias("n")).collect()  # 130 lanes at most
+        parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lane"], max(1, math.ceil(r["n"] / self.group)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+        return rows.withColumn("lane", lane).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts[F.col("lane")]).cast("int"))
 
     def _write_blocks(self, rows: DataFrame, name: str) -> None:
         # A block has as many entries as its group has documents, at most.
         entries = F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries")
-        blocks = rows.groupBy("term", "lane", "part").agg(entries, F.max("tf").alias("most"), F.min("dl").alias("shortest")).withColumn("bucket", _bucket("term"))
-        spread = F.pmod(F.xxhash64("lane", "part"), F.lit(SPREAD))
-        blocks.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
+        spread = F.pmod(F.xxhash64("lane", "part"), F.lit(SPREAD)).alias("spread")
+        # Dealt once, by what the grouping has among its keys.
+        dealt_out = rows.select("*", _bucket("term").alias("bucket"), spread).repartition("bucket", "spread")
+        blocks = dealt_out.groupBy("bucket", "spread", "term", "lane", "part").agg(entries, F.max("tf").alias("most"), F.min("dl").alias("shortest")).drop("spread")
+        blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
         self._write_terms(self._postings([name], None).groupBy("term").agg(F.sum(F.size("entries")).alias("df")), name)
 
     def _write_terms(self, terms: DataFrame, name: str) -> None:
@@ -129,10 +137,8 @@ class SparseIndex:
         after, now = self.versions.last(), self.manifest()
         name = f"rows-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows = self._postings(now["segments"], now["kind"]).select("segment", "term", F.explode("entries").alias("x")).select("segment", "term", "x.id", "x.tf", "x.dl")
-        lane = F.floor(F.log2(F.col("dl") + 1) * 4).cast("int")
-        placed = settle(dealt(self.documents(now).withColumn("lane", lane), ["lane"], self.group))
-        placed.select("id", "dl").write.parquet(f"{self.root}/{name}/documents")
-        self._write_blocks(self._alive(rows, now).drop("segment", "dl").join(placed, "id"), name)
+        self.documents(now).write.parquet(f"{self.root}/{name}/documents")
+        self._write_blocks(self._grouped(self._alive(rows, now).drop("segment"), name), name)
         self.versions.publish({**now, "segments": [name], "gone": []}, after)
 
     def search(self, query: str, k: int, drop_zero: bool = False, told: dict | None = None) -> DataFrame:
