@@ -6,14 +6,20 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.functions.text import preview
+from siftlight.sources.tables import spread
 
 K, INITS, SWEEP_INITS, SEED, ITERATIONS = 10, 10, 3, 42, 300
 SAMPLE, WEAK = 8_000, 0.10
-PARALLEL = 4  # fits at a time
+PARALLEL = 4  # first centres, and measurements, at a time
+TOLERANCE = 1e-4  # MLlib's
+#: Vectors in a row of packed ones; bytes of sums that a round may bring to the driver.
+_PACKED, _ROOM = 1024, 64 << 20
 
 
 def _features(vectors: DataFrame, embedding: str) -> DataFrame:
@@ -22,15 +28,114 @@ def _features(vectors: DataFrame, embedding: str) -> DataFrame:
     return vectors.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
 
 
-def _fit(table: DataFrame, k: int, inits: int, seed: int, iterations: int):
-    """The best of several starts, by the sum of squared distances, the first of equal ones.
-    A few starts run at a time: their jobs are small beside what a cluster can do."""
+@dataclass
+class _Fit:
+    """A start of k-means: its centres so far, and the sum of squared distances to those before."""
+
+    centres: np.ndarray
+    cost: float = math.inf
+
+
+def _fit(table: DataFrame, starts: list[tuple[int, int]], iterations: int, embedding: str) -> list[_Fit]:
+    """k-means for each (k, seed). MLlib picks the first centres (k-means||); then all fits
+    go on together, a scan of the vectors a round for all that haven't converged, so that
+    there are as many scans as the longest fit has rounds. A fit ends as MLlib's does: when
+    no centre moves by more than its tolerance."""
     from pyspark.ml.clustering import KMeans
 
-    def start(i: int):
-        return KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(table)
+    def first(start: tuple[int, int]) -> _Fit:
+        model = KMeans(k=start[0], seed=start[1], maxIter=0, featuresCol="_v", predictionCol="cluster").fit(table)
+        return _Fit(np.array(model.clusterCenters()))
 
-    return min(_together(start, range(inits)), key=lambda m: m.summary.trainingCost)
+    fits = _together(first, starts)
+    packed = _packed(table, embedding).persist()
+    try:
+        going, tasks = fits, packed.rdd.getNumPartitions()
+        for _ in range(iterations):
+            if not going:
+                break
+            moved = []
+            for fit, (sums, counts, cost) in zip(going, _scanned(packed, [f.centres for f in going], tasks)):
+                # A centre without vectors stays.
+                new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], fit.centres)
+                if (((new - fit.centres) ** 2).sum(axis=1) > TOLERANCE**2).any():
+                    moved.append(fit)
+                fit.centres, fit.cost = new, cost
+            going = moved
+    finally:
+        packed.unpersist()
+    return fits
+
+
+def _packed(table: DataFrame, embedding: str) -> DataFrame:
+    """(v): the vectors, as bytes of doubles, some thousand in a row, on all cores."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PACKED):
+                v = batch.column(0).slice(at, _PACKED).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary())], names=["v"])
+
+    rows = table.select(F.col(embedding).cast("array<double>").alias("v")).mapInArrow(run, "v binary")
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    # Each task sums for itself: no more tasks than twice the cores.
+    return spread(rows).coalesce(2 * cores)
+
+
+def _scanned(packed: DataFrame, centres: list[np.ndarray], tasks: int, room: int = _ROOM) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each fit: the sums and counts of the vectors nearest to each of its centres, and
+    the sum of their squared distances. Where the sums of all ``tasks`` take over ``room``
+    bytes, executors add them up first."""
+    every, dim = np.concatenate(centres), centres[0].shape[1]
+    cuts = np.cumsum([0, *map(len, centres)]).tolist()
+    ranges = list(zip(cuts, cuts[1:]))
+
+    def run(batches):
+        size = (every**2).sum(axis=1)[:, None]
+        # For each centre the sum of its vectors, their count and their cost.
+        total = np.zeros((len(every), dim + 2))
+        for batch in batches:
+            for x in batch.column(0):
+                v = np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, dim)
+                away = size - 2 * (every @ v.T)
+                own, one, lengths = np.zeros(away.shape), np.arange(len(v)), (v**2).sum(axis=1)
+                for a, b in ranges:
+                    near = a + away[a:b].argmin(axis=0)
+                    own[near, one] = 1
+                    total[a, dim + 1] += np.maximum(away[near, one] + lengths, 0).sum()
+                total[:, :dim] += own @ v
+                total[:, dim] += own.sum(axis=1)
+        for i, (a, b) in enumerate(ranges):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[a:b].tobytes()], pa.binary())], names=["fit", "sums"])
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x.as_buffer(), dtype=np.float64)
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["fit", "sums"])
+
+    parts = packed.mapInArrow(run, "fit long, sums binary")
+    if tasks * every.nbytes > room:
+        parts = parts.repartition("fit").mapInArrow(added, "fit long, sums binary")
+    found = [np.zeros((b - a, dim + 2)) for a, b in ranges]
+    for batch in parts.toArrow().to_batches():
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found[i] += np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, dim + 2)
+    return [(x[:, :dim], x[:, dim], float(x[0, dim + 1])) for x in found]
+
+
+def _labels(centres: list[np.ndarray]):
+    """A function of a column of vectors: for each of some fits the number of the nearest centre."""
+
+    @F.arrow_udf("array<int>")
+    def near(vectors: pa.Array) -> pa.Array:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        found = np.stack([((c**2).sum(axis=1) - 2 * (v @ c.T)).argmin(axis=1) for c in centres], axis=1).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(centres), dtype=np.int32)), pa.array(found.ravel()))
+
+    return near
 
 
 def _together(action, items) -> list:
@@ -39,16 +144,18 @@ def _together(action, items) -> list:
 
 
 def kmeans(vectors: DataFrame, k: int = K, *, inits: int = INITS, seed: int = SEED, iterations: int = ITERATIONS, embedding: str = "embedding") -> DataFrame:
-    """``vectors`` with ``cluster``, in place of any they have. Raises ValueError if there are fewer than k rows."""
+    """``vectors`` with ``cluster``, in place of any they have: the best of several starts, by
+    the sum of squared distances, the first of equal ones. Raises ValueError if there are
+    fewer than k rows."""
     vectors = vectors.drop("cluster")
-    table = _features(vectors, embedding).persist()
+    table = _features(vectors, embedding).select(embedding, "_v").persist()
     try:
         if not 1 <= k <= table.count():
             raise ValueError(f"k={k} needs from 1 to as many clusters as vectors")
-        model = _fit(table, k, inits, seed, iterations)
+        best = min(_fit(table, [(k, seed + i) for i in range(inits)], iterations, embedding), key=lambda f: f.cost)
     finally:
         table.unpersist()
-    return model.transform(_features(vectors, embedding)).drop("_v")
+    return vectors.withColumn("cluster", _labels([best.centres])(F.col(embedding).cast("array<double>"))[0])
 
 
 def sizes(labelled: DataFrame, k: int, label: str = "cluster") -> DataFrame:
@@ -96,17 +203,27 @@ class Scored:
     smallest: int
 
 
-def score_k(table: DataFrame, k: int, inits: int = SWEEP_INITS, seed: int = SEED) -> Scored:
-    """Fits k clusters to prepared features and measures them; all rows are measured."""
+def _scores(table: DataFrame, fits: dict[int, _Fit], embedding: str) -> list[Scored]:
+    """Measures a fit of each k; all rows are measured, and led to the centres of all fits at once."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    model = _fit(table, k, inits, seed, ITERATIONS)
-    counts = [*model.summary.clusterSizes, *[0] * (k - len(model.summary.clusterSizes))]
-    value = math.nan
-    if sum(c > 0 for c in counts) >= 2:
-        evaluator = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", distanceMeasure="cosine")
-        value = evaluator.evaluate(model.transform(table))
-    return Scored(k, value, model.summary.trainingCost, min(counts))
+    placed = table.select("_v", _labels([f.centres for f in fits.values()])(F.col(embedding).cast("array<double>")).alias("_near")).persist()
+    try:
+        # A row per cluster of each k.
+        held = placed.select(F.posexplode("_near").alias("fit", "cluster")).groupBy("fit", "cluster").count().collect()
+
+        def score(at: tuple[int, int]) -> Scored:
+            i, k = at
+            counts = [r["count"] for r in held if r["fit"] == i]
+            value = math.nan
+            if len(counts) >= 2:
+                rows = placed.select("_v", F.col("_near")[i].alias("cluster"))
+                value = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", distanceMeasure="cosine").evaluate(rows)
+            return Scored(k, value, fits[k].cost, min(counts) if len(counts) == k else 0)
+
+        return _together(score, enumerate(fits))
+    finally:
+        placed.unpersist()
 
 
 def sweep(
@@ -116,11 +233,16 @@ def sweep(
     """(k, silhouette, inertia, smallest) for each k, on at most ``sample`` vectors (0: all)."""
     if min_k < 2 or max_k < min_k:
         raise ValueError("k goes from 2 or more to no less than that")
-    table = _features(subsample(vectors, sample, id_col, seed), embedding).select("_v").persist()
+    table = _features(subsample(vectors, sample, id_col, seed), embedding).select(embedding, "_v").persist()
     try:
         if max_k >= table.count():
             raise ValueError("max_k must be below the number of vectors")
-        rows = _together(lambda k: score_k(table, k, inits, seed), range(min_k, max_k + 1, step))
+        starts = [(k, seed + i) for k in range(min_k, max_k + 1, step) for i in range(inits)]
+        best: dict[int, _Fit] = {}
+        for (k, _), fit in zip(starts, _fit(table, starts, ITERATIONS, embedding)):
+            if k not in best or fit.cost < best[k].cost:
+                best[k] = fit
+        rows = _scores(table, best, embedding)
     finally:
         table.unpersist()
     return vectors.sparkSession.createDataFrame([(r.k, r.silhouette, r.inertia, r.smallest) for r in rows], "k int, silhouette double, inertia double, smallest int")

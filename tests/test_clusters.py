@@ -112,3 +112,25 @@ def test_cli(spark, tmp_path):
     assert run("load", str(tmp_path / "in.md"), "--store", store, "--model", "hashing-32", "--full", str(tmp_path / "full")) == "2 documents"
     page = run("bench", "--store", store, "--query", "thing", "--runs", "1", "--model", "hashing-32")
     assert "hybrid" in page and "Embedding by batch size" in page and "| 100 |" in page and "p50" in page
+
+
+def test_fits_go_on_together_as_mllib_fits_alone(spark, monkeypatch):
+    """The labels and costs of MLlib's own fits, by as many scans as the longest fit has rounds."""
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 5)))], "id long, embedding array<float>").repartition(3, "id").persist()
+    table = cluster._features(df, "embedding").persist()
+    models = {(k, s): KMeans(k=k, seed=s, maxIter=300, featuresCol="_v", predictionCol="cluster").fit(table) for k in (2, 5, 9) for s in (42, 43)}
+    scans, scan = [], cluster._scanned
+    monkeypatch.setattr(cluster, "_scanned", lambda packed, centres, tasks: scans.append(len(centres)) or scan(packed, centres, tasks))
+    fits = cluster._fit(table, list(models), 300, "embedding")
+    assert scans == sorted(scans, reverse=True) and len(scans) == max(m.summary.numIter for m in models.values())
+    for fit, m in zip(fits, models.values()):
+        assert np.allclose(fit.centres, m.clusterCenters(), atol=1e-9) and math.isclose(fit.cost, m.summary.trainingCost, rel_tol=1e-9)
+    want = {r["id"]: r["cluster"] for r in min((m for (k, _), m in models.items() if k == 5), key=lambda m: m.summary.trainingCost).transform(table).collect()}
+    assert {r["id"]: r["cluster"] for r in cluster.kmeans(df, 5, inits=2).collect()} == want
+    # Sums that executors add up first are the same.
+    packed, centres = cluster._packed(table, "embedding"), [f.centres for f in fits]
+    for a, b in zip(scan(packed, centres, 8), scan(packed, centres, 8, room=0)):
+        assert np.allclose(a[0], b[0]) and (a[1] == b[1]).all() and math.isclose(a[2], b[2])
