@@ -45,6 +45,10 @@ def exact(vectors: DataFrame, query, k: int, id_col: str = "vec_id", embedding:
 
 
 _QUERIES, _ROWS, _CELLS, _LISTED = 4096, 1024, 1 << 22, 1 << 17
+#: Bytes of queries that a scan holds, with what it must know of them.
+_ROOM = 64 << 20
+#: Scores are rounded to six digits, so that one this much below another may equal it.
+_HALF = 1e-6
 #: Vectors whose neighbours tell how many lists a search of an index needs.
 ASKED = 200
 
@@ -57,17 +61,27 @@ class _Best:
         self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max) if ids.kind == "i" else np.full((n, k), "", dtype=ids)
 
     def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: a row for each of the queries ``which``, a column for each id."""
-        if scores.shape[1] > 4 * self.k:  # only what reaches the k-th score of a row, ties and all
-            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
-            scores, ids = scores[:, some], ids[some]
+        """``scores``, not rounded: a row for each of the queries ``which``, a column for each id."""
+        # Only what reaches a query's k-th score is sorted, ties and all.
+        least = self.scores[which, -1]
+        if scores.shape[1] > self.k and not np.isfinite(least).all():
+            new = ~np.isfinite(least)
+            least[new] = np.partition(scores[new], -self.k, axis=1)[:, -self.k]
+        row, column = np.nonzero(scores >= (least - _HALF)[:, None])
+        if not len(row):
+            return
         if ids.dtype.kind == "U":  # room for the longest text
             self.ids = self.ids.astype(np.promote_types(ids.dtype, self.ids.dtype), copy=False)
-        every = np.concatenate([self.scores[which], scores], axis=1)
-        names = np.concatenate([self.ids[which], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((names, -every), axis=1)[:, : self.k]
-        self.scores[which], self.ids[which] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+        some = np.unique(row)
+        held = which[some]
+        rows = np.concatenate([np.repeat(some, self.k), row])
+        values = np.concatenate([self.scores[held].ravel(), np.round(scores[row, column], 6)])
+        names = np.concatenate([self.ids[held].ravel(), ids[column]])
+        order = np.lexsort((names, -values, rows))
+        # Each row has k or more, for it had k before.
+        starts = np.searchsorted(rows[order], some)
+        picked = order[starts[:, None] + np.arange(self.k)]
+        self.scores[held], self.ids[held] = values[picked], names[picked]
 
 
 def _names(ids) -> np.ndarray:
@@ -88,76 +102,82 @@ def _packed_queries(queries: DataFrame, dim: int, room: int) -> DataFrame:
                 asked = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
                 asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(part.column(0)), pa.array([asked.tobytes()], pa.binary()), *(one(part.column(2)) for _ in lists)], names=["names", "asked", *lists])
+                wide = [pa.array([x.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()) for x in part.columns[2:]]
+                yield pa.RecordBatch.from_arrays([one(part.column(0)), pa.array([asked.tobytes()], pa.binary()), *wide], names=["names", "asked", *lists])
 
     rows = queries.select("query_id", _sound("vector", dim).alias("vector"), *lists)
     # Numbered once, as written.
-    return settle(rows.mapInArrow(run, f"names array<{kind}>, asked binary" + ", lists array<array<int>>" * len(lists)).withColumn("block", F.monotonically_increasing_id()))
+    return settle(rows.mapInArrow(run, f"names array<{kind}>, asked binary" + ", lists binary" * len(lists)).withColumn("block", F.monotonically_increasing_id()))
 
 
 def _scan(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int, room: int) -> DataFrame:
     """(query_id, id, score, rank) over ``rows`` (id, v[, list]). Queries are packed where
-    they lie; as many as fit in ``room`` are broadcast, for each of which the rows are scanned
-    once. Each partition keeps its k best of each query. With lists, a query is held only
-    against the rows of those it names."""
+    they lie; as many as fit in ``room`` are sent to all tasks, and for these the rows are
+    scanned once, each row being sent to Python once. Each task keeps its k best of each
+    query. With lists, a query is held only against the rows of those it names."""
     import pyarrow as pa
     from pyspark.sql.window import Window
 
     kind, id_kind = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    lists = ["list"] if "list" in rows.columns else []
+    lists, spark = "list" in rows.columns, rows.sparkSession
     blocks = _packed_queries(queries, dim, room)
-    sizes = blocks.select("block", F.length("asked").alias("size")).collect()  # a row for some thousand queries
-
-    def pack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([one(part.column(0)), pa.array([v.tobytes()], pa.binary()), *(one(part.column(2)) for _ in lists)], names=["ids", "v", *lists])
-
-    def run(batches):
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            for row in range(batch.num_rows):
-                at = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
-                ids = _names(at["ids"].values)
-                if (number := at["block"].as_py()) not in held:
-                    asked = np.frombuffer(at["asked"].as_buffer(), dtype=np.float64).reshape(-1, dim).copy()
-                    wanted: dict[int, list[int]] = {}
-                    for q, named in enumerate(at["lists"].as_py() if lists else ()):
-                        for x in named:
-                            wanted.setdefault(x, []).append(q)
-                    held[number] = (at["names"].values.take(pa.array(range(len(asked)))), asked, {x: np.array(q) for x, q in wanted.items()}, _Best(len(asked), k, ids.dtype))
-                _, asked, wanted, best = held[number]
-                own = np.frombuffer(at["v"].as_buffer(), dtype=np.float64).reshape(len(ids), dim)
-                own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                groups = [(np.arange(len(asked)), np.arange(len(ids)))]
-                if lists:
-                    which = at["list"].values.to_numpy(zero_copy_only=False)
-                    groups = [(wanted[x], np.flatnonzero(which == x)) for x in np.unique(which).tolist() if x in wanted]
-                for asking, there in groups:
-                    for first in range(0, len(asking), block):
-                        some = asking[first : first + block]
-                        best.add(some, np.round(asked[some] @ own[there].T, 6), ids[there])
-        for names, _, _, best in held.values():
+    # Each task sends its best of all queries: no more tasks than twice the cores.
+    rows = rows.coalesce(2 * spark.sparkContext.defaultParallelism)
+
+    def scan(held):
+        def run(batches):
+            asked, named, best = held.value[0], held.value[1], None
+            order = starts = None
+            if lists:
+                # Queries by the lists that they name.
+                order = np.argsort(named, axis=None, kind="stable")
+                starts = np.searchsorted(named.ravel()[order], np.arange(int(named.max(initial=-1)) + 2))
+                order //= max(1, named.shape[1])
+            for batch in batches:
+                for at in range(0, batch.num_rows, _ROWS):
+                    part = batch.slice(at, _ROWS)
+                    ids = _names(part.column(0))
+                    own = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+                    own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+                    best = best or _Best(len(asked), k, ids.dtype)
+                    groups = [(np.arange(len(asked)), np.arange(len(ids)))]
+                    if lists:
+                        which = part.column(2).to_numpy(zero_copy_only=False)
+                        groups = [(order[starts[x] : starts[x + 1]], np.flatnonzero(which == x)) for x in np.unique(which).tolist() if x + 1 < len(starts)]
+                    for asking, there in groups:
+                        for first in range(0, len(asking), block):
+                            some = asking[first : first + block]
+                            best.add(some, asked[some] @ own[there].T, ids[there])
+            if best is None:
+                return
             q, place = np.nonzero(np.isfinite(best.scores))
+            names = held.value[2]
             for at in range(0, len(q), 65_536):
                 a, b = q[at : at + 65_536], place[at : at + 65_536]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), pa.array(best.ids[a, b]), pa.array(best.scores[a, b] + 0.0)], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[a], names_type), pa.array(best.ids[a, b]), pa.array(best.scores[a, b] + 0.0)], names=["query_id", "id", "score"])
+
+        return rows.select("id", "v", *(["list"] if lists else [])).mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
+
+    names_type, parts, group, left = pa.string() if kind == "string" else None, [], [], room
+
+    def sent():
+        found = blocks.where(F.col("block").isin(group)).toArrow()
+        asked = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, dim) for x in found["asked"]])
+        named = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found["lists"]]).reshape(len(asked), -1) if lists else None
+        names = np.concatenate([np.asarray(x.values.to_pylist() if kind == "string" else x.values.to_numpy(zero_copy_only=False)) for x in found["names"]])
+        return spark.sparkContext.broadcast((asked, named, names))
 
-    packed = rows.select("id", "v", *lists).mapInArrow(pack, f"ids array<{id_kind}>, v binary" + ", list array<int>" * len(lists))
-    parts, group, left = [], [], room
-    for i, r in enumerate(sizes):
+    sized = blocks.select("block", (F.length("asked") + (F.length("lists") if lists else F.lit(0))).alias("size")).collect()  # a row for some thousand queries
+    for i, r in enumerate(sized):
         group.append(r["block"])
         left -= r["size"]
-        if left > 0 and i + 1 < len(sizes):
+        # What goes with the next one is over the room, or there is none.
+        if i + 1 < len(sized) and sized[i + 1]["size"] <= left:
             continue
-        asked = F.broadcast(blocks.where(F.col("block").isin(group)))
-        parts.append(packed.withColumn("block", F.explode(F.lit(group))).join(asked, "block").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double"))
+        parts.append(scan(sent()))
         group, left = [], room
     if not parts:
-        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id {id_kind}, score double, rank long")
+        return spark.createDataFrame([], f"query_id {kind}, id {id_kind}, score double, rank long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -168,10 +188,10 @@ def _dim(vectors: DataFrame, embedding: str) -> int:
 
 
 def exact_many(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", block: int = 256, room: int = 256 << 20
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", block: int = 256, room: int = _ROOM
 ) -> DataFrame:
-    """(query_id, id, score, rank) for a table of queries (query_id, vector). They are
-    broadcast, as many at a time as take ``room`` bytes, for each of which the vectors are
+    """(query_id, id, score, rank) for a table of queries (query_id, vector). They are sent
+    to all tasks, as many at a time as take ``room`` bytes, for each of which the vectors are
     scanned once; numpy compares ``block`` of them at a time. Ids are integers or texts.
     Vectors and queries that ``cosine_scores`` would call unsound count as zero."""
     if k < 1:
@@ -297,7 +317,7 @@ class IvfIndex:
         picked = near[: probe or self.probe]
         return top(cosine_scores(self.table.where(F.col("list").isin(picked)), query, self.id_col, self.embedding), k)
 
-    def search_many(self, queries: DataFrame, k: int, probe: int | None = None, block: int = 256, room: int = 256 << 20) -> DataFrame:
+    def search_many(self, queries: DataFrame, k: int, probe: int | None = None, block: int = 256, room: int = _ROOM) -> DataFrame:
         """(query_id, id, score, rank) for a table of queries (query_id, vector): one scan
         of the lists for as many queries as fit in ``room``."""
         import pyarrow as pa

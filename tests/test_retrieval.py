@@ -193,3 +193,34 @@ def test_text_ids_and_many_lists(spark, tmp_path):
     found = index.search_many(asked, 5)
     assert dense.recall(found, truth) >= 0.9
     assert len(found._jdf.queryExecution().toString()) < 50_000
+
+
+def test_scans_sort_only_what_reaches_the_best(monkeypatch):
+    """Of 64 x 20,480 scores, with ties, little is sorted, and the best are those of a full sort."""
+    rng = np.random.default_rng(3)
+    scores, ids = np.round(rng.normal(size=(64, 20_480)), 3), rng.permutation(20_480)
+    best, which, cells, sort = dense._Best(64, 10, ids.dtype), np.arange(64), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, **a: cells.append(keys[0].size) or sort(keys, **a))
+    for at in range(0, 20_480, 1024):
+        best.add(which, scores[:, at : at + 1024], ids[at : at + 1024])
+    assert sum(cells) < scores.size / 20
+    for q in which:
+        order = sort((ids, -scores[q]))[:10]
+        assert best.ids[q].tolist() == ids[order].tolist() and best.scores[q].tolist() == scores[q, order].tolist()
+
+
+def test_a_row_goes_to_python_once_for_many_blocks_of_queries(spark, tmp_path):
+    """Rows aren't joined to blocks of queries, of which there are as many as the queries have partitions."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 6)))], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 10 = 0").selectExpr("CAST(vec_id AS string) AS query_id", "embedding AS vector").repartition(12)
+    found = dense.exact_many(rows, asked, 5)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    m = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in found.collect()}
+    assert got == {(str(q), j + 1): x for q in range(0, 600, 10) for j, x in enumerate(np.lexsort((np.arange(600), -np.round(m @ m[q], 6)))[:5].tolist())}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in dense.exact_many(rows, asked, 5, room=300).collect()} == got
+    index = dense.IvfIndex.create(rows, str(tmp_path / "i"), lists=9)
+    for room in (1 << 20, 300):
+        assert {(r["query_id"], r["rank"]): r["id"] for r in index.search_many(asked, 5, probe=len(index.centres), room=room).collect()} == got
