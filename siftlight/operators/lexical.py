@@ -83,14 +83,14 @@ _FEW_TERMS = 1_000_000
 def tfidf_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document: cosine of TF-IDF vectors with smoothed idf.
 
-    Spark's English stop list is used. Terms are counted within each text; what is shuffled
-    are counts of documents by term, and one norm and product for each document."""
+    Spark's English stop list is used. Documents are counted by term, and only those with a
+    term of the query have other terms counted and weighed: all others have no score. What
+    is shuffled are counts by term, the terms of those few, and one score for each."""
     spark = docs.sparkSession
     wanted = Counter(t for t in query_terms(spark, query, word_tokens) if t not in set(ENGLISH))
-    words = F.filter(word_tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ~w.isin(list(ENGLISH)))
-    counted = docs.select(F.col(id_col).alias("id"), term_counts(words).alias("terms"))
+    each_word = word_tokens(F.coalesce(F.col(text_col), F.lit("")))
     n = docs.count()
-    by_term = counted.select(F.explode(F.transform("terms", lambda x: x["term"])).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    by_term = docs.select(F.explode(F.array_distinct(each_word)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(~F.col("term").isin(list(ENGLISH)))
     idf = by_term.select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist()
     asked = F.when(F.lit(False), F.lit(0))
     for term, times in wanted.items():
@@ -101,8 +101,13 @@ def tfidf_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col:
         idf.unpersist()
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
     told = F.broadcast(idf) if size["terms"] <= _FEW_TERMS else idf
-    each = counted.select("id", F.explode("terms").alias("x")).select("id", "x.term", "x.tf").join(told, "term")
-    each = each.select("id", (F.col("tf") * F.col("idf")).alias("w"), (asked * F.col("idf")).alias("q"))
+    # A text that lacks the letters of all terms isn't cut.
+    lower = F.lower(F.col(text_col))
+    held = docs.where(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(t)) for t in wanted]))
+    words = F.filter(each_word, lambda w: ~w.isin(list(ENGLISH)))
+    counted = held.select(F.col(id_col).alias("id"), words.alias("words")).where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in wanted])))
+    terms = counted.select("id", F.explode(term_counts(F.col("words"))).alias("x")).select("id", "x.term", "x.tf")
+    each = terms.join(told, "term").select("id", (F.col("tf") * F.col("idf")).alias("w"), (asked * F.col("idf")).alias("q"))
     found = each.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("dot > 0")
     found = found.select("id", (F.col("dot") / (F.col("norm") * F.lit(size["norm"]))).alias("score"))
     return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
