@@ -19,8 +19,9 @@ DEFAULT_METHOD, K, CANDIDATES = "hybrid", 5, 50
 
 @dataclass
 class Searcher:
-    """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along. With
-    an ``index`` over the same vectors, dense search walks its graphs, or looks into its
+    """``table`` has ``id_col``, ``text`` and ``embedding``; other columns come along. If
+    ``vectors`` (``id_col``, ``embedding``) are kept apart, a row without one counts as one
+    with a null; only ids are joined to them, no texts. With an ``index`` over the same vectors, dense search walks its graphs, or looks into its
     nearest lists only; with a ``sparse`` index over the same texts, BM25 reads that."""
 
     table: DataFrame
@@ -28,12 +29,20 @@ class Searcher:
     id_col: str = "id"
     index: dense.IvfIndex | GraphIndex | None = None
     sparse: SparseIndex | None = None
+    vectors: DataFrame | None = None
+
+    @property
+    def _embedded(self) -> DataFrame:
+        """(``id_col``, ``embedding``) of every row."""
+        if self.vectors is None:
+            return self.table.select(self.id_col, "embedding")
+        return self.table.select(self.id_col).join(self.vectors.select(self.id_col, "embedding"), self.id_col, "left")
 
     def _vector(self, query: str):
         if self.embedder is None:
             raise ValueError("this method needs an embedder")
         vector = self.embedder.encode([query])[0]
-        dense.check_dim(self.table, vector)
+        dense.check_dim(self.table if self.vectors is None else self.vectors, vector)
         return vector
 
     def search(
@@ -48,7 +57,7 @@ class Searcher:
             if isinstance(self.index, dense.IvfIndex):
                 raise ValueError("lists are searched whole: a graph index takes conditions")
             index = None if self.index is None else self.index.where(where)
-            return Searcher(self.table.where(where), self.embedder, self.id_col, index).search(
+            return Searcher(self.table.where(where), self.embedder, self.id_col, index, vectors=self.vectors).search(
                 query, method, k, candidates, do_rerank=do_rerank, scorer=scorer, alpha=alpha, trade=trade, ef=ef
             )
         self._ef = ef
@@ -72,7 +81,7 @@ class Searcher:
     def _dense(self, query, depth, candidates, alpha, trade):
         if self.index is not None:
             return self.index.search(self._vector(query), depth, ef=self._ef)
-        return dense.exact(self.table, self._vector(query), depth, self.id_col)
+        return dense.exact(self._embedded, self._vector(query), depth, self.id_col)
 
     def _lexical(self, query, depth, candidates, alpha, trade):
         if self.sparse is not None:
@@ -91,7 +100,7 @@ class Searcher:
 
     def _mmr(self, query, depth, candidates, alpha, trade):
         near = self._dense(query, candidates, candidates, 0, 0)
-        vectors = self.table.select(F.col(self.id_col).alias("id"), F.col("embedding").alias("vector"))
+        vectors = self._embedded.select(F.col(self.id_col).alias("id"), F.col("embedding").alias("vector"))
         return fusion.mmr(vectors.join(F.broadcast(near), "id").select("id", "score", "vector"), depth, trade)
 
 

@@ -330,7 +330,7 @@ class _Given:
 def _searcher(spark, sf_dir) -> search.Searcher:
     """Documents with the vectors of their ids; many have none."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return search.Searcher(_docs(spark, sf_dir).join(vectors, "doc_id", "left"), _Given(tuple(_asked_vector(spark, sf_dir))), "doc_id")
+    return search.Searcher(_docs(spark, sf_dir), _Given(tuple(_asked_vector(spark, sf_dir))), "doc_id", vectors=vectors)
 
 
 #: Scores of all documents: those without a vector have zero.

@@ -224,3 +224,31 @@ def test_a_row_goes_to_python_once_for_many_blocks_of_queries(spark, tmp_path):
     index = dense.IvfIndex.create(rows, str(tmp_path / "i"), lists=9)
     for room in (1 << 20, 300):
         assert {(r["query_id"], r["rank"]): r["id"] for r in index.search_many(asked, 5, probe=len(index.centres), room=room).collect()} == got
+
+
+def test_searcher_joins_no_texts_to_vectors(spark, tmp_path):
+    """With vectors kept apart every method finds what it finds in one table, and no plan of vectors has texts."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5} text {'more ' * (i % 3)}", "s") for i in range(40)], "id long, text string, source string")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(range(0, 60, 2), rng.normal(size=(30, 16)))], "id long, embedding array<double>")
+    e = embed.HashingEmbedder(16)
+    one, apart = Searcher(rows.join(vectors, "id", "left"), e), Searcher(rows, e, vectors=vectors)
+    assert "text:string" not in apart._embedded._jdf.queryExecution().executedPlan().toString()
+    for method in METHODS:
+        for where in (None, "id > 9"):
+            want = list(map(tuple, one.search("word3 more text", method, 6, 12, where=where).collect()))
+            assert list(map(tuple, apart.search("word3 more text", method, 6, 12, where=where).collect())) == want, method
+
+
+def test_tfidf_weighs_only_documents_with_a_term_of_the_query(spark):
+    """Of documents without one no terms are joined to their idfs; a term within a longer word is none."""
+    rows = [(i, f"alpha common{i}") for i in range(3)] + [(i, f"alphabet filler{i} other{i} more{i}") for i in range(3, 60)] + [(60, None), (61, "Alpha alpha BETA")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lexical.tfidf_scores(df, "alpha beta").persist()
+    assert {r["id"] for r in found.where("score > 0").collect()} == {0, 1, 2, 61} and found.count() == 62
+    a, b, c = (np.log(63 / (1 + df)) + 1 for df in (4, 1, 1))
+    got = scores(found)
+    assert got[0] == pytest.approx(a * a / np.hypot(a, c) / np.hypot(a, b)) and got[61] == pytest.approx((2 * a * a + b * b) / np.hypot(2 * a, b) / np.hypot(a, b))
+    assert "arrays_overlap" in lexical.tfidf_scores(df, "alpha beta")._jdf.queryExecution().optimizedPlan().toString()
