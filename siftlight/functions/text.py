@@ -24,7 +24,7 @@ def sentences(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def word_tokens(text: Column) -> Column:

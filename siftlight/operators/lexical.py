@@ -8,9 +8,12 @@ shuffle. Nothing is capped, and documents without a query term keep their zero s
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,82 @@ def term_counts(words: Column) -> Column:
     return F.element_at(F.transform(F.array(F.array_sort(words)), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none)), 1)
 
 
+#: A group of documents ends before it has more tokens than this, and one document.
+_MOST = 1 << 20
+#: Documents of a group where groups are only to be few.
+DOCS = 4096
+#: White space for all bytes but those of a-z and 0-9.
+_APART = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def _lowered(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias(text)
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """(id, dl) of (id, text): how many tokens each text has."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            dl = [len(t.translate(_APART).split()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl, pa.int32())], names=["id", "dl"])
+
+    return docs.select("id", _lowered("text")).mapInArrow(run, f"id {kind}, dl int")
+
+
+def _inverted(ids: pa.Array, dls: list[int], codes: list[int], terms: list[bytes], lane: int, part: int) -> pa.RecordBatch:
+    """A row for each term of some documents, whose tokens are ``codes``, one after another."""
+    n = len(dls)
+    pairs, tf = np.unique(np.array(codes, dtype=np.int64) * n + np.repeat(np.arange(n), dls), return_counts=True)
+    term, owner = np.divmod(pairs, n)
+    starts, dl = np.searchsorted(term, np.arange(len(terms) + 1)), np.array(dls, dtype=np.int32)[owner]
+    lists = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), x) for x in (ids.take(pa.array(owner)), pa.array(tf.astype(np.int32)), pa.array(dl))]
+    bounds = [pa.array(np.maximum.reduceat(tf, starts[:-1]).astype(np.int32)), pa.array(np.minimum.reduceat(dl, starts[:-1]))]
+    whose = [pa.array(np.full(len(terms), lane, dtype=np.int32)), pa.array(np.full(len(terms), part, dtype=np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), *whose, *lists, *bounds], names=["term", "lane", "part", "id", "tf", "dl", "most", "shortest"])
+
+
+def inverted(docs: DataFrame, group: int, lane: Column | None = None) -> DataFrame:
+    """(term, lane, part, id, tf, dl, most, shortest) of (id, text): a term's postings, as three
+    arrays, in a group of at most ``group`` documents of one ``lane``, with the largest count
+    and the shortest document among them. Texts stay where they are.
+
+    A group is of one task, whose number is in the upper half of ``part``. With lanes, a task
+    goes through its documents in their order and that of their ids, so one that runs again
+    makes the same groups."""
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.select("id", _lowered("text"), (F.lit(0) if lane is None else lane).cast("int").alias("lane"))
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId() << 32, None
+        ids, dls, codes, places = [], [], [], defaultdict(int)
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for name, text, where in zip(*(c.to_pylist() for c in batch.columns)):
+                found = text.translate(_APART).split()
+                if not found:
+                    continue
+                if dls and (where != at or len(dls) == group or len(codes) + len(found) > _MOST):
+                    yield _inverted(pa.array(ids, id_type), dls, codes, list(places), at, part)
+                    part, ids, dls, codes, places = part + 1, [], [], [], defaultdict(int)
+                at, places.default_factory = where, places.__len__
+                ids.append(name)
+                dls.append(len(found))
+                codes.extend(map(places.__getitem__, found))
+        if dls:
+            yield _inverted(pa.array(ids, id_type), dls, codes, list(places), at, part)
+
+    ordered = rows if lane is None else rows.sortWithinPartitions("lane", "id")
+    return ordered.mapInArrow(run, f"term string, lane int, part long, id array<{kind}>, tf array<int>, dl array<int>, most int, shortest int")
+
+
+def task_of(part: str) -> Column:
+    """The task that made a group. What a task says of a term must stay together: if the task
+    runs again, it may make other groups."""
+    return F.shiftright(F.col(part), 32)
+
+
 #: idfs of so many terms (about 100 bytes each) are broadcast; more are joined by a shuffle.
 _FEW_TERMS = 1_000_000
 
@@ -148,18 +227,19 @@ class LexicalIndex:
 
     @classmethod
     def create(cls, docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64, spread: int = 8) -> LexicalIndex:
-        """Writes the tables, each from the one before, so that texts are cut once. A term's
-        postings go to ``spread`` tasks, so that a term of every document is no task's burden."""
+        """Writes the tables. Tasks invert their documents, so that a term's postings in some
+        thousand of them are shuffled and sorted as one row; they go to ``spread`` tasks, so
+        that a term of every document is no task's burden."""
         spark = docs.sparkSession
-        cut = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-        rows = cut.select("id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("x")).select("id", "x.term", "x.tf", "dl")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
-        cut.select("id", F.size("t").alias("dl")).write.parquet(f"{root}/documents")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        blocks = inverted(rows, DOCS).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        dealt = blocks.repartition("bucket", F.pmod(task_of("part"), F.lit(spread))).sortWithinPartitions("bucket", "term")
+        postings = dealt.select("term", "bucket", F.explode(F.arrays_zip("id", "tf", "dl")).alias("x")).select("x.id", "term", "x.tf", "x.dl", "bucket")
+        postings.write.partitionBy("bucket").parquet(f"{root}/postings")
+        lengths(rows).write.parquet(f"{root}/documents")
         total = spark.read.parquet(f"{root}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         idf = F.log(total["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        terms = spark.read.schema(rows.schema).parquet(f"{root}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+        terms = spark.read.schema(postings.schema).parquet(f"{root}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).withColumn("idf", idf)
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
         mean = spark.read.schema(terms.schema).parquet(f"{root}/terms").agg(F.avg("idf")).first()[0]
         spark.createDataFrame([(mean, total["n"], total["avgdl"], buckets)], "mean double, n long, avgdl double, buckets int").write.parquet(f"{root}/sizes")
