@@ -20,8 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlight.functions.text import tokens
-from siftlight.operators.lexical import B, EPSILON, K1, query_terms, term_counts, top
+from siftlight.operators.lexical import B, DOCS, EPSILON, K1, inverted, lengths, query_terms, task_of, top
 from siftlight.sources.tables import settle
 from siftlight.sources.versions import Versions
 
@@ -37,6 +36,10 @@ def _bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _lane(length: Column) -> Column:
+    return F.floor(F.log2(length + 1) * 4).cast("int")
+
+
 class SparseIndex:
     """Below ``root``, in versions; a reader has the last one, and a writer whose version
     isn't the last any more gets ``Conflict``. Ids are of any kind, those of documents that
@@ -56,16 +59,19 @@ class SparseIndex:
         after, now = self.versions.last(), self.manifest()
         if gone is not None:
             name = f"gone-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
-            cut = self._cut(gone)
-            cut.select("id", "dl").write.parquet(f"{self.root}/{name}/ids")
-            terms = cut.select(F.explode("terms").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("df"))
-            self._write_terms(terms, name)
+            rows = gone.select("id", "text")
+            lengths(rows).write.parquet(f"{self.root}/{name}/ids")
+            self._write_terms(inverted(rows, DOCS).groupBy("term").agg(F.sum(F.size("id")).alias("df")), name)
             lost = self.spark.read.parquet(f"{self.root}/{name}/ids").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
             now["gone"].append([name, len(now["segments"])])
             now["n"], now["length"] = now["n"] - lost["n"], now["length"] - lost["length"]
         if fresh is not None:
             name = f"rows-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
-            self._write_postings(self._cut(fresh), name)
+            rows = fresh.select("id", "text")
+            lengths(rows).write.parquet(f"{self.root}/{name}/documents")
+            made = inverted(rows, self.group, _lane(F.length(F.coalesce(F.col("text"), F.lit("")))))
+            blocks = made.withColumn("spread", F.pmod(task_of("part"), F.lit(SPREAD)))
+            self._write_blocks(self._dealt(blocks).select("term", "lane", "part", F.arrays_zip("id", "tf", "dl").alias("entries"), "most", "shortest", "bucket"), name)
             new = self.spark.read.parquet(f"{self.root}/{name}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
             now["segments"].append(name)
             now["n"], now["length"], now["kind"] = now["n"] + new["n"], now["length"] + new["length"], fresh.schema["id"].dataType.simpleString()
@@ -74,33 +80,22 @@ class SparseIndex:
         if max(len(now["segments"]), len(now["gone"])) > SEGMENTS:
             self.merge()
 
-    @staticmethod
-    def _cut(docs: DataFrame) -> DataFrame:
-        cut = docs.select("id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-        return cut.select("id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms"))
-
-    def _write_postings(self, cut: DataFrame, name: str) -> None:
-        cut.select("id", "dl").write.parquet(f"{self.root}/{name}/documents")
-        rows = self._grouped(cut, name).select("lane", "part", "id", "dl", F.explode("terms").alias("x"))
-        self._write_blocks(rows.select("lane", "part", "id", "dl", "x.term", "x.tf"), name)
-
     def _grouped(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows of a segment's documents with the group of each: documents of about the same
         length are in a lane, and lanes fall in parts by a hash."""
-        lane = F.floor(F.log2(F.col("dl") + 1) * 4).cast("int")
+        lane = _lane(F.col("dl"))
         sizes = self.spark.read.parquet(f"{self.root}/{name}/documents").groupBy(lane.alias("lane")).agg(F.count("*").alias("n")).collect()  # 130 lanes at most
         parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lane"], max(1, math.ceil(r["n"] / self.group)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-        return rows.withColumn("lane", lane).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts[F.col("lane")]).cast("int"))
+        return rows.withColumn("lane", lane).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts[F.col("lane")]).cast("long"))
 
-    def _write_blocks(self, rows: DataFrame, name: str) -> None:
-        # A block has as many entries as its group has documents, at most.
-        entries = F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries")
-        spread = F.pmod(F.xxhash64("lane", "part"), F.lit(SPREAD)).alias("spread")
-        # Dealt once, by what the grouping has among its keys.
-        dealt_out = rows.select("*", _bucket("term").alias("bucket"), spread).repartition("bucket", "spread")
-        blocks = dealt_out.groupBy("bucket", "spread", "term", "lane", "part").agg(entries, F.max("tf").alias("most"), F.min("dl").alias("shortest")).drop("spread")
+    @staticmethod
+    def _dealt(rows: DataFrame) -> DataFrame:
+        """Rows with ``spread``, dealt once by that and the bucket of their term."""
+        return rows.withColumn("bucket", _bucket("term")).repartition("bucket", "spread")
+
+    def _write_blocks(self, blocks: DataFrame, name: str) -> None:
         blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
-        self._write_terms(self._postings([name], None).groupBy("term").agg(F.sum(F.size("entries")).alias("df")), name)
+        self._write_terms(self._postings([name], None).groupBy("term").agg(F.sum(F.size("entries.tf")).alias("df")), name)
 
     def _write_terms(self, terms: DataFrame, name: str) -> None:
         terms.withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{name}/terms")
@@ -108,7 +103,7 @@ class SparseIndex:
     def _postings(self, names: list[str], kind: str | None) -> DataFrame:
         """Blocks of some segments, which are numbered in their order."""
         kind = kind or self.spark.read.parquet(f"{self.root}/{names[0]}/documents").schema["id"].dataType.simpleString()
-        schema = f"term string, lane int, part int, entries array<struct<id:{kind},tf:int,dl:int>>, most int, shortest int, bucket int"
+        schema = f"term string, lane int, part long, entries array<struct<id:{kind},tf:int,dl:int>>, most int, shortest int, bucket int"
         return _union([self.spark.read.schema(schema).parquet(f"{self.root}/{x}/postings").withColumn("segment", F.lit(i)) for i, x in enumerate(names)])
 
     def _terms(self, now: dict) -> DataFrame:
@@ -138,7 +133,11 @@ class SparseIndex:
         name = f"rows-{after + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows = self._postings(now["segments"], now["kind"]).select("segment", "term", F.explode("entries").alias("x")).select("segment", "term", "x.id", "x.tf", "x.dl")
         self.documents(now).write.parquet(f"{self.root}/{name}/documents")
-        self._write_blocks(self._grouped(self._alive(rows, now).drop("segment"), name), name)
+        rows = self._grouped(self._alive(rows, now).drop("segment"), name).withColumn("spread", F.pmod(F.xxhash64("lane", "part"), F.lit(SPREAD)))
+        # A block has as many entries as its group has documents, at most.
+        entries = F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries")
+        blocks = self._dealt(rows).groupBy("bucket", "spread", "term", "lane", "part").agg(entries, F.max("tf").alias("most"), F.min("dl").alias("shortest"))
+        self._write_blocks(blocks.drop("spread"), name)
         self.versions.publish({**now, "segments": [name], "gone": []}, after)
 
     def search(self, query: str, k: int, drop_zero: bool = False, told: dict | None = None) -> DataFrame:
@@ -178,6 +177,8 @@ class SparseIndex:
         if told is not None:
             told["groups"], told["skipped"] = groups.count(), rest.where(F.col("bound") < least).count()
         scores = found.unionByName(scored(rest.where(F.col("bound") >= least)))
+        if min(weights.values(), default=0.0) < 0:  # nearly all terms are in over half: no score may give way to a zero
+            scores = scored(groups)
         if not drop_zero:
             others = self.documents(now).join(scores.select("id"), "id", "left_anti").orderBy("id").limit(k)
             scores = scores.unionByName(others.select("id", F.lit(0.0).alias("score")))

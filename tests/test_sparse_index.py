@@ -71,3 +71,40 @@ def test_odd(spark, tmp_path):
     assert index.search("one", 3).isEmpty() and index.documents().isEmpty()
     with pytest.raises(ValueError):
         index.search("x", 0)
+
+
+def shuffled(spark):
+    """How many rows all stages of the session have shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("make", ["sparse", "lexical"])
+def test_postings_are_shuffled_by_the_group(spark, tmp_path, make):
+    """Not one by one: 40,000 of them here, of 20 terms."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in range(20))) for i in range(2000)], "id long, text string").coalesce(2)
+    before = shuffled(spark)
+    if make == "sparse":
+        index = SparseIndex(spark, str(tmp_path / "i"))
+        index.change(docs, None)
+        index.change(None, docs.where("id < 1000"))
+        there = docs.where("id >= 1000")
+    else:
+        index, there = lexical.LexicalIndex.create(docs, str(tmp_path / "i"), id_col="id"), docs
+    assert shuffled(spark) - before < 4000
+    assert pairs(index.search("w3 w4", 5)) == pairs(lexical.bm25(there, "w3 w4", 5, id_col="id"))
+
+
+def test_tokens_of_any_text(spark, tmp_path, monkeypatch):
+    """Texts are cut as a scan cuts them, also where groups end because they have many tokens."""
+    texts = ["Kelvin İx straße ÀB1c", "", None, "kelvin KELVIN\x00x x", "é" * 9, "i x ss ab b1c i"] * 5
+    docs = spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "id string, text string").coalesce(1)
+    monkeypatch.setattr(lexical, "_MOST", 5)
+    assert lexical.inverted(docs, 1000).select("part").distinct().count() > 5
+    kept = SparseIndex(spark, str(tmp_path / "s"), group=4)
+    kept.change(docs, None)
+    once = lexical.LexicalIndex.create(docs, str(tmp_path / "l"), id_col="id")
+    for query in ("kelvin", "x i", "b1c stra e", "Àb1c"):
+        want = pairs(lexical.bm25(docs, query, 12, id_col="id"))
+        assert pairs(kept.search(query, 12)) == want and pairs(once.search(query, 12)) == want, query
