@@ -26,8 +26,34 @@ _DOCS = 64  # texts of one block
 _WORD = re.compile(r"\w\w+")
 
 
+#: White space for ASCII characters that are in no word.
+_APART = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of two or more word characters of the lower-cased text. What stands between white
+    space and ASCII marks is a word if it is ASCII; only other pieces need to be searched."""
+    pieces = text.lower().encode("utf-8", "surrogatepass").translate(_APART).decode("utf-8", "surrogatepass").split()
+    if text.isascii():
+        return [w for w in pieces if len(w) > 1]
+    out = []
+    for w in pieces:
+        if not w.isascii():
+            out.extend(_WORD.findall(w))
+        elif len(w) > 1:
+            out.append(w)
+    return out
+
+
+class _Columns(dict):
+    """Columns by word; those without one of their own share ``spare`` more."""
+
+    def __init__(self, terms: Sequence[str], spare: int):
+        super().__init__((term, i) for i, term in enumerate(terms))
+        self.first, self.spare = len(terms), spare
+
+    def __missing__(self, word: str) -> int:
+        return self.first + zlib.crc32(word.encode()) % self.spare
 
 
 class LatentEmbedder:
@@ -53,29 +79,34 @@ class LatentEmbedder:
         return f"latent-{self.dim}-{zlib.crc32(np.ascontiguousarray(self.axes).tobytes()):08x}"
 
     @cached_property
-    def _places(self) -> dict[str, int]:
-        return {term: i for i, term in enumerate(self.terms)}
+    def _places(self) -> _Columns:
+        return _Columns(self.terms, len(self.idf) - len(self.terms))
+
+    def rows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The columns of the texts' words, one text after another, their weights, of each text
+        at length one, and how many each text has."""
+        flat, sizes = [], []
+        for text in texts:
+            found = words(text)
+            flat.extend(map(self._places.__getitem__, found))
+            sizes.append(len(found))
+        keys = np.repeat(np.arange(len(sizes)), sizes) * len(self.idf) + np.array(flat, dtype=np.int64)
+        keys, times = np.unique(keys, return_counts=True)
+        owner, columns = np.divmod(keys, len(self.idf))
+        value = (1 + np.log(times)) * self.idf[columns]
+        length = np.sqrt(np.bincount(owner, value**2, minlength=len(sizes)))
+        return columns, value / length[owner], np.bincount(owner, minlength=len(sizes))
 
     def weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The columns of a text's words, and their weights at length one."""
-        counts = Counter(words(text))
-        if not counts:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        first, spare, place = len(self.terms), len(self.idf) - len(self.terms), self._places.get
-        columns = np.array([first + zlib.crc32(w.encode()) % spare if (p := place(w)) is None else p for w in counts])
-        columns, which = np.unique(columns, return_inverse=True)
-        value = (1 + np.log(np.bincount(which, list(counts.values())))) * self.idf[columns]
-        return columns, value / np.linalg.norm(value)
+        return self.rows([text])[:2]
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for at in range(0, len(texts), _DOCS):
-            rows = [self.weights(t) for t in texts[at : at + _DOCS]]
-            none = np.empty(0, dtype=np.int64)
-            block, columns = dense(np.concatenate([none, *(r[0] for r in rows)]), np.concatenate([none, *(r[1] for r in rows)]), [len(r[0]) for r in rows])
+            block, columns = dense(*self.rows(texts[at : at + _DOCS]))
             out[at : at + _DOCS] = block @ self.axes[columns]
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size > 0, size, 1)
+        return _unit(out)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, self.terms[i] if i < len(self.terms) else None, float(self.idf[i]), self.axes[i].tolist()) for i in range(len(self.idf))]
@@ -88,6 +119,11 @@ class LatentEmbedder:
         return cls([t for t in found["term"].to_pylist() if t is not None], found["idf"].to_numpy(), axes)
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(size > 0, size, 1)
+
+
 def dense(columns: np.ndarray, values: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """A block of sparse rows, which have ``sizes`` columns each, as a matrix over the columns
     that occur in it, and these."""
@@ -135,12 +171,15 @@ def _vocabulary(docs: DataFrame, text: str, terms: int, spare: int) -> tuple[lis
     return kept["term"].to_pylist(), np.log((1 + n) / (1 + df)) + 1
 
 
+def _block(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    columns, values = part.column(0), part.column(1)
+    return dense(columns.flatten().to_numpy(), values.flatten().to_numpy(), np.diff(columns.offsets.to_numpy()))
+
+
 def _blocks(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, _DOCS):
-            part = batch.slice(at, _DOCS)
-            columns, values = part.column(0), part.column(1)
-            block, used = dense(columns.flatten().to_numpy(), values.flatten().to_numpy(), np.diff(columns.offsets.to_numpy()))
+            block, used = _block(batch.slice(at, _DOCS))
             if len(used):
                 yield block, used
 
@@ -204,6 +243,31 @@ def fit(
 ) -> LatentEmbedder:
     """Learns ``dim`` directions from all texts; null ones are empty. Their signs are such
     that the largest weight of each is positive. Fewer columns than ``dim`` give zeros."""
+    return _fitted(docs.select(F.lit(0).alias("id"), text), dim, text, terms, spare, oversample, power, seed)[0]
+
+
+def fit_embed(
+    docs: DataFrame, dim: int = DIM, *, id_col: str = "doc_id", text: str = "text", terms: int = TERMS, spare: int = SPARE, oversample: int = OVERSAMPLE, power: int = POWER, seed: int = SEED
+) -> tuple[LatentEmbedder, DataFrame]:
+    """What ``fit`` learns, and (id, embedding) of all texts by it, from the weights that it
+    was learned from: texts aren't cut again."""
+    model, rows = _fitted(docs.select(F.col(id_col).alias("id"), text), dim, text, terms, spare, oversample, power, seed)
+    held = docs.sparkSession.sparkContext.broadcast(model.axes)
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, held.value.shape[1]), dtype=np.float32)
+            for at in range(0, batch.num_rows, _DOCS):
+                block, used = _block(batch.slice(at, _DOCS))
+                out[at : at + _DOCS] = block @ held.value[used]
+            offsets = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(_unit(out).ravel()))], names=["id", "embedding"])
+
+    return model, rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<float>")
+
+
+def _fitted(docs: DataFrame, dim: int, text: str, terms: int, spare: int, oversample: int, power: int, seed: int) -> tuple[LatentEmbedder, DataFrame]:
+    """What is learned from (id, text), and (columns, weights, id)."""
     if min(dim, terms, spare) < 1:
         raise ValueError("dim, terms and spare must be at least 1")
     kept, idf = _vocabulary(docs, text, terms, spare)
@@ -213,17 +277,20 @@ def fit(
 
     def run(batches):
         for batch in batches:
-            rows = [held.value.weights(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["columns", "weights"])
+            columns, weights, sizes = held.value.rows([t or "" for t in batch.column(0).to_pylist()])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (columns.astype(np.int32), weights.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["columns", "weights", "id"])
 
-    rows = settle(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "columns array<int>, weights array<float>"))
+    kind = docs.schema["id"].dataType.simpleString()
+    held_rows = settle(docs.select(F.col(text).cast("string").alias("text"), "id").mapInArrow(run, f"columns array<int>, weights array<float>, id {kind}"))
     held.destroy()
     # Each task sums a matrix of its own: no more tasks than twice the cores.
-    rows = rows.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = held_rows.select("columns", "weights").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), wide)))[0]
     for _ in range(power):
         thin = np.linalg.qr(_applied(rows, thin))[0]
     _, turn = np.linalg.eigh(_gram(rows, thin))
     axes = thin @ turn[:, ::-1][:, :dim]
     axes *= np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=0)[None], axis=0) < 0, -1.0, 1.0)
-    return LatentEmbedder(kept, idf, np.pad(axes, ((0, 0), (0, dim - axes.shape[1]))))
+    return LatentEmbedder(kept, idf, np.pad(axes, ((0, 0), (0, dim - axes.shape[1])))), held_rows

@@ -499,8 +499,9 @@ def _latent(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
 
     def make(where: str) -> None:
-        latent.fit(docs, 64).save(spark, f"{where}/model")
-        embed.embed(docs.select("doc_id", "text"), latent.LatentEmbedder.load(spark, f"{where}/model")).select("doc_id", "embedding").write.parquet(f"{where}/vectors")
+        model, vectors = latent.fit_embed(docs, 64)
+        model.save(spark, f"{where}/model")
+        vectors.withColumnRenamed("id", "doc_id").write.parquet(f"{where}/vectors")
 
     return spark.read.parquet(f"{_once(spark, sf_dir, 'latent', make)}/vectors")
 

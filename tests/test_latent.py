@@ -98,3 +98,20 @@ def test_it_is_the_offline_default(spark, tmp_path, monkeypatch):
     assert said.count("topic3word") == 15
     (source / "new.txt").write_text("topic1word1 topic1word2 and a sentence of its own that is long enough to be kept by itself.")
     assert "1 embedded, 120 there already" in cli.main(["ingest", str(source), "--store", store, "--model", "latent"], spark)
+
+
+def test_embedded_as_it_is_learned(spark, sf, monkeypatch):
+    """Vectors come from the weights that were learned from: texts are cut twice, not three times."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    model, vectors = latent.fit_embed(docs, 8, terms=500)
+    again = latent.fit(docs, 8, terms=500)
+    assert again.terms == model.terms and np.allclose(again.axes, model.axes, atol=1e-4)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    made = {r["id"]: r["embedding"] for r in vectors.collect()}
+    assert made.keys() == texts.keys() and not any(made[-1]) and not any(made[-2])
+    assert np.allclose([made[i] for i in texts], model.encode(list(texts.values())), atol=1e-5)
+
+
+def test_words_of_any_text():
+    texts = ["Kelvin ab_c-d1 é ñandú x yy", "a bb\x1fcc\x85dd", "İstanbul don't 日本語 x日", "", "étude 12 _ __"]
+    assert [latent.words(t) for t in texts] == [latent._WORD.findall(t.lower()) for t in texts]
