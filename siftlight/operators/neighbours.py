@@ -19,7 +19,10 @@ from pyspark.sql.window import Window
 from siftlight.operators.dense import _dim, _sound
 from siftlight.sources.tables import dealt, settle
 
-K, TREES, LEAF, ROUNDS, SEED = 15, 4, 256, 4, 42
+K, TREES, LEAF, ROUNDS, SEED = 15, 8, 256, 4, 42
+JOINED = 5  # cuts of a tree that are left out at the start: 32 leaves are compared at once
+SLICE, LOT = 1024, 16  # of a leaf's vectors are compared with all of it at a time; scores of which the best is looked at first
+SETTLED = 0.001  # of all neighbours: with fewer new ones in a round, the descent is over, as in the paper
 SAMPLED = 4096  # vectors whose projections tell where trees are cut
 
 
@@ -59,24 +62,23 @@ def planted(vectors: DataFrame, *, id_col: str, embedding: str, trees: int, leaf
 
 
 def _runs(batches, key: int):
-    """Tables of the rows that agree in the column ``key``, which are next to each other."""
+    """(table, ends) of whole groups: rows that agree in the column ``key`` are next to each
+    other, and groups end at ``ends``. What may go on in the next batch waits for it."""
     held = []
     for batch in batches:
         if not batch.num_rows:
             continue
         values = batch.column(key)
-        cut = 1 + np.flatnonzero(pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False))
-        starts = [0, *cut.tolist(), batch.num_rows]
-        if held and held[-1].column(key)[0] != values[0]:
-            yield pa.Table.from_batches(held)
+        cuts = 1 + np.flatnonzero(pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False))
+        before = sum(x.num_rows for x in held)
+        if before and held[-1].column(key)[held[-1].num_rows - 1] != values[0]:
+            cuts = np.concatenate([[0], cuts])
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]), before + cuts
             held = []
-        for a, b in zip(starts, starts[1:]):
-            held.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
+        held.append(batch.slice(cuts[-1] if len(cuts) else 0))
     if held:
-        yield pa.Table.from_batches(held)
+        yield (table := pa.Table.from_batches(held)), np.array([table.num_rows])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -87,19 +89,44 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def highest(scores: np.ndarray, m: int) -> np.ndarray:
+    """The columns of the ``m`` highest scores of each row: they are in the ``m`` lots of
+    columns whose best scores are highest."""
+    rows, n = scores.shape
+    lots = n // LOT
+    if lots <= 2 * m:
+        return np.argpartition(-scores, m - 1, axis=1)[:, :m]
+    tops = scores[:, : lots * LOT].reshape(rows, LOT, lots).max(axis=1)
+    lot = np.argpartition(-tops, m - 1, axis=1)[:, :m]
+    columns = (lot[:, :, None] + lots * np.arange(LOT)).reshape(rows, -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(lots * LOT, n), (rows, n - lots * LOT))], axis=1)
+    best = np.argpartition(-np.take_along_axis(scores, columns, axis=1), m - 1, axis=1)[:, :m]
+    return np.take_along_axis(columns, best, axis=1)
+
+
 def _first(table: DataFrame, k: int, leaf: int, kind: str) -> DataFrame:
-    """The k nearest in each vector's leaves."""
-    leaves = dealt(table.select("id", "v", F.posexplode("codes").alias("tree", "code")), ["tree", "code"], leaf)
+    """The k nearest in each vector's leaves, several leaves together: products of matrices
+    are cheap, and each neighbour that is found here is one that no round has to shuffle."""
+    leaves = table.select("id", "v", F.posexplode("codes").alias("tree", "code")).withColumn("code", F.shiftright("code", JOINED))
+    leaves = dealt(leaves, ["tree", "code"], leaf << JOINED)
 
     def run(group: pa.Table) -> pa.Table:
         ids, v = group["id"].combine_chunks(), matrix(group["v"].combine_chunks())
-        scores = v @ v.T
-        np.fill_diagonal(scores, -np.inf)
         m = min(k, len(v) - 1)
-        near = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m > 0 else np.empty((len(v), 0), dtype=np.int64)
-        own = np.repeat(np.arange(len(v)), near.shape[1])
-        values = np.round(scores[own, near.ravel()].astype(np.float64), 6)
-        return pa.table([ids.take(pa.array(own)), ids.take(pa.array(near.ravel())), pa.array(values), pa.array(np.ones(len(own), dtype=bool))], names=["id", "neighbour", "score", "fresh"])
+        # Ties in an order of each row's own, else copies would all name the same few.
+        rng = np.random.default_rng(len(v))
+        ties = rng.random(2 * len(v), dtype=np.float32) * np.float32(1e-6)
+        near, values = np.empty((len(v), m), dtype=np.int64), np.empty((len(v), m))
+        for at in range(0, len(v) if m > 0 else 0, SLICE):
+            scores = v[at : at + SLICE] @ v.T
+            own = np.arange(len(scores))[:, None]
+            for row, turn in zip(scores, rng.integers(len(v), size=len(scores)).tolist()):
+                row += ties[turn : turn + len(v)]
+            scores[own, own + at] = -np.inf
+            near[at : at + SLICE] = best = highest(scores, m)
+            values[at : at + SLICE] = np.einsum("ijc,ic->ij", v[best], v[at : at + SLICE])
+        own = np.repeat(np.arange(len(v)), m)
+        return pa.table([ids.take(pa.array(own)), ids.take(pa.array(near.ravel())), pa.array(np.round(values.ravel(), 6)), pa.array(np.ones(len(own), dtype=bool))], names=["id", "neighbour", "score", "fresh"])
 
     return leaves.groupBy("tree", "code", "part").applyInArrow(run, f"id {kind}, neighbour {kind}, score double, fresh boolean")
 
@@ -115,21 +142,23 @@ def _round(graph: DataFrame, table: DataFrame, k: int, kind: str, salt: int) ->
     members = members.select("a", "id", "fresh", F.coalesce("least", F.lit(-2.0)).alias("least"), "v")
 
     def run(batches):
-        out, held = [], 0
-        for group in _runs(batches, 0):
-            ids, v = group["id"].combine_chunks(), matrix(group["v"].combine_chunks())
-            fresh, least = group["fresh"].to_numpy(), group["least"].to_numpy()
-            scores = np.round((v @ v.T).astype(np.float64), 6)
+        for groups, ends in _runs(batches, 0):
+            ids, v = groups["id"].combine_chunks(), matrix(groups["v"].combine_chunks())
+            fresh, least = groups["fresh"].to_numpy(), groups["least"].to_numpy()
             codes = ids.dictionary_encode().indices.to_numpy()
-            i, j = np.nonzero((scores > least[:, None]) & (fresh[:, None] | fresh) & (codes[:, None] != codes))
-            if len(i):
-                out.append(pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores[i, j]), pa.array(np.ones(len(i), dtype=bool))], names=["id", "neighbour", "score", "fresh"]))
-                held += len(i)
-            if held > 65_536:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out, held = [], 0
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            out, held, at = [], 0, 0
+            for end in ends.tolist():
+                if (new := fresh[at:end]).any():
+                    part, code = v[at:end], codes[at:end]
+                    scores = np.round((part @ part.T).astype(np.float64), 6)
+                    i, j = np.nonzero((scores > least[at:end, None]) & (new[:, None] | new) & (code[:, None] != code))
+                    out.append((at + i, at + j, scores[i, j]))
+                    held += len(i)
+                at = end
+                if held > 65_536 or out and at == len(v):
+                    i, j, scores = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores), pa.array(np.ones(len(i), dtype=bool))], names=["id", "neighbour", "score", "fresh"])
+                    out, held = [], 0
 
     met = members.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"id {kind}, neighbour {kind}, score double, fresh boolean")
     return met.unionByName(graph.select("id", "neighbour", "score", F.lit(False).alias("fresh")))
@@ -139,10 +168,13 @@ def grown(table: DataFrame, k: int = K, *, pool: int | None = None, leaf: int =
     """(id, neighbour, score, rank) over ``planted`` vectors; the descent goes over the
     ``pool`` nearest, by default three times k, of which the k best stay."""
     kind, wide = table.schema["id"].dataType.simpleString(), max(k, pool or 3 * k)
-    graph = settle(_best(_first(table, wide, leaf, kind), wide))
+    trees = F.size(F.first("codes"))
+    trees, n = table.agg(trees.alias("trees"), F.count("*").alias("n")).first()
+    # All that are nearest in a tree, and twice the pool from all trees.
+    graph = settle(_best(_first(table, max(k, -(-2 * wide // max(1, trees or 1))), leaf, kind), wide))
     for r in range(rounds):
         graph = settle(_best(_round(graph, table, wide, kind, seed + r), wide))
-        if not graph.where(F.col("fresh") & (F.col("rank") <= k)).limit(1).count():
+        if graph.where(F.col("fresh") & (F.col("rank") <= k)).count() <= SETTLED * k * n:
             break
     return graph.where(F.col("rank") <= k).select("id", "neighbour", "score", F.col("rank").cast("long").alias("rank"))
 

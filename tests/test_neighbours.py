@@ -1,6 +1,7 @@
 """The neighbour graph against exact search, and the layout made from it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,36 @@ def test_copies_and_text_ids(spark):
     assert max(named.count(x) for x in set(named)) < 40
 
 
+def test_start_finds_most(spark):
+    """Vectors without structure: the leaves that are compared at once find most neighbours before any round."""
+    matrix = np.random.default_rng(11).standard_normal((3000, 24))
+    found = neighbours.graph(frame(spark, matrix), 10, leaf=32, rounds=0).collect()
+    assert share(found, matrix, 10) >= 0.8
+    assert share(neighbours.graph(frame(spark, matrix), 10, leaf=32).collect(), matrix, 10) >= 0.97
+
+
+def test_highest_scores():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (40, 40), (333, 10), (1601, 15)):
+        scores = np.round(rng.standard_normal((50, n)), 1)
+        best = neighbours.highest(scores, m)
+        assert all(len(set(row)) == m for row in best.tolist())
+        assert (np.sort(np.take_along_axis(scores, best, axis=1)) == np.sort(scores, axis=1)[:, n - m :]).all()
+
+
+def test_groups_go_over_batches():
+    keys = [1, 1, 2, 2, 2, 2, 3, 4, 4]
+    for cuts in ((), (2,), (1, 4), (3, 5, 6), range(1, 9), (4, 4)):
+        at = [0, *cuts, len(keys)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64())], names=["a"]) for a, b in zip(at, at[1:])]
+        groups = []
+        for table, ends in neighbours._runs(batches, 0):
+            ends = ends.tolist()
+            assert ends[-1] == table.num_rows
+            groups += [table["a"].to_pylist()[a:b] for a, b in zip([0, *ends], ends)]
+        assert groups == [[1, 1], [2] * 4, [3], [4, 4]]
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 1.0]), (5, [None, 1.0]), (6, [1.0, 0.1])]
     found = neighbours.graph(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).collect()
